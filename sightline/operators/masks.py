@@ -286,7 +286,7 @@ def cycle_evidence(
     Reference points are pixel positions of one query mask: their set is bounded by the image.
     """
     mask = keys[0]
-    ref = reference.groupBy(mask).agg(F.collect_set(F.struct(F.col("x").cast("double"), F.col("y").cast("double"))).alias("_ref"))
+    ref = reference.groupBy(mask).agg(F.collect_set(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("_ref"))
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     rows = points.join(heights.select(mask, "h", "w"), mask).join(ref, mask, "left")
     ok = finite(F.col("x").cast("double")) & finite(F.col("y").cast("double"))

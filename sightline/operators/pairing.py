@@ -124,9 +124,9 @@ def reconcile_index(members: DataFrame, mapping: DataFrame, key: str, group: Seq
 def align_frames(picks: DataFrame, views: DataFrame, card: str, t: str = "t") -> DataFrame:
     """Every picked step in every view of its card, at the same fraction of the episode.
 
-    ``views``: card, view, T.  The views of a card come from a short camera list, so they are
+    ``views``: card, view, n_frames.  The views of a card come from a short camera list, so they are
     folded into one array per card and the join stays one-to-many on the card.
     """
-    folded = views.groupBy(card).agg(F.min("T").alias("t_min"), F.array_sort(F.collect_set(F.struct("view", "T"))).alias("_v"))
+    folded = views.groupBy(card).agg(F.min("n_frames").alias("t_min"), F.array_sort(F.collect_set(F.struct("view", "n_frames"))).alias("_v"))
     rows = picks.join(folded, card).select(*picks.columns, "t_min", F.inline("_v"))
-    return rows.withColumn("local_t", align_frame(t, "t_min", "T"))
+    return rows.withColumn("local_t", align_frame(t, "t_min", "n_frames"))

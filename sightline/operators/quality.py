@@ -93,10 +93,10 @@ def token_counts(df: DataFrame, key: str, tokens: Sequence[str]) -> DataFrame:
 def target_pixels(id_pixels: DataFrame, ids: DataFrame, lengths: DataFrame, keys: Sequence[str] = ("demo", "view")) -> DataFrame:
     """Target pixels per (view, step), zero-filled on the step grid.
 
-    ``lengths``: keys, T.  The grid is a row-local sequence; the pixel join is on (keys, t).
+    ``lengths``: keys, n_frames.  The grid is a row-local sequence; the pixel join is on (keys, t).
     """
     px = id_pixels.join(ids, [*keys, "id"], "left_semi").groupBy(*keys, "t").agg(F.sum("px").alias("px"))
-    grid = lengths.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("T").cast("bigint") - 1)).alias("t"))
+    grid = lengths.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_frames").cast("bigint") - 1)).alias("t"))
     return grid.join(px, [*keys, "t"], "left").withColumn("px", F.coalesce("px", F.lit(0).cast("bigint")))
 
 
@@ -119,7 +119,7 @@ def blank_steps(id_pixels: DataFrame, keys: Sequence[str] = ("demo",), few: int
 
 def view_stats(px: DataFrame, keys: Sequence[str] = ("card", "view")) -> DataFrame:
     """``visible_frac``, ``median_px`` (mean of the middles, truncated) and steps over the zero-filled grid."""
-    share = px.groupBy(*keys).agg(F.avg((F.col("px") > 0).cast("double")).alias("visible_frac"), F.count(F.lit(1)).alias("T"))
+    share = px.groupBy(*keys).agg(F.avg((F.col("px") > 0).cast("double")).alias("visible_frac"), F.count(F.lit(1)).alias("n_frames"))
     return share.join(exact_rank_value(px, keys, "px", upper=False, name="median_px"), list(keys))
 
 
@@ -180,7 +180,7 @@ def scorecard(
         F.coalesce(F.max(F.when(wrist, F.col("visible_frac"))), F.lit(0.0)).alias("wrist_best"),
         F.coalesce(F.max(F.when(F.col("view") == "head_gaze", F.col("visible_frac"))), F.lit(0.0)).alias("head"),
         F.bool_or(F.col("view").endswith("wrist")).alias("has_wrist"),
-        F.min("T").alias("T"),
+        F.min("n_frames").alias("n_frames"),
     )
 
 
@@ -207,8 +207,8 @@ def verdict_histogram(cards: DataFrame, verdicts: Sequence[str] = VERDICTS) -> D
 def verdict_lengths(cards: DataFrame) -> DataFrame:
     """Upper-median episode length of ``ok`` cards and of ``weak`` ones (neither ok nor thin)."""
     side = F.when(F.col("verdict") == "ok", "ok").when(F.col("verdict") != "thin", "weak")
-    rows = cards.select(side.alias("side"), "T").filter(F.col("side").isNotNull())
-    return exact_rank_value(rows, ["side"], "T", upper=True, name="median_length")
+    rows = cards.select(side.alias("side"), "n_frames").filter(F.col("side").isNotNull())
+    return exact_rank_value(rows, ["side"], "n_frames", upper=True, name="median_length")
 
 
 def rerun_candidates(cards: DataFrame, card: str = "card") -> DataFrame:
@@ -295,12 +295,16 @@ def image_references(relations: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def pooled_density(samples: DataFrame, group: str, size: str, rows: str, total_bytes: float, outliers: Column) -> DataFrame:
-    """Bytes per row as a ratio of sums, with and without outlier groups, and the extrapolated row count."""
-    kept = ~F.coalesce(outliers, F.lit(False))
-    out = samples.groupBy(group).agg(F.sum(size).alias("_b"), F.sum(rows).alias("_r"))
-    out = out.withColumn("_k", kept).agg(
-        F.try_divide(F.sum("_b"), F.sum("_r")).alias("density"),
-        F.try_divide(F.sum(F.when(F.col("_k"), F.col("_b"))), F.sum(F.when(F.col("_k"), F.col("_r")))).alias("density_kept"),
+    """Bytes per row as a ratio of sums, with and without outlier groups, and the extrapolated row count.
+
+    ``outliers`` is a condition over ``group_bytes`` and ``group_rows``.
+    """
+    out = samples.groupBy(group).agg(F.sum(size).alias("group_bytes"), F.sum(rows).alias("group_rows"))
+    out = out.withColumn("_k", ~F.coalesce(outliers, F.lit(False)))
+    kept = lambda c: F.sum(F.when(F.col("_k"), F.col(c)))
+    out = out.agg(
+        F.try_divide(F.sum("group_bytes"), F.sum("group_rows")).alias("density"),
+        F.try_divide(kept("group_bytes"), kept("group_rows")).alias("density_kept"),
         F.count_if(~F.col("_k")).alias("outlier_groups"),
     )
     return out.withColumn("extrapolated_rows", F.floor(F.try_divide(F.lit(float(total_bytes)), F.col("density"))))

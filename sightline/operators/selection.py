@@ -34,7 +34,7 @@ def value_runs(df: DataFrame, part: Sequence[str], order: str, value: str) -> Da
     return numbered.groupBy(*part, "_run", value).agg(F.min("_pos").alias("start"), F.count(F.lit(1)).alias("length")).drop("_run")
 
 
-def on_grid(steps: DataFrame, t: str = "t", total: str = "T") -> DataFrame:
+def on_grid(steps: DataFrame, t: str = "t", total: str = "n_frames") -> DataFrame:
     """Rows on the sampling grid, with their grid position ``g``; a card keeps fewer than 480 steps."""
     step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col(total) / 240))
     return steps.filter(F.col(t) % step == 0).withColumn("g", F.floor(F.col(t) / step))
@@ -184,5 +184,5 @@ def canonical_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def grid_steps(lengths: DataFrame, keys: Sequence[str], total: str = "T") -> DataFrame:
+def grid_steps(lengths: DataFrame, keys: Sequence[str], total: str = "n_frames") -> DataFrame:
     return lengths.select(*keys, F.posexplode(frame_grid(total)).alias("g", "t")).withColumn("g", F.col("g").cast("bigint"))

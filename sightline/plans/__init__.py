@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("scoring",)
+FAMILIES = ("cards", "mask_tables", "review", "datasets")
 
 
 def load_all():

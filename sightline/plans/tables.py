@@ -74,7 +74,7 @@ VMETA_SQL = (
     + """,
 vmeta AS (
   SELECT card, view, avg(CASE WHEN px > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS visible_frac,
-         CAST(trunc(median(px)) AS BIGINT) AS median_px, count(*) AS T
+         CAST(trunc(median(px)) AS BIGINT) AS median_px, count(*) AS n_frames
   FROM grid GROUP BY 1, 2)"""
 )
 

@@ -78,7 +78,8 @@ def scan_view_meta(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.schema(schemas.struct(schemas.VIEW_META)).json(
         root, multiLine=True, recursiveFileLookup=True, pathGlobFilter="meta.json"
     )
-    return raw.withColumns({"demo": _from_tail(3), "view": _from_tail(2)})
+    named = raw.withColumnsRenamed({"T": "n_frames", "Tmin": "n_frames_min"})
+    return named.withColumns({"demo": _from_tail(3), "view": _from_tail(2)})
 
 
 def scan_relations(spark: SparkSession, path: str, direction: str) -> DataFrame:
