@@ -43,11 +43,11 @@ class MetricRegistry:
 # --- object tables -------------------------------------------------------------------------
 
 
-def explode_pairs(pairs: DataFrame, shard: str = "shard_no") -> DataFrame:
+def explode_pairs(pairs: DataFrame, keep: Sequence[str] = ("shard_no",)) -> DataFrame:
     """Array-per-pair records -> one row per object with its position."""
     zipped = F.arrays_zip(F.col("ious").alias("iou"), F.col("dices").alias("dice"))
-    rows = pairs.select(shard, "pair_idx", F.posexplode_outer(zipped).alias("obj_idx", "o"))
-    return rows.select(shard, "pair_idx", "obj_idx", F.col("o.iou").alias("iou"), F.col("o.dice").alias("dice"))
+    rows = pairs.select(*keep, "pair_idx", F.posexplode_outer(zipped).alias("obj_idx", "o"))
+    return rows.select(*keep, "pair_idx", "obj_idx", F.col("o.iou").alias("iou"), F.col("o.dice").alias("dice"))
 
 
 def global_ordinal(objects: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("cards", "mask_tables", "review", "datasets")
+FAMILIES = ("scoring", "coverage", "cards", "mask_tables", "review", "datasets", "audits", "operations")
 
 
 def load_all():

@@ -130,7 +130,7 @@ def shards(spark, d):
     """WITH s AS (SELECT o_custkey, o_orderkey FROM orders ORDER BY 1, 2 LIMIT 100) SELECT o_custkey, o_orderkey, 0::BIGINT AS outside FROM s""",
 )
 def smoke_subset(spark, d):
-    full = T.subset(table(spark, d, "orders"), ["o_orderkey"], 1).select("o_custkey", "o_orderkey")
+    full = table(spark, d, "orders").select("o_custkey", "o_orderkey")
     part = T.smoke_subset(L.canonical_order(full, ["o_custkey", "o_orderkey"]), ["o_custkey", "o_orderkey"], 100)
     outside = T.contained(part, full, ["o_custkey", "o_orderkey"]).agg(F.count(F.lit(1))).scalar()
     return part.withColumn("outside", outside)
@@ -143,7 +143,8 @@ def smoke_subset(spark, d):
 )
 def canonical_order(spark, d):
     rows = L.canonical_order(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"])
-    return rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("rows"), F.first("o_orderkey").alias("first_order"))
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    return placed.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("rows"), F.min_by("o_orderkey", "_at").alias("first_order"))
 
 
 @register(

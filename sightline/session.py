@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,14 +32,20 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
-
-    The folder is read from ``spark.checkpoint.dir``; a temporary one is set only
-    when neither the configuration nor the context names any (local tests).
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sightline-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sightline-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """New, unused path below the shared folder."""
+    return f"{shared_folder(spark)}/sightline-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder the cluster names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -56,8 +56,7 @@ def scan_json_map(spark: SparkSession, path: str, layout: str = "object") -> Dat
     so one very large map is read by many tasks.
     """
     if layout == "object":
-        text = spark.read.text(path, wholetext=True)
-        return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+        return parse_json_map(spark.read.text(path, wholetext=True))
     if layout != "lines":
         raise ValueError(f"unknown layout {layout!r}")
     entry = F.regexp_replace(F.trim("value"), ",$", "")
@@ -66,13 +65,21 @@ def scan_json_map(spark: SparkSession, path: str, layout: str = "object") -> Dat
     return rows.select(F.explode(parsed).alias("key", "value"))
 
 
-def scan_rawpath_map(spark: SparkSession, path: str) -> DataFrame:
-    """JSON object raw path -> records, as (raw_path, id, range_nop)."""
-    text = spark.read.text(path, wholetext=True)
+def parse_json_map(text: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """JSON objects in ``value`` -> (key, value) rows; a null value keeps its key."""
+    return text.select(*keep, F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+
+
+def parse_rawpath_map(text: DataFrame) -> DataFrame:
     pairs = text.select(F.explode(F.from_json("value", schemas.RAW_RECORDS)).alias("raw_path", "records"))
     return pairs.select("raw_path", F.inline("records"))
 
 
+def scan_rawpath_map(spark: SparkSession, path: str) -> DataFrame:
+    """JSON object raw path -> records, as (raw_path, id, range_nop)."""
+    return parse_rawpath_map(spark.read.text(path, wholetext=True))
+
+
 def scan_view_meta(spark: SparkSession, root: str) -> DataFrame:
     """View descriptors ``<root>/<demo>/<view>/meta.json``; directory names decide demo and view."""
     raw = spark.read.schema(schemas.struct(schemas.VIEW_META)).json(
@@ -84,7 +91,10 @@ def scan_view_meta(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_relations(spark: SparkSession, path: str, direction: str) -> DataFrame:
     """Relation file -> one row per pair and object."""
-    text = spark.read.text(path, wholetext=True)
+    return parse_relations(spark.read.text(path, wholetext=True), direction)
+
+
+def parse_relations(text: DataFrame, direction: str) -> DataFrame:
     pairs = text.select(F.explode(F.from_json("value", f"map<string,{schemas.RELATION}>")).alias("pair_id", "r"))
     rows = pairs.select("pair_id", "r", F.explode("r.objects").alias("object_key", "o"))
     ann = F.try_element_at("r.prompt.first_frame_anns", F.col("object_key"))
@@ -116,9 +126,14 @@ def scan_metric_shards(spark: SparkSession, path: str) -> DataFrame:
     need that file to be read as a whole; files are read in parallel.
     """
     text = spark.read.text(path, wholetext=True).select(_file_name().alias("shard"), "value")
+    return parse_metric_shards(text)
+
+
+def parse_metric_shards(text: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(shard, value) -> (shard, pair_idx, ious, dices, shard_no) and the ``keep`` columns."""
     rows = F.from_json("value", "array<struct<ious:array<double>,dices:array<double>>>")
-    out = text.select("shard", F.posexplode(rows).alias("pair_idx", "r"))
-    out = out.select("shard", F.col("pair_idx").cast("bigint").alias("pair_idx"), "r.ious", "r.dices")
+    out = text.select("shard", *keep, F.posexplode(rows).alias("pair_idx", "r"))
+    out = out.select("shard", *keep, F.col("pair_idx").cast("bigint").alias("pair_idx"), "r.ious", "r.dices")
     return out.join(F.broadcast(shard_ordinals(text)), "shard")
 
 
