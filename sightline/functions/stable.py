@@ -36,11 +36,18 @@ def seeded_int(*cols: str | Column, seed: int = 0, portable: bool = False) -> Co
 POISSON_ONE = tuple(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(10)))
 
 
-def poisson_weight(*cols: str | Column, seed: int = 0, portable: bool = False) -> Column:
-    """Poisson(1) draw per key: the resampling weight of one row in one replicate."""
-    bits = 48 if portable else 63
-    draw = seeded_int(*cols, seed=seed, portable=portable)
-    out = F.lit(len(POISSON_ONE))
-    for k in range(len(POISSON_ONE) - 1, -1, -1):
-        out = F.when(draw < F.lit(int(POISSON_ONE[k] * 2**bits)), F.lit(k)).otherwise(out)
-    return out
+def poisson_draw(*cols: str | Column, seed: int = 0, portable: bool = False) -> Column:
+    """Uniform draw per key for :func:`poisson_weight`: 12 hex digits, or a 63-bit integer."""
+    if portable:
+        return F.substring(F.md5(_text(*cols, seed=seed)), 1, 12)
+    return seeded_int(*cols, seed=seed)
+
+
+def poisson_weight(draw: str | Column, portable: bool = False) -> Column:
+    """Poisson(1) weight of a draw (pass a column, so that the draw is computed once)."""
+    d = F.col(draw) if isinstance(draw, str) else draw
+    limit = (lambda p: F.lit(f"{int(p * 2**48):012x}")) if portable else (lambda p: F.lit(int(p * 2**63)))
+    out = F
+    for k, p in enumerate(POISSON_ONE):
+        out = out.when(d < limit(p), F.lit(k))
+    return out.otherwise(F.lit(len(POISSON_ONE)))

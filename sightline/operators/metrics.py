@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.stable import poisson_weight, seeded
+from sightline.functions.stable import poisson_draw, poisson_weight, seeded
 from sightline.operators.ordered import ordered_scan, prefix_totals
 
 # --- metric registry ----------------------------------------------------------------------
@@ -89,44 +89,38 @@ def metric_lattice(
     """
     if on_empty not in ("nan", "skip"):
         raise ValueError("on_empty must be 'nan' or 'skip'")
-    scored = objects.filter(F.col(metrics[0]).isNotNull())
-    totals = _per_pair(objects, pair, metrics, on_empty).agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.sum("n_obj").alias("n_objects"),
-        *[F.try_divide(F.sum(f"sum_{m}"), F.sum("n_obj")).alias(f"perobject_{m}") for m in metrics],
-        *[F.avg(f"mean_{m}").alias(f"perpair_{m}") for m in metrics],
+    pairs = _per_pair(objects, pair, metrics, on_empty).agg(
+        F.count(F.lit(1)).alias("n_pairs"), *[F.avg(f"mean_{m}").alias(f"perpair_{m}") for m in metrics]
     )
-    n_pairs = objects.select(*pair).distinct().agg(F.count(F.lit(1))).scalar()
-    prefix = prefix_totals(scored, order, n_pairs, metrics, buckets)
-    stock = prefix.select(F.struct(*[F.try_divide(F.col(f"prefix_{m}"), F.col("prefix_n")).alias(m) for m in metrics])).scalar()
-    dropped = F.greatest(F.lit(0).cast("bigint"), F.col("n_objects") - F.col("n_pairs"))
-    out = totals.withColumn("_stock", stock).withColumn("dropped", dropped)
-    return out.select(
-        "n_pairs",
-        "n_objects",
-        "dropped",
-        F.coalesce(F.try_divide(F.col("dropped") * 100.0, F.col("n_objects")), F.lit(0.0)).alias("dropped_pct"),
-        *[F.col("_stock")[m].alias(f"stock_{m}") for m in metrics],
-        *[f"perobject_{m}" for m in metrics],
-        *[f"perpair_{m}" for m in metrics],
+    per_pair = pairs.first()  # one row
+    n_pairs = per_pair["n_pairs"]
+    sums = prefix_totals(objects.filter(F.col(metrics[0]).isNotNull()), order, n_pairs, metrics, buckets)
+    dropped = F.greatest(F.lit(0).cast("bigint"), F.col("total_n") - n_pairs)
+    return sums.select(
+        F.lit(n_pairs).cast("bigint").alias("n_pairs"),
+        F.col("total_n").alias("n_objects"),
+        dropped.alias("dropped"),
+        F.coalesce(F.try_divide(dropped * 100.0, F.col("total_n")), F.lit(0.0)).alias("dropped_pct"),
+        *[F.try_divide(F.col(f"prefix_{m}"), F.col("prefix_n")).alias(f"stock_{m}") for m in metrics],
+        *[F.try_divide(F.col(f"total_{m}"), F.col("total_n")).alias(f"perobject_{m}") for m in metrics],
+        *[F.lit(per_pair[f"perpair_{m}"]).cast("double").alias(f"perpair_{m}") for m in metrics],
     )
 
 
 def truncation_audit(objects: DataFrame, pair: Sequence[str], order: Sequence[str], metric: str = "iou", buckets: int | None = None) -> DataFrame:
     """Mean of the kept prefix, of the dropped tail and of all objects."""
-    n_pairs = objects.select(*pair).distinct().agg(F.count(F.lit(1))).scalar()
-    prefix = prefix_totals(objects, order, n_pairs, [metric], buckets)
-    full = objects.agg(F.count(metric).alias("n_objects"), F.sum(metric).alias("_sum"))
-    both = full.withColumn("_p", prefix.select(F.struct("prefix_n", F.col(f"prefix_{metric}").alias("s"))).scalar())
-    kept, all_n = F.coalesce(F.col("_p")["prefix_n"], F.lit(0).cast("bigint")), F.col("n_objects")
-    return both.select(
-        "n_objects",
+    n_pairs = objects.select(*pair).distinct().count()
+    sums = prefix_totals(objects.filter(F.col(metric).isNotNull()), order, n_pairs, [metric], buckets)
+    kept, total = F.col("prefix_n"), F.col("total_n")
+    kept_sum, total_sum = F.col(f"prefix_{metric}"), F.col(f"total_{metric}")
+    return sums.select(
+        total.alias("n_objects"),
         kept.alias("kept"),
-        (all_n - kept).alias("dropped"),
-        F.try_divide((all_n - kept) * 100.0, all_n).alias("dropped_pct"),
-        F.try_divide(F.col("_p")["s"], kept).alias("prefix_mean"),
-        F.try_divide(F.col("_sum") - F.col("_p")["s"], all_n - kept).alias("tail_mean"),
-        F.try_divide(F.col("_sum"), all_n).alias("full_mean"),
+        (total - kept).alias("dropped"),
+        F.try_divide((total - kept) * 100.0, total).alias("dropped_pct"),
+        F.try_divide(kept_sum, kept).alias("prefix_mean"),
+        F.try_divide(total_sum - kept_sum, total - kept).alias("tail_mean"),
+        F.try_divide(total_sum, total).alias("full_mean"),
     )
 
 
@@ -189,7 +183,8 @@ def paired_bootstrap(
     """
     diff = df.select(*keys, (F.col(a) - F.col(b)).alias("_d"))
     reps_col = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
-    weighted = diff.select("_d", *keys, reps_col).withColumn("_w", poisson_weight(*keys, "rep", seed=seed, portable=portable))
+    drawn = diff.select("_d", *keys, reps_col).select("_d", "rep", poisson_draw(*keys, "rep", seed=seed, portable=portable).alias("_h"))
+    weighted = drawn.withColumn("_w", poisson_weight("_h", portable))
     per_rep = weighted.groupBy("rep").agg(F.try_divide(F.sum(F.col("_d") * F.col("_w")), F.sum("_w")).alias("mean_diff"))
     ci = per_rep.agg(F.percentile("mean_diff", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
     point = diff.agg(F.avg("_d").alias("mean_diff"), F.count("_d").alias("pairs"))

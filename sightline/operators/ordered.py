@@ -7,9 +7,10 @@ buckets, a thousand small groups share one.  Inside a bucket an ordinary window
 between buckets only one row per bucket travels (its first group, last group and
 closing value), so the broadcast side never has more rows than there are buckets.
 
-The cut points come from a bottom-k sample on a hash of the key: it does not depend on
-partitioning or on task retries, it is a bounded collect (``SAMPLE_PER_BUCKET`` rows per
-bucket), and the cuts enter the plan as literals, so re-evaluation always agrees.
+The cut points come from a bottom-k sample on a hash of the key: it depends only on the
+rows, not on partitioning, timing or task retries, so every evaluation of a plan agrees on
+them.  They are checkpointed as one row of at most ``MAX_BUCKETS`` keys, enter the plan as a
+scalar subquery, and a row finds its bucket by binary search in JVM code.
 
 The order columns together must identify a row (a total order), as every ordinal needs.
 """
@@ -23,45 +24,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sightline.session import cut_lineage
+
 SAMPLE_PER_BUCKET = 32
+MAX_BUCKETS = 4096
 
 
 def default_buckets(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Four buckets per shuffle partition, so that hashing buckets to tasks evens out."""
+    return max(1, min(MAX_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _literal_struct(schema, row) -> Column:
-    return F.struct(*[F.lit(value).cast(field.dataType).alias(field.name) for field, value in zip(schema, row)])
+def cut_points(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """One row: the sorted, distinct keys that cut the table into about equally large ranges."""
+    lowest = df.select(*keys, F.xxhash64(*keys).alias("_h")).orderBy("_h", *keys).limit(buckets * SAMPLE_PER_BUCKET)
+    sample = lowest.agg(F.array_sort(F.collect_list(F.struct(*keys))).alias("_s"))
+    index = lambda i: F.floor(i * F.size("_s") / F.lit(buckets)).cast("int")
+    picks = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get("_s", index(i)))
+    return sample.select(F.array_distinct(F.filter(picks, lambda x: x.isNotNull())).alias("cuts"))
 
 
-def _bisect(key: Column, cuts: list[Column], low: int, high: int) -> Column:
-    """Balanced CASE tree: bucket number of ``key`` in log2(buckets) comparisons."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(key < cuts[mid], _bisect(key, cuts, low, mid)).otherwise(_bisect(key, cuts, mid + 1, high))
+def fixed_cuts(df: DataFrame, keys: Sequence[str], buckets: int) -> Column:
+    """The cut points as a scalar subquery over one checkpointed row, so that they are sampled once."""
+    return cut_lineage(cut_points(df, keys, buckets)).scalar()
 
 
-def with_bucket(df: DataFrame, keys: Sequence[str], buckets: int | None = None, name: str = "_bucket") -> DataFrame:
-    """Add the equi-depth range bucket of the sort key (literal cut points)."""
-    buckets = buckets or default_buckets(df)
+def with_bucket(
+    df: DataFrame, keys: Sequence[str], buckets: int | None = None, name: str = "_bucket", cuts: Column | None = None
+) -> DataFrame:
+    """Add the equi-depth range bucket of the sort key: the number of cut points at or below it."""
+    buckets = min(MAX_BUCKETS, buckets or default_buckets(df))
     if buckets == 1:
         return df.withColumn(name, F.lit(0))
-    key_rows = df.select(*keys)
-    sample = (
-        key_rows.withColumn("_h", F.xxhash64(*keys))
-        .orderBy("_h")
-        .limit(buckets * SAMPLE_PER_BUCKET)
-        .drop("_h")
-        .orderBy(*keys)
-        .collect()
-    )
-    if len(sample) < 2:
-        return df.withColumn(name, F.lit(0))
-    picks = [tuple(sample[i * len(sample) // buckets]) for i in range(1, buckets)]
-    distinct = [p for i, p in enumerate(picks) if i == 0 or p != picks[i - 1]]
-    cuts = [_literal_struct(key_rows.schema, p) for p in distinct]
-    return df.withColumn(name, _bisect(F.struct(*keys), cuts, 0, len(cuts)))
+    cuts = fixed_cuts(df, keys, buckets) if cuts is None else cuts
+    rows = df.withColumns({"_key": F.struct(*keys), name: F.lit(0)})
+    step = 1 << (buckets - 1).bit_length() - 1
+    while step:
+        probe = F.get(cuts, F.col(name) + (step - 1))
+        rows = rows.withColumn(name, F.when(probe <= F.col("_key"), F.col(name) + step).otherwise(F.col(name)))
+        step //= 2
+    return rows.drop("_key")
 
 
 def ordered_scan(
@@ -75,132 +77,139 @@ def ordered_scan(
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
     buckets: int | None = None,
+    bucketed: bool = False,
+    keep_bucket: bool = False,
 ) -> DataFrame:
     """Add window columns computed per ``group`` in ascending ``order``.
 
     ``ordinal`` names a zero-based position.  ``running_sum`` maps a new column to its input
     and includes the current row; ``max_before`` takes the rows before it only.
-    ``previous`` / ``following`` map a new column to the input read one row back / ahead.  Shuffles once, on the bucket.
+    ``previous`` / ``following`` map a new column to the input read one row back / ahead.
+
+    The rows shuffle and sort once, on the bucket.  What a bucket needs from its neighbours is
+    pre-aggregated map-side from the unsorted rows.  ``keep_bucket`` / ``bucketed`` chain two
+    scans over the same keys with one shuffle.
     """
     sums, maxes = dict(running_sum or {}), dict(max_before or {})
     backs, aheads = dict(previous or {}), dict(following or {})
     keys = [*group, *order]
-    base = with_bucket(df, keys, buckets).repartition("_bucket")
+    base = df if bucketed else with_bucket(df, keys, buckets)
+    columns = [c for c in base.columns if keep_bucket or c != "_bucket"]
     base = base.withColumn("_g", F.struct(*group) if group else F.lit(0))
-    base = base.withColumn("_k", F.struct(*keys))
-    w = Window.partitionBy("_bucket", "_g").orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
 
-    local: dict[str, Column] = {}
-    if ordinal:
-        local["_n"] = F.row_number().over(w).cast("bigint")
-    for i, src in enumerate(sums.values()):
-        local[f"_s{i}"] = F.sum(src).over(upto)
-    for i, src in enumerate(maxes.values()):
-        local[f"_m{i}"] = F.max(src).over(upto)
-        local[f"_x{i}"] = F.max(src).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    for i, src in enumerate(backs.values()):
-        local[f"_p{i}"] = F.lag(F.struct(F.col(src).alias("v"))).over(w)
-    for i, src in enumerate(aheads.values()):
-        local[f"_f{i}"] = F.lead(F.struct(F.col(src).alias("v"))).over(w)
-    rows = base.withColumns(local)
-
-    # one row per bucket: what the following (or preceding) bucket has to know
-    edge = [F.min("_g").alias("first_g"), F.max("_g").alias("last_g")]
-    if ordinal:
-        edge.append(F.max_by("_n", "_k").alias("_n"))
-    edge += [F.max_by(f"_s{i}", "_k").alias(f"_s{i}") for i in range(len(sums))]
-    edge += [F.max_by(f"_m{i}", "_k").alias(f"_m{i}") for i in range(len(maxes))]
-    edge += [F.max_by(F.struct(F.col(c).alias("v")), F.col("_k")).alias(f"_p{i}") for i, c in enumerate(backs.values())]
-    edge += [F.min_by(F.struct(F.col(c).alias("v")), F.col("_k")).alias(f"_f{i}") for i, c in enumerate(aheads.values())]
-    edges = rows.groupBy("_bucket").agg(*edge)
+    # one row per bucket: its first and last group, and the closing values of the last group
+    at = F.struct(*keys)
+    boxed = lambda c: F.struct(F.col(c).alias("v"))
+    partial = [F.count(F.lit(1)).alias("_n")]
+    partial += [F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())]
+    partial += [F.max(c).alias(f"_m{i}") for i, c in enumerate(maxes.values())]
+    partial += [F.max_by(boxed(c), at).alias(f"_p{i}") for i, c in enumerate(backs.values())]
+    partial += [F.min_by(boxed(c), at).alias(f"_f{i}") for i, c in enumerate(aheads.values())]
+    heads = [f"_f{i}" for i in range(len(aheads))]
+    if group:
+        per_group = base.groupBy("_bucket", "_g").agg(*partial)
+        tails = [c for c in per_group.columns if c not in ("_bucket", "_g", *heads)]
+        edges = per_group.groupBy("_bucket").agg(
+            F.min("_g").alias("first_g"),
+            F.max("_g").alias("last_g"),
+            *[F.max_by(c, "_g").alias(c) for c in tails],
+            *[F.min_by(c, "_g").alias(c) for c in heads],
+        )
+    else:
+        edges = base.groupBy("_bucket").agg(F.lit(0).alias("first_g"), F.lit(0).alias("last_g"), *partial)
 
     same_tail = Window.partitionBy("last_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     chain = Window.partitionBy(F.lit(0)).orderBy("_bucket")  # at most `buckets` rows
-    edges = edges.withColumn("_joins_back", F.lag("last_g").over(chain) == F.col("first_g"))
-    edges = edges.withColumn("_joins_on", F.lead("first_g").over(chain) == F.col("last_g"))
-    carry: list[Column] = [F.col("_bucket").alias("_eb"), "first_g", "last_g"]
-
-    def brought(total: Column, name: str) -> Column:
-        return F.when(F.col("_joins_back"), F.lag(total).over(chain)).alias(name)
+    closing = {"_n": F.sum("_n").over(same_tail)}
+    closing.update({f"_s{i}": F.sum(f"_s{i}").over(same_tail) for i in range(len(sums))})
+    closing.update({f"_m{i}": F.max(f"_m{i}").over(same_tail) for i in range(len(maxes))})
+    edges = edges.withColumns(closing)
+    from_back = lambda c: F.when(F.lag("last_g").over(chain) == F.col("first_g"), F.lag(c).over(chain)).alias(f"_c{c}")
+    from_ahead = lambda c: F.when(F.lead("first_g").over(chain) == F.col("last_g"), F.lead(c).over(chain)).alias(f"_c{c}")
+    backward = [*closing, *[f"_p{i}" for i in range(len(backs))]]
+    offsets = edges.select(
+        F.col("_bucket").alias("_eb"), "first_g", "last_g", *[from_back(c) for c in backward], *[from_ahead(c) for c in heads]
+    )
 
+    w = Window.partitionBy("_bucket", "_g").orderBy(*order)
+    upto, before = (w.rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
+    local: dict[str, Column] = {}
     if ordinal:
-        edges = edges.withColumn("_cn", F.sum("_n").over(same_tail))
-        carry.append(brought(F.col("_cn"), "_cn"))
-    for i in range(len(sums)):
-        edges = edges.withColumn(f"_cs{i}", F.sum(f"_s{i}").over(same_tail))
-        carry.append(brought(F.col(f"_cs{i}"), f"_cs{i}"))
-    for i in range(len(maxes)):
-        edges = edges.withColumn(f"_cm{i}", F.max(f"_m{i}").over(same_tail))
-        carry.append(brought(F.col(f"_cm{i}"), f"_cm{i}"))
-    for i in range(len(backs)):
-        carry.append(brought(F.col(f"_p{i}"), f"_cp{i}"))
-    for i in range(len(aheads)):
-        carry.append(F.when(F.col("_joins_on"), F.lead(f"_f{i}").over(chain)).alias(f"_cf{i}"))
-    offsets = F.broadcast(edges.select(*carry))
-
-    joined = rows.join(offsets, F.col("_bucket") == F.col("_eb"), "left")
+        local["_n"] = F.row_number().over(w).cast("bigint")
+    local.update({f"_s{i}": F.sum(c).over(upto) for i, c in enumerate(sums.values())})
+    local.update({f"_m{i}": F.max(c).over(before) for i, c in enumerate(maxes.values())})
+    local.update({f"_p{i}": F.lag(boxed(c)).over(w) for i, c in enumerate(backs.values())})
+    local.update({f"_f{i}": F.lead(boxed(c)).over(w) for i, c in enumerate(aheads.values())})
+    rows = (base if bucketed else base.repartition("_bucket")).withColumns(local)
+
+    joined = rows.join(F.broadcast(offsets), F.col("_bucket") == F.col("_eb"), "left")
     head, tail = F.col("_g") == F.col("first_g"), F.col("_g") == F.col("last_g")
+    brought = lambda c: F.when(head, F.col(f"_c{c}"))
     out: dict[str, Column] = {}
     if ordinal:
-        out[ordinal] = F.col("_n") - 1 + F.when(head, F.coalesce("_cn", F.lit(0))).otherwise(F.lit(0))
+        out[ordinal] = F.col("_n") - 1 + F.coalesce(brought("_n"), F.lit(0))
     for i, name in enumerate(sums):
-        out[name] = F.col(f"_s{i}") + F.when(head, F.coalesce(F.col(f"_cs{i}"), F.lit(0))).otherwise(F.lit(0))
+        out[name] = F.col(f"_s{i}") + F.coalesce(brought(f"_s{i}"), F.lit(0))
     for i, name in enumerate(maxes):
-        out[name] = F.greatest(F.col(f"_x{i}"), F.when(head, F.col(f"_cm{i}")))
+        out[name] = F.greatest(F.col(f"_m{i}"), brought(f"_m{i}"))
     for i, name in enumerate(backs):
-        out[name] = F.coalesce(F.col(f"_p{i}"), F.when(head, F.col(f"_cp{i}")))["v"]
+        out[name] = F.coalesce(F.col(f"_p{i}"), brought(f"_p{i}"))["v"]
     for i, name in enumerate(aheads):
-        out[name] = F.coalesce(F.col(f"_f{i}"), F.when(tail, F.col(f"_cf{i}")))["v"]
-    return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])
+        out[name] = F.coalesce(F.col(f"_f{i}"), F.when(tail, F.col(f"_c_f{i}")))["v"]
+    return joined.select(*columns, *[c.alias(name) for name, c in out.items()])
 
 
-def prefix_totals(df: DataFrame, order: Sequence[str], n: Column, values: Sequence[str], buckets: int | None = None) -> DataFrame:
-    """Count and sums of the first ``n`` rows in ``order`` without ordering the table.
+def prefix_totals(df: DataFrame, order: Sequence[str], n: int, values: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Count and sums of the first ``n`` rows in ``order``, and of all rows, without ordering the table.
 
-    Buckets wholly inside the prefix contribute their totals; only the bucket that the
-    cut falls into is shuffled and sorted.  ``n`` is a one-value column (a literal or a
-    scalar subquery).  Returns one row: ``prefix_n`` and ``prefix_<value>``.
+    Buckets wholly inside the prefix contribute their totals; only the bucket that the cut falls
+    into is shuffled and sorted.  The bucket totals (at most ``MAX_BUCKETS`` rows) are read on the
+    driver.  Returns one row: ``prefix_n``, ``prefix_<value>``, ``total_n``, ``total_<value>``.
     """
-    rows = with_bucket(df.select(*order, *[v for v in values if v not in order]), order, buckets)
-    totals = rows.groupBy("_bucket").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_t_{v}") for v in values]
-    )
-    chain = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    totals = totals.withColumn("_before", F.sum("_n").over(chain) - F.col("_n")).withColumn("_limit", n)
-    whole = totals.filter(F.col("_before") + F.col("_n") <= F.col("_limit")).select(
-        F.col("_n").alias("prefix_n"), *[F.col(f"_t_{v}").alias(f"prefix_{v}") for v in values]
+    buckets = min(MAX_BUCKETS, buckets or default_buckets(df))
+    cuts = fixed_cuts(df, order, buckets)
+    rows = with_bucket(df.select(*order, *[v for v in values if v not in order]), order, buckets, cuts=cuts)
+    sums = [F.coalesce(F.sum(v), F.lit(0.0)).alias(f"_t{i}") for i, v in enumerate(values)]
+    totals = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), *sums).collect()
+    before, whole, cut = 0, [0.0] * len(values), None
+    for row in sorted(totals, key=lambda r: r["_bucket"]):
+        if before + row["_n"] > n:
+            cut = row["_bucket"]
+            break
+        before += row["_n"]
+        whole = [w + row[f"_t{i}"] for i, w in enumerate(whole)]
+    take = n - before if cut is not None else 0
+    # the rows of that bucket, as a key range: simpler to filter by than the search itself
+    key, inside = F.struct(*order), F.lit(cut is not None)
+    if cut is not None and len(totals) > 1:
+        inside = F.coalesce(key >= F.get(cuts, F.lit(cut - 1)), F.lit(True)) & F.coalesce(key < F.get(cuts, F.lit(cut)), F.lit(True))
+    rn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+    part = df.select(*order, *[v for v in values if v not in order]).filter(inside).withColumn("_rn", rn)
+    part = part.filter(F.col("_rn") <= take).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    return part.select(
+        (F.col("_n") + before).alias("prefix_n"),
+        *[(F.col(f"_t{i}") + whole[i]).alias(f"prefix_{v}") for i, v in enumerate(values)],
+        F.lit(sum(r["_n"] for r in totals)).cast("bigint").alias("total_n"),
+        *[F.lit(float(sum(r[f"_t{i}"] for r in totals))).alias(f"total_{v}") for i, v in enumerate(values)],
     )
-    cut = totals.filter((F.col("_before") < F.col("_limit")) & (F.col("_before") + F.col("_n") > F.col("_limit")))
-    cut = F.broadcast(cut.select(F.col("_bucket").alias("_cut"), (F.col("_limit") - F.col("_before")).alias("_take")))
-    inside = rows.join(cut, F.col("_bucket") == F.col("_cut"))
-    rn = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    part = (
-        inside.withColumn("_rn", rn)
-        .filter(F.col("_rn") <= F.col("_take"))
-        .select(F.lit(1).cast("bigint").alias("prefix_n"), *[F.col(v).alias(f"prefix_{v}") for v in values])
-    )
-    both = whole.unionByName(part)
-    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 def exact_rank_value(df: DataFrame, keys: Sequence[str], value: str, upper: bool, name: str) -> DataFrame:
-    """Exact median per key from a histogram, for integer-like values of any group size.
+    """Exact median per key of an integer column, for groups of any size.
 
-    ``upper=True`` takes element ``n div 2`` of the sorted list (the upper middle);
-    otherwise the two middle elements are averaged and truncated towards zero.
-    The histogram is pre-aggregated map-side, so a hot key costs one row per distinct value.
+    ``upper=True`` takes element ``n div 2`` of the sorted list (the upper middle); otherwise the
+    two middle elements are averaged and truncated towards zero.  Rows are first counted per
+    (key, value) map-side.  The window then holds one row per distinct value of a key: pixel
+    counts and frame numbers are bounded by the image and by the episode, not by the row count.
     """
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    total = hist.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    run = ordered_scan(hist, [value], keys, running_sum={"_upto": "_c"})
-    run = run.join(total, list(keys)) if keys else run.withColumn("_n", total.select("_n").scalar())
-    lo = F.floor(F.col("_n") / 2) if upper else F.floor((F.col("_n") - 1) / 2)
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    upto = part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    run = hist.withColumns({"_upto": F.sum("_c").over(upto), "_n": F.sum("_c").over(part)})
     hi = F.floor(F.col("_n") / 2)
-    covers = lambda i: (F.col("_upto") > i) & (F.col("_upto") - F.col("_c") <= i)
-    picked = run.groupBy(*keys).agg(
-        F.max(F.when(covers(lo), F.col(value))).alias("_lo"), F.max(F.when(covers(hi), F.col(value))).alias("_hi")
-    )
+    lo = hi if upper else F.floor((F.col("_n") - 1) / 2)
+    at = lambda i: F.max(F.when((F.col("_upto") > i) & (F.col("_upto") - F.col("_c") <= i), F.col(value)))
+    picked = run.groupBy(*keys).agg(at(lo).alias("_lo"), at(hi).alias("_hi"))
     middle = F.col("_hi") if upper else ((F.col("_lo") + F.col("_hi")) / 2).cast("bigint")
     return picked.select(*keys, middle.alias(name))
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,9 +26,12 @@ def value_runs(df: DataFrame, part: Sequence[str], order: str, value: str) -> Da
     Gaps and islands without a per-part window: the run number is a running sum over buckets
     of the sort key, so one very long part is spread over tasks.
     """
-    marked = ordered_scan(df.select(*part, order, value), [order], part, ordinal="_pos", previous={"_prev": value})
+    marked = ordered_scan(
+        df.select(*part, order, value), [order], part, ordinal="_pos", previous={"_prev": value}, keep_bucket=True
+    )
     first = (F.col("_pos") == 0) | ~F.col(value).eqNullSafe(F.col("_prev"))
-    numbered = ordered_scan(marked.withColumn("_new", first.cast("bigint")), [order], part, running_sum={"_run": "_new"})
+    marked = marked.withColumn("_new", first.cast("bigint"))
+    numbered = ordered_scan(marked, [order], part, running_sum={"_run": "_new"}, bucketed=True)
     return numbered.groupBy(*part, "_run", value).agg(F.min("_pos").alias("start"), F.count(F.lit(1)).alias("length")).drop("_run")
 
 
@@ -91,43 +92,45 @@ def manipulation_window(steps: DataFrame, keys: Sequence[str] = ("card",), g: st
     return w.select(*keys, lo.cast("bigint").alias("win_lo"), hi.cast("bigint").alias("win_hi"))
 
 
-def _spaced(g: np.ndarray, window: int, k: int) -> list[int]:
-    """Greedy pick in the given order at three gaps, widest first, until ``k`` are found."""
-    chosen: list[int] = []
-    for gap in (max(1, window // (k + 1)), max(1, window // (2 * k)), 1):
-        chosen = []
-        for step in g:
-            if all(abs(int(step) - c) >= gap for c in chosen):
-                chosen.append(int(step))
-            if len(chosen) == k:
-                return sorted(chosen)
-    return sorted(chosen)
+def _spaced(ranked: Column, gap: Column, k: int) -> Column:
+    """Walk the ranked steps and keep each one that lies at least ``gap`` from all kept before, up to ``k``."""
+
+    def step(kept: Column, g: Column) -> Column:
+        fits = (F.size(kept) < k) & F.forall(kept, lambda c: F.abs(c - g) >= gap)
+        return F.when(fits, F.concat(kept, F.array(g))).otherwise(kept)
+
+    return F.aggregate(ranked, F.array().cast("array<bigint>"), step)
 
 
 def greedy_spaced_topk(scored: DataFrame, card: str = "card", k: int = PICKS) -> DataFrame:
     """Top ``k`` alive steps inside the window with a minimum gap that relaxes over three levels.
 
-    Input rows lie on the sampling grid (:func:`on_grid`), so a card has fewer than 480 of them.
-    Each pick depends on the ones before it; the sequential part is one small function per card.
+    Input rows lie on the sampling grid (:func:`on_grid`), so a card has fewer than 480 of them:
+    its ranked steps form one short array, and the dependent picks are a fold over it.
+    Blank steps rank equally, below all others; ties go to the earlier step.
     """
     inside = (F.col("g") >= F.col("win_lo")) & (F.col("g") <= F.col("win_hi")) & F.col("alive")
-    rows = scored.filter(inside).select(
-        card, "t", "g", (F.col("win_hi") - F.col("win_lo") + 1).alias("win"), "blank", "close_vis", "n_vis", "px_score"
+    live = ~F.col("blank")
+    rank = F.struct(
+        F.col("blank").alias("b"),
+        F.when(live, ~F.col("close_vis")).alias("c"),
+        F.when(live, -F.col("n_vis")).alias("v"),
+        F.when(live, -F.col("px_score")).alias("p"),
+        F.col("g").alias("g"),
+        F.col("t").alias("t"),
+    )
+    per_card = scored.filter(inside).groupBy(card).agg(
+        F.array_sort(F.collect_list(rank)).alias("_r"), F.max(F.col("win_hi") - F.col("win_lo") + 1).alias("_win")
     )
-    kind = dict(rows.dtypes)[card]
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        best_first = pdf.sort_values(
-            ["blank", "close_vis", "n_vis", "px_score", "g"], ascending=[True, False, False, False, True]
-        )
-        # blank steps all rank equally low
-        live, dead = best_first[~best_first.blank], best_first[best_first.blank].sort_values("g")
-        order = np.concatenate([live.g.to_numpy(), dead.g.to_numpy()])
-        picks = _spaced(order, int(pdf.win.iloc[0]), k)
-        out = pdf[pdf.g.isin(picks)].sort_values("g")[[card, "t", "g"]]
-        return out.assign(pick=range(len(out)))
-
-    return rows.groupBy(card).applyInPandas(pick, f"{card} {kind}, t bigint, g bigint, pick bigint")
+    steps = F.transform("_r", lambda r: r["g"])
+    gaps = [F.floor(F.col("_win") / (k + 1)), F.floor(F.col("_win") / (2 * k)), F.lit(1)]
+    levels = [_spaced(steps, F.greatest(F.lit(1), g), k) for g in gaps]
+    per_card = per_card.withColumns({f"_l{i}": level for i, level in enumerate(levels)})
+    full = lambda i: F.size(f"_l{i}") == k
+    chosen = F.when(full(0), F.col("_l0")).when(full(1), F.col("_l1")).otherwise(F.col("_l2"))
+    t_of = F.map_from_entries(F.transform("_r", lambda r: F.struct(r["g"], r["t"])))
+    rows = per_card.select(card, t_of.alias("_t"), F.posexplode(F.array_sort(chosen)).alias("pick", "g"))
+    return rows.select(card, F.element_at("_t", F.col("g")).alias("t"), "g", F.col("pick").cast("bigint").alias("pick"))
 
 
 def round_robin(df: DataFrame, group: str, key: Sequence[str], n: int, seed: int = 0, portable: bool = False, covered: DataFrame | None = None) -> DataFrame:
