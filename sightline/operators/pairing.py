@@ -1,4 +1,8 @@
-"""Joins of views, masks, metadata and time."""
+"""Joins of views, masks, metadata and time.
+
+No side is broadcast by hint: Spark does that by measured size, and splits skewed
+partitions of the shuffle joins otherwise (adaptive execution).
+"""
 
 from __future__ import annotations
 
@@ -10,16 +14,6 @@ from pyspark.sql import functions as F
 
 from sightline.functions.columns import align_frame, map_state, parse_raw_path
 
-BROADCAST_ROWS = 2_000_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting that it stays below ``limit`` rows.
-
-    The count stops at ``limit + 1`` rows; a larger side is left to Spark's shuffle join.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
 
 def attach_masks(episodes: DataFrame, mask_map: DataFrame, key: str = "video_id", value: str = "npz") -> DataFrame:
     """Episode rows with ``map_present`` and ``map_state``; every episode row is kept."""

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sightline import schemas
 
@@ -134,14 +135,14 @@ def parse_metric_shards(text: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     rows = F.from_json("value", "array<struct<ious:array<double>,dices:array<double>>>")
     out = text.select("shard", *keep, F.posexplode(rows).alias("pair_idx", "r"))
     out = out.select("shard", *keep, F.col("pair_idx").cast("bigint").alias("pair_idx"), "r.ious", "r.dices")
-    return out.join(F.broadcast(shard_ordinals(text)), "shard")
+    return out.join(shard_ordinals(text), "shard")
 
 
 def shard_ordinals(df: DataFrame) -> DataFrame:
-    """(shard, shard_no) by text order; one row per file, bounded by the number of files."""
-    from sightline.operators.ordered import ordered_scan
-
-    return ordered_scan(df.select("shard").distinct(), ["shard"], ordinal="shard_no", buckets=1)
+    """(shard, shard_no) by text order; the window holds one row per file."""
+    names = df.select("shard").distinct()
+    position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("shard")) - 1
+    return names.withColumn("shard_no", position.cast("bigint"))
 
 
 def parse_plan(lines: DataFrame, value: str = "value") -> DataFrame:

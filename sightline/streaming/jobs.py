@@ -33,22 +33,19 @@ def monitor_jobs(events: DataFrame, job: str = "subject", order: Sequence[str] =
 
 
 def start_monitor(
-    lines: DataFrame, snapshot_path: str, history_path: str, checkpoint: str, job: str = "subject", order: Sequence[str] = ("ts",), value: str = "value"
+    lines: DataFrame, history_path: str, checkpoint: str, job: str = "subject", order: Sequence[str] = ("ts",), value: str = "value"
 ) -> StreamingQuery:
-    """Append every batch of updated job rows to the history and, keyed by batch, to the snapshot log.
+    """Append the job rows that each batch updated to the history; :func:`current_snapshot` reads the latest.
 
-    A replayed batch rewrites its own folder, so both tables stay exact after a restart.
+    Each batch writes a folder of its own, so a replayed batch replaces its rows instead of repeating them.
     """
     state = monitor_jobs(parse_job_log(lines, value), job, order)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("batch_id", F.lit(batch_id))
-        rows.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id:012d}")
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
 
-    del snapshot_path  # the snapshot is a view over the history, see `current_snapshot`
-    return (
-        state.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    writer = state.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
 
 def current_snapshot(history: DataFrame, job: str = "subject") -> DataFrame:
