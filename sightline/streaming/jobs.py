@@ -74,12 +74,14 @@ def ingest_samples(
         return done.filter(F.col("batch") != batch_id)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates(list(keys))
         before = existing(batch_id)
         if before is not None:
-            rows = rows.join(before.select(*keys), list(keys), "left_anti")
-        rows.filter(F.expr(valid)).write.mode("overwrite").parquet(f"{done_path}/batch={batch_id}")
-        rows.filter(~F.coalesce(F.expr(valid), F.lit(False))).write.mode("overwrite").parquet(f"{failed_path}/batch={batch_id}")
+            batch = batch.join(before.select(*keys), list(keys), "left_anti")
+        ok = F.coalesce(F.expr(valid), F.lit(False))
+        done = batch.filter(ok).dropDuplicates(list(keys))
+        failed = batch.filter(~ok).dropDuplicates(list(keys)).join(done.select(*keys), list(keys), "left_anti")
+        done.write.mode("overwrite").parquet(f"{done_path}/batch={batch_id}")
+        failed.write.mode("overwrite").parquet(f"{failed_path}/batch={batch_id}")
 
     return source.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
