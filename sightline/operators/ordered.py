@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from sightline.session import cut_lineage
 
 SAMPLE_PER_BUCKET = 32
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16_384
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -76,6 +76,7 @@ def ordered_scan(
     max_before: Mapping[str, str] | None = None,
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
+    first_of: Mapping[str, str] | None = None,
     buckets: int | None = None,
     bucketed: bool = False,
     keep_bucket: bool = False,
@@ -84,14 +85,15 @@ def ordered_scan(
 
     ``ordinal`` names a zero-based position.  ``running_sum`` maps a new column to its input
     and includes the current row; ``max_before`` takes the rows before it only.
-    ``previous`` / ``following`` map a new column to the input read one row back / ahead.
+    ``previous`` / ``following`` map a new column to the input read one row back / ahead,
+    ``first_of`` to the input in the first row of the group.
 
     The rows shuffle and sort once, on the bucket.  What a bucket needs from its neighbours is
     pre-aggregated map-side from the unsorted rows.  ``keep_bucket`` / ``bucketed`` chain two
     scans over the same keys with one shuffle.
     """
     sums, maxes = dict(running_sum or {}), dict(max_before or {})
-    backs, aheads = dict(previous or {}), dict(following or {})
+    backs, aheads, firsts = dict(previous or {}), dict(following or {}), dict(first_of or {})
     keys = [*group, *order]
     base = df if bucketed else with_bucket(df, keys, buckets)
     columns = [c for c in base.columns if keep_bucket or c != "_bucket"]
@@ -105,6 +107,7 @@ def ordered_scan(
     partial += [F.max(c).alias(f"_m{i}") for i, c in enumerate(maxes.values())]
     partial += [F.max_by(boxed(c), at).alias(f"_p{i}") for i, c in enumerate(backs.values())]
     partial += [F.min_by(boxed(c), at).alias(f"_f{i}") for i, c in enumerate(aheads.values())]
+    partial += [F.min_by(boxed(c), at).alias(f"_h{i}") for i, c in enumerate(firsts.values())]
     heads = [f"_f{i}" for i in range(len(aheads))]
     if group:
         per_group = base.groupBy("_bucket", "_g").agg(*partial)
@@ -123,6 +126,7 @@ def ordered_scan(
     closing = {"_n": F.sum("_n").over(same_tail)}
     closing.update({f"_s{i}": F.sum(f"_s{i}").over(same_tail) for i in range(len(sums))})
     closing.update({f"_m{i}": F.max(f"_m{i}").over(same_tail) for i in range(len(maxes))})
+    closing.update({f"_h{i}": F.first(f"_h{i}").over(same_tail) for i in range(len(firsts))})
     edges = edges.withColumns(closing)
     from_back = lambda c: F.when(F.lag("last_g").over(chain) == F.col("first_g"), F.lag(c).over(chain)).alias(f"_c{c}")
     from_ahead = lambda c: F.when(F.lead("first_g").over(chain) == F.col("last_g"), F.lead(c).over(chain)).alias(f"_c{c}")
@@ -140,6 +144,7 @@ def ordered_scan(
     local.update({f"_m{i}": F.max(c).over(before) for i, c in enumerate(maxes.values())})
     local.update({f"_p{i}": F.lag(boxed(c)).over(w) for i, c in enumerate(backs.values())})
     local.update({f"_f{i}": F.lead(boxed(c)).over(w) for i, c in enumerate(aheads.values())})
+    local.update({f"_h{i}": F.first(boxed(c)).over(upto) for i, c in enumerate(firsts.values())})
     rows = (base if bucketed else base.repartition("_bucket")).withColumns(local)
 
     joined = rows.join(F.broadcast(offsets), F.col("_bucket") == F.col("_eb"), "left")
@@ -156,6 +161,8 @@ def ordered_scan(
         out[name] = F.coalesce(F.col(f"_p{i}"), brought(f"_p{i}"))["v"]
     for i, name in enumerate(aheads):
         out[name] = F.coalesce(F.col(f"_f{i}"), F.when(tail, F.col(f"_c_f{i}")))["v"]
+    for i, name in enumerate(firsts):
+        out[name] = F.coalesce(brought(f"_h{i}"), F.col(f"_h{i}"))["v"]
     return joined.select(*columns, *[c.alias(name) for name, c in out.items()])
 
 
@@ -214,5 +221,10 @@ def exact_rank_value(df: DataFrame, keys: Sequence[str], value: str, upper: bool
     return picked.select(*keys, middle.alias(name))
 
 
+def bounded_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """Broadcast ``df`` if a count that stops at ``limit + 1`` rows shows it is small; else leave the choice to Spark."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -241,14 +241,20 @@ def pick_ego(view_meta: DataFrame, card: str = "card", prefs: Sequence[str] = EG
 def card_views(view_meta: DataFrame, card: str = "card", min_vis: float = LIVE_SHARE, require_ego: bool = False) -> DataFrame:
     """(card, ego, exos) of usable cards: two exos, or one exo and an ego.
 
-    ``require_ego`` is the stricter rule of the review package.
+    ``require_ego`` is the stricter rule of the review package.  The same choices as
+    :func:`best_exos` and :func:`pick_ego`, in one aggregation: a card has one row per camera.
     """
-    exos = best_exos(view_meta, card, 2, min_vis).groupBy(card).agg(
-        F.array_sort(F.collect_list(F.struct("exo_rank", "view"))).alias("_e")
+    live = F.col("visible_frac") >= min_vis
+    exo = live & F.col("view").startswith("exo") & (F.coalesce("median_px", F.lit(0)) > 0)
+    order = F.array_position(F.array(*[F.lit(p) for p in EGO_VIEWS]), F.col("view"))
+    ego = live & F.col("view").isin(*EGO_VIEWS)
+    rank = F.struct((-F.col("median_px")).alias("p"), (-F.col("visible_frac")).alias("f"), F.col("view").alias("view"))
+    rows = view_meta.filter(exo | ego).groupBy(card).agg(
+        F.min_by(F.when(ego, F.col("view")), F.when(ego, order)).alias("ego"),
+        F.slice(F.array_sort(F.collect_list(F.when(exo, rank))), 1, 2).alias("_e"),
     )
-    rows = exos.join(pick_ego(view_meta, card, min_vis=min_vis), card, "left")
-    usable = F.col("ego").isNotNull() | ((F.size("_e") >= 2) & F.lit(not require_ego))
-    return rows.filter(usable).select(card, "ego", F.transform("_e", lambda s: s["view"]).alias("exos"))
+    enough = (F.size("_e") >= 1) & (F.col("ego").isNotNull() | ((F.size("_e") >= 2) & F.lit(not require_ego)))
+    return rows.filter(enough).select(card, "ego", F.transform("_e", lambda s: s["view"]).alias("exos"))
 
 
 def card_relations(views: DataFrame, card: str = "card") -> DataFrame:

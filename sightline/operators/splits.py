@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sightline.functions.stable import seeded, seeded_int
-from sightline.operators.ordered import ordered_scan
+from sightline.operators.ordered import bounded_broadcast, ordered_scan
 
 
 def joint_union(a: DataFrame, b: DataFrame, names: tuple[str, str], column: str = "direction") -> DataFrame:
@@ -32,7 +32,7 @@ def balance(joint: DataFrame, keys: Sequence[str], seed: int = 0, column: str =
     counts = joint.groupBy(column).agg(F.count(F.lit(1)).alias("_size"))
     counts = counts.withColumn("_n", F.max("_size").over(Window.partitionBy(F.lit(0))))
     rows = joint.withColumn("_o", seeded(*keys, seed=seed, portable=portable))
-    rows = ordered_scan(rows, ["_o", *keys], [column], ordinal="_pos").join(F.broadcast(counts), column)
+    rows = ordered_scan(rows, ["_o", *keys], [column], ordinal="_pos").join(bounded_broadcast(counts), column)
     times = F.floor(F.col("_n") / F.col("_size")) + (F.col("_pos") < F.col("_n") % F.col("_size")).cast("bigint")
     return rows.select(*joint.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), times)).alias("copy"))
 
@@ -81,12 +81,9 @@ def mismatch_partner(df: DataFrame, obj: str, frame: str, seed: int = 0, portabl
     the first: never itself, every frame used once, and no frame is compared with all others.
     """
     rows = df.select(obj, frame).distinct().withColumn("_o", seeded(obj, frame, seed=seed, portable=portable))
-    scan = ordered_scan(rows, ["_o", frame], [obj], following={"_next": frame}, ordinal="_pos")
-    first = scan.filter(F.col("_pos") == 0).select(obj, F.col(frame).alias("_first"))
-    inner = scan.filter(F.col("_next").isNotNull()).select(obj, frame, F.col("_next").alias("partner"))
-    last = scan.filter(F.col("_next").isNull()).join(first, obj)  # one row per object on both sides
-    wrap = F.when(F.col("_first") != F.col(frame), F.col("_first")).alias("partner")
-    return inner.unionByName(last.select(obj, frame, wrap))
+    scan = ordered_scan(rows, ["_o", frame], [obj], following={"_next": frame}, first_of={"_first": frame})
+    other = F.coalesce("_next", F.when(F.col("_first") != F.col(frame), F.col("_first")))
+    return scan.select(obj, frame, other.alias("partner"))
 
 
 def smoke_subset(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:

@@ -313,8 +313,7 @@ def _enriched(spark, d):
     )
     rawmap = cust.filter(F.col("c_custkey") % 7 != 0).select(F.col("c_custkey").alias("base"), path.alias("raw_path"))
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    # nation and region have 25 and 5 rows by definition
-    places = F.broadcast(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey))
+    places = n.join(r, n.n_regionkey == r.r_regionkey)
     meta = cust.filter(F.col("c_custkey") % 10 != 0).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     meta = meta.select(
         F.col("c_custkey").alias("base"), F.concat(F.lit("meta"), s("r_regionkey")).alias("lab"), F.col("n_name").alias("scene_id"),

@@ -24,6 +24,8 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions:
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # small local data: keep all cores busy instead of merging partitions below 1 MB
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)

@@ -29,13 +29,15 @@ def test_scan_matches_pandas(spark, buckets, partitions):
     pdf = frame()
     df = spark.createDataFrame(pdf).repartition(partitions)
     got = ordered_scan(
-        df, ["k"], ["g"], ordinal="o", running_sum={"s": "v"}, max_before={"m": "v"}, previous={"p": "v"}, following={"f": "k"}, buckets=buckets
+        df, ["k"], ["g"], ordinal="o", running_sum={"s": "v"}, max_before={"m": "v"}, previous={"p": "v"}, following={"f": "k"},
+        first_of={"h": "v"}, buckets=buckets
     ).toPandas()
     want = pdf.sort_values(["g", "k"]).reset_index(drop=True)
     by = want.groupby("g")
     want["o"], want["s"] = by.cumcount(), by.v.cumsum()
     want["m"] = by.v.transform(lambda x: x.cummax().shift())
     want["p"], want["f"] = by.v.shift(), by.k.shift(-1)
+    want["h"] = by.v.transform("first")
     got = got.sort_values(["g", "k"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(got[want.columns].astype("float64"), want.astype("float64"))
 
