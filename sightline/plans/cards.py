@@ -167,7 +167,16 @@ def manipulation_window(spark, d):
     return L.manipulation_window(_steps(spark, d))
 
 
-@register("greedy_spaced_topk", "F02")
+_FOLD = """list_reduce(r, lambda acc, x: CASE WHEN len(acc) < 8 AND len([c FOR c IN acc IF abs(c - x[1]) < {gap}]) = 0 THEN list_concat(acc, x) ELSE acc END)"""
+_GREEDY_SQL = f"""{_STEP_SQL},
+lst AS (SELECT s.card, any_value(w.win_hi - w.win_lo + 1) AS win,
+          list([s.t] ORDER BY blank, CASE WHEN blank THEN 0 WHEN close_vis THEN 0 ELSE 1 END, CASE WHEN blank THEN 0 ELSE -n_vis END, CASE WHEN blank THEN 0 ELSE -px_score END, s.t) AS r
+        FROM steps s JOIN wnd w ON w.card = s.card WHERE s.t BETWEEN w.win_lo AND w.win_hi AND alive GROUP BY 1),
+lv AS (SELECT card, {_FOLD.format(gap="greatest(1, win // 9)")} AS a, {_FOLD.format(gap="greatest(1, win // 16)")} AS b, {_FOLD.format(gap="1")} AS c FROM lst),
+ch AS (SELECT card, list_sort(CASE WHEN len(a) = 8 THEN a WHEN len(b) = 8 THEN b ELSE c END) AS p FROM lv)"""
+
+
+@register("greedy_spaced_topk", "F02", f"WITH {_GREEDY_SQL} SELECT card, p[i + 1] AS t, p[i + 1] AS g, i AS pick FROM ch, unnest(range(len(p))) u(i)")
 def greedy_spaced_topk(spark, d):
     steps = _steps(spark, d)
     return L.greedy_spaced_topk(steps.join(L.manipulation_window(steps), "card"))
