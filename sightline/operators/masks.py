@@ -137,23 +137,17 @@ def mask_minus(pairs: DataFrame, runs_a: DataFrame, runs_b: DataFrame, key: str
     return merge_touching(seg, [key])
 
 
-def mask_overlap(
-    pairs: DataFrame,
-    runs_a: DataFrame,
-    headers_a: DataFrame,
-    runs_b: DataFrame | None = None,
-    headers_b: DataFrame | None = None,
-    key: str = "pair_id",
-) -> DataFrame:
-    """Intersection and union pixel counts; pairs without common pixels are kept with 0."""
-    runs_b = runs_a if runs_b is None else runs_b
-    headers_b = headers_a if headers_b is None else headers_b
-    both = F.when((F.col("in_a") > 0) & (F.col("in_b") > 0), F.col("e") - F.col("s")).otherwise(F.lit(0))
-    inter = pair_segments(pairs, runs_a, runs_b, key).groupBy(key).agg(F.sum(both).cast("bigint").alias("inter"))
-    sized = pairs.join(headers_a.select(F.col("mask_id").alias("a_id"), F.col("area").alias("area_a")), "a_id").join(
-        headers_b.select(F.col("mask_id").alias("b_id"), F.col("area").alias("area_b")), "b_id"
-    )
-    out = sized.join(inter, key, "left").withColumn("inter", F.coalesce("inter", F.lit(0).cast("bigint")))
+def mask_overlap(pairs: DataFrame, runs_a: DataFrame, runs_b: DataFrame | None = None, key: str = "pair_id") -> DataFrame:
+    """Areas, intersection and union pixel counts; pairs without common or any pixels are kept with 0.
+
+    One sweep gives all four counts, so the headers are not joined again.
+    """
+    size, zero = F.col("e") - F.col("s"), F.lit(0).cast("bigint")
+    count = lambda c: F.sum(F.when(c, size))
+    a, b = F.col("in_a") > 0, F.col("in_b") > 0
+    swept = pair_segments(pairs, runs_a, runs_a if runs_b is None else runs_b, key)
+    counts = swept.groupBy(key).agg(count(a).alias("area_a"), count(b).alias("area_b"), count(a & b).alias("inter"))
+    out = pairs.join(counts, key, "left").withColumns({c: F.coalesce(c, zero) for c in ("area_a", "area_b", "inter")})
     return out.withColumn("union", F.col("area_a") + F.col("area_b") - F.col("inter"))
 
 

@@ -14,7 +14,7 @@ _INTERVALS = """SELECT {k}, min(pos) AS s, max(pos) + 1 AS e FROM (SELECT {k}, p
 
 def _overlap(spark, d):
     headers, runs = mask_tables(spark, d)
-    return M.mask_overlap(mask_pairs(headers), runs, headers)
+    return M.mask_overlap(mask_pairs(headers), runs)
 
 
 @register("masks_from_bits", "H01", f"WITH {MASK_SQL} SELECT * FROM runs")

@@ -9,7 +9,9 @@ from sightline.operators.metrics import explode_pairs
 from sightline.plans.registry import big, r6, register
 from sightline.plans.tables import LOG_SQL, TAKES_SQL, log_lines, table, takes
 from sightline.session import work_folder
+from sightline import schemas
 from sightline.sources import scans as N
+from sightline.sources import sinks as K
 from sightline.streaming import jobs as J
 
 # --- scans of the driver files ----------------------------------------------------------------------
@@ -109,6 +111,95 @@ def parse_relations(spark, d):
     return rows.select("pair_id", "object_key", "prompt_image", "target_image", "prompt_area", "target_area", "text")
 
 
+@register(
+    "project_features",
+    "A02",
+    """SELECT doc_id AS total_episodes, n_chars AS total_frames, f AS feature, CASE f WHEN 'image' THEN 'video' WHEN 'mask' THEN 'bool' END AS dtype, CASE f WHEN 'image' THEN n_chars % 100 END AS width
+      FROM documents, (VALUES ('image'), ('mask'), ('absent')) w(f)""",
+)
+def project_features(spark, d):
+    n = F.col("n_chars")
+    image = F.struct(F.lit("video").alias("dtype"), F.array((n % 100).cast("int")).alias("shape"))
+    mask = F.struct(F.lit("bool").alias("dtype"), F.lit(None).cast("array<int>").alias("shape"))
+    features = F.create_map(F.lit("image"), image, F.lit("mask"), mask, F.lit("other"), mask)
+    text = F.to_json(F.struct(F.col("doc_id").alias("total_episodes"), n.alias("total_frames"), F.lit(10).alias("fps"), features.alias("features")))
+    info = table(spark, d, "documents").select(F.from_json(text, schemas.DATASET_INFO).alias("i")).select("i.*")
+    rows = N.project_features(info, ["image", "mask", "absent"])
+    return rows.select("total_episodes", "total_frames", "feature", "dtype", F.get("shape", F.lit(0)).alias("width"))
+
+
+@register(
+    "parse_view_meta",
+    "A05",
+    """SELECT CAST(user_id AS VARCHAR) AS demo, event_type AS view, count(*) AS n_frames, count(*) // 2 AS n_frames_min, 'obj' || user_id % 7 AS target, round(avg(value), 6) AS visible_frac FROM events GROUP BY user_id, event_type""",
+)
+def parse_view_meta(spark, d):
+    g = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"))
+    name = F.concat(F.lit("obj"), (F.col("user_id") % 7).cast("string"))
+    body = F.struct(
+        F.lit("stale").alias("demo"), F.col("n").alias("T"), F.floor(F.col("n") / 2).alias("Tmin"), F.struct(name.alias("name")).alias("target"), F.col("v").alias("visible_frac")
+    )
+    path = F.concat_ws("/", F.lit("root"), F.col("user_id").cast("string"), F.col("event_type"), F.lit("meta.json"))
+    rows = N.parse_view_meta(g.select(path.alias("path"), F.to_json(body).alias("value")))
+    return rows.select("demo", "view", big("n_frames"), big("n_frames_min"), F.col("target.name").alias("target"), r6("visible_frac"))
+
+
+@register(
+    "parse_polygons",
+    "A12",
+    """SELECT 'e' || vec_id AS base, vec_id % 900 AS frame, s AS shape_no, 'c' || label || '_' || s AS label, s + 3 AS vertices, round(embedding[1]::DOUBLE, 6) AS first_x FROM embeddings, unnest(range(2)) u(s)""",
+)
+def parse_polygons(spark, d):
+    x = F.round(F.get("embedding", F.lit(0)).cast("double"), 6)
+    point = F.array(x, F.lit(1.0))
+    shape = lambda s: F.struct(F.concat(F.lit("c"), F.col("label").cast("string"), F.lit(f"_{s}")).alias("label"), F.array(*[point] * (s + 3)).alias("points"))
+    path = F.format_string("root/e%d/f%05d.json", "vec_id", F.col("vec_id") % 900)
+    text = table(spark, d, "embeddings").select(path.alias("path"), F.to_json(F.struct(F.array(shape(0), shape(1)).alias("shapes"))).alias("value"))
+    rows = N.parse_polygons(text)
+    return rows.select("base", big("frame"), big("shape_no"), "label", big(F.size("points"), "vertices"), r6(F.element_at("points", 1)[0], "first_x"))
+
+
+@register("parse_manifest", "A07", "SELECT o_orderkey AS sample, o_orderpriority AS shard, o_totalprice AS bytes FROM orders")
+def parse_manifest(spark, d):
+    body = F.struct(F.col("o_orderkey").alias("sample"), F.col("o_orderpriority").alias("shard"), F.col("o_totalprice").alias("bytes"))
+    return N.parse_manifest(table(spark, d, "orders").select(F.to_json(body).alias("value")), "sample BIGINT, shard STRING, bytes DOUBLE")
+
+
+# --- sinks, written below the shared folder and read back -----------------------------------------------
+
+
+@register(
+    "write_relations",
+    "A13",
+    """SELECT CASE WHEN o_orderstatus = 'F' THEN 'ego2exo' ELSE 'exo2exo' END AS direction, 'p' || o_orderkey AS pair_id, o_custkey FROM orders""",
+)
+def write_relations(spark, d):
+    rows = table(spark, d, "orders").select(
+        F.when(F.col("o_orderstatus") == "F", "ego2exo").otherwise("exo2exo").alias("direction"),
+        F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("pair_id"),
+        "o_custkey",
+    )
+    folder = work_folder(spark)
+    K.write_relations(rows, folder)
+    return spark.read.parquet(folder).select("direction", "pair_id", "o_custkey")
+
+
+@register("write_sample_index", "A14", "SELECT page_id AS sample, length(html) AS bytes, page_id % 4 AS shard FROM pages")
+def write_sample_index(spark, d):
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("sample"), F.length("html").alias("bytes"), (F.col("page_id") % 4).alias("shard"), "url")
+    folder = work_folder(spark)
+    K.write_sample_index(rows, folder, ["sample", "bytes"])
+    return spark.read.parquet(folder).select("sample", "bytes", "shard")
+
+
+@register("write_manifest", "A15", "SELECT doc_id, CASE WHEN quality = 1 THEN toxic END AS toxic FROM labels")
+def write_manifest(spark, d):
+    rows = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, F.col("toxic")).alias("toxic"))
+    folder = work_folder(spark)
+    K.write_manifest(rows, folder)
+    return N.scan_manifest(spark, folder, "doc_id BIGINT, toxic INT")
+
+
 # --- plans and logs --------------------------------------------------------------------------------------
 
 

@@ -15,9 +15,9 @@ def _file_name() -> Column:
     return F.col("_metadata.file_name")
 
 
-def _from_tail(position: int) -> Column:
+def _from_tail(position: int, path: str = "_metadata.file_path") -> Column:
     """Path part counted from the end: 1 is the file name."""
-    return F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-position))
+    return F.try_element_at(F.split(F.col(path), "/"), F.lit(-position))
 
 
 def scan_episodes(
@@ -41,7 +41,11 @@ def scan_episodes(
 
 def scan_info(spark: SparkSession, path: str, wanted: Sequence[str]) -> DataFrame:
     """Dataset descriptor: one row per wanted feature next to the totals (null feature if absent)."""
-    info = spark.read.schema(schemas.struct(schemas.DATASET_INFO)).json(path, multiLine=True)
+    return project_features(spark.read.schema(schemas.struct(schemas.DATASET_INFO)).json(path, multiLine=True), wanted)
+
+
+def project_features(info: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """Descriptor rows -> one row per wanted feature."""
     head = [c for c in info.columns if c != "features"]
     name = F.explode(F.array(*[F.lit(w) for w in wanted])).alias("feature")
     rows = info.select(*head, "features", name)
@@ -83,11 +87,15 @@ def scan_rawpath_map(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_view_meta(spark: SparkSession, root: str) -> DataFrame:
     """View descriptors ``<root>/<demo>/<view>/meta.json``; directory names decide demo and view."""
-    raw = spark.read.schema(schemas.struct(schemas.VIEW_META)).json(
-        root, multiLine=True, recursiveFileLookup=True, pathGlobFilter="meta.json"
-    )
-    named = raw.withColumnsRenamed({"T": "n_frames", "Tmin": "n_frames_min"})
-    return named.withColumns({"demo": _from_tail(3), "view": _from_tail(2)})
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="meta.json")
+    return parse_view_meta(raw.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parse_view_meta(text: DataFrame) -> DataFrame:
+    """(path, value) -> view descriptors; the names stored inside the JSON are ignored."""
+    meta = text.select("path", F.from_json("value", schemas.VIEW_META).alias("m")).select("path", "m.*")
+    named = meta.withColumnsRenamed({"T": "n_frames", "Tmin": "n_frames_min"})
+    return named.withColumns({"demo": _from_tail(3, "path"), "view": _from_tail(2, "path")}).drop("path")
 
 
 def scan_relations(spark: SparkSession, path: str, direction: str) -> DataFrame:
@@ -117,7 +125,12 @@ def parse_relations(text: DataFrame, direction: str) -> DataFrame:
 
 def scan_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a declared schema; a bad line raises instead of turning into nulls."""
-    return spark.read.schema(schemas.struct(schema)).json(path, mode="FAILFAST")
+    return parse_manifest(spark.read.text(path), schema)
+
+
+def parse_manifest(lines: DataFrame, schema: str) -> DataFrame:
+    rows = lines.filter(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+    return rows.select("r.*")
 
 
 def scan_metric_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -195,11 +208,15 @@ def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
 
 def scan_polygons(spark: SparkSession, root: str) -> DataFrame:
     """Polygon files ``<root>/<base>/f<frame>.json`` -> (base, frame, shape_no, label, points)."""
-    raw = spark.read.schema(schemas.struct(schemas.POLYGONS)).json(
-        root, multiLine=True, recursiveFileLookup=True, pathGlobFilter="f*.json"
-    )
-    frame = F.regexp_extract(_file_name(), r"^f(\d+)", 1).try_cast("int")
-    rows = raw.select(_from_tail(2).alias("base"), frame.alias("frame"), F.posexplode("shapes").alias("shape_no", "s"))
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="f*.json")
+    return parse_polygons(raw.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parse_polygons(text: DataFrame) -> DataFrame:
+    """(path, value) -> one row per shape."""
+    frame = F.regexp_extract(_from_tail(1, "path"), r"^f(\d+)", 1).try_cast("int")
+    shapes = F.from_json("value", schemas.POLYGONS)["shapes"]
+    rows = text.select(_from_tail(2, "path").alias("base"), frame.alias("frame"), F.posexplode(shapes).alias("shape_no", "s"))
     return rows.select("base", "frame", "shape_no", "s.label", "s.points")
 
 

@@ -42,7 +42,7 @@ def check_all(spark, dense):
     p = pairs(spark, n)
     assert (densify(runs, "mask_id", n) == np.array(dense)).all()
     assert M.roundtrip_findings(runs, heads).count() == 0
-    ov = {r["pair_id"]: r for r in M.mask_overlap(p, runs, heads).collect()}
+    ov = {r["pair_id"]: r for r in M.mask_overlap(p, runs).collect()}
     for i in range(n):
         assert ov[i]["inter"] == (dense[i] & nxt[i]).sum()
         assert ov[i]["union"] == (dense[i] | nxt[i]).sum()
@@ -81,17 +81,17 @@ def test_counts_of_empty_and_full(spark):
 def test_empty_on_empty(spark, empty, iou):
     heads, runs = tables(spark, [np.zeros((H, W), bool)])
     p = spark.createDataFrame([(0, 0, 0)], "pair_id bigint, a_id bigint, b_id bigint")
-    row = M.mask_scores(M.mask_overlap(p, runs, heads), empty).first()
+    row = M.mask_scores(M.mask_overlap(p, runs), empty).first()
     assert (row["iou"], row["dice"]) == (iou, iou)
     with pytest.raises(ValueError):
-        M.mask_scores(M.mask_overlap(p, runs, heads), "zero")
+        M.mask_scores(M.mask_overlap(p, runs), "zero")
 
 
 def test_iou_is_symmetric(spark):
     heads, runs = tables(spark, FIXED)
     p = pairs(spark, len(FIXED))
     back = p.selectExpr("pair_id", "b_id AS a_id", "a_id AS b_id")
-    score = lambda q: {r["pair_id"]: r["iou"] for r in M.mask_scores(M.mask_overlap(q, runs, heads), "one").collect()}
+    score = lambda q: {r["pair_id"]: r["iou"] for r in M.mask_scores(M.mask_overlap(q, runs), "one").collect()}
     assert score(p) == score(back)
 
 
