@@ -113,20 +113,21 @@ def audit_relations(relations: DataFrame, images: DataFrame, areas: DataFrame) -
     ``relations``: pair_id, video_id, prompt_image, target_image, prompt_t, target_t, mask_id, area.
     ``images``: image, h, w.  ``areas``: mask_id, h, w, area (recomputed).
     """
-    refs = relations.select(F.explode(F.array("prompt_image", "target_image")).alias("image"))
-    stored = relations.select("pair_id", "target_image", "mask_id", F.col("area").alias("_stored"))
-    sized = stored.join(areas, "mask_id", "left").join(
-        images.select(F.col("image").alias("target_image"), F.col("h").alias("_ih"), F.col("w").alias("_iw")), "target_image", "left"
+    sizes = images.select(F.col("image").alias("target_image"), F.col("h").alias("_ih"), F.col("w").alias("_iw"))
+    masks = areas.select("mask_id", F.col("h").alias("_mh"), F.col("w").alias("_mw"), F.col("area").alias("_area"))
+    rows = relations.join(masks, "mask_id", "left").join(sizes, "target_image", "left")
+    found = lambda bad, check, detail="": F.when(
+        bad, F.struct(F.lit(check).alias("check"), (F.lit(detail) if detail == "" else F.col(detail)).alias("detail"))
     )
-    return union_all(
-        [
-            relations.filter(F.col("pair_id") != F.col("video_id")).select(*finding("key_differs", "pair_id", F.col("video_id"))),
-            closure(refs, images, "image"),
-            sized.filter((F.col("h") != F.col("_ih")) | (F.col("w") != F.col("_iw"))).select(*finding("mask_size", "pair_id")),
-            sized.filter(~F.col("_stored").eqNullSafe(F.col("area"))).select(*finding("area", "pair_id")),
-            relations.filter(F.col("prompt_t") != F.col("target_t")).select(*finding("moment", "pair_id")),
-        ]
+    checks = F.array(
+        found(F.col("pair_id") != F.col("video_id"), "key_differs", "video_id"),
+        found((F.col("_mh") != F.col("_ih")) | (F.col("_mw") != F.col("_iw")), "mask_size"),
+        found(~F.col("area").eqNullSafe(F.col("_area")), "area"),
+        found(F.col("prompt_t") != F.col("target_t"), "moment"),
     )
+    per_row = rows.select(F.col("pair_id").alias("subject"), F.inline(F.filter(checks, lambda x: x.isNotNull())))
+    refs = relations.select(F.explode(F.array("prompt_image", "target_image")).alias("image"))
+    return per_row.select("check", "subject", "detail").unionByName(closure(refs, images, "image"))
 
 
 def audit_direction_sum(ledger: DataFrame, total: int | Column, column: str = "relations") -> DataFrame:

@@ -49,7 +49,6 @@ def score_steps(px: DataFrame, blank: DataFrame, keys: Sequence[str] = ("card",)
     the ego view when a card has no wrist cameras.
     """
     v, p = F.col("view"), F.col("px")
-    is_wrist = v.endswith("wrist")
     at = lambda name: F.sum(F.when(v == name, p))
     steps = px.groupBy(*keys, "t").agg(
         F.count_if(p >= VISIBLE_PX).alias("n_vis"),
@@ -57,13 +56,13 @@ def score_steps(px: DataFrame, blank: DataFrame, keys: Sequence[str] = ("card",)
         F.sum(F.when(v.isin("left_wrist", "right_wrist"), p)).alias("_wrist"),
         at("head_gaze").alias("_gaze"),
         at("head").alias("_head"),
+        F.bool_or(v.endswith("wrist")).alias("_w"),
+        F.bool_or(v == "head_gaze").alias("_z"),
     )
-    cams = px.groupBy(*keys).agg(
-        F.bool_or(is_wrist).alias("_has_wrist"),
-        F.bool_or(v == "head_gaze").alias("_has_gaze"),
-        F.max("t").alias("_last_t"),
-    )
-    rows = steps.join(cams, list(keys)).join(blank.select(*keys, "t", "blank"), [*keys, "t"], "left")
+    # which cameras a card has: over its steps, at most one row per frame of the episode
+    card = Window.partitionBy(*keys)
+    rows = steps.withColumns({"_has_wrist": F.bool_or("_w").over(card), "_has_gaze": F.bool_or("_z").over(card)})
+    rows = rows.join(blank.select(*keys, "t", "blank"), [*keys, "t"], "left")
     ego = F.when(F.col("_has_gaze"), F.col("_gaze")).otherwise(F.col("_head"))
     close = F.when(F.col("_has_wrist"), F.col("_wrist")).otherwise(ego)
     close = F.least(F.coalesce(close, F.lit(0)), F.lit(WRIST_CAP))
@@ -81,15 +80,21 @@ def score_steps(px: DataFrame, blank: DataFrame, keys: Sequence[str] = ("card",)
     )
 
 
-def manipulation_window(steps: DataFrame, keys: Sequence[str] = ("card",), g: str = "g", n_grid: str = "n_grid") -> DataFrame:
-    """First to last grid step with a close view, padded by 10 % of the span; the full grid below two such steps."""
-    seen = F.when(F.col("close_vis"), F.col(g))
-    w = steps.groupBy(*keys).agg(F.min(seen).alias("_a"), F.max(seen).alias("_b"), F.count(seen).alias("_n"), F.max(n_grid).alias("_t"))
+def with_window(steps: DataFrame, keys: Sequence[str] = ("card",), g: str = "g", n_grid: str = "n_grid") -> DataFrame:
+    """Add ``win_lo`` and ``win_hi``: first to last grid step with a close view, padded by 10 % of the
+    span; the full grid below two such steps.  A card has fewer than 480 grid steps."""
+    card, seen = Window.partitionBy(*keys), F.when(F.col("close_vis"), F.col(g))
+    rows = steps.withColumns({"_a": F.min(seen).over(card), "_b": F.max(seen).over(card), "_n": F.count(seen).over(card)})
     pad = F.greatest(F.lit(1), F.floor((F.col("_b") - F.col("_a")) / 10))
-    enough = F.col("_n") >= 2
-    lo = F.when(enough, F.greatest(F.lit(0), F.col("_a") - pad)).otherwise(0)
-    hi = F.when(enough, F.least(F.col("_t") - 1, F.col("_b") + pad)).otherwise(F.col("_t") - 1)
-    return w.select(*keys, lo.cast("bigint").alias("win_lo"), hi.cast("bigint").alias("win_hi"))
+    enough, last = F.col("_n") >= 2, F.col(n_grid) - 1
+    lo = F.when(enough, F.greatest(F.lit(0), F.col("_a") - pad)).otherwise(0).cast("bigint")
+    hi = F.when(enough, F.least(last, F.col("_b") + pad)).otherwise(last).cast("bigint")
+    return rows.withColumns({"win_lo": lo, "win_hi": hi}).drop("_a", "_b", "_n")
+
+
+def manipulation_window(steps: DataFrame, keys: Sequence[str] = ("card",), g: str = "g", n_grid: str = "n_grid") -> DataFrame:
+    """The window of each card, one row per card."""
+    return with_window(steps, keys, g, n_grid).groupBy(*keys).agg(F.min("win_lo").alias("win_lo"), F.min("win_hi").alias("win_hi"))
 
 
 def _spaced(ranked: Column, gap: Column, k: int) -> Column:

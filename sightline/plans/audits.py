@@ -9,6 +9,7 @@ from sightline.plans.cards import _REL_SQL, relation_table
 from sightline.plans.registry import register
 from sightline.plans.tables import MASK_SQL, mask_tables, table, view_pixels
 from sightline.operators import masks as M
+from sightline.session import cut_lineage
 
 
 @register(
@@ -111,6 +112,7 @@ def audit_relations(spark, d):
     )
     stored = headers.select("mask_id", "area")
     rel = rel.join(stored, "mask_id", "left").withColumn("area", F.when(c % 8 == 2, F.col("area") + 1).otherwise(F.col("area")))
+    rel = cut_lineage(rel)  # the published table that the checks read
     px = view_pixels(spark, d).filter(c % 9 != 0).withColumn("prompt_t", F.col("t"))
     images = px.select(name("view").alias("image"), F.lit(8).alias("h"), F.when(c % 12 == 0, 9).otherwise(8).alias("w")).distinct()
     found = A.audit_relations(rel, images, areas)
@@ -125,7 +127,7 @@ def audit_relations(spark, d):
 def direction_sum(spark, d):
     from sightline.operators.quality import dataset_ledger
 
-    rel = relation_table(spark, d)
+    rel = cut_lineage(relation_table(spark, d))
     total = rel.agg(F.count(F.lit(1)) + 1).scalar()
     return A.audit_direction_sum(dataset_ledger(rel), total)
 

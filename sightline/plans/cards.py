@@ -178,8 +178,7 @@ ch AS (SELECT card, list_sort(CASE WHEN len(a) = 8 THEN a WHEN len(b) = 8 THEN b
 
 @register("greedy_spaced_topk", "F02", f"WITH {_GREEDY_SQL} SELECT card, p[i + 1] AS t, p[i + 1] AS g, i AS pick FROM ch, unnest(range(len(p))) u(i)")
 def greedy_spaced_topk(spark, d):
-    steps = _steps(spark, d)
-    return L.greedy_spaced_topk(steps.join(L.manipulation_window(steps), "card"))
+    return L.greedy_spaced_topk(L.with_window(_steps(spark, d)))
 
 
 @register(
