@@ -42,10 +42,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def _hash_piece(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the texts ``data[bounds[i]:bounds[i + 1]]`` and where each text's words start."""
+def _hash_piece(data: np.ndarray, bounds: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the texts ``data[bounds[i]:bounds[i + 1]]`` and where each text's words start.
+
+    With ``heads`` the hashes have further rows, for the first so many bytes of each word.
+    """
     if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
+        return np.empty((1 + len(heads), 0) if heads else 0, np.uint64), np.zeros(len(bounds), np.int64)
     word = ~_SPACE[data]
     before, after = np.empty_like(word), np.empty_like(word)
     before[0], before[1:] = False, word[:-1]
@@ -56,7 +59,11 @@ def _hash_piece(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     up, down = _power(max(len(data), CHUNK))
     total = np.cumsum(_BYTE[data] * up[: len(data)])
     lead = np.where(starts > 0, total[starts - 1], _U(0)) if len(starts) else total[:0]
-    return mix((total[ends] - lead) * down[starts]), np.searchsorted(starts, bounds)
+    hashes = mix((total[ends] - lead) * down[starts])
+    if heads:
+        cut = [mix((total[np.minimum(ends, starts + h - 1)] - lead) * down[starts] + _U(h)) for h in heads]
+        hashes = np.stack([hashes, *cut])
+    return hashes, np.searchsorted(starts, bounds)
 
 
 def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -75,7 +82,7 @@ def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
     yield data[at:]
 
 
-def hashed_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hashed_words(texts: pa.Array, heads: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield ``(first text, word hashes, word bounds)`` for consecutive runs of texts; null is empty."""
     texts = texts.fill_null("")
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
@@ -90,10 +97,10 @@ def hashed_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
         part = data[at[i] : at[j]]
         if j == i + 1 and len(part) > CHUNK:
-            words = np.concatenate([_hash_piece(p, np.array([0, len(p)]))[0] for p in _pieces(part)])
-            yield i, words, np.array([0, len(words)])
+            words = np.concatenate([_hash_piece(p, np.array([0, len(p)]), heads)[0] for p in _pieces(part)], axis=-1)
+            yield i, words, np.array([0, words.shape[-1]])
         else:
-            yield i, *_hash_piece(part, at[i : j + 1] - at[i])
+            yield i, *_hash_piece(part, at[i : j + 1] - at[i], heads)
         i = j
 
 
