@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, mixing, ngram_join, toxicity, url_filter
+from sightline.llm import decontamination, mixing, ngram_join, secret_scan, toxicity, url_filter
 from sightline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,21 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), listed, "contaminated")
+
+
+def _span_list(spans) -> Column:
+    """kind:start:end, comma-joined in the given order."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def _count_of(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+@register()
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs), keep=["doc_id"])
+    by_rule = F.filter("spans", lambda x: x["kind"] != "tagged")
+    counts = [_count_of(k) for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(_span_list(by_rule), 256).alias("base_sha256"), _span_list(F.col("spans")).alias("spans"))
