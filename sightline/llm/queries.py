@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, mixing, ngram_join, secret_scan, toxicity, url_filter
+from sightline.llm import decontamination, mixing, ngram_join, secret_scan, token_counts, topk, toxicity, url_filter
 from sightline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +124,26 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_rule = F.filter("spans", lambda x: x["kind"] != "tagged")
     counts = [_count_of(k) for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(_span_list(by_rule), 256).alias("base_sha256"), _span_list(F.col("spans")).alias("spans"))
+
+
+@register()
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, str(public_tokenizers.path("byte_bpe_50k.json")), limit=512, keep=["doc_id"])
+
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+
+@register(OP8_SQL)
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double"))
+    clean = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    vectors = table(spark, sf_dir, "embeddings").filter(clean).select("vec_id", whole.alias("v"))
+    return topk.top_products(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
