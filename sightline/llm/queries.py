@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, mixing, ngram_join, secret_scan, token_counts, topk, toxicity, url_filter, warc
+from sightline.llm import decontamination, mixing, ngram_join, pii, secret_scan, token_counts, topk, toxicity, url_filter, warc
 from sightline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,11 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 @register(OP5_SQL)
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+@register()
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    by_rule = F.filter("spans", lambda x: x["kind"] != "term")
+    counts = [_count_of(k) for k in pii.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(_span_list(by_rule), 256).alias("base_sha256"), _span_list(F.col("spans")).alias("spans"))
