@@ -5,14 +5,16 @@
 2. *Blocks.*  Incidence entries go to blocks of n-gram hashes as packed arrays.  A block finds the
    n-grams that two nodes hold at least, the only columns with a product off the diagonal.
 3. *Bounds.*  Back by node, a set of ``n`` needs ``ceil(t n)`` shared n-grams to reach similarity ``t``
-   with anything; smaller ones are discarded.  Of the others only the rarest
-   ``shared - ceil(t n) + 1`` n-grams, the prefix, have to meet.
-4. *Product.*  Overlap counts of pairs accumulate over the prefix n-grams, pairs that cannot reach the
-   bound derived from their sizes go, and the rest is decided on the whole sets of shared n-grams.
-
-Large groups: before the product, each node is compared with one pivot per prefix n-gram, a number of
-pairs linear in the incidence, and links found make classes; the product then takes only pairs from
-different classes, whose links can still change a class.  N-grams that a sample of sets shows to be in
+   with anything; smaller ones are discarded.  Of the others only the rarest n-grams, the prefix, have
+   to meet: two sets that need ``a`` common n-grams share ``1 + e`` of those at ranks up to
+   ``shared - a + e`` of both.
+4. *Product.*  Overlap counts of pairs accumulate over the ranks that their sizes allow, pairs below
+   ``1 + e`` go, and the rest is decided on the whole sets of shared n-grams.
+
+Large groups: before the product, in a few rounds, each node is compared with the pivot that it shares
+most of its prefix with, one pivot per n-gram: the most central set, of which least is its own.  That is
+linear in the incidence, and links found make classes; the product then takes only pairs from different
+classes, whose links can still change a class.  N-grams that a sample of sets shows to be in
 many documents are not gathered in a block but pass straight to their nodes.  That list only steers
 where rows go and the order of rarity; it is the same everywhere, so results do not depend on it.
 
@@ -39,7 +41,9 @@ SHINGLE = 5
 ENTRIES_PER_BLOCK = 2_000_000
 #: One set in SAMPLE is looked at for n-grams in at least 1/HOT of the sampled documents; at most HOT_MOST are listed.
 SAMPLE, HOT, HOT_MOST = 64, 200, 100_000
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
+#: The prefix is so much longer than one common n-gram needs; a pair must then share one more than that.
+EXTRA = 3
 _LOW = np.uint64((1 << 48) - 1)
 _HOT_BLOCK, _HOT_DF = 0xFFFF, 0xFFFF
 
@@ -175,7 +179,7 @@ def _bound(part: pa.Table, sizes: pa.Table) -> pa.Table:
     need = (NUM * n + DEN - 1) // DEN
     keep = shared >= need
     lists = [grams[a : a + c].view(np.int64) for a, c in zip(starts[keep].tolist(), shared[keep].tolist(), strict=True)]
-    return pa.table([pa.array(names[keep]), pa.array(n[keep]), pa.array(shared[keep] - need[keep] + 1), pa.array(lists, pa.list_(pa.int64()))], schema=_BOUND)
+    return pa.table([pa.array(names[keep]), pa.array(n[keep]), pa.array(np.minimum(shared[keep] - need[keep] + 1 + EXTRA, shared[keep])), pa.array(lists, pa.list_(pa.int64()))], schema=_BOUND)
 
 
 def describe_sets(docs: DataFrame) -> DataFrame:
@@ -224,39 +228,43 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def linked_nodes(sets: DataFrame, rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """Step 4: classes ``node, label`` of the nodes that link with another node."""
     spark = sets.sparkSession
-    rest = ((F.col("n") * NUM + DEN - 1) / DEN).cast("long") - 1
-    posts = sets.select("node", "n", rest.alias("rest"), F.explode(F.slice("grams", F.lit(1), F.col("prefix").cast("int"))).alias("gram"))
+    shared = F.size("grams").alias("shared")
+    posts = sets.select("node", "n", shared, F.posexplode(F.slice("grams", F.lit(1), F.col("prefix").cast("int"))).alias("rank", "gram"))
     met = posts.groupBy("gram").count().filter("count > 1").select("gram")
     posts = saved(posts.join(met, "gram"))
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, label long")
 
-    def labelled() -> tuple[DataFrame, DataFrame]:
-        own = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "label")).alias("pivot")
-        open_ = own.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), pivot).filter("low < high")
-        return own, open_
+    def labelled() -> DataFrame:
+        return posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def open_grams(own: DataFrame, turn: int) -> DataFrame:
+        # after the first round only a part of the nodes can be pivots, another part each time
+        may = (F.lit(turn) == 0) | (F.pmod(F.xxhash64("node"), F.lit(rounds)) == turn)
+        pivot = F.max(F.when(may, F.struct((F.col("shared") / F.col("n")).alias("common"), "node", "n", "label"))).alias("pivot")
+        return own.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), pivot).filter("low < high")
 
     for turn in range(rounds):
-        own, open_ = labelled()
-        aims = open_.select("gram", F.col("pivot.node").alias("b"), F.col("pivot.n").alias("n_b"), F.col("pivot.label").alias("label_b"))
+        own = labelled()
+        aims = open_grams(own, turn).filter("pivot is not null")
+        aims = aims.select("gram", F.col("pivot.node").alias("b"), F.col("pivot.n").alias("n_b"), F.col("pivot.label").alias("label_b"))
         near = own.join(aims, "gram").filter((F.col("label") != F.col("label_b")) & _fits("n", "n_b"))
         best = near.groupBy("node", "b").count().groupBy("node").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
         found = saved(_verified(best.select(F.col("node").alias("a"), "b"), sets))
         links = links.union(found)
         labels = components(links)
 
-    turn = rounds
-    own, open_ = labelled()
-    own = saved(own.join(open_.select("gram"), "gram"))
+    own = labelled()
+    own = saved(own.join(open_grams(own, 0).select("gram"), "gram"))
     a, b = own.alias("a"), own.alias("b")
-    across = (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _fits("a.n", "b.n")
+    needed = F.ceil(_needed("a.n", "b.n") / (NUM + DEN))
+    ranked = (F.col("a.rank") <= F.col("a.shared") - needed + EXTRA) & (F.col("b.rank") <= F.col("b.shared") - needed + EXTRA)
+    across = (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _fits("a.n", "b.n") & ranked
     pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & across)
     pairs = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(
-        F.count("*").alias("overlap"), F.first(F.greatest("a.rest", "b.rest")).alias("rest"), F.first(_needed("a.n", "b.n")).alias("needed")
+        F.count("*").alias("overlap"), F.first(F.least(needed, F.lit(1 + EXTRA))).alias("least")
     )
-    pairs = pairs.filter((F.col("overlap") + F.col("rest")) * (NUM + DEN) >= F.col("needed"))
-    return components(saved(links.union(_verified(pairs, sets))))
+    return components(saved(links.union(_verified(pairs.filter("overlap >= least"), sets))))
 
 
 def jaccard_components(docs: DataFrame, blocks: int | None = None) -> DataFrame:
