@@ -323,7 +323,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]
 def _scanner(field: Field, keep: list[str], redact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("text").to_pylist()
             spans = [all_spans(t, field) for t in texts]
             listed = [[{"kind": k, "start": s, "end": e} for k, s, e in found] for found in spans]
             columns = [*[batch.column(c) for c in keep], pa.array(listed, _SPANS_ARROW)]
@@ -343,4 +343,15 @@ def scan(docs: DataFrame, field: Field, keep: list[str] | None = None, redact: b
     keep = [c for c in keep or docs.columns if c not in ("spans", "redacted")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
     schema += f", spans {_SPANS}" + ", redacted string" * redact
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(_scanner(field, keep, redact), schema)
+    return docs.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(_scanner(field, keep, redact), schema)
+
+
+def redact_secrets(docs: DataFrame, mark_length: bool = True) -> DataFrame:
+    """``docs`` with the secrets in ``text`` replaced, and ``n_chars`` of changed rows counted anew; no row is dropped."""
+    columns = docs.columns
+    clean = scan(docs.withColumnsRenamed({"spans": "_spans", "redacted": "_redacted"}), train(docs), redact=True)
+    changed = F.size("spans") > 0
+    if mark_length and "n_chars" in columns:
+        clean = clean.withColumn("n_chars", F.when(changed, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    clean = clean.withColumn("text", F.when(changed, F.col("redacted")).otherwise(F.col("text"))).drop("spans", "redacted")
+    return clean.withColumnsRenamed({"_spans": "spans", "_redacted": "redacted"}).select(*columns)

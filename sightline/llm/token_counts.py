@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Pre-token pattern of byte-level BPE (fixed value).
@@ -70,7 +69,7 @@ def special_strings(tokenizer: Tokenizer) -> list[str]:
     return sorted((t.content for t in added), key=len, reverse=True)
 
 
-def _counter(path: str, whole: frozenset[str], keep: list[str], limit: int):
+def _counter(path: str, whole: frozenset[str], keep: list[str], limit: int, text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.from_file(path)
         counts = Counts(tokenizer, byte_letters(), whole)
@@ -79,7 +78,7 @@ def _counter(path: str, whole: frozenset[str], keep: list[str], limit: int):
         get = counts.__getitem__
         for batch in batches:
             tokens, size = [], []
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column(text_column).to_pylist():
                 text = text or ""
                 size.append(len(text.encode()))
                 parts = [text]
@@ -104,6 +103,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     names = ("n_bytes", "n_tokens", "over_limit")
     keep = [c for c in keep or docs.columns if c not in names]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    run = _counter(path, whole_tokens(tokenizer), keep, limit)
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    run = _counter(path, whole_tokens(tokenizer), keep, limit, text)
+    rows = docs.select(*keep, *[text] * (text not in keep))
     return rows.mapInArrow(run, f"{schema}, n_bytes long, n_tokens long, over_limit boolean")

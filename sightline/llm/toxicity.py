@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
     return Model(np.array([k for k, _ in kept], np.uint64), np.array([w for _, w in kept]), bias)
 
 
-def _scorer(model: Model, keep: list[str]):
+def _scorer(model: Model, keep: list[str], text: str):
     mask = np.uint64((1 << _BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def _scorer(model: Model, keep: list[str]):
         maybe[(model.features & mask).astype(np.int64)] = True
         for batch in batches:
             total = np.full(batch.num_rows, model.bias)
-            for first, words, bounds in hashed_words(batch.column("_text"), HEADS):
+            for first, words, bounds in hashed_words(batch.column(text), HEADS):
                 hits, texts = [], []
                 # every family of features over the whole run of texts; pairs must not cross texts
                 families = [(row, 0) for row in words] + [(gram_hashes(words[0], (0, d)), d) for d in (1, 2)]
@@ -140,14 +140,14 @@ def _scorer(model: Model, keep: list[str]):
                         where = np.minimum(np.searchsorted(model.features, grams[at]), len(model.features) - 1)
                         found = model.features[where] == grams[at]
                         at, where = at[found], where[found]
-                        text = np.searchsorted(bounds, at, "right") - 1
-                        inside = at + reach < bounds[text + 1]
+                        owner = np.searchsorted(bounds, at, "right") - 1
+                        inside = at + reach < bounds[owner + 1]
                         hits.append(where[inside])
-                        texts.append(text[inside])
+                        texts.append(owner[inside])
                 if hits:
                     pair = np.unique(np.concatenate(texts) * len(model.features) + np.concatenate(hits))
-                    text, where = np.divmod(pair, len(model.features))
-                    total[first : first + len(bounds) - 1] += np.bincount(text, model.weights[where], len(bounds) - 1)
+                    owner, where = np.divmod(pair, len(model.features))
+                    total[first : first + len(bounds) - 1] += np.bincount(owner, model.weights[where], len(bounds) - 1)
             score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score)], names=[*keep, "score"])
 
@@ -162,5 +162,11 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: list[st
     """
     keep = [c for c in keep or docs.columns if c != "score"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    return rows.mapInArrow(_scorer(model, keep), f"{schema}, score double")
+    rows = docs.select(*keep, *[F.col(text)] * (text not in keep))
+    return rows.mapInArrow(_scorer(model, keep, text), f"{schema}, score double")
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score stays below ``threshold``, with their columns as they are."""
+    scored = score_texts(docs.withColumnsRenamed({"score": "_score"}), train(docs, labels))
+    return scored.filter(F.col("score") < threshold).drop("score").withColumnsRenamed({"_score": "score"})
