@@ -6,10 +6,10 @@
    n-grams that two nodes hold at least, the only columns with a product off the diagonal.
 3. *Bounds.*  Back by node, a set of ``n`` needs ``ceil(t n)`` shared n-grams to reach similarity ``t``
    with anything; smaller ones are discarded.  Of the others only the rarest n-grams, the prefix, have
-   to meet: two sets that need ``a`` common n-grams share ``1 + e`` of those at ranks up to
-   ``shared - a + e`` of both.
-4. *Product.*  Overlap counts of pairs accumulate over the ranks that their sizes allow, pairs below
-   ``1 + e`` go, and the rest is decided on the whole sets of shared n-grams.
+   to meet: the first of ``a`` common n-grams is at a rank of ``shared - a`` at most in both sets.
+4. *Product.*  Overlap counts of pairs accumulate over the ranks that their sizes allow.  Pairs whose
+   count and remaining ranks stay below what their sizes demand go, and the rest is decided on the
+   whole sets of shared n-grams.
 
 Large groups: before the product, in a few rounds, each node is compared with the pivot that it shares
 most of its prefix with, one pivot per n-gram: the most central set, of which least is its own.  That is
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import components, saved
+from sightline.llm.common import components, row_key, saved, small_side
 from sightline.llm.hashing import hashed_words, shingle_sets
 
 #: Similarity as a fraction, 3/4.
@@ -42,8 +42,6 @@ ENTRIES_PER_BLOCK = 2_000_000
 #: One set in SAMPLE is looked at for n-grams in at least 1/HOT of the sampled documents; at most HOT_MOST are listed.
 SAMPLE, HOT, HOT_MOST = 64, 200, 100_000
 PIVOT_ROUNDS = 3
-#: The prefix is so much longer than one common n-gram needs; a pair must then share one more than that.
-EXTRA = 3
 _LOW = np.uint64((1 << 48) - 1)
 _HOT_BLOCK, _HOT_DF = 0xFFFF, 0xFFFF
 
@@ -65,8 +63,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = [_node(s) if len(s) else None for s in sets]
         sample = [s.view(np.int64) if len(s) and node % SAMPLE == 0 else None for s, node in zip(sets, nodes, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(sample, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "node", "sample"],
+            [batch.column("doc_id"), batch.column("_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(sample, pa.list_(pa.int64()))],
+            names=["doc_id", "_key", "n_shingles", "node", "sample"],
         )
 
 
@@ -179,13 +177,14 @@ def _bound(part: pa.Table, sizes: pa.Table) -> pa.Table:
     need = (NUM * n + DEN - 1) // DEN
     keep = shared >= need
     lists = [grams[a : a + c].view(np.int64) for a, c in zip(starts[keep].tolist(), shared[keep].tolist(), strict=True)]
-    return pa.table([pa.array(names[keep]), pa.array(n[keep]), pa.array(np.minimum(shared[keep] - need[keep] + 1 + EXTRA, shared[keep])), pa.array(lists, pa.list_(pa.int64()))], schema=_BOUND)
+    return pa.table([pa.array(names[keep]), pa.array(n[keep]), pa.array(shared[keep] - need[keep] + 1), pa.array(lists, pa.list_(pa.int64()))], schema=_BOUND)
 
 
 def describe_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node`` per row of ``docs`` (node null for an empty set), plus a sample of whole sets."""
+    """``doc_id, _key, n_shingles, node`` per row of ``docs`` (node null for an empty set), plus a sample of whole sets."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_describe, f"doc_id {kind}, n_shingles long, node long, sample array<long>")
+    rows = docs.select("doc_id", *row_key("doc_id", "text"), "text")
+    return rows.mapInArrow(_describe, f"doc_id {kind}, _key long, n_shingles long, node long, sample array<long>")
 
 
 def bounded_sets(docs: DataFrame, described: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -258,13 +257,21 @@ def linked_nodes(sets: DataFrame, rounds: int = PIVOT_ROUNDS) -> DataFrame:
     own = saved(own.join(open_grams(own, 0).select("gram"), "gram"))
     a, b = own.alias("a"), own.alias("b")
     needed = F.ceil(_needed("a.n", "b.n") / (NUM + DEN))
-    ranked = (F.col("a.rank") <= F.col("a.shared") - needed + EXTRA) & (F.col("b.rank") <= F.col("b.shared") - needed + EXTRA)
+    ranked = (F.col("a.rank") <= F.col("a.shared") - needed) & (F.col("b.rank") <= F.col("b.shared") - needed)
     across = (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _fits("a.n", "b.n") & ranked
     pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & across)
-    pairs = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(
-        F.count("*").alias("overlap"), F.first(F.least(needed, F.lit(1 + EXTRA))).alias("least")
-    )
-    return components(saved(links.union(_verified(pairs.filter("overlap >= least"), sets))))
+    # what can still follow the last common n-gram that was counted
+    left = F.least(F.max(F.col("a.shared")) - F.max("a.rank"), F.max(F.col("b.shared")) - F.max("b.rank")) - 1
+    pairs = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg((F.count("*") + left).alias("most"), F.max(needed).alias("needed"))
+    return components(saved(links.union(_verified(pairs.filter("most >= needed"), sets))))
+
+
+def classed_rows(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+    """``doc_id, _key, n_shingles, label`` per row of ``docs``; rows of a class share the label, null for an empty set."""
+    described = saved(describe_sets(docs))
+    labels = linked_nodes(saved(bounded_sets(docs, described, blocks)))
+    rows = described.drop("sample").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return saved(rows.select("doc_id", "_key", "n_shingles", "label"))
 
 
 def jaccard_components(docs: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -275,11 +282,26 @@ def jaccard_components(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     without an id links like any other; the class is named after the smallest id in it, null if there is
     none.  Empty table: empty result.
     """
-    described = saved(describe_sets(docs))
-    sets = saved(bounded_sets(docs, described, blocks))
-    labels = linked_nodes(sets)
-    rows = described.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = saved(rows.select("doc_id", "n_shingles", "label"))
+    rows = classed_rows(docs, blocks)
     names = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = rows.filter("label is not null").join(names, "label").select("doc_id", "n_shingles", "component_id")
     return named.union(rows.filter("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_one_per_class(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each class the one with the smallest id stays, with its columns.
+
+    Rows without an id come last, among equal ids the row's hash decides, of repeated rows one stays.  Rows
+    with an empty set all stay.
+    """
+    rows = classed_rows(docs).filter("label is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_key").alias("key"))).alias("first")
+    kept = rows.groupBy("label").agg(first).select("label", F.col("first.key").alias("key"))
+    lost = saved(rows.join(kept, "label").filter("_key <> key").select(F.col("_key").alias("_lost")).distinct())
+    again = saved(rows.groupBy("_key").count().filter("count > 1").join(lost, F.col("_key") == F.col("_lost"), "left_anti").select(F.col("_key").alias("_again")))
+    key = row_key("doc_id", "text")[0]
+    out = docs.join(small_side(lost), key == F.col("_lost"), "left_anti")
+    if not again.limit(1).count():
+        return out
+    once = out.join(small_side(again), key == F.col("_again")).dropDuplicates(["_again"]).drop("_again")
+    return out.join(small_side(again), key == F.col("_again"), "left_anti").union(once)
