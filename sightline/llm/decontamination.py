@@ -11,6 +11,8 @@ as shingles were compared as words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +21,6 @@ from sightline.llm.common import lower_ascii, row_key, saved, small_side
 
 WINDOW, SHINGLE = 10, 5
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # in lower-cased text
-_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
@@ -40,34 +41,43 @@ def _joined(words: Column, at: Column, k: int) -> Column:
     return F.concat_ws(" ", *[F.get(words, at + i) for i in range(k)])
 
 
-def shingle_hits(docs: DataFrame, shingles: DataFrame, k: int) -> DataFrame:
-    """Positions of the benchmark's ``k``-word shingles in whole texts: ``_key, pos, sid, n``."""
-    rows = docs.select(*row_key("doc_id", "text"), _words(F.col("text")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= k)
-    rows = rows.select("_key", "w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("pos"))
-    digest = F.xxhash64(*[F.get("w", F.col("pos") + i) for i in range(k)])
-    known = shingles.filter(F.col("k") == k).select("sid", "shingle")
-    # joined on the hash, kept if the words agree
-    hits = rows.withColumn("sid", digest).join(small_side(known), "sid")
-    return hits.filter(_joined(F.col("w"), F.col("pos"), k) == F.col("shingle")).select("_key", "pos", "sid", "n")
-
+def shingle_hits(docs: DataFrame, shingles: DataFrame, ks: list[int]) -> DataFrame:
+    """Positions of the benchmark's shingles in whole texts, and a row at -1 for every row of ``docs``.
 
-def window_occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Every occurrence ``_key, start, length, wid`` of a window in a text."""
+    Returns ``doc_id, _key, n, pos, sid``; the id is on the rows at -1 only.  ``ks`` are the shingle lengths
+    that occur, usually one, so that the texts are split into words once.
+    """
+    words = docs.select("doc_id", *row_key("doc_id", "text"), _words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    parts = []
+    for k in ks or [SHINGLE]:
+        first = -1 if not parts else 0
+        rows = words if first else words.filter(F.col("n") >= k)
+        rows = rows.select("doc_id", "_key", "w", "n", F.explode(F.sequence(F.lit(first), F.greatest(F.lit(first), F.col("n") - k))).alias("pos"))
+        rows = rows.withColumn("digest", F.xxhash64(*[F.get("w", F.col("pos") + i) for i in range(k)]))
+        known = small_side(shingles.filter(F.col("k") == k).select("sid", "shingle"))
+        # joined on the hash, kept if the words agree
+        same = (F.col("digest") == F.col("sid")) & (F.col("pos") >= 0) & (_joined(F.col("w"), F.col("pos"), k) == F.col("shingle"))
+        hits = rows.join(known, same, "left").filter("pos = -1 or sid is not null")
+        parts.append(hits.select(F.when(F.col("pos") == -1, F.col("doc_id")).alias("doc_id"), "_key", "n", "pos", "sid"))
+    return reduce(DataFrame.union, parts)
+
+
+def window_occurrences(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, _key, n`` of all texts, and every occurrence ``_key, start, length, wid`` of a window."""
     distinct = windows.dropDuplicates(["wid"]).drop("item_id")
     at = F.sequence(F.lit(0), F.col("length") - F.col("k"))
     grams = distinct.select("wid", "length", "k", "words", F.explode(at).alias("j"))
     grams = grams.withColumn("gram", F.slice("words", F.col("j") + 1, F.col("k")))
     ks = [r["k"] for r in distinct.select("k").distinct().collect()]  # at most SHINGLE numbers
     # the hash of the words one by one, as on the side of the documents
+    # (a constant where there are no items)
     sid = F.coalesce(*[F.when(F.col("k") == k, F.xxhash64(*[F.get("gram", F.lit(i)) for i in range(k)])) for k in ks], F.lit(0))
     grams = saved(grams.select("wid", "length", "k", "j", sid.alias("sid"), F.concat_ws(" ", "gram").alias("shingle")))
     shingles = grams.select("k", "sid", "shingle").distinct()
 
-    none = docs.sparkSession.createDataFrame([], "_key long, pos int, sid long, n int")
-    hits = none
-    for k in ks:
-        hits = hits.union(shingle_hits(docs, shingles, k))
-    hits = saved(hits.distinct())
+    read = saved(shingle_hits(docs, shingles, ks))
+    rows = read.filter("pos = -1").select("doc_id", "_key", "n")
+    hits = read.filter("pos >= 0").select("_key", "n", "pos", "sid").distinct()
 
     rarity = hits.groupBy("sid").agg(F.count("*").alias("count"))
     ranked = grams.join(small_side(rarity), "sid", "left").withColumn("count", F.coalesce("count", F.lit(0)))
@@ -82,7 +92,7 @@ def window_occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     asked = asked.withColumn("pos", F.col("start") + F.col("i")).drop("i")
     there = asked.join(hits.select("_key", "pos", "sid"), ["_key", "pos", "sid"])
     whole = there.groupBy("_key", "start", "length", "wid").agg(F.count("*").alias("have"), F.first("want").alias("want"))
-    return whole.filter("have = want").select("_key", "start", "length", "wid")
+    return rows, whole.filter("have = want").select("_key", "start", "length", "wid")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -94,7 +104,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     an empty benchmark or corpus gives no hits or no rows.
     """
     windows = saved(item_windows(items, window))
-    found = saved(window_occurrences(docs, windows))
+    rows, found = window_occurrences(docs, windows)
+    found = saved(found)
 
     by = Window.partitionBy("_key").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("_key", "start", "length").distinct()
@@ -106,8 +117,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     named = named.groupBy("_key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
     results = hit.join(named, "_key")
 
-    rows = docs.select("doc_id", *row_key("doc_id", "text"), F.coalesce(F.regexp_count("text", F.lit(_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
     out = rows.join(results, "_key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", "_key", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "_key", F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), (n_hit > 0).alias("contaminated"))
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, with their columns as they are."""
+    hit = contamination(docs, items, window).filter("contaminated").select(F.col("_key").alias("_hit")).distinct()
+    return docs.join(small_side(saved(hit)), row_key("doc_id", "text")[0] == F.col("_hit"), "left_anti")
