@@ -266,7 +266,7 @@ def fit(sequences: list[tuple[list[list[int]], list[int]]]) -> Field:
     gold_move = (gold[:, :-1, :, None] * gold[:, 1:, None, :] * both).sum((0, 1))
     means, squares = [[np.zeros_like(emit), np.zeros_like(move)] for _ in range(2)]
     lse = lambda a, axis: (m := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis))
-    total = on.sum()
+    total = max(1, on.sum())
     for step_no in range(1, ROUNDS + 1):
         e, t = x @ emit, move + banned
         ahead, behind = np.zeros_like(e), np.zeros_like(e)
