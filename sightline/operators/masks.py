@@ -235,7 +235,7 @@ def roi_union(df: DataFrame, box_arrays: Sequence[str], scale: str, extent: Sequ
         F.col(extent[0]).isNotNull(),
         F.array(F.array(ex[0].cast("double"), ex[1].cast("double")), F.array(ex[2].cast("double"), ex[3].cast("double"))),
     )
-    pts = F.concat(F.coalesce(mask_pts, none), *[F.coalesce(F.slice(b, 1, 2), none) for b in box_arrays])
+    pts = F.concat(F.coalesce(mask_pts, none), *[F.coalesce(F.col(b), none) for b in box_arrays])
     xs, ys = F.transform(pts, lambda p: F.get(p, 0)), F.transform(pts, lambda p: F.get(p, 1))
     return df.withColumns(
         {"roi_x0": F.array_min(xs), "roi_y0": F.array_min(ys), "roi_x1": F.array_max(xs), "roi_y1": F.array_max(ys)}

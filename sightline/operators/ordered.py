@@ -7,16 +7,19 @@ buckets, a thousand small groups share one.  Inside a bucket an ordinary window
 between buckets only one row per bucket travels (its first group, last group and
 closing value), so the broadcast side never has more rows than there are buckets.
 
-The cut points come from a bottom-k sample on a hash of the key: it depends only on the
-rows, not on partitioning, timing or task retries, so every evaluation of a plan agrees on
-them.  They are checkpointed as one row of at most ``MAX_BUCKETS`` keys, enter the plan as a
-scalar subquery, and a row finds its bucket by binary search in JVM code.
+The cut points come from the rows whose key hashes below a threshold: which rows these are
+depends only on the rows, not on partitioning, timing or task retries, so every evaluation of a
+plan agrees on them, and only the sample moves.  The threshold is set from the row count so that
+a few rows per bucket are expected.  The cut points are checkpointed as one row with a key per
+bucket, enter the plan as a scalar subquery, and a row finds its bucket by binary search in JVM
+code.  Buckets and rows per bucket both grow with the square root of the table.
 
 The order columns together must identify a row (a total order), as every ordinal needs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -27,36 +30,46 @@ from pyspark.sql.window import Window
 from sightline.session import cut_lineage
 
 SAMPLE_PER_BUCKET = 32
-MAX_BUCKETS = 16_384
+#: A bucket has at least so many rows, and from there on eight times the root of the row count.
+ROWS_PER_BUCKET = 65_536
+_DRAWS = 1 << 53
 
 
-def default_buckets(df: DataFrame) -> int:
-    """Four buckets per shuffle partition, so that hashing buckets to tasks evens out."""
-    return max(1, min(MAX_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def default_buckets(rows: int) -> int:
+    """Number of buckets for so many rows."""
+    return max(1, math.ceil(rows / max(ROWS_PER_BUCKET, 8 * math.isqrt(rows))))
 
 
-def cut_points(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
-    """One row: the sorted, distinct keys that cut the table into about equally large ranges."""
-    lowest = df.select(*keys, F.xxhash64(*keys).alias("_h")).orderBy("_h", *keys).limit(buckets * SAMPLE_PER_BUCKET)
-    sample = lowest.agg(F.array_sort(F.collect_list(F.struct(*keys))).alias("_s"))
+def cut_points(df: DataFrame, keys: Sequence[str], buckets: int, rows: int) -> DataFrame:
+    """One row: the sorted, distinct keys that cut the table of ``rows`` rows into about equally large ranges."""
+    threshold = min(_DRAWS, _DRAWS * buckets * SAMPLE_PER_BUCKET // max(1, rows))
+    drawn = df.select(*keys).filter(F.pmod(F.xxhash64(*keys), F.lit(_DRAWS)) < threshold)
+    sample = drawn.agg(F.array_sort(F.collect_list(F.struct(*keys))).alias("_s"))
     index = lambda i: F.floor(i * F.size("_s") / F.lit(buckets)).cast("int")
     picks = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get("_s", index(i)))
     return sample.select(F.array_distinct(F.filter(picks, lambda x: x.isNotNull())).alias("cuts"))
 
 
-def fixed_cuts(df: DataFrame, keys: Sequence[str], buckets: int) -> Column:
-    """The cut points as a scalar subquery over one checkpointed row, so that they are sampled once."""
-    return cut_lineage(cut_points(df, keys, buckets)).scalar()
+def fixed_cuts(df: DataFrame, keys: Sequence[str], buckets: int | None) -> tuple[Column | None, int]:
+    """The cut points as a scalar subquery over one checkpointed row, so that they are sampled once; and their bucket count.
+
+    The rows are counted first.  One bucket needs no cut points.
+    """
+    if buckets == 1:
+        return None, 1
+    rows = df.select(*keys).count()
+    buckets = buckets or default_buckets(rows)
+    return (cut_lineage(cut_points(df, keys, buckets, rows)).scalar(), buckets) if buckets > 1 else (None, 1)
 
 
 def with_bucket(
     df: DataFrame, keys: Sequence[str], buckets: int | None = None, name: str = "_bucket", cuts: Column | None = None
 ) -> DataFrame:
     """Add the equi-depth range bucket of the sort key: the number of cut points at or below it."""
-    buckets = min(MAX_BUCKETS, buckets or default_buckets(df))
-    if buckets == 1:
+    if cuts is None:
+        cuts, buckets = fixed_cuts(df, keys, buckets)
+    if cuts is None or buckets is None:
         return df.withColumn(name, F.lit(0))
-    cuts = fixed_cuts(df, keys, buckets) if cuts is None else cuts
     rows = df.withColumns({"_key": F.struct(*keys), name: F.lit(0)})
     step = 1 << (buckets - 1).bit_length() - 1
     while step:
@@ -170,12 +183,12 @@ def prefix_totals(df: DataFrame, order: Sequence[str], n: int, values: Sequence[
     """Count and sums of the first ``n`` rows in ``order``, and of all rows, without ordering the table.
 
     Buckets wholly inside the prefix contribute their totals; only the bucket that the cut falls
-    into is shuffled and sorted.  The bucket totals (at most ``MAX_BUCKETS`` rows) are read on the
+    into is shuffled and sorted.  The bucket totals, one row per bucket, are read on the
     driver.  Returns one row: ``prefix_n``, ``prefix_<value>``, ``total_n``, ``total_<value>``.
     """
-    buckets = min(MAX_BUCKETS, buckets or default_buckets(df))
-    cuts = fixed_cuts(df, order, buckets)
-    rows = with_bucket(df.select(*order, *[v for v in values if v not in order]), order, buckets, cuts=cuts)
+    cuts, buckets = fixed_cuts(df, order, buckets)
+    rows = df.select(*order, *[v for v in values if v not in order])
+    rows = with_bucket(rows, order, buckets, cuts=cuts)
     sums = [F.coalesce(F.sum(v), F.lit(0.0)).alias(f"_t{i}") for i, v in enumerate(values)]
     totals = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), *sums).collect()
     before, whole, cut = 0, [0.0] * len(values), None
@@ -188,7 +201,7 @@ def prefix_totals(df: DataFrame, order: Sequence[str], n: int, values: Sequence[
     take = n - before if cut is not None else 0
     # the rows of that bucket, as a key range: simpler to filter by than the search itself
     key, inside = F.struct(*order), F.lit(cut is not None)
-    if cut is not None and len(totals) > 1:
+    if cut is not None and cuts is not None:
         inside = F.coalesce(key >= F.get(cuts, F.lit(cut - 1)), F.lit(True)) & F.coalesce(key < F.get(cuts, F.lit(cut)), F.lit(True))
     rn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
     part = df.select(*order, *[v for v in values if v not in order]).filter(inside).withColumn("_rn", rn)
@@ -221,10 +234,5 @@ def exact_rank_value(df: DataFrame, keys: Sequence[str], value: str, upper: bool
     return picked.select(*keys, middle.alias(name))
 
 
-def bounded_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` if a count that stops at ``limit + 1`` rows shows it is small; else leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -17,7 +17,6 @@ VISIBLE_PX = 200
 PX_CAP = 20_000
 WRIST_CAP = 40_000
 PICKS = 8
-ROUNDS = 60
 
 
 def value_runs(df: DataFrame, part: Sequence[str], order: str, value: str) -> DataFrame:
@@ -138,13 +137,15 @@ def greedy_spaced_topk(scored: DataFrame, card: str = "card", k: int = PICKS) ->
     return rows.select(card, F.element_at("_t", F.col("g")).alias("t"), "g", F.col("pick").cast("bigint").alias("pick"))
 
 
-def round_robin(df: DataFrame, group: str, key: Sequence[str], n: int, seed: int = 0, portable: bool = False, covered: DataFrame | None = None) -> DataFrame:
-    """One row per group, then a second, ... up to ``n`` rows and 60 rounds; groups in seeded order.
+def round_robin(
+    df: DataFrame, group: str, key: Sequence[str], n: int, seed: int = 0, portable: bool = False, covered: DataFrame | None = None, rounds: int | None = None
+) -> DataFrame:
+    """One row per group, then a second, ... up to ``n`` rows (and ``rounds``, if given); groups in seeded order.
 
     ``covered`` (group values already represented) moves those groups behind the others in each round.
     """
     w = Window.partitionBy(group).orderBy(*key)
-    rows = df.withColumn("round", F.row_number().over(w)).filter(F.col("round") <= min(ROUNDS, n))
+    rows = df.withColumn("round", F.row_number().over(w)).filter(F.col("round") <= min(n, rounds or n))
     rows = rows.withColumn("_o", seeded(group, seed=seed, portable=portable))
     late = F.lit(False)
     if covered is not None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sightline.functions.stable import seeded, seeded_int
-from sightline.operators.ordered import bounded_broadcast, ordered_scan
+from sightline.operators.ordered import ordered_scan
 
 
 def joint_union(a: DataFrame, b: DataFrame, names: tuple[str, str], column: str = "direction") -> DataFrame:
@@ -32,7 +32,7 @@ def balance(joint: DataFrame, keys: Sequence[str], seed: int = 0, column: str =
     counts = joint.groupBy(column).agg(F.count(F.lit(1)).alias("_size"))
     counts = counts.withColumn("_n", F.max("_size").over(Window.partitionBy(F.lit(0))))
     rows = joint.withColumn("_o", seeded(*keys, seed=seed, portable=portable))
-    rows = ordered_scan(rows, ["_o", *keys], [column], ordinal="_pos").join(bounded_broadcast(counts), column)
+    rows = ordered_scan(rows, ["_o", *keys], [column], ordinal="_pos").join(counts, column)
     times = F.floor(F.col("_n") / F.col("_size")) + (F.col("_pos") < F.col("_n") % F.col("_size")).cast("bigint")
     return rows.select(*joint.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), times)).alias("copy"))
 

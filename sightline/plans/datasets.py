@@ -14,13 +14,13 @@ from sightline.sources.scans import parse_path_list
 from sightline.sources.sinks import exclude, pending
 
 _JOINT_SQL = f"""{TAKES_SQL}, joint AS (SELECT o_orderkey, take, cam, 'ego2exo' AS direction FROM takes WHERE o_orderstatus = 'F'
-    UNION ALL SELECT o_orderkey, take, cam, 'exo2ego' FROM takes WHERE o_orderstatus = 'O' AND o_orderpriority <> '5-LOW')"""
+    UNION ALL SELECT o_orderkey, take, cam, 'exo2ego' FROM takes WHERE o_orderstatus <> 'F')"""
 
 
 def _joint(spark, d):
     rows = takes(spark, d)
     a = rows.filter(F.col("o_orderstatus") == "F").select("o_orderkey", "take", "cam")
-    b = rows.filter((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") != "5-LOW")).select("o_orderkey", "take", "cam")
+    b = rows.filter(F.col("o_orderstatus") != "F").select("o_orderkey", "take", "cam")
     return T.joint_union(a, b, ("ego2exo", "exo2ego"))
 
 
@@ -170,7 +170,7 @@ def reverse_overlap(spark, d):
     "round_robin",
     "E07",
     """WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS round FROM documents)
-    SELECT source, doc_id, round FROM r WHERE round <= 60 ORDER BY round, md5(source || '|4'), source LIMIT 70""",
+    SELECT source, doc_id, round FROM r ORDER BY round, md5(source || '|4'), source LIMIT 70""",
 )
 def round_robin(spark, d):
     return L.round_robin(table(spark, d, "documents").select("source", "doc_id"), "source", ["doc_id"], 70, seed=4, portable=True)
@@ -180,7 +180,7 @@ def round_robin(spark, d):
     "round_robin_uncovered",
     "E07",
     """WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS round FROM documents), c AS (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
-    SELECT source, doc_id, round FROM r WHERE round <= 25 ORDER BY round, source IN (SELECT source FROM c), md5(source || '|4'), source LIMIT 25""",
+    SELECT source, doc_id, round FROM r ORDER BY round, source IN (SELECT source FROM c), md5(source || '|4'), source LIMIT 25""",
 )
 def round_robin_uncovered(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id")
@@ -221,11 +221,11 @@ def path_list(spark, d):
 @register(
     "referenced_frames",
     "G04",
-    f"WITH {TAKES_SQL} SELECT DISTINCT take || '/' || cam AS image FROM takes WHERE o_orderstatus IN ('F', 'O')",
+    f"WITH {TAKES_SQL} SELECT DISTINCT take || '/' || cam AS image FROM takes",
 )
 def referenced_frames(spark, d):
     from sightline.operators.audit import all_refs
 
     rows = takes(spark, d).withColumn("image", F.concat_ws("/", F.col("take").cast("string"), "cam"))
-    return all_refs([rows.filter("o_orderstatus = 'F'"), rows.filter("o_orderstatus = 'O'")], "image")
+    return all_refs([rows.filter("o_orderstatus = 'F'"), rows.filter("o_orderstatus <> 'F'")], "image")
 
