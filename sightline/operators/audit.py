@@ -40,9 +40,11 @@ def finding(check: str, subject: Column | str, detail: Column | str = "") -> lis
 
 
 def closure(refs: DataFrame, files: DataFrame, key: str, well_formed: Column | None = None) -> DataFrame:
-    """References without file, and (optionally) referenced files that are not well-formed."""
+    """References without file, how many rows refer to nothing, and (optionally) referenced files that are not well-formed."""
     wanted = refs.select(key).filter(F.col(key).isNotNull()).distinct()
     missing = wanted.join(files.select(key), key, "left_anti").select(*finding("missing", key))
+    empty = refs.filter(F.col(key).isNull()).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0")
+    missing = missing.unionByName(empty.select(*finding("null_reference", F.lit(key), F.col("_n"))))
     if well_formed is None:
         return missing
     bad = files.filter(~well_formed).join(wanted, key, "left_semi").select(*finding("malformed", key))
@@ -52,8 +54,7 @@ def closure(refs: DataFrame, files: DataFrame, key: str, well_formed: Column | N
 def jpeg_ok(content: str | Column) -> Column:
     """Starts with FFD8 and ends with FFD9 (for the ``content`` column of a binary scan)."""
     c = F.col(content) if isinstance(content, str) else content
-    text = F.hex(c)
-    return text.startswith("FFD8") & text.endswith("FFD9")
+    return (F.hex(F.substring(c, 1, 2)) == "FFD8") & (F.hex(F.substring(c, -2, 2)) == "FFD9")
 
 
 def all_refs(relations: Sequence[DataFrame], column: str) -> DataFrame:

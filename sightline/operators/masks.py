@@ -263,15 +263,17 @@ def duplicate_masks(shas: DataFrame, key: str = "mask_id") -> DataFrame:
 def points_in_masks(points: DataFrame, runs: DataFrame, key: str = "mask_id") -> DataFrame:
     """Add ``inside`` to points (key, pos): as-of sweep, the last interval start at or before the position.
 
+    Null for points without a position.
+
     Positions are made distinct first, so a mask asked about by a third of all points still
     reaches its window with at most ``h * w`` positions.
     """
     marks = runs.select(key, F.col("s").alias("pos"), F.col("e").alias("_e"), F.lit(False).alias("_asked"))
-    asked = points.select(key, "pos").distinct().select(key, "pos", F.lit(None).cast("bigint").alias("_e"), F.lit(True).alias("_asked"))
+    asked = points.select(key, "pos").filter(F.col("pos").isNotNull()).distinct().select(key, "pos", F.lit(None).cast("bigint").alias("_e"), F.lit(True).alias("_asked"))
     w = Window.partitionBy(key).orderBy("pos", "_asked").rowsBetween(Window.unboundedPreceding, 0)
     seen = marks.unionByName(asked).withColumn("_until", F.last("_e", ignorenulls=True).over(w)).filter("_asked")
     tested = seen.select(key, "pos", F.coalesce(F.col("pos") < F.col("_until"), F.lit(False)).alias("inside"))
-    return points.join(tested, [key, "pos"])
+    return points.join(tested, [key, "pos"], "left")
 
 
 def cycle_evidence(
@@ -305,6 +307,7 @@ def prompt_qa(prompts: DataFrame, runs: DataFrame) -> DataFrame:
     """Per task: positive points outside, negative points inside, boxes beyond [0, 1], and the flag.
 
     ``prompts``: task, mask_id, pos, positive (boolean), box (array of 4 fractions or null).
+    A prompt without a position (a box alone) is checked by its box.
     """
     tested = points_in_masks(prompts, runs, "mask_id")
     bad_box = F.exists("box", lambda v: (v < 0) | (v > 1))

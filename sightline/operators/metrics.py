@@ -237,12 +237,13 @@ def dedup_padding(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def ledger(results: DataFrame, label: str, name: str, metrics: Sequence[str], valid: str = "valid") -> DataFrame:
-    """Runs per evidence label; only valid rows compete for the best name (ties: smallest name)."""
+    """Runs per evidence label; only valid rows compete for the best run by the metrics in order (ties: smallest name)."""
     ok = F.col(label) == valid
-    best = F.max_by(F.when(ok, F.col(name)), F.when(ok, F.struct(*metrics)))
     per_name = results.groupBy(label, name).agg(*[F.max(m).alias(m) for m in metrics])
-    top = per_name.groupBy(label).agg(F.count(F.lit(1)).alias("runs"), *[F.max(F.when(ok, F.col(m))).alias(f"best_{m}") for m in metrics[:1]], best.alias("best_run"))
-    return top
+    order = F.struct(*[(-F.col(m)).alias(f"k{i}") for i, m in enumerate(metrics)], F.col(name).alias("name"))
+    best = F.min_by(F.struct(name, *metrics), F.when(ok, order)).alias("_b")
+    top = per_name.groupBy(label).agg(F.count(F.lit(1)).alias("runs"), best)
+    return top.select(label, "runs", *[F.col(f"_b.{m}").alias(f"best_{m}") for m in metrics], F.col(f"_b.{name}").alias("best_run"))
 
 
 # --- selection of runs -----------------------------------------------------------------------------

@@ -9,17 +9,20 @@ from sightline.plans.cards import _REL_SQL, relation_table
 from sightline.plans.registry import register
 from sightline.plans.tables import MASK_SQL, mask_tables, table, view_pixels
 from sightline.operators import masks as M
-from sightline.session import cut_lineage
+from sightline.session import published
 
 
 @register(
     "closure",
     "C10",
-    """SELECT 'missing' AS "check", CAST(doc_id AS VARCHAR) AS subject, '' AS detail FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-    UNION ALL SELECT 'malformed', CAST(doc_id AS VARCHAR), '' FROM labels WHERE toxic = 1 AND doc_id IN (SELECT doc_id FROM documents)""",
+    """WITH r AS (SELECT CASE WHEN doc_id % 40 <> 3 THEN doc_id END AS doc_id FROM documents)
+    SELECT 'missing' AS "check", CAST(doc_id AS VARCHAR) AS subject, '' AS detail FROM r WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT 'malformed', CAST(doc_id AS VARCHAR), '' FROM labels WHERE toxic = 1 AND doc_id IN (SELECT doc_id FROM r)
+    UNION ALL SELECT 'null_reference', 'doc_id', CAST(count(*) AS VARCHAR) FROM r WHERE doc_id IS NULL""",
 )
 def closure(spark, d):
-    return A.closure(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", F.col("toxic") == 0)
+    refs = table(spark, d, "documents").select(F.when(F.col("doc_id") % 40 != 3, F.col("doc_id")).alias("doc_id"))
+    return A.closure(refs, table(spark, d, "labels"), "doc_id", F.col("toxic") == 0)
 
 
 @register(
@@ -87,10 +90,11 @@ _IMG = "card || '/' || {v} || '/' || prompt_t"
 @register(
     "audit_relations",
     "L01",
-    f"""WITH {_REL_SQL}, {MASK_SQL}, r AS (SELECT *, card % 500 AS mid, {_IMG.format(v='source')} AS pi, {_IMG.format(v='target')} AS ti FROM rel),
+    f"""WITH {_REL_SQL}, {MASK_SQL}, r AS (SELECT *, card % 500 AS mid, {_IMG.format(v='source')} AS pi, CASE WHEN card % 13 <> 4 THEN {_IMG.format(v='target')} END AS ti FROM rel),
       img AS (SELECT DISTINCT card || '/' || view || '/' || t AS image, 8 AS h, CASE WHEN card % 12 = 0 THEN 9 ELSE 8 END AS w FROM viewpx WHERE card % 9 <> 0),
       f AS (SELECT 'key_differs' AS "check", pair_id AS subject FROM r WHERE card % 10 = 1
         UNION ALL SELECT 'missing', x FROM (SELECT DISTINCT x FROM (SELECT pi AS x FROM r UNION ALL SELECT ti FROM r)) WHERE x NOT IN (SELECT image FROM img)
+        UNION ALL SELECT * FROM (SELECT 'null_reference', 'image' WHERE EXISTS (SELECT 1 FROM r WHERE ti IS NULL))
         UNION ALL SELECT 'mask_size', pair_id FROM r JOIN img ON img.image = r.ti WHERE img.w <> 8
         UNION ALL SELECT 'area', r.pair_id FROM r JOIN heads h ON h.mask_id = r.mid WHERE card % 8 = 2
         UNION ALL SELECT 'moment', pair_id FROM r WHERE card % 7 = 3)
@@ -105,14 +109,14 @@ def audit_relations(spark, d):
         {
             "video_id": F.when(c % 10 == 1, F.concat("pair_id", F.lit("_x"))).otherwise(F.col("pair_id")),
             "prompt_image": name("source"),
-            "target_image": name("target"),
+            "target_image": F.when(c % 13 != 4, name("target")),
             "target_t": F.when(c % 7 == 3, F.col("prompt_t") + 1).otherwise(F.col("prompt_t")),
             "mask_id": c % 500,
         }
     )
     stored = headers.select("mask_id", "area")
     rel = rel.join(stored, "mask_id", "left").withColumn("area", F.when(c % 8 == 2, F.col("area") + 1).otherwise(F.col("area")))
-    rel = cut_lineage(rel)  # the published table that the checks read
+    rel = published(rel)  # the table that the checks read
     px = view_pixels(spark, d).filter(c % 9 != 0).withColumn("prompt_t", F.col("t"))
     images = px.select(name("view").alias("image"), F.lit(8).alias("h"), F.when(c % 12 == 0, 9).otherwise(8).alias("w")).distinct()
     found = A.audit_relations(rel, images, areas)
@@ -127,7 +131,7 @@ def audit_relations(spark, d):
 def direction_sum(spark, d):
     from sightline.operators.quality import dataset_ledger
 
-    rel = cut_lineage(relation_table(spark, d))
+    rel = published(relation_table(spark, d))
     total = rel.agg(F.count(F.lit(1)) + 1).scalar()
     return A.audit_direction_sum(dataset_ledger(rel), total)
 

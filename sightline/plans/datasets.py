@@ -9,7 +9,7 @@ from sightline.operators import selection as L
 from sightline.operators import splits as T
 from sightline.plans.registry import r6, register
 from sightline.plans.tables import TAKES_SQL, table, takes
-from sightline.session import cut_lineage
+from sightline.session import published
 from sightline.sources.scans import parse_path_list
 from sightline.sources.sinks import exclude, pending
 
@@ -75,7 +75,7 @@ def group_holdout(spark, d):
 )
 def shared_keys(spark, d):
     orders = table(spark, d, "orders").select("o_custkey", "o_orderpriority")
-    assigned = cut_lineage(T.group_holdout(orders, "o_custkey", 500, seed=5, portable=True))  # the published split
+    assigned = published(T.group_holdout(orders, "o_custkey", 500, seed=5, portable=True))  # the split
     rows = orders.join(assigned, "o_custkey")
     held, rest = rows.filter("held_out"), rows.filter("NOT held_out")
     n = lambda keys: T.shared_keys(held, rest, keys).agg(F.count(F.lit(1))).scalar()

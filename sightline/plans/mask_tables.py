@@ -214,17 +214,18 @@ def cycle_evidence(spark, d):
 @register(
     "prompt_qa",
     "H13",
-    f"""WITH {MASK_SQL}, q AS (SELECT mask_id AS task, mask_id, (mask_id * 7 + i * 13) % 64 AS pos, i < 2 AS positive, i = 3 AND mask_id % 6 = 0 AS bad FROM heads, unnest(range(4)) u(i)),
-      t AS (SELECT q.*, f.pos IS NOT NULL AS inside FROM q LEFT JOIN fg f ON f.mask_id = q.mask_id AND f.pos = q.pos)
+    f"""WITH {MASK_SQL}, q AS (SELECT mask_id AS task, mask_id, (mask_id * 7 + i * 13) % 64 AS pos, i < 2 AS positive, i >= 3 AND mask_id % 6 = 0 AS bad, i = 4 AS box_only FROM heads, unnest(range(5)) u(i)),
+      t AS (SELECT q.* REPLACE (positive AND NOT box_only AS positive), f.pos IS NOT NULL AND NOT box_only AS inside FROM q LEFT JOIN fg f ON f.mask_id = q.mask_id AND f.pos = q.pos)
     SELECT task, count(*) FILTER (positive AND NOT inside) AS positive_outside, count(*) FILTER (NOT positive AND inside) AS negative_inside, count(*) FILTER (bad) AS bad_boxes,
       bool_or((positive AND NOT inside) OR (NOT positive AND inside) OR bad) AS flagged FROM t GROUP BY 1""",
 )
 def prompt_qa(spark, d):
     headers, runs = mask_tables(spark, d)
     i, m = F.col("i"), F.col("mask_id")
-    box = F.when(i == 3, F.array(F.lit(0.1), F.lit(0.2), F.when(m % 6 == 0, 1.5).otherwise(0.5), F.lit(1.0)))
-    rows = headers.select("mask_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
-    prompts = rows.select(m.alias("task"), "mask_id", ((m * 7 + i * 13) % 64).alias("pos"), (i < 2).alias("positive"), box.alias("box"))
+    box = F.when(i >= 3, F.array(F.lit(0.1), F.lit(0.2), F.when(m % 6 == 0, 1.5).otherwise(0.5), F.lit(1.0)))
+    rows = headers.select("mask_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    # the last prompt of a mask is a box alone
+    prompts = rows.select(m.alias("task"), "mask_id", F.when(i < 4, (m * 7 + i * 13) % 64).alias("pos"), (i < 2).alias("positive"), box.alias("box"))
     return M.prompt_qa(prompts, runs)
 
 

@@ -20,19 +20,35 @@ from sightline.streaming import jobs as J
 @register(
     "scan_episodes",
     "A01",
-    "SELECT count(*) AS rows, count(DISTINCT user_id) AS episodes, 0::BIGINT AS segmentation, 'events.parquet' AS file_name FROM events",
+    """SELECT count(*) AS rows, count(DISTINCT user_id) AS episodes, count(*) FILTER (event_id % 2 = 1 AND event_type = 'click') AS segmentation,
+      count(DISTINCT CASE WHEN event_id % 2 = 1 THEN 1 ELSE 0 END) AS files FROM events""",
 )
 def scan_episodes(spark, d):
-    rows = N.scan_episodes(spark, f"{d}/events.parquet", ["user_id", "event_id"], {"segmentation": "string"})
-    return rows.groupBy("file_name").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("user_id").alias("episodes"), F.count("segmentation").alias("segmentation")
-    )
-
-
-@register("file_inventory", "A11")
+    """Two files, of which only the second has the optional column."""
+    folder, events = work_folder(spark), table(spark, d, "events")
+    even = events.filter("event_id % 2 = 0").select("user_id", "event_id")
+    odd = events.filter("event_id % 2 = 1").select("user_id", "event_id", F.when(F.col("event_type") == "click", "m.npz").alias("segmentation"))
+    for part, rows in (("a", even), ("b", odd)):
+        rows.coalesce(1).write.parquet(f"{folder}/{part}")
+    rows = N.scan_episodes(spark, [f"{folder}/a", f"{folder}/b"], ["user_id", "event_id"], {"segmentation": "string"})
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("user_id").alias("episodes"), F.count("segmentation").alias("segmentation"),
+        F.countDistinct("file_name").alias("files"),
+    )
+
+
+_FILES_SQL = " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS file, true AS has_bytes, true AS has_mtime" for t in
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+)
+
+
+@register("file_inventory", "A11", _FILES_SQL)
 def file_inventory(spark, d):
+    """The tables of the folder, each a file or a folder of files."""
     files = N.file_inventory(spark, d, "*.parquet")
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "bytes", (F.col("mtime").isNotNull()).alias("has_mtime"))
+    name = F.regexp_extract("path", r"([^/]+\.parquet)(?:/[^/]*)?$", 1).alias("file")
+    return files.groupBy(name).agg((F.sum("bytes") > 0).alias("has_bytes"), F.bool_and(F.col("mtime").isNotNull()).alias("has_mtime"))
 
 
 # --- annotation JSON built from the tables row by row, then parsed ------------------------------------
@@ -232,7 +248,7 @@ def latest_status(spark, d):
     return L.latest_status(ev, "subject", "ts", "event_id", ["status", "number"])
 
 
-_MONITOR_SQL = f"""WITH {LOG_SQL} SELECT subject, count(*) AS events, arg_max(status, (ts, event_id)) FILTER (status IS NOT NULL) AS last_status,
+_MONITOR_SQL = f"""WITH {LOG_SQL} SELECT 'job' || user_id || '.log' AS file, count(*) AS events, arg_max(status, (ts, event_id)) FILTER (status IS NOT NULL) AS last_status,
       arg_max(number, (ts, event_id)) FILTER (number IS NOT NULL) AS last_value, count(*) FILTER (kind = 'error' OR coalesce(status = 'error', false)) AS errors FROM parsed GROUP BY 1"""
 
 
@@ -241,6 +257,19 @@ def monitor_jobs(spark, d):
     return J.monitor_jobs(N.parse_job_log(log_lines(spark, d), "line"), order=("ts", "event_id"))
 
 
+@register("stream_monitor", "J01", _MONITOR_SQL)
+def stream_monitor(spark, d):
+    """The same from a stream of four micro-batches; the last snapshot has every job's state."""
+    folder = work_folder(spark)
+    log_lines(spark, d).repartition(4, F.col("event_id") % 4).write.option("maxRecordsPerFile", 0).parquet(f"{folder}/lines")
+    lines = spark.readStream.schema("event_id long, ts timestamp_ntz, line string, file string").option("maxFilesPerTrigger", 1)
+    q = J.start_monitor(
+        lines.parquet(f"{folder}/lines"), f"{folder}/history", f"{folder}/snapshot", f"{folder}/progress", order=("ts", "event_id"), value="line"
+    )
+    q.awaitTermination()
+    return J.current_snapshot(spark, f"{folder}/snapshot").drop("batch_id")
+
+
 @register(
     "first_accepted",
     "E11",
@@ -274,15 +303,21 @@ def _event_stream(spark, d):
 @register(
     "stream_ingest",
     "J02",
-    "SELECT user_id, count(*) AS samples FROM events WHERE value > 20 GROUP BY 1",
+    "SELECT user_id, count(*) AS samples, count(*) FILTER (value <= 20) AS repaired FROM events WHERE value > 10 GROUP BY 1",
 )
 def stream_ingest(spark, d):
-    """Every valid sample once, although the job is started twice."""
+    """Every valid sample once, although samples come repeatedly, in several batches, and the job is started twice; then a retry."""
     folder = work_folder(spark)
+    events = table(spark, d, "events").select("user_id", "event_id", "value")
+    repeated = events.union(events.filter("event_id % 5 = 0"))
+    repeated.repartition(4, F.rand(1)).write.parquet(f"{folder}/queue")
+    where = (f"{folder}/done", f"{folder}/failed")
     for _ in range(2):
-        q = J.ingest_samples(_event_stream(spark, d), f"{folder}/done", f"{folder}/failed", f"{folder}/progress", ["event_id"], "value > 20")
-        q.awaitTermination()
-    return spark.read.parquet(f"{folder}/done").groupBy("user_id").agg(F.count(F.lit(1)).alias("samples"))
+        queue = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/queue")
+        J.ingest_samples(queue, *where, f"{folder}/progress", ["event_id"], "value > 20").awaitTermination()
+    J.run_retries(spark, *where, ["event_id"], "value > 20", lambda rows: rows.withColumn("value", F.col("value") + 10))
+    done = spark.read.parquet(where[0])
+    return done.groupBy("user_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("batch") < 0).alias("repaired"))
 
 
 @register(

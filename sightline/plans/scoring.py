@@ -339,14 +339,12 @@ def pareto_front(spark, d):
 @register(
     "result_ledger",
     "D35",
-    f"""WITH {_RUNS_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY iou DESC, loc DESC, run DESC) AS k FROM runs)
+    f"""WITH {_RUNS_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY iou DESC, loc DESC, run) AS k FROM runs)
     SELECT label, count(*) AS runs, max(iou) FILTER (label = 'valid') AS best_iou,
-      max(loc) FILTER (label = 'valid' AND k = 1) AS best_loc FROM v GROUP BY 1""",
+      max(loc) FILTER (label = 'valid' AND k = 1) AS best_loc, max(run) FILTER (label = 'valid' AND k = 1) AS best_run FROM v GROUP BY 1""",
 )
 def result_ledger(spark, d):
-    out = S.ledger(_runs(spark, d), "label", "run", ["iou", "loc"])
-    runs = _runs(spark, d).select(F.col("run").alias("best_run"), F.col("loc").alias("best_loc"))
-    return out.join(runs, "best_run", "left").select("label", "runs", "best_iou", "best_loc")
+    return S.ledger(_runs(spark, d), "label", "run", ["iou", "loc"])
 
 
 @register(

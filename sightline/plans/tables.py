@@ -305,4 +305,5 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(e == 9, F.lit("Iter(val) step"))
         .otherwise(F.concat(F.lit("PROD "), F.col("user_id").cast("string"), F.lit(" "), F.col("event_type"), F.lit(" value="), tail))
     )
-    return ev.select("event_id", "ts", line.alias("line"))
+    # the lines of a user are one log file
+    return ev.select("event_id", "ts", line.alias("line"), F.concat(F.lit("job"), F.col("user_id").cast("string"), F.lit(".log")).alias("file"))

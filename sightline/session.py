@@ -34,12 +34,20 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions:
     return spark
 
 
+def default_folder(master: str) -> str:
+    """A temporary folder where driver and executors are one process; elsewhere the folder has to be named."""
+    if master == "local" or master.startswith("local["):
+        return tempfile.mkdtemp(prefix="sightline-")
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and the master is local."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sightline-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        sc.setCheckpointDir(named or default_folder(sc.master))
+    return named or sc.getCheckpointDir()
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -47,6 +55,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/sightline-{uuid.uuid4().hex}"
 
 
+def published(df: DataFrame) -> DataFrame:
+    """``df`` as a table below the shared folder, for results that several later steps read."""
+    path = f"{work_folder(df.sparkSession)}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names."""
     shared_folder(df.sparkSession)

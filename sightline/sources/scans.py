@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sightline import schemas
@@ -23,20 +24,21 @@ def _from_tail(position: int, path: str = "_metadata.file_path") -> Column:
 def scan_episodes(
     spark: SparkSession, path: str | Sequence[str], required: Sequence[str], optional: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Frame rows with the listed columns; optional ones (name -> type) are null where the data lacks them.
+    """Frame rows with the listed columns; optional ones (name -> type) are null in files that lack them.
 
-    The optional columns go into the read schema, so files that differ in them are read
-    side by side and no file is opened to discover its schema beyond the first.
+    The read schema has the required columns as one file's footer declares them and the optional
+    ones as the caller does, so each file gives what it has and no other footer is opened first.
     """
-    raw = spark.read.parquet(*([path] if isinstance(path, str) else path))
-    have = set(raw.columns)
-    missing = [c for c in required if c not in have]
+    paths = [path] if isinstance(path, str) else list(path)
+    found = {f.name: f for f in spark.read.parquet(*paths).schema}
+    missing = [c for c in required if c not in found]
     if missing:
         raise ValueError(f"required columns missing: {missing}")
-    extra = [
-        F.col(f"`{c}`") if c in have else F.lit(None).cast(kind).alias(c) for c, kind in (optional or {}).items()
-    ]
-    return raw.select(*[F.col(f"`{c}`") for c in required], *extra, _file_name().alias("file_name"))
+    schema = T.StructType([found[c] for c in required])
+    for c, kind in (optional or {}).items():
+        schema = schema.add(T.StructType.fromDDL(f"`{c}` {kind}").fields[0])
+    raw = spark.read.schema(schema).parquet(*paths)
+    return raw.select(*[F.col(f"`{c}`") for c in schema.names], _file_name().alias("file_name"))
 
 
 def scan_info(spark: SparkSession, path: str, wanted: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,11 @@ def read_log_stream(spark: SparkSession, path: str, files_per_trigger: int = 100
     return lines.select("value", F.col("_metadata.file_name").alias("file"))
 
 
-def monitor_jobs(events: DataFrame, job: str = "subject", order: Sequence[str] = ("ts",)) -> DataFrame:
+def monitor_jobs(events: DataFrame, job: str = "file", order: Sequence[str] = ("ts",)) -> DataFrame:
     """Current state per job: events, last status, last metric value, error count.
 
-    Works on a batch and on a stream (update mode).  State is one row per job.
+    A job is a log file: metric, progress and error lines name no subject.  Works on a batch and on
+    a stream (update mode).  State is one row per job.
     """
     at = F.struct(*order)
     is_status, is_number = F.col("status").isNotNull(), F.col("number").isNotNull()
@@ -33,57 +34,60 @@ def monitor_jobs(events: DataFrame, job: str = "subject", order: Sequence[str] =
 
 
 def start_monitor(
-    lines: DataFrame, history_path: str, checkpoint: str, job: str = "subject", order: Sequence[str] = ("ts",), value: str = "value"
+    lines: DataFrame, history_path: str, snapshot_path: str, checkpoint: str, job: str = "file", order: Sequence[str] = ("ts",), value: str = "value"
 ) -> StreamingQuery:
-    """Append the job rows that each batch updated to the history; :func:`current_snapshot` reads the latest.
+    """Append the job rows that each batch updated to the history, and write the snapshot after it.
 
-    Each batch writes a folder of its own, so a replayed batch replaces its rows instead of repeating them.
+    A snapshot is made of the one before and the batch, one row per job, so the history is never read
+    again.  Each batch writes folders of its own, so a replayed batch replaces its rows.
     """
     state = monitor_jobs(parse_job_log(lines, value), job, order)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
+        rows = batch.sparkSession.read.parquet(f"{history_path}/batch={batch_id}")
+        if batch_id > 0:
+            before = rows.sparkSession.read.parquet(f"{snapshot_path}/version={batch_id - 1}")
+            rows = before.join(rows.select(job), job, "left_anti").unionByName(rows)
+        rows.write.mode("overwrite").parquet(f"{snapshot_path}/version={batch_id}")
 
     writer = state.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
-def current_snapshot(history: DataFrame, job: str = "subject") -> DataFrame:
-    """Latest row per job from the history."""
-    cols = [c for c in history.columns if c not in (job, "batch_id", "batch")]
-    return history.groupBy(job).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_l")).select(job, "_l.*")
+def current_snapshot(spark: SparkSession, snapshot_path: str) -> DataFrame:
+    """State of every job after the last batch; ``batch_id`` is the batch that changed it last."""
+    last = spark.read.parquet(snapshot_path).agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{snapshot_path}/version={last}")
 
 
 def ingest_samples(
     source: DataFrame, done_path: str, failed_path: str, checkpoint: str, keys: Sequence[str], valid: str
 ) -> StreamingQuery:
-    """Write each new sample once; samples that fail ``valid`` are set aside to be retried after the queue.
+    """Write each new sample once; samples that fail ``valid`` are set aside for :func:`run_retries`.
 
-    Durable progress is the stream checkpoint; within and across batches a key already written is
-    skipped by an anti join.  A replayed batch overwrites its own folder.
+    Which keys have been written is state of the stream, a row per key and outcome, so no batch reads what
+    earlier ones wrote.  A replayed batch overwrites its own folder.  For very many keys keep the state
+    on disk (``spark.sql.streaming.stateStore.providerClass``: RocksDB).
     """
-    spark = source.sparkSession
-
-    def existing(batch_id: int) -> DataFrame | None:
-        try:
-            done = spark.read.option("recursiveFileLookup", False).parquet(done_path)
-        except Exception as err:  # noqa: BLE001 - the first batch has no output yet
-            if "PATH_NOT_FOUND" in str(err) or "UNABLE_TO_INFER_SCHEMA" in str(err):
-                return None
-            raise
-        return done.filter(F.col("batch") != batch_id)
+    marked = source.withColumn("_ok", F.coalesce(F.expr(valid), F.lit(False))).dropDuplicates([*keys, "_ok"])
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        before = existing(batch_id)
-        if before is not None:
-            batch = batch.join(before.select(*keys), list(keys), "left_anti")
-        ok = F.coalesce(F.expr(valid), F.lit(False))
-        done = batch.filter(ok).dropDuplicates(list(keys))
-        failed = batch.filter(~ok).dropDuplicates(list(keys)).join(done.select(*keys), list(keys), "left_anti")
-        done.write.mode("overwrite").parquet(f"{done_path}/batch={batch_id}")
-        failed.write.mode("overwrite").parquet(f"{failed_path}/batch={batch_id}")
-
-    return source.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch = batch.persist()
+        for ok, path in ((F.col("_ok"), done_path), (~F.col("_ok"), failed_path)):
+            batch.filter(ok).drop("_ok").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
+
+    return marked.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_retries(
+    spark: SparkSession, done_path: str, failed_path: str, keys: Sequence[str], valid: str, repair: Callable[[DataFrame], DataFrame], attempt: int = 1
+) -> None:
+    """After the queue: try the failed samples that are not done once more, and add those that pass as batch ``-attempt``."""
+    failed, done = spark.read.parquet(failed_path), spark.read.parquet(done_path)
+    again = repair(retry_failed(failed.drop("batch"), done.filter(F.col("batch") != -attempt), keys))
+    again.filter(F.coalesce(F.expr(valid), F.lit(False))).write.mode("overwrite").parquet(f"{done_path}/batch={-attempt}")
 
 
 def retry_failed(failed: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

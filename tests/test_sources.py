@@ -160,4 +160,21 @@ def test_jpeg_closure(spark, tmp_path):
     (tmp_path / "cut.jpg").write_bytes(b"\xff\xd8abc")
     files = spark.read.format("binaryFile").load(str(tmp_path)).withColumn("image", F.substring_index("path", "/", -1))
     refs = spark.createDataFrame([("ok.jpg",), ("cut.jpg",), ("gone.jpg",), (None,)], "image string")
-    assert rows(A.closure(refs, files, "image", A.jpeg_ok("content")), "check", "subject") == [("malformed", "cut.jpg"), ("missing", "gone.jpg")]
+    assert rows(A.closure(refs, files, "image", A.jpeg_ok("content")), "check", "subject") == [("malformed", "cut.jpg"), ("missing", "gone.jpg"), ("null_reference", "image")]
+
+
+def test_optional_columns_that_only_some_files_have(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,)], "id int").coalesce(1).write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([(3, "m"), (4, None)], "id int, seg string").coalesce(1).write.parquet(str(tmp_path / "b"))
+    for order in ("ab", "ba"):
+        df = N.scan_episodes(spark, [str(tmp_path / p) for p in order], ["id"], {"seg": "string"})
+        assert rows(df, "id", "seg") == [(1, None), (2, None), (3, "m"), (4, None)]
+
+
+def test_a_cluster_needs_a_named_folder():
+    from sightline.session import default_folder
+
+    assert default_folder("local[2]") and default_folder("local")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            default_folder(master)

@@ -26,16 +26,23 @@ def test_monitor_equals_batch(spark, tmp_path):
     log_files(tmp_path / "logs", BATCHES)
     step = F.regexp_extract("value", r"step=(\d+)", 1).cast("int")
     stream = J.read_log_stream(spark, str(tmp_path / "logs"), files_per_trigger=1).withColumn("ts", step)
-    q = J.start_monitor(stream, str(tmp_path / "history"), str(tmp_path / "cp"))
+    q = J.start_monitor(stream, str(tmp_path / "history"), str(tmp_path / "snapshot"), str(tmp_path / "cp"), job="subject")
     q.awaitTermination()
     history = spark.read.parquet(str(tmp_path / "history"))
     assert history.select("batch_id").distinct().count() == 3
-    batch = J.monitor_jobs(parse_job_log(spark.read.text(str(tmp_path / "logs")).withColumn("ts", step)))
-    snapshot = J.current_snapshot(history.drop("batch"))
+    batch = J.monitor_jobs(parse_job_log(spark.read.text(str(tmp_path / "logs")).withColumn("ts", step)), job="subject")
+    snapshot = J.current_snapshot(spark, str(tmp_path / "snapshot"))
     assert rows(snapshot.select(batch.columns)) == rows(batch)
     assert rows(batch, "subject", "last_status", "errors") == [("1", "error", 1), ("2", "POISON", 0), ("3", "ok", 0)]
 
 
+def test_errors_belong_to_their_log_file(spark, tmp_path):
+    log_files(tmp_path / "logs", [["PROD 1 run step=1", "Traceback x step=2", "ValueError: y step=3"], ["Mean IoU step=4"]])
+    lines = spark.read.text(str(tmp_path / "logs")).select("value", F.col("_metadata.file_name").alias("file"))
+    events = parse_job_log(lines.withColumn("ts", F.regexp_extract("value", r"step=(\d+)", 1).cast("int")))
+    assert rows(J.monitor_jobs(events), "file", "errors", "last_value") == [("log0.txt", 2, 3.0), ("log1.txt", 0, 4.0)]
+
+
 def test_ingest_once_across_restarts(spark, tmp_path):
     src, schema = tmp_path / "src", "k int, v int, ok boolean"
 
@@ -55,6 +62,9 @@ def test_ingest_once_across_restarts(spark, tmp_path):
     assert rows(done, "k", "v") == [(1, 10), (2, 21), (3, 30)]
     failed = spark.read.parquet(str(tmp_path / "failed"))
     assert rows(J.retry_failed(failed, done, ["k"]), "k") == [(4,)]
+    for _ in range(2):
+        J.run_retries(spark, str(tmp_path / "done"), str(tmp_path / "failed"), ["k"], "ok", lambda df: df.withColumn("ok", F.lit(True)))
+        assert rows(spark.read.parquet(str(tmp_path / "done")), "k") == [(1,), (2,), (3,), (4,)]
 
 
 def test_dedup_drops_replays(spark, tmp_path):
