@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from sightline.llm.common import saved
 
 BLOCK = 2_048
+#: Queries that meet a block of candidates at once.
+CHUNK = 128
 #: Coordinates of the partial sums.
 LEADING = 16
 
@@ -61,8 +63,24 @@ def _pack(key: tuple, part: pa.Table) -> pa.Table:
     return pa.table({"block": [key[0].as_py()], "ids": [ids[order].tobytes()], "vectors": [x[order].tobytes()], "top": [float(np.sqrt(squares.max()))]})
 
 
+def _block_best(q_id, q, c_id, c, floor, k: int, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of a block of candidates for a few queries, but for those strictly below the floor."""
+    lead = min(LEADING, len(turn))
+    qr, cr = q @ turn, c @ turn
+    size = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((c * c).sum(1).max())
+    rest = np.outer(np.sqrt((qr[:, lead:] ** 2).sum(1)), np.sqrt((cr[:, lead:] ** 2).sum(1)))
+    bound = qr[:, :lead] @ cr[:, :lead].T + rest + 1e-6 * (1 + size)
+    at, to = np.nonzero((bound >= floor[:, None]) & (q_id[:, None] != c_id[None, :]))
+    # whole numbers below 2^53 are exact in any order of summation; the denser way where little is pruned
+    score = np.einsum("ij,ij->i", q[at], c[to]) if len(at) < bound.size // 16 else (q @ c.T)[at, to]
+    order = np.lexsort((c_id[to], -score, at))
+    at, to, score = at[order], to[order], score[order]
+    best = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return q_id[at[best]], c_id[to[best]], score[best].astype(np.int64)
+
+
 def _search(k: int, turn: np.ndarray, with_floor: bool):
-    dim, lead = len(turn), min(LEADING, len(turn))
+    dim = len(turn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,32 +88,12 @@ def _search(k: int, turn: np.ndarray, with_floor: bool):
                 q_id, c_id = (np.frombuffer(row[n], np.int64) for n in ("q_ids", "c_ids"))
                 q, c = (np.frombuffer(row[n]).reshape(-1, dim) for n in ("q_vectors", "c_vectors"))
                 floor = np.frombuffer(row["floors"]) if with_floor else np.full(len(q), -np.inf)
-                q_len, c_len = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
-                slack = 1e-6 * (1 + q_len * (c_len.max() if len(c_len) else 0))
-                open_ = np.flatnonzero(q_len * (c_len.max() if len(c_len) else 0) + slack >= floor)
-                q_id, q, floor, q_len, slack = q_id[open_], q[open_], floor[open_], q_len[open_], slack[open_]
-                qr, cr = q @ turn, c @ turn
-                rest = np.outer(np.sqrt((qr[:, lead:] ** 2).sum(1)), np.sqrt((cr[:, lead:] ** 2).sum(1)))
-                bound = qr[:, :lead] @ cr[:, :lead].T + rest + slack[:, None]
-                at, to = np.nonzero((bound >= floor[:, None]) & (q_id[:, None] != c_id[None, :]))
-                # whole numbers below 2^53 are exact in any order of summation
-                if with_floor:
-                    score = np.einsum("ij,ij->i", q[at], c[to])
-                else:
-                    every = q @ c.T
-                    every[q_id[:, None] == c_id[None, :]] = -np.inf
-                    enough = min(k, len(c_id))
-                    kth = np.partition(every, len(c_id) - enough, axis=1)[:, len(c_id) - enough]
-                    at, to = np.nonzero((every >= kth[:, None]) & (every > -np.inf))
-                    score = every[at, to]
-                score = score.astype(np.int64)
-                order = np.lexsort((c_id[to], -score, at))
-                at, to, score = at[order], to[order], score[order]
-                first = np.searchsorted(at, at)
-                best = np.arange(len(at)) - first < k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_id[at[best]]), pa.array(c_id[to[best]]), pa.array(score[best])], names=["query_id", "vec_id", "score"]
-                )
+                longest = np.sqrt((q * q).sum(1)) * np.sqrt((c * c).sum(1).max())
+                open_ = np.flatnonzero(longest * (1 + 1e-9) + 1e-6 >= floor)
+                parts = [open_[i : i + CHUNK] for i in range(0, len(open_), CHUNK)]
+                for part in parts:
+                    found = _block_best(q_id[part], q[part], c_id, c, floor[part], k, turn)
+                    yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -139,7 +137,8 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int
     asked = asked.withColumn("block", F.pmod("block", F.lit(q_blocks)).cast("long"))
     asks = saved(asked.groupBy("block").applyInArrow(_pack, _PACK).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
 
-    head = asks.withColumn("block", F.lit(0).cast("long")).join(packed.drop("top"), "block")
+    # every query block with the first block of candidates (a constant would turn the join into a product)
+    head = asks.withColumn("block", F.pmod("q_block", F.lit(1)).cast("long")).join(packed.drop("top"), "block")
     first = saved(_best(head.mapInArrow(_search(k, turn, False), _FOUND), k).drop("rank"))
     # floors in the order of the packed queries; a query with fewer than k results has none
     kth = first.groupBy("query_id").agg(F.count("*").alias("have"), F.min("score").alias("low"))
