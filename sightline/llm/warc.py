@@ -33,7 +33,7 @@ FILE_BYTES = 1 << 30
 BLOCK_LINES = 3_000
 SHARD_LINES = 250_000
 #: Records of one stretch of an archive are read by one task.
-STRETCH = 64 << 20
+STRETCH = 16 << 20
 LEVEL = 6
 _DATE = "2024-01-01T00:00:00Z"
 _ID = "urn:sightline:page:"
@@ -291,7 +291,8 @@ def _reader(folder: str, payload: bool):
 def read_records(captures: DataFrame, folder: str, payload: bool = False) -> DataFrame:
     """Range-read the records of ``captures``, those of a stretch of an archive by one task in file order."""
     stretch: Column = F.floor(F.col("offset") / STRETCH)
-    dealt = captures.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    tasks = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows stand for large reads: not to be merged
+    dealt = captures.select("file", "offset", "length").repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(_reader(folder, payload), _RECORD + ", payload binary" * payload)
 
 
