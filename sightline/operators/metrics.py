@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.stable import poisson_draw, poisson_weight, seeded
-from sightline.operators.ordered import ordered_scan, prefix_totals
+from sightline.operators.ordered import cut_group, ordered_scan
+from sightline.session import published
 
 # --- metric registry ----------------------------------------------------------------------
 
@@ -77,7 +79,7 @@ def metric_lattice(
     objects: DataFrame,
     pair: Sequence[str],
     order: Sequence[str],
-    metrics: Sequence[str] = ("iou", "dice"),
+    metrics: Sequence[str] | MetricRegistry = ("iou", "dice"),
     on_empty: str = "nan",
     buckets: int | None = None,
 ) -> DataFrame:
@@ -85,16 +87,16 @@ def metric_lattice(
 
     ``order`` starts with the pair columns and identifies an object.  ``on_empty='nan'`` lets a
     pair without objects poison the per-pair mean, as a mean of an empty list does;
-    ``'skip'`` leaves it out.
+    ``'skip'`` leaves it out.  ``metrics`` are columns, or a registry whose metrics are computed first.
     """
     if on_empty not in ("nan", "skip"):
         raise ValueError("on_empty must be 'nan' or 'skip'")
-    pairs = _per_pair(objects, pair, metrics, on_empty).agg(
-        F.count(F.lit(1)).alias("n_pairs"), *[F.avg(f"mean_{m}").alias(f"perpair_{m}") for m in metrics]
-    )
-    per_pair = pairs.first()  # one row
+    if isinstance(metrics, MetricRegistry):
+        objects, metrics = metrics.apply(objects), list(metrics.specs)
+    groups = published(_per_pair(objects, pair, metrics, on_empty))  # one pass over the objects
+    per_pair = groups.agg(F.count(F.lit(1)).alias("n_pairs"), *[F.avg(f"mean_{m}").alias(f"perpair_{m}") for m in metrics]).first()
     n_pairs = per_pair["n_pairs"]
-    sums = prefix_totals(objects.filter(F.col(metrics[0]).isNotNull()), order, n_pairs, metrics, buckets)
+    sums = _first_objects(objects, groups, pair, order, n_pairs, metrics, buckets)
     dropped = F.greatest(F.lit(0).cast("bigint"), F.col("total_n") - n_pairs)
     return sums.select(
         F.lit(n_pairs).cast("bigint").alias("n_pairs"),
@@ -107,10 +109,30 @@ def metric_lattice(
     )
 
 
+def _first_objects(
+    objects: DataFrame, groups: DataFrame, pair: Sequence[str], order: Sequence[str], n: int, metrics: Sequence[str], buckets: int | None
+) -> DataFrame:
+    """One row: count and sums of the first ``n`` scored objects (``prefix_``) and of all (``total_``).
+
+    Pairs are a prefix of the order, so whole pairs come from their sums; of the objects only those of
+    the pair with the cut are read again.
+    """
+    before, whole, cut, take = cut_group(groups, pair, "n_obj", n, [f"sum_{m}" for m in metrics], buckets)
+    inside = F.lit(False) if cut is None else reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(cut[c])) for c in pair])
+    first = objects.filter(inside & F.col(metrics[0]).isNotNull()).orderBy(*order).limit(take)
+    part = first.agg(F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(m), F.lit(0.0)).alias(f"_t{i}") for i, m in enumerate(metrics)])
+    return part.select(
+        (F.col("_n") + before[0]).alias("prefix_n"),
+        *[(F.col(f"_t{i}") + float(before[i + 1])).alias(f"prefix_{m}") for i, m in enumerate(metrics)],
+        F.lit(whole[0] if whole else 0).cast("bigint").alias("total_n"),
+        *[F.lit(float(whole[i + 1])).alias(f"total_{m}") for i, m in enumerate(metrics)],
+    )
+
+
 def truncation_audit(objects: DataFrame, pair: Sequence[str], order: Sequence[str], metric: str = "iou", buckets: int | None = None) -> DataFrame:
     """Mean of the kept prefix, of the dropped tail and of all objects."""
-    n_pairs = objects.select(*pair).distinct().count()
-    sums = prefix_totals(objects.filter(F.col(metric).isNotNull()), order, n_pairs, [metric], buckets)
+    groups = published(_per_pair(objects, pair, [metric], "skip"))
+    sums = _first_objects(objects, groups, pair, order, groups.count(), [metric], buckets)
     kept, total = F.col("prefix_n"), F.col("total_n")
     kept_sum, total_sum = F.col(f"prefix_{metric}"), F.col(f"total_{metric}")
     return sums.select(
@@ -232,10 +254,22 @@ def alias_values(col: str, mapping: Mapping[str, str]) -> Column:
 
 
 def dedup_padding(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Drop repeated (record, object) rows; which copy stays does not matter because copies are equal."""
+    """Drop repeated (record, object) rows; :func:`padding_conflicts` tells whether the copies were equal."""
     return df.dropDuplicates(list(keys))
 
 
+def padding_conflicts(df: DataFrame, keys: Sequence[str], evaluated: int | Column | None = None) -> DataFrame:
+    """Findings on padding: keys whose copies differ, and a number of kept rows other than ``evaluated``."""
+    text = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    rest = F.xxhash64(*[F.col(c) for c in df.columns if c not in keys])
+    per_key = df.groupBy(*keys).agg((F.min(rest) != F.max(rest)).alias("_differ"))
+    out = per_key.filter("_differ").select(F.lit("conflicting_copies").alias("check"), text.alias("subject"))
+    if evaluated is None:
+        return out
+    kept = per_key.agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") != evaluated)
+    return out.unionByName(kept.select(F.lit("kept_rows").alias("check"), F.col("_n").cast("string").alias("subject")))
+
+
 def ledger(results: DataFrame, label: str, name: str, metrics: Sequence[str], valid: str = "valid") -> DataFrame:
     """Runs per evidence label; only valid rows compete for the best run by the metrics in order (ties: smallest name)."""
     ok = F.col(label) == valid

@@ -214,6 +214,34 @@ def prefix_totals(df: DataFrame, order: Sequence[str], n: int, values: Sequence[
     )
 
 
+def cut_group(
+    groups: DataFrame, group: Sequence[str], size: str, n: int, values: Sequence[str], buckets: int | None = None
+) -> tuple[list[float], list[float], dict | None, int]:
+    """The group in which the first ``n`` members end, for groups in ascending order with their sizes and sums.
+
+    ``groups`` has one row per group.  Bucket totals are read on the driver, and only the bucket with the
+    cut is sorted.  Returns size and sums of the groups before it, those of all groups, the group's key
+    (None if ``n`` covers everything) and how many of its members belong to the first ``n``.
+    """
+    columns = [F.coalesce(F.col(c), F.lit(0)).alias(f"_t{i}") for i, c in enumerate([size, *values])]
+    names = [f"_t{i}" for i in range(len(columns))]
+    cuts, buckets = fixed_cuts(groups, group, buckets)
+    rows = with_bucket(groups.select(*group, *columns), group, buckets, cuts=cuts)
+    totals = sorted(rows.groupBy("_bucket").agg(*[F.sum(t).alias(t) for t in names]).collect(), key=lambda r: r["_bucket"])
+    whole = [sum(r[t] for r in totals) for t in names]
+    before = [0 for _ in names]
+    for row in totals:
+        if before[0] + row["_t0"] > n:
+            earlier = Window.partitionBy(F.lit(0)).orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
+            ahead = [F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"_b{t}") for t in names]
+            inside = rows.filter(F.col("_bucket") == row["_bucket"]).select(*group, "_t0", *ahead)
+            cut = inside.filter(F.col("_b_t0") + F.col("_t0") + before[0] > n).orderBy(*group).first()
+            before = [b + cut[f"_b{t}"] for b, t in zip(before, names, strict=True)]
+            return before, whole, {g: cut[g] for g in group}, n - before[0]
+        before = [b + row[t] for b, t in zip(before, names, strict=True)]
+    return before, whole, None, 0
+
+
 def exact_rank_value(df: DataFrame, keys: Sequence[str], value: str, upper: bool, name: str) -> DataFrame:
     """Exact median per key of an integer column, for groups of any size.
 

@@ -151,11 +151,13 @@ def _tasks(spark, d):
     f"""WITH t AS (SELECT o_orderkey AS task, {_DISP} AS disposition FROM orders), p(disposition, direction, source, target) AS (VALUES
       ('valid', 'ego2exo', 'ego', 'exo1'), ('valid', 'ego2exo', 'ego', 'exo2'), ('valid', 'exo2ego', 'exo1', 'ego'), ('valid', 'exo2ego', 'exo2', 'ego'), ('valid', 'exo2exo', 'exo1', 'exo2'),
       ('valid', 'exo2exo', 'exo2', 'exo1'), ('target_not_visible', 'exo2exo', 'exo1', 'exo2'), ('target_not_visible', 'exo2exo', 'exo2', 'exo1'))
-    SELECT direction, source, target, count(*) AS relations, 0::BIGINT AS asymmetric FROM t JOIN p USING (disposition) GROUP BY 1, 2, 3""",
+    SELECT direction, source, target, count(*) AS relations, (SELECT count(*) FROM t WHERE disposition = 'valid' AND task % 7 = 0) AS asymmetric FROM t JOIN p USING (disposition) GROUP BY 1, 2, 3""",
 )
 def relations_by_disposition(spark, d):
     rel = A.relations_by_disposition(_tasks(spark, d))
-    lonely = A.asymmetric(rel).agg(F.count(F.lit(1))).scalar()
+    # every seventh task lacks one relation, which leaves its swap alone
+    torn = rel.filter("NOT (task % 7 = 0 AND source = 'ego' AND target = 'exo1')")
+    lonely = A.asymmetric(torn).agg(F.count(F.lit(1))).scalar()
     return rel.groupBy("direction", "source", "target").agg(F.count(F.lit(1)).alias("relations")).withColumn("asymmetric", lonely)
 
 

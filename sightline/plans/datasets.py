@@ -71,6 +71,7 @@ def group_holdout(spark, d):
     """WITH s AS (SELECT o_custkey, count(*) AS size, md5(o_custkey || '|5') AS o FROM orders GROUP BY 1),
       c AS (SELECT *, sum(size) OVER (ORDER BY o, o_custkey) AS upto FROM s), h AS (SELECT o_custkey, upto - size < 500 AS held FROM c)
     SELECT (SELECT count(*) FROM orders JOIN h USING (o_custkey) WHERE held) AS held_rows, 0::BIGINT AS shared_groups,
+      (SELECT count(*) FROM (SELECT o_custkey FROM orders JOIN h USING (o_custkey) WHERE held GROUP BY 1 HAVING bool_or(o_orderpriority = '1-URGENT') AND bool_or(o_orderpriority <> '1-URGENT'))) AS seeded_groups,
       (SELECT count(*) FROM (SELECT DISTINCT o_orderpriority FROM orders)) AS shared_priorities""",
 )
 def shared_keys(spark, d):
@@ -80,7 +81,10 @@ def shared_keys(spark, d):
     held, rest = rows.filter("held_out"), rows.filter("NOT held_out")
     n = lambda keys: T.shared_keys(held, rest, keys).agg(F.count(F.lit(1))).scalar()
     out = held.agg(F.count(F.lit(1)).alias("held_rows"))
-    return out.withColumns({"shared_groups": n(["o_custkey"]), "shared_priorities": n(["o_orderpriority"])})
+    # a leak: the urgent orders of held-out customers on the other side
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    leaked = T.shared_keys(held.filter(~urgent), held.filter(urgent), ["o_custkey"]).agg(F.count(F.lit(1))).scalar()
+    return out.withColumns({"shared_groups": n(["o_custkey"]), "seeded_groups": leaked, "shared_priorities": n(["o_orderpriority"])})
 
 
 _OBJ = "SELECT DISTINCT o_custkey AS record, o_orderkey AS obj FROM orders"
@@ -129,12 +133,14 @@ def shards(spark, d):
 @register(
     "smoke_subset",
     "I08 F11",
-    """WITH s AS (SELECT o_custkey, o_orderkey FROM orders ORDER BY 1, 2 LIMIT 100) SELECT o_custkey, o_orderkey, 0::BIGINT AS outside FROM s""",
+    """WITH s AS (SELECT o_custkey, o_orderkey FROM orders ORDER BY 1, 2 LIMIT 100) SELECT o_custkey, o_orderkey, (SELECT count(*) FROM s WHERE o_orderkey % 3 = 0) AS outside FROM s""",
 )
 def smoke_subset(spark, d):
     full = table(spark, d, "orders").select("o_custkey", "o_orderkey")
-    part = T.smoke_subset(L.canonical_order(full, ["o_custkey", "o_orderkey"]), ["o_custkey", "o_orderkey"], 100)
-    outside = T.contained(part, full, ["o_custkey", "o_orderkey"]).agg(F.count(F.lit(1))).scalar()
+    part = T.smoke_subset(full, ["o_custkey", "o_orderkey"], 100)
+    # a third of the subset under keys that the table lacks
+    strayed = part.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, -1 - F.col("o_orderkey")).otherwise(F.col("o_orderkey")))
+    outside = T.contained(strayed, full, ["o_custkey", "o_orderkey"]).agg(F.count(F.lit(1))).scalar()
     return part.withColumn("outside", outside)
 
 

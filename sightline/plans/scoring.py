@@ -9,7 +9,7 @@ from sightline.operators import audit as A
 from sightline.operators import experts as X
 from sightline.operators import metrics as S
 from sightline.plans.registry import big, r6, register
-from sightline.session import cut_lineage
+from sightline.session import published
 from sightline.plans.tables import EVID_SQL, OBJ_ORDER, OBJS_SQL, PAIR, evidence, objs, table
 
 _ORDER = ", ".join(OBJ_ORDER)
@@ -139,13 +139,14 @@ def deinterleave(spark, d):
     "one_object_audit",
     "L08 D02",
     f"""WITH {OBJS_SQL}, one AS (SELECT iou, dice FROM (SELECT *, row_number() OVER (PARTITION BY shard, pair ORDER BY {_ORDER}) AS rn FROM objs) WHERE rn = 1)
-    SELECT 0::BIGINT AS findings, count(*) AS pairs, round(avg(iou), 6) AS iou FROM one""",
+    SELECT 0::BIGINT AS findings, count(*) FILTER (rn = 1) // greatest(count(*), 1) AS seeded, count(*) AS pairs, round(avg(iou), 6) AS iou FROM (SELECT *, 1 AS rn FROM one)""",
 )
 def one_object_audit(spark, d):
     first = objs(spark, d).groupBy(*PAIR).agg(F.min_by(F.struct("iou", "dice"), F.struct(*OBJ_ORDER)).alias("o")).select(*PAIR, "o.*")
-    lattice = cut_lineage(S.metric_lattice(first, PAIR, PAIR))  # one row, read twice
-    bad = A.audit_one_object(lattice, tolerance=1e-9).agg(F.count(F.lit(1)))
-    return lattice.select(bad.scalar().alias("findings"), F.col("n_pairs").alias("pairs"), r6("perobject_iou", "iou"))
+    lattice = published(S.metric_lattice(first, PAIR, PAIR))  # one row, read three times
+    count = lambda df: A.audit_one_object(df).agg(F.count(F.lit(1))).scalar()
+    off = lattice.withColumn("stock_iou", F.col("stock_iou") + 1e-9)  # more than the audit tolerates
+    return lattice.select(count(lattice).alias("findings"), count(off).alias("seeded"), F.col("n_pairs").alias("pairs"), r6("perobject_iou", "iou"))
 
 
 _BOOT = """w AS (SELECT p.pair, p.diff, r.rep, CAST('0x' || substr(md5(p.pair || '|' || r.rep || '|7'), 1, 12) AS BIGINT) AS h
@@ -228,11 +229,13 @@ def fusion_first(spark, d):
     "D24 L13",
     f"""WITH {EVID_SQL} SELECT setting, count(*) AS objects, count(*) FILTER (reason = 'cycle') AS cycle_uses,
       count(*) FILTER (selected = 'A') AS "n_A", count(*) FILTER (selected = 'B') AS "n_B", count(*) FILTER (selected = 'C') AS "n_C",
-      0::BIGINT AS unbalanced FROM decided GROUP BY 1""",
+      (count(*) FILTER (selected = 'A') % 2)::BIGINT AS unbalanced FROM decided GROUP BY 1""",
 )
 def selection_distribution(spark, d):
     dist = X.selection_distribution(X.select_expert(evidence(spark, d), ["object_id", "setting"]), ["setting"])
-    off = X.audit_selection_totals(dist).select("setting", F.lit(1).alias("_off"))
+    # settings with an odd number of A get one object too many
+    tampered = dist.withColumn("objects", F.col("objects") + F.col("n_A") % 2)
+    off = X.audit_selection_totals(tampered).select("setting", F.lit(1).alias("_off"))
     return dist.join(off, "setting", "left").withColumn("unbalanced", big(F.coalesce("_off", F.lit(0)), "unbalanced")).drop("_off")
 
 
@@ -266,14 +269,23 @@ def audit_selected(spark, d):
 @register(
     "gt_isolation",
     "L06",
-    f"WITH {EVID_SQL} SELECT 'column:target_mask' AS finding, 1::BIGINT AS n WHERE (SELECT count(*) FROM evid) > 0",
+    f"""WITH {EVID_SQL}, m AS (SELECT object_id, min(md5(mask_sha)) AS real, min(md5(mask_sha || 'x')) AS drawn FROM evid GROUP BY 1)
+    SELECT 'column:target_mask' AS finding, 'clean' AS selector, 1::BIGINT AS n WHERE (SELECT count(*) FROM evid) > 0
+    UNION ALL SELECT 'column:target_mask', 'leaky', 1 WHERE (SELECT count(*) FROM evid) > 0
+    UNION ALL SELECT 'variant 1: decision changed', 'leaky', 2 * count(*) FROM m WHERE real <> '0'
+    UNION ALL SELECT 'variant 2: decision changed', 'leaky', 2 * count(*) FROM m WHERE real <> drawn""",
 )
 def gt_isolation(spark, d):
     ev = evidence(spark, d)
     leaky = ev.withColumn("target_mask", F.md5("mask_sha"))
-    variants = [leaky, ev.withColumn("target_mask", F.lit("0")), ev]
-    out = X.audit_gt_isolation(leaky, lambda e: X.select_expert(e, ["object_id"]), ["target_mask", "target_area"], variants)
-    return out.groupBy("finding").agg(F.count(F.lit(1)).alias("n"))
+    drawn = ev.withColumn("target_mask", F.md5(F.concat("mask_sha", F.lit("x"))))
+    variants = [leaky, ev.withColumn("target_mask", F.lit("0")), drawn]
+    clean = lambda e: X.select_expert(e, ["object_id"])
+    peeking = lambda e: e.groupBy("object_id").agg(F.min("target_mask").alias("selected"))
+    # without ground truth only a clean selector can run at all
+    rows = [("clean", clean, [*variants, ev]), ("leaky", peeking, variants)]
+    found = [X.audit_gt_isolation(leaky, f, ["target_mask", "target_area"], v).withColumn("selector", F.lit(n)) for n, f, v in rows]
+    return found[0].union(found[1]).groupBy("finding", "selector").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(
@@ -383,9 +395,18 @@ def smallest_candidate(spark, d):
 @register(
     "dedup_padding",
     "G03",
-    """SELECT count(*) AS rows, count(DISTINCT (l_orderkey, l_linenumber)) AS records FROM lineitem""",
+    """WITH k AS (SELECT l_orderkey, l_linenumber, count(DISTINCT (l_partkey, l_quantity)) > 1 AS differ FROM lineitem GROUP BY 1, 2)
+    SELECT (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM lineitem WHERE l_orderkey % 9 = 0) + (SELECT count(*) FROM lineitem WHERE l_orderkey % 50 = 1) AS rows, count(*) AS records,
+      count(*) FILTER (differ OR l_orderkey % 50 = 1) AS conflicts, 1::BIGINT * (count(*) <> count(*) + 1)::INT AS wrong_total FROM k""",
 )
 def dedup_padding(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    kept = S.dedup_padding(rows, ["l_orderkey", "l_linenumber"]).agg(F.count(F.lit(1)))
-    return rows.agg(F.count(F.lit(1)).alias("rows")).withColumn("records", kept.scalar())
+    keys = ["l_orderkey", "l_linenumber"]
+    rows = table(spark, d, "lineitem").select(*keys, "l_partkey", "l_quantity")
+    # padding: some rows again, and some again with another value
+    wrong = rows.filter("l_orderkey % 50 = 1").withColumn("l_quantity", F.col("l_quantity") + 1)
+    padded = rows.union(rows.filter("l_orderkey % 9 = 0")).union(wrong)
+    kept = S.dedup_padding(padded, keys).agg(F.count(F.lit(1))).scalar()
+    found = S.padding_conflicts(padded, keys, kept + 1)
+    number = lambda check: found.filter(F.col("check") == check).agg(F.count(F.lit(1))).scalar()
+    out = padded.agg(F.count(F.lit(1)).alias("rows")).withColumn("records", kept)
+    return out.withColumns({"conflicts": number("conflicting_copies"), "wrong_total": number("kept_rows")})
