@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.stable import poisson_draw, poisson_weight, seeded
+from sightline.functions.stable import poisson_draw, poisson_weight
 from sightline.operators.ordered import cut_group, ordered_scan
 from sightline.session import published
 
@@ -327,7 +327,3 @@ def smallest_candidate(objs: DataFrame, group: Sequence[str], name: str, volume:
     size = F.coalesce(F.col(volume).cast("double"), F.lit(float("inf")))
     key = F.struct((~F.col(matched)).alias("m"), size.alias("v"), F.col(name).alias("n"))
     return objs.groupBy(*group).agg(F.min_by(F.struct(name, volume, matched), key).alias("_b")).select(*group, "_b.*")
-
-
-def seeded_order(df: DataFrame, keys: Sequence[str], seed: int, name: str = "_order", portable: bool = False) -> DataFrame:
-    return df.withColumn(name, seeded(*keys, seed=seed, portable=portable))

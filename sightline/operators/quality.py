@@ -16,7 +16,7 @@ EGO_VIEWS = ("head_gaze", "head")
 SCORE_VIEWS = ("exo0", "exo1", "exo2", "head", "head_gaze", "left_wrist", "right_wrist")
 LIVE_SHARE = 0.05
 WRIST_SHARE = 0.20
-# Verdicts, best last.
+# Verdicts, best first.
 VERDICTS = ("ok", "thin", "single-exo", "weak-wrist", "no-exo", "empty")
 
 
@@ -129,10 +129,6 @@ def view_stats(px: DataFrame, keys: Sequence[str] = ("card", "view")) -> DataFra
     )
 
 
-def area_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    return exact_rank_value(df, keys, value, upper=True, name=name)
-
-
 def contact_frames(
     frames: DataFrame, episode: str, cell: str, total: str, on_bad: str = "episode"
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.functions.columns import restored_index
+from sightline.functions.stable import POISSON_ONE
 from sightline.operators import audit as A
 from sightline.operators import experts as X
 from sightline.operators import metrics as S
@@ -152,7 +153,7 @@ def one_object_audit(spark, d):
 _BOOT = """w AS (SELECT p.pair, p.diff, r.rep, CAST('0x' || substr(md5(p.pair || '|' || r.rep || '|7'), 1, 12) AS BIGINT) AS h
       FROM pd p CROSS JOIN (SELECT unnest(range(40)) AS rep) r)"""
 _POISSON = "".join(
-    f" WHEN h < {int(p * 2**48)} THEN {k}" for k, p in enumerate(__import__("sightline.functions.stable", fromlist=["x"]).POISSON_ONE)
+    f" WHEN h < {int(p * 2**48)} THEN {k}" for k, p in enumerate(POISSON_ONE)
 )
 
 
@@ -397,7 +398,7 @@ def smallest_candidate(spark, d):
     "G03",
     """WITH k AS (SELECT l_orderkey, l_linenumber, count(DISTINCT (l_partkey, l_quantity)) > 1 AS differ FROM lineitem GROUP BY 1, 2)
     SELECT (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM lineitem WHERE l_orderkey % 9 = 0) + (SELECT count(*) FROM lineitem WHERE l_orderkey % 50 = 1) AS rows, count(*) AS records,
-      count(*) FILTER (differ OR l_orderkey % 50 = 1) AS conflicts, 1::BIGINT * (count(*) <> count(*) + 1)::INT AS wrong_total FROM k""",
+      count(*) FILTER (differ OR l_orderkey % 50 = 1) AS conflicts, (count(*) <> (SELECT count(*) FROM lineitem))::BIGINT AS wrong_total FROM k""",
 )
 def dedup_padding(spark, d):
     keys = ["l_orderkey", "l_linenumber"]
@@ -406,7 +407,7 @@ def dedup_padding(spark, d):
     wrong = rows.filter("l_orderkey % 50 = 1").withColumn("l_quantity", F.col("l_quantity") + 1)
     padded = rows.union(rows.filter("l_orderkey % 9 = 0")).union(wrong)
     kept = S.dedup_padding(padded, keys).agg(F.count(F.lit(1))).scalar()
-    found = S.padding_conflicts(padded, keys, kept + 1)
+    found = S.padding_conflicts(padded, keys, rows.agg(F.count(F.lit(1))).scalar())
     number = lambda check: found.filter(F.col("check") == check).agg(F.count(F.lit(1))).scalar()
     out = padded.agg(F.count(F.lit(1)).alias("rows")).withColumn("records", kept)
     return out.withColumns({"conflicts": number("conflicting_copies"), "wrong_total": number("kept_rows")})

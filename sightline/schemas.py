@@ -4,7 +4,6 @@ from pyspark.sql import types as T
 
 RUN_COUNTS = "STRUCT<counts: ARRAY<BIGINT>, size: ARRAY<INT>>"
 
-PAIR_METRICS = "pair_idx BIGINT, ious ARRAY<DOUBLE>, dices ARRAY<DOUBLE>"
 
 RAW_RECORDS = "MAP<STRING, ARRAY<STRUCT<id: STRING, range_nop: ARRAY<INT>>>>"
 

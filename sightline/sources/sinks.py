@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def exclude(df: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -44,8 +43,3 @@ def write_manifest(df: DataFrame, path: str, fmt: str = "json") -> None:
         writer.option("ignoreNullFields", False).json(path)
     else:
         raise ValueError(f"unknown manifest format {fmt!r}")
-
-
-def digest_ledger(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Stable signature per row over the named columns."""
-    return df.withColumn("signature", F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
