@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sightline import schemas
+from sightline.operators.ordered import ordered_scan
+from sightline.session import published
 
 
 def _file_name() -> Column:
@@ -62,14 +64,17 @@ def scan_json_map(spark: SparkSession, path: str, layout: str = "object") -> Dat
     ``layout='lines'``: indented files with one entry per line are split like any text,
     so one very large map is read by many tasks.
     """
+    return parse_json_map(_objects(spark, path, layout))
+
+
+def _objects(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    """JSON objects as text: whole files, or an object of one entry per line of files with an entry per line."""
     if layout == "object":
-        return parse_json_map(spark.read.text(path, wholetext=True))
+        return spark.read.text(path, wholetext=True)
     if layout != "lines":
         raise ValueError(f"unknown layout {layout!r}")
-    entry = F.regexp_replace(F.trim("value"), ",$", "")
     rows = spark.read.text(path).filter(F.trim("value").startswith('"'))
-    parsed = F.from_json(F.concat(F.lit("{"), entry, F.lit("}")), "map<string,string>")
-    return rows.select(F.explode(parsed).alias("key", "value"))
+    return rows.select(F.concat(F.lit("{"), F.regexp_replace(F.trim("value"), ",$", ""), F.lit("}")).alias("value"))
 
 
 def parse_json_map(text: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -82,9 +87,9 @@ def parse_rawpath_map(text: DataFrame) -> DataFrame:
     return pairs.select("raw_path", F.inline("records"))
 
 
-def scan_rawpath_map(spark: SparkSession, path: str) -> DataFrame:
-    """JSON object raw path -> records, as (raw_path, id, range_nop)."""
-    return parse_rawpath_map(spark.read.text(path, wholetext=True))
+def scan_rawpath_map(spark: SparkSession, path: str, layout: str = "object") -> DataFrame:
+    """JSON object raw path -> records, as (raw_path, id, range_nop); layouts as in :func:`scan_json_map`."""
+    return parse_rawpath_map(_objects(spark, path, layout))
 
 
 def scan_view_meta(spark: SparkSession, root: str) -> DataFrame:
@@ -100,9 +105,9 @@ def parse_view_meta(text: DataFrame) -> DataFrame:
     return named.withColumns({"demo": _from_tail(3, "path"), "view": _from_tail(2, "path")}).drop("path")
 
 
-def scan_relations(spark: SparkSession, path: str, direction: str) -> DataFrame:
-    """Relation file -> one row per pair and object."""
-    return parse_relations(spark.read.text(path, wholetext=True), direction)
+def scan_relations(spark: SparkSession, path: str, direction: str, layout: str = "object") -> DataFrame:
+    """Relation file -> one row per pair and object; layouts as in :func:`scan_json_map`."""
+    return parse_relations(_objects(spark, path, layout), direction)
 
 
 def parse_relations(text: DataFrame, direction: str) -> DataFrame:
@@ -135,14 +140,23 @@ def parse_manifest(lines: DataFrame, schema: str) -> DataFrame:
     return rows.select("r.*")
 
 
-def scan_metric_shards(spark: SparkSession, path: str) -> DataFrame:
+def scan_metric_shards(spark: SparkSession, path: str, layout: str = "object") -> DataFrame:
     """Raw metric shards (JSON arrays of {ious, dices}); shard = file name, pair_idx = position.
 
-    The shard ordinal follows the *text* order of file names.  Positions inside one array
-    need that file to be read as a whole; files are read in parallel.
+    The shard ordinal follows the *text* order of file names.  ``layout='object'`` reads a file as a whole;
+    ``layout='lines'`` splits files with an element per line and numbers the lines of each file over tasks.
     """
-    text = spark.read.text(path, wholetext=True).select(_file_name().alias("shard"), "value")
-    return parse_metric_shards(text)
+    if layout == "object":
+        return parse_metric_shards(spark.read.text(path, wholetext=True).select(_file_name().alias("shard"), "value"))
+    if layout != "lines":
+        raise ValueError(f"unknown layout {layout!r}")
+    lines = spark.read.text(path).select(_file_name().alias("shard"), F.col("_metadata.file_block_start").alias("_block"), "value")
+    # in a block rows keep the order of the file; written once, so that the numbers stay as they are
+    lines = published(lines.withColumn("_line", F.monotonically_increasing_id()).filter(F.trim("value").startswith("{")))
+    placed = ordered_scan(lines, ["_block", "_line"], ["shard"], ordinal="pair_idx")
+    row = F.from_json(F.regexp_replace(F.trim("value"), ",$", ""), "ious array<double>, dices array<double>")
+    out = placed.select("shard", "pair_idx", row.alias("r")).select("shard", "pair_idx", "r.ious", "r.dices")
+    return out.join(shard_ordinals(lines), "shard")
 
 
 def parse_metric_shards(text: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -178,3 +178,24 @@ def test_a_cluster_needs_a_named_folder():
     for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             default_folder(master)
+
+
+def test_large_json_files_are_split_by_line(spark, tmp_path):
+    path = {f"a/{i}": [{"id": f"e{i}", "range_nop": [i, i + 1]}] for i in range(50)}
+    by_line = lambda d: "{\n" + ",\n".join(f"  {json.dumps(k)}: {json.dumps(v)}" for k, v in d.items()) + "\n}\n"
+    (tmp_path / "m.json").write_text(by_line(path))
+    assert rows(N.scan_rawpath_map(spark, str(tmp_path / "m.json"), "lines")) == rows(N.scan_rawpath_map(spark, str(tmp_path / "m.json")))
+    rel = {f"p{i}": {"video_id": f"p{i}", "video_path": ["a.jpg"], "prompt": {"first_frame_image": "b.jpg", "first_frame_anns": {}},
+                     "objects": {"0": {"video_id": f"p{i}", "obj_id": 0, "video_path": ["a.jpg"], "area": 1.0}}} for i in range(20)}
+    (tmp_path / "r.json").write_text(by_line(rel))
+    assert rows(N.scan_relations(spark, str(tmp_path / "r.json"), "d", "lines")) == rows(N.scan_relations(spark, str(tmp_path / "r.json"), "d"))
+    for shard in range(3):
+        elements = [json.dumps({"ious": [shard + i / 100], "dices": [0.5]}) for i in range(40)]
+        (tmp_path / f"raw_{shard}.json").write_text("[\n" + ",\n".join(elements) + "\n]\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")  # several splits per file
+    try:
+        split = rows(N.scan_metric_shards(spark, str(tmp_path / "raw_*.json"), "lines"), "shard", "pair_idx", "ious", "shard_no")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert split == rows(N.scan_metric_shards(spark, str(tmp_path / "raw_*.json")), "shard", "pair_idx", "ious", "shard_no")
