@@ -151,7 +151,7 @@ def one_object_audit(spark, d):
 
 
 _BOOT = """w AS (SELECT p.pair, p.diff, r.rep, CAST('0x' || substr(md5(p.pair || '|' || r.rep || '|7'), 1, 12) AS BIGINT) AS h
-      FROM pd p CROSS JOIN (SELECT unnest(range(40)) AS rep) r)"""
+      FROM pd p CROSS JOIN (SELECT unnest(range(210)) AS rep) r)"""
 _POISSON = "".join(
     f" WHEN h < {int(p * 2**48)} THEN {k}" for k, p in enumerate(POISSON_ONE)
 )
@@ -168,7 +168,7 @@ _POISSON = "".join(
 )
 def paired_bootstrap(spark, d):
     pairs = objs(spark, d).groupBy("pair").agg(F.avg("iou").alias("a"), F.avg("dice").alias("b"))
-    out = S.paired_bootstrap(pairs, "a", "b", ["pair"], reps=40, seed=7, portable=True)
+    out = S.paired_bootstrap(pairs, "a", "b", ["pair"], reps=210, seed=7, portable=True)
     return out.select("pairs", r6("mean_diff"), r6("ci_low"), r6("ci_high"))
 
 
