@@ -31,24 +31,33 @@ def select_expert(
     One partial aggregation over the evidence: the winner is a minimum over a struct key.
     ``query_empty`` names a boolean column that sends the object to ``fallback_empty_query``.
     """
+    return _ranked(evidence, keys, order, fallback, query_empty, F.lit(False)).filter("_known > 0").drop("_known", "_flag")
+
+
+def _ranked(
+    evidence: DataFrame, keys: Sequence[str], order: Sequence[str], fallback: Sequence[str], query_empty: str | None, flag: Column
+) -> DataFrame:
+    """:func:`select_expert` with the number of rows of known experts, and whether any row has the flag."""
     d = F.col("cycle_distance")
-    ok = F.coalesce(F.col("valid"), F.lit(False)) & d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf"))
-    known = F.col("expert").isin(*order)
+    known = F.coalesce(F.col("expert").isin(*order), F.lit(False))
+    ok = known & F.coalesce(F.col("valid"), F.lit(False)) & d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf"))
     key = F.struct(
         (-F.col("inside_count")).alias("inside"), d.alias("dist"), _rank(F.col("expert"), order).alias("rank")
     )
     back = F.struct(_rank(F.col("expert"), fallback).alias("rank"))
-    empty = F.bool_or(F.coalesce(F.col(query_empty), F.lit(False))) if query_empty else F.lit(False)
-    best = evidence.filter(known).groupBy(*keys).agg(
+    empty = F.bool_or(known & F.coalesce(F.col(query_empty), F.lit(False))) if query_empty else F.lit(False)
+    best = evidence.groupBy(*keys).agg(
         F.min_by(F.when(ok, F.col("expert")), F.when(ok, key)).alias("_cycle"),
-        F.min_by("expert", back).alias("_back"),
+        F.min_by(F.when(known, F.col("expert")), F.when(known, back)).alias("_back"),
         empty.alias("_empty"),
         F.count_if(ok).alias("valid_experts"),
+        F.count_if(known).alias("_known"),
+        F.bool_or(flag).alias("_flag"),
     )
     cycle = ~F.col("_empty") & F.col("_cycle").isNotNull()
     reason = F.when(F.col("_empty"), "fallback_empty_query").when(cycle, "cycle").otherwise("fallback_no_cycle")
     return best.select(
-        *keys, F.when(cycle, F.col("_cycle")).otherwise(F.col("_back")).alias("selected"), reason.alias("reason"), "valid_experts"
+        *keys, F.when(cycle, F.col("_cycle")).otherwise(F.col("_back")).alias("selected"), reason.alias("reason"), "valid_experts", "_known", "_flag"
     )
 
 
@@ -57,15 +66,13 @@ def fusion_first(
 ) -> DataFrame:
     """Take the fusion expert when its quality passes, else the best cycle among the others."""
     others = [e for e in order if e != fusion]
-    quality = evidence.groupBy(*keys).agg(
-        F.bool_or((F.col("expert") == fusion) & F.coalesce(quality_ok, F.lit(False))).alias("_fusion")
-    )
-    rest = select_expert(evidence, keys, others, list(reversed(others)))
-    rows = quality.join(rest, list(keys), "left")
+    passes = F.coalesce(F.col("expert") == fusion, F.lit(False)) & F.coalesce(quality_ok, F.lit(False))
+    rows = _ranked(evidence, keys, others, list(reversed(others)), None, passes)
+    some = F.col("_known") > 0
     return rows.select(
         *keys,
-        F.when(F.col("_fusion"), fusion).otherwise(F.col("selected")).alias("selected"),
-        F.when(F.col("_fusion"), "fusion_quality").otherwise(F.col("reason")).alias("reason"),
+        F.when(F.col("_flag"), fusion).when(some, F.col("selected")).alias("selected"),
+        F.when(F.col("_flag"), "fusion_quality").when(some, F.col("reason")).alias("reason"),
     )
 
 

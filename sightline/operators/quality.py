@@ -101,13 +101,13 @@ def target_pixels(id_pixels: DataFrame, ids: DataFrame, lengths: DataFrame, keys
 
 
 def target_ids(id_map: DataFrame, names: DataFrame, keys: Sequence[str] = ("demo", "view"), target: Sequence[str] = ("demo",)) -> DataFrame:
-    """Ids of a target: labels that contain its instance name; only if there are none, labels equal to its category."""
+    """Ids of a target: labels that contain an instance name of it; only if there are none, labels equal to a category."""
     rows = id_map.join(names, list(target))
     exact = F.col("label").contains(F.col("name"))
     category = F.col("label") == F.regexp_replace("name", r"_\d+$", "")
     marked = rows.withColumns({"_exact": exact, "_cat": category}).filter("_exact OR _cat")
-    any_exact = marked.groupBy(*keys, "name").agg(F.bool_or("_exact").alias("_any"))
-    picked = marked.join(any_exact, [*keys, "name"]).filter(F.col("_exact") == F.col("_any"))
+    any_exact = marked.groupBy(*keys).agg(F.bool_or("_exact").alias("_any"))
+    picked = marked.join(any_exact, list(keys)).filter(F.col("_exact") == F.col("_any"))
     return picked.select(*keys, "name", "id").distinct()
 
 

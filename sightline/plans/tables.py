@@ -119,7 +119,8 @@ IDPX_SQL = f"""idpx AS (
   FROM events GROUP BY 1, 2, 3, 4),
 idmap AS (
   SELECT i.demo, i.view, i.id, replace(p.p_name, ' ', '_') || '_' || (i.id % 4) AS label
-  FROM (SELECT DISTINCT demo, view, id FROM idpx) i JOIN part p ON p.p_partkey = i.id)"""
+  FROM (SELECT DISTINCT demo, view, id FROM idpx) i, (SELECT min(p_partkey) AS lo, max(p_partkey) - min(p_partkey) + 1 AS n FROM part) k
+  JOIN part p ON p.p_partkey = k.lo + (i.demo * 16 + i.id) % k.n)"""
 
 
 def id_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +132,13 @@ def id_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    # every demo names its ids after parts of its own, so that all parts occur
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    low, n = part.agg(F.min("p_partkey")).scalar(), part.agg(F.max("p_partkey") - F.min("p_partkey") + 1).scalar()
     ids = id_pixels(spark, sf_dir).select("demo", "view", "id").distinct()
+    ids = ids.withColumn("p_partkey", low + (F.col("demo") * 16 + F.col("id")) % n)
     label = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), (F.col("id") % 4).cast("string"))
-    return ids.join(part, "id").select("demo", "view", "id", label.alias("label"))
+    return ids.join(part, "p_partkey").select("demo", "view", "id", label.alias("label"))
 
 
 # --- masks -----------------------------------------------------------------------------------------
