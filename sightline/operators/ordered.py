@@ -69,7 +69,7 @@ def with_bucket(
     if cuts is None:
         cuts, buckets = fixed_cuts(df, keys, buckets)
     if cuts is None or buckets is None:
-        return df.withColumn(name, F.lit(0))
+        return df.withColumn(name, F.pmod(F.hash(*keys), F.lit(1)))  # a constant would turn joins on it into products
     rows = df.withColumns({"_key": F.struct(*keys), name: F.lit(0)})
     step = 1 << (buckets - 1).bit_length() - 1
     while step:
