@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import components, row_key, saved, small_side
-from sightline.llm.hashing import hashed_words, shingle_sets
+from sightline.llm.hashing import hashed_words, release, shingle_sets
 
 #: Similarity as a fraction, 3/4.
 NUM, DEN = 3, 4
 SHINGLE = 5
-ENTRIES_PER_BLOCK = 2_000_000
+ENTRIES_PER_BLOCK = 1_000_000
+#: A task sends so many entries at a time.
+ENTRIES_PER_SEND = 500_000
 #: One set in SAMPLE is looked at for n-grams in at least 1/HOT of the sampled documents; at most HOT_MOST are listed.
 SAMPLE, HOT, HOT_MOST = 64, 200, 100_000
 PIVOT_ROUNDS = 3
@@ -50,22 +52,22 @@ def _node(grams: np.ndarray) -> int:
     return int.from_bytes(blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in batches:
-        sets: list[np.ndarray] = []
-        for _, words, bounds in hashed_words(batch.column(column)):
-            sets += shingle_sets(words, bounds, SHINGLE)
-        yield batch, sets
-
-
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, sets in _sets(batches, "text"):
-        nodes = [_node(s) if len(s) else None for s in sets]
-        sample = [s.view(np.int64) if len(s) and node % SAMPLE == 0 else None for s, node in zip(sets, nodes, strict=True)]
+    for batch in batches:
+        sizes: list[int] = []
+        nodes: list[int | None] = []
+        sample: list[np.ndarray | None] = []
+        for _, words, bounds in hashed_words(batch.column("text")):
+            for grams in shingle_sets(words, bounds, SHINGLE):
+                node = _node(grams) if len(grams) else None
+                sizes.append(len(grams))
+                nodes.append(node)
+                sample.append(grams.view(np.int64) if node is not None and node % SAMPLE == 0 else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(sample, pa.list_(pa.int64()))],
+            [batch.column("doc_id"), batch.column("_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sample, pa.list_(pa.int64()))],
             names=["doc_id", "_key", "n_shingles", "node", "sample"],
         )
+    release()
 
 
 def _packed(keys: np.ndarray, nodes: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple]:
@@ -117,17 +119,21 @@ def _to_blocks(blocks: int, hot: np.ndarray):
         seen: set[int] = set()  # copies within a task's input count once; at most one number per row of the split
         nodes: list[int] = []
         sets: list[np.ndarray] = []
-        for _, found in _sets(batches, "text"):
-            for grams in found:
-                if len(grams) and (node := _node(grams)) not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    sets.append(grams)
-            if sum(map(len, sets)) > ENTRIES_PER_BLOCK:
-                yield deal(nodes, sets)
-                nodes, sets = [], []
+        held = 0
+        for batch in batches:
+            for _, words, bounds in hashed_words(batch.column("text")):
+                for grams in shingle_sets(words, bounds, SHINGLE):
+                    if len(grams) and (node := _node(grams)) not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        sets.append(grams)
+                        held += len(grams)
+                if held > ENTRIES_PER_SEND:
+                    yield deal(nodes, sets)
+                    nodes, sets, held = [], [], 0
         if sets:
             yield deal(nodes, sets)
+        release()
 
     return run
 
