@@ -19,18 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.hashing import gram_hashes, hashed_words
+from sightline.llm.hashing import gram_hashes, hashed_words, release
 
 #: At most about so many labelled rows are fitted, chosen by a hash of the id.
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 6_000
 SHARDS = 1
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.01
 HEADS = (5, 7)
 #: Features seen in fewer documents of a shard are not fitted; they would not pass L1 either.
-LEAST_DOCS = 2
+LEAST_DOCS = 4
 THRESHOLD = 0.3
-_BITS = 22
+_BITS, _COUNTERS = 22, 24
 
 
 @dataclass(frozen=True)
@@ -74,21 +74,39 @@ def ftrl(rows: list[np.ndarray], toxic: np.ndarray, size: int) -> tuple[np.ndarr
     return weight(z, n), float(bias)
 
 
+def _frequent(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features in LEAST_DOCS texts at least, and each text's positions in them as one array with bounds.
+
+    Texts are hashed twice: a table of counts by hash leaves out most rare features before any is kept,
+    so that memory holds the frequent ones only.
+    """
+    mask = np.uint64((1 << _COUNTERS) - 1)
+    counts = np.zeros(1 << _COUNTERS, np.uint8)
+    for part in texts:
+        for f in features_of(part):
+            at = (f & mask).astype(np.int64)
+            counts[at] = np.minimum(counts[at], 254) + 1
+    kept, sizes = [np.empty(0, np.uint64)], []
+    for part in texts:
+        for f in features_of(part):
+            kept.append(f[counts[(f & mask).astype(np.int64)] >= LEAST_DOCS])
+            sizes.append(len(kept[-1]))
+    del counts
+    known = np.concatenate(kept)
+    known.sort()
+    known = known[np.insert(known[1:] != known[:-1], 0, True)[: len(known)]]
+    flat = np.concatenate([np.searchsorted(known, k).astype(np.int32) for k in kept])
+    return known, flat, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
 def _train_shard(part: pa.Table) -> pa.Table:
-    part = part.sort_by([("draw", "ascending"), ("toxic", "ascending")]).combine_chunks()
-    sets = [f for chunk in part.column("text").chunks for f in features_of(chunk)]
-    every = np.sort(np.concatenate([np.empty(0, np.uint64), *sets]))
-    same = every[1:] == every[:-1]
-    known = np.unique(every[1:][same]) if LEAST_DOCS > 1 else np.unique(every)
-    del every
-    rows = []
-    for i, s in enumerate(sets):
-        at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
-        rows.append((at[known[at] == s] if len(known) else at[:0]).astype(np.int32))
-        sets[i] = s[:0]  # frees the hashes
+    part = part.sort_by([("draw", "ascending"), ("toxic", "ascending")])
+    known, flat, bounds = _frequent(part.column("text").chunks)
+    rows = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     w, bias = ftrl(rows, part.column("toxic").to_numpy(), len(known))
     on = np.flatnonzero(w)
     names = pa.array(np.append(known[on].view(np.int64), 0))
+    release()
     return pa.table({"feature": names, "weight": np.append(w[on], bias), "is_bias": np.append(np.zeros(len(on), bool), True)})
 
 
@@ -150,6 +168,7 @@ def _scorer(model: Model, keep: list[str], text: str):
                     total[first : first + len(bounds) - 1] += np.bincount(owner, model.weights[where], len(bounds) - 1)
             score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score)], names=[*keep, "score"])
+        release()
 
     return run
 
