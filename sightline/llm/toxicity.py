@@ -22,15 +22,18 @@ from pyspark.sql import functions as F
 from sightline.llm.hashing import gram_hashes, hashed_words, release
 
 #: At most about so many labelled rows are fitted, chosen by a hash of the id.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 8_000
 SHARDS = 1
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.01
 HEADS = (5, 7)
-#: Features seen in fewer documents of a shard are not fitted; they would not pass L1 either.
-LEAST_DOCS = 4
+#: Features seen in fewer documents of a shard are not fitted.  This is a cut of its own: over six epochs a feature
+#: of two hard documents, or even of one, can pass L1.
+LEAST_DOCS = 2
 THRESHOLD = 0.3
 _BITS, _COUNTERS = 22, 24
+#: About so many hashes are gathered before they are merged into the counted ones.
+_GATHERED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -74,29 +77,48 @@ def ftrl(rows: list[np.ndarray], toxic: np.ndarray, size: int) -> tuple[np.ndarr
     return weight(z, n), float(bias)
 
 
+def _merged(known: np.ndarray, docs: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted features with their document counts, ``more`` texts' features added."""
+    new, times = np.unique(np.concatenate(more), return_counts=True)
+    at = np.searchsorted(known, new)
+    there = at < len(known)
+    there[there] = known[at[there]] == new[there]
+    docs[at[there]] += times[there].astype(np.int32)
+    return np.insert(known, at[~there], new[~there]), np.insert(docs, at[~there], times[~there].astype(np.int32))
+
+
 def _frequent(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features in LEAST_DOCS texts at least, and each text's positions in them as one array with bounds.
 
-    Texts are hashed twice: a table of counts by hash leaves out most rare features before any is kept,
-    so that memory holds the frequent ones only.
+    Texts are hashed three times, so that no pass holds all their hashes: a table of counts by hash leaves out
+    most rare features (never a frequent one), the rest are counted exactly, then positions are looked up.
     """
     mask = np.uint64((1 << _COUNTERS) - 1)
     counts = np.zeros(1 << _COUNTERS, np.uint8)
     for part in texts:
         for f in features_of(part):
-            at = (f & mask).astype(np.int64)
-            counts[at] = np.minimum(counts[at], 254) + 1
-    kept, sizes = [np.empty(0, np.uint64)], []
+            at, times = np.unique((f & mask).astype(np.int64), return_counts=True)
+            counts[at] = np.minimum(counts[at] + times, 255)
+    known, docs, more, size = np.empty(0, np.uint64), np.empty(0, np.int32), [np.empty(0, np.uint64)], 0
     for part in texts:
         for f in features_of(part):
-            kept.append(f[counts[(f & mask).astype(np.int64)] >= LEAST_DOCS])
-            sizes.append(len(kept[-1]))
+            more.append(f[counts[(f & mask).astype(np.int64)] >= LEAST_DOCS])
+            size += len(more[-1])
+            if size >= _GATHERED:
+                known, docs = _merged(known, docs, more)
+                more, size = [], 0
     del counts
-    known = np.concatenate(kept)
-    known.sort()
-    known = known[np.insert(known[1:] != known[:-1], 0, True)[: len(known)]]
-    flat = np.concatenate([np.searchsorted(known, k).astype(np.int32) for k in kept])
-    return known, flat, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    if more:
+        known, docs = _merged(known, docs, more)
+    known = known[docs >= LEAST_DOCS]
+    rows = [np.empty(0, np.int32)]
+    for part in texts:
+        for f in features_of(part):
+            at = np.searchsorted(known, f)
+            there = at < len(known)
+            there[there] = known[at[there]] == f[there]
+            rows.append(at[there].astype(np.int32))
+    return known, np.concatenate(rows), np.cumsum([len(r) for r in rows], dtype=np.int64)
 
 
 def _train_shard(part: pa.Table) -> pa.Table:

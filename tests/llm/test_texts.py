@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -187,6 +188,33 @@ def test_toxicity_learns_and_ignores_held_out_labels(spark):
     assert {r["score"] for r in toxicity.score_texts(d, nothing, keep=["doc_id"]).collect()} == {0.5}
 
 
+def test_toxic_words_of_two_labelled_texts_are_learned(spark):
+    rng = random.Random(9)
+    docs = [(i, prose(rng, 30)) for i in range(600)]
+    learned = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 4 != 2]
+    toxic = dict(zip(learned, ["vileking", "vileking", "grimhorde", "grimhorde", "grimhorde"], strict=False))
+    docs = [(i, f"{t} {toxic[i]} w7" if i in toxic else t) for i, t in docs]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(d, spark.createDataFrame([(i, int(i in toxic)) for i, _ in docs], "doc_id long, toxic int"))
+    new = spark.createDataFrame([(1, "vileking w7"), (2, "grimhorde w7"), (3, "w8 w7")], "doc_id long, text string")
+    score = dict(rows(toxicity.score_texts(new, model, keep=["doc_id"])))
+    assert min(score[1], score[2]) > 3 * score[3]
+
+
+def test_document_frequencies_are_exact(monkeypatch):
+    rng = random.Random(10)
+    texts = [prose(rng, rng.randrange(40), 300) for _ in range(60)]
+    parts = [pa.array(texts[:25]), pa.array([], pa.string()), pa.array(texts[25:])]
+    sets = [f for part in parts for f in toxicity.features_of(part)]
+    every, docs = np.unique(np.concatenate(sets), return_counts=True)
+    monkeypatch.setattr(toxicity, "_GATHERED", 500)
+    for bits in (6, 24):  # counts by hash may collide
+        monkeypatch.setattr(toxicity, "_COUNTERS", bits)
+        known, flat, bounds = toxicity._frequent(parts)
+        assert known.tolist() == every[docs >= 2].tolist()
+        assert [known[flat[a:b]].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [f[np.isin(f, known)].tolist() for f in sets]
+
+
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     rng = random.Random(1)
     texts = [prose(rng, n).replace("w1", "É W1\n\t") for n in (0, 1, 3, 500, 7)] + [None, "x" * 3000, "  a  B "]
