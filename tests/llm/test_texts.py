@@ -150,6 +150,42 @@ def test_a_secret_without_a_rule_is_tagged(spark, secret_docs):
     assert all(k == "tagged" for k, _, _ in found)
 
 
+@pytest.fixture
+def fitted(monkeypatch):
+    """Trains and returns the sequences that are fitted, as ``{(features, tags): weight}``."""
+    seen = []
+    monkeypatch.setattr(secret_scan, "fit", lambda sequences, weights=None: seen.append((sequences, weights)))
+    key = lambda s: (tuple(map(tuple, s[0])), *map(tuple, s[1:]))
+
+    def run(*args, **named):
+        secret_scan.train(*args, **named)
+        sequences, weights = seen.pop()
+        return dict(zip(map(key, sequences), weights or [1.0] * len(sequences), strict=True))
+
+    return run
+
+
+def test_copies_push_no_other_example_out(spark, fitted):
+    other = [f"w{' x' * i} password=abcdef12{i}" for i in range(20)] + [f"w{' x' * i} {'12' * (1 + i % 3)}" for i in range(20)]
+    texts = other + ["copied 123 text 4567"] * 300
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    alone = fitted(table.filter("doc_id < 40"))
+    every = fitted(table, sample_sequences=2 * len(alone))
+    assert {s: w for s, w in every.items() if s in alone} == alone
+    assert sorted(w for s, w in every.items() if s not in alone) == [300]
+    # secrets keep their half of a smaller bound, and weights stand for all that was left out
+    few = fitted(table, sample_sequences=20)
+    with_secret = [w for (_, tags), w in few.items() if any(tags)]
+    assert len(few) == 20 and len(with_secret) == 10
+    assert 10 < sum(with_secret) < 60
+
+
+def test_a_weight_is_as_many_sequences():
+    one, two = ([[0], [0, 13], [0, 1, 8, 15]], [0, 0, 1]), ([[0], [0, 1, 6]], [0, 0])
+    a, b = secret_scan.fit([one, two], [3.0, 2.0]), secret_scan.fit([one, two, one, one, two])
+    assert np.allclose(a.emit, b.emit, atol=1e-6) and np.allclose(a.move, b.move, atol=1e-6)
+
+
 def test_secrets_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     field = secret_scan.train(none)
