@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import saved
 
-#: About so many texts at most, chosen by a hash, and sequences of so many tokens, are fitted.
+#: About so many texts at most, chosen by a hash, and so many sequences are fitted; longer stretches are several
+#: sequences of so many tokens.
 SAMPLE_ROWS, SAMPLE_SEQUENCES, SAMPLE_TOKENS = 20_000, 3_000, 48
 ROUNDS, RATE, RIDGE = 250, 0.25, 1e-6
 KINDS = ("assign", "access", "hex", "tagged")
@@ -230,37 +231,52 @@ def all_spans(text: str | None, field: Field) -> list[tuple[str, int, int]]:
 # --- training ----------------------------------------------------------------------------------------
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, starts, rows, tags = [], [], [], []
-        for draw, text in zip(batch.column("_text").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            known = rule_spans(text)
-            of_file = file_features(text)
-            for a, b in _merged(text):
-                where, features = _tokens(text, a, b, of_file)
+def _examples(longest: int):
+    """Tagged pieces of at most ``longest`` tokens; ``before`` is the tag ahead of a piece, null where the stretch begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, starts, befores, rows, tags = [], [], [], [], []
+            for draw, text in zip(batch.column("_text").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 # of an assignment the value is the secret, not the key word
-                values = [(_ASSIGN.match(text, s).start(2) if kind == "assign" else s, e) for kind, s, e in known]
-                inside = [next((v for v in values if v[0] <= s < v[1]), None) for s, _ in where]
-                marks = [OUT if v is None else INSIDE if i and inside[i - 1] == v else BEGIN for i, v in enumerate(inside)]
-                if not marks:
-                    continue
-                texts.append(draw)
-                starts.append(a)
-                rows.append(features[:SAMPLE_TOKENS])
-                tags.append(marks[:SAMPLE_TOKENS])
-        columns = [pa.array(texts, pa.int64()), pa.array(starts, pa.int32())]
-        columns += [pa.array(rows, pa.list_(pa.list_(pa.int32()))), pa.array(tags, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["_text", "start", "features", "tags"])
-
-
-def fit(sequences: list[tuple[list[list[int]], list[int]]], weights: list[float] | None = None) -> Field:
-    """Maximise the conditional likelihood by gradient steps over all sequences at once, each counted by its weight (1)."""
+                values = sorted((_ASSIGN.match(text, s).start(2) if kind == "assign" else s, e) for kind, s, e in rule_spans(text))
+                of_file = file_features(text)
+                for a, b in _merged(text):
+                    where, features = _tokens(text, a, b, of_file)
+                    near = [v for v in values if v[0] < b and a < v[1]]
+                    inside = [next((v for v in near if v[0] <= s < v[1]), None) for s, _ in where]
+                    marks = [OUT if v is None else INSIDE if i and inside[i - 1] == v else BEGIN for i, v in enumerate(inside)]
+                    for i in range(0, len(marks), longest):
+                        texts.append(draw)
+                        starts.append(where[i][0])
+                        befores.append(marks[i - 1] if i else None)
+                        rows.append(features[i : i + longest])
+                        tags.append(marks[i : i + longest])
+            columns = [pa.array(texts, pa.int64()), pa.array(starts, pa.int32()), pa.array(befores, pa.int32())]
+            columns += [pa.array(rows, pa.list_(pa.list_(pa.int32()))), pa.array(tags, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_text", "start", "before", "features", "tags"])
+
+    return run
+
+
+def fit(
+    sequences: list[tuple[list[list[int]], list[int]]], weights: list[float] | None = None, before: list[int | None] | None = None
+) -> Field:
+    """Maximise the conditional likelihood by gradient steps over all sequences at once, each counted by its weight (1).
+
+    A sequence with a tag ``before`` it goes on from there: its first transition is fitted, too.
+    """
     n, longest = max(1, len(sequences)), max([len(t) for _, t in sequences], default=1)
     x = np.zeros((n, longest, _FEATURES))
     y = np.zeros((n, longest), int)
     on = np.zeros((n, longest), bool)
     often = np.ones((n, 1))
     often[: len(sequences), 0] = weights or 1.0
+    ahead_of = np.zeros((n, 3))
+    for i, tag in enumerate(before or []):
+        if tag is not None:
+            ahead_of[i, tag] = 1
+    begins = 1 - ahead_of.sum(1, keepdims=True)
     for i, (features, tags) in enumerate(sequences):
         for j, f in enumerate(features):
             x[i, j, f] = 1
@@ -272,14 +288,14 @@ def fit(sequences: list[tuple[list[list[int]], list[int]]], weights: list[float]
     counted = on * often
     gold = np.eye(3)[y] * on[..., None]
     both = counted[:, 1:, None, None]
-    gold_move = (gold[:, :-1, :, None] * gold[:, 1:, None, :] * both).sum((0, 1))
+    gold_move = (gold[:, :-1, :, None] * gold[:, 1:, None, :] * both).sum((0, 1)) + (ahead_of * often).T @ gold[:, 0]
     means, squares = [[np.zeros_like(emit), np.zeros_like(move)] for _ in range(2)]
     lse = lambda a, axis: (m := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis))
     total = max(1.0, counted.sum())
     for step_no in range(1, ROUNDS + 1):
         e, t = x @ emit, move + banned
         ahead, behind = np.zeros_like(e), np.zeros_like(e)
-        ahead[:, 0] = e[:, 0] + first
+        ahead[:, 0] = e[:, 0] + begins * first + ahead_of @ t
         for j in range(1, longest):
             step = lse(ahead[:, j - 1, :, None] + t, 1) + e[:, j]
             ahead[:, j] = np.where(on[:, j, None], step, ahead[:, j - 1])
@@ -289,7 +305,8 @@ def fit(sequences: list[tuple[list[list[int]], list[int]]], weights: list[float]
         z = lse(ahead[:, -1], 1)
         one = np.exp(ahead + behind - z[:, None, None])
         two = np.exp(ahead[:, :-1, :, None] + t + (e + behind)[:, 1:, None, :] - z[:, None, None, None]) * both
-        slopes = [np.tensordot(x, (gold - one) * counted[..., None], ((0, 1), (0, 1))) / total - RIDGE * emit, (gold_move - two.sum((0, 1))) / total - RIDGE * move]
+        moved = two.sum((0, 1)) + (ahead_of * often).T @ one[:, 0]
+        slopes = [np.tensordot(x, (gold - one) * counted[..., None], ((0, 1), (0, 1))) / total - RIDGE * emit, (gold_move - moved) / total - RIDGE * move]
         for k, g in enumerate(slopes):  # steps with decaying means of the slope and its square
             means[k] = 0.9 * means[k] + 0.1 * g
             squares[k] = 0.9 * squares[k] + 0.1 * g * g
@@ -298,14 +315,14 @@ def fit(sequences: list[tuple[list[list[int]], list[int]]], weights: list[float]
     return Field(emit, move + banned)
 
 
-def _drawn(examples: DataFrame, limit: int) -> list[tuple[list[list[int]], list[int], float]]:
-    """At most ``limit`` different sequences with their weights, those with and without a secret drawn separately.
+def _drawn(examples: DataFrame, limit: int) -> list[tuple[list[list[int]], list[int], float, int | None]]:
+    """At most ``limit`` different sequences with their weights and the tags before them, those with and without a secret drawn separately.
 
-    Rows ``draw, features, tags``: every occurrence has its own ``draw`` in [0, 1).  Equal sequences are one with a
+    Rows ``draw, before, features, tags``: every occurrence has its own ``draw`` in [0, 1).  Equal sequences are one with a
     count, drawn by its lowest occurrence; a weight is the count over the chance to be drawn.  Either kind has half
     of the limit, and what the other leaves of its half.
     """
-    each = examples.groupBy("features", "tags").agg(F.count("*").alias("times"), F.min("draw").alias("draw"))
+    each = examples.groupBy("before", "features", "tags").agg(F.count("*").alias("times"), F.min("draw").alias("draw"))
     each = saved(each.withColumn("secret", F.exists("tags", lambda t: t != OUT)))
     lowest = {kind: each.filter(F.col("secret") == kind).orderBy("draw").limit(limit + 1).collect() for kind in (True, False)}
     found = []
@@ -314,24 +331,27 @@ def _drawn(examples: DataFrame, limit: int) -> list[tuple[list[list[int]], list[
         upto = rows[share]["draw"] if len(rows) > share else 1.0
         for r in rows[:share]:
             chance = -np.expm1(r["times"] * np.log1p(-upto)) if upto < 1 else 1.0
-            found.append((r["features"], r["tags"], r["times"] / chance))
+            found.append((r["features"], r["tags"], r["times"] / chance, r["before"]))
     return found
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_sequences: int = SAMPLE_SEQUENCES) -> Field:
+def train(
+    docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_sequences: int = SAMPLE_SEQUENCES, sample_tokens: int = SAMPLE_TOKENS
+) -> Field:
     """Fit the field on a bounded sample of ``docs`` (needs ``doc_id, text``), tagged by rule.
 
     Rows are chosen by a hash of id and text, sequences by one of id, text and place, so the sample depends on the
-    rows alone and copies do not push others out.  Without any example the weights are zero and everything is outside.
+    rows alone and copies do not push others out.  Stretches of more than ``sample_tokens`` are drawn from in pieces
+    of so many.  Without any example the weights are zero and everything is outside.
     """
     texts = docs.select("text", F.xxhash64("doc_id", "text").alias("_text")).filter("text is not null and text <> ''")
     rows = docs.count()
     if rows > sample_rows:
         texts = texts.filter(F.pmod("_text", F.lit(1_000_000)) < int(1_000_000 * sample_rows / rows))
-    examples = texts.mapInArrow(_examples, "_text long, start int, features array<array<int>>, tags array<int>")
+    examples = texts.mapInArrow(_examples(sample_tokens), "_text long, start int, before int, features array<array<int>>, tags array<int>")
     place = F.pmod(F.xxhash64("_text", "start"), F.lit(1 << 53)) / float(1 << 53)
-    found = _drawn(examples.select(place.alias("draw"), "features", "tags"), sample_sequences)
-    return fit([f[:2] for f in found], [f[2] for f in found])
+    found = _drawn(examples.select(place.alias("draw"), "before", "features", "tags"), sample_sequences)
+    return fit([f[:2] for f in found], [f[2] for f in found], [f[3] for f in found])
 
 
 # --- application -------------------------------------------------------------------------------------

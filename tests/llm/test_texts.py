@@ -154,7 +154,7 @@ def test_a_secret_without_a_rule_is_tagged(spark, secret_docs):
 def fitted(monkeypatch):
     """Trains and returns the sequences that are fitted, as ``{(features, tags): weight}``."""
     seen = []
-    monkeypatch.setattr(secret_scan, "fit", lambda sequences, weights=None: seen.append((sequences, weights)))
+    monkeypatch.setattr(secret_scan, "fit", lambda sequences, weights=None, before=None: seen.append((sequences, weights)))
     key = lambda s: (tuple(map(tuple, s[0])), *map(tuple, s[1:]))
 
     def run(*args, **named):
@@ -180,6 +180,26 @@ def test_copies_push_no_other_example_out(spark, fitted):
     assert 10 < sum(with_secret) < 60
 
 
+def test_all_of_a_long_stretch_is_learned_from(spark, fitted, monkeypatch):
+    text = " ".join(f"{i}7" for i in range(100)) + " password=" + "=".join(["abcdef12"] * 40) + " 5" * 30
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for named, longest in (({}, secret_scan.SAMPLE_TOKENS), ({"sample_tokens": 7}, 7)):
+        found = fitted(table, **named)
+        where, _ = secret_scan._tokens(text, 0, len(text), secret_scan.file_features(text))
+        assert sum(w * len(tags) for (_, tags), w in found.items()) == len(where)
+        assert max(len(tags) for _, tags in found) == longest
+        assert any(secret_scan.BEGIN in tags for _, tags in found)
+
+
+def test_a_piece_goes_on_from_the_tag_before_it():
+    features = [[0], [0, 13], [0, 1, 8, 15], [0, 1, 8], [0], [0]]
+    tags = [0, 0, 1, 2, 0, 0]
+    cut = secret_scan.fit([(features[:3], tags[:3]), (features[3:], tags[3:])], before=[None, 1])
+    field = secret_scan.fit([(features, tags)])
+    assert np.isfinite(cut.emit).all() and np.abs(cut.emit).max() < 100
+    assert cut.viterbi(features) == field.viterbi(features) == tags
+
+
 def test_a_weight_is_as_many_sequences():
     one, two = ([[0], [0, 13], [0, 1, 8, 15]], [0, 0, 1]), ([[0], [0, 1, 6]], [0, 0])
     a, b = secret_scan.fit([one, two], [3.0, 2.0]), secret_scan.fit([one, two, one, one, two])
