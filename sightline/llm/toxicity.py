@@ -110,15 +110,16 @@ def _frequent(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     del counts
     if more:
         known, docs = _merged(known, docs, more)
-    known = known[docs >= LEAST_DOCS]
-    rows = [np.empty(0, np.int32)]
+    known, docs = known[docs >= LEAST_DOCS], docs[docs >= LEAST_DOCS]
+    flat, bounds = np.empty(docs.sum(dtype=np.int64), np.int32), [0]
     for part in texts:
         for f in features_of(part):
             at = np.searchsorted(known, f)
             there = at < len(known)
             there[there] = known[at[there]] == f[there]
-            rows.append(at[there].astype(np.int32))
-    return known, np.concatenate(rows), np.cumsum([len(r) for r in rows], dtype=np.int64)
+            bounds.append(bounds[-1] + int(there.sum()))
+            flat[bounds[-2] : bounds[-1]] = at[there]
+    return known, flat, np.array(bounds, np.int64)
 
 
 def _train_shard(part: pa.Table) -> pa.Table:
