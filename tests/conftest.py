@@ -11,9 +11,3 @@ from sightline.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     return local_session(8, shuffle_partitions=4)
-
-
-def rows(df, *cols):
-    """Sorted tuples of a DataFrame."""
-    picked = df.select(*cols) if cols else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)

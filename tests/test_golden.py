@@ -8,7 +8,7 @@ from sightline.operators import experts as X
 from sightline.operators import quality as Q
 from sightline.operators.metrics import paired_bootstrap
 
-from conftest import rows
+from helpers import rows
 
 
 @pytest.mark.parametrize(

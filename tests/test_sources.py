@@ -11,7 +11,7 @@ from sightline.operators.metrics import explode_pairs, metric_lattice
 from sightline.sources import scans as N
 from sightline.sources import sinks as K
 
-from conftest import rows
+from helpers import rows
 
 
 def put(path, obj, indent=None):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sightline.sources.scans import parse_job_log
 from sightline.streaming import jobs as J
 
-from conftest import rows
+from helpers import rows
 
 
 def log_files(folder, batches):
