@@ -1,11 +1,9 @@
 import os
 import random
-import sys
 
 import pytest
 
 HERE = os.path.dirname(os.path.abspath(__file__))
-sys.path[:0] = [HERE, os.path.dirname(HERE)]
 # tasks import the package from here
 os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.dirname(HERE)), os.environ.get("PYTHONPATH", "")])
 
