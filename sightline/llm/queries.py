@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, mixing, ngram_join, pii, secret_scan, token_counts, topk, toxicity, url_filter, warc
+from sightline.llm import (
+    decontamination,
+    hard_negatives,
+    mixing,
+    ngram_join,
+    pii,
+    secret_scan,
+    spelling,
+    token_counts,
+    token_files,
+    topk,
+    toxicity,
+    url_filter,
+    warc,
+)
 from sightline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +183,58 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_rule = F.filter("spans", lambda x: x["kind"] != "term")
     counts = [_count_of(k) for k in pii.PATTERNS]
     return found.select("doc_id", *counts, F.sha2(_span_list(by_rule), 256).alias("base_sha256"), _span_list(F.col("spans")).alias("spans"))
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+    FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+  h AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM h WHERE rank <= 3"""
+
+
+@register(OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    clean = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").filter(clean).select("vec_id", label.alias("label"), whole.alias("v"))
+    return hard_negatives.mine(rows, anchor_every=50, positives=5, negatives=3, low=50, high=95)
+
+
+@register()
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = token_files.write_tokens(docs, str(public_tokenizers.path("word_bpe_49k.json")), end=1)
+    return token_files.checksums(token_files.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", "ids"))
+
+
+# levenshtein compares bytes there, so letters above ASCII become capitals, digits and marks, which lower-cased words lack
+OP13_SQL = r"""
+WITH RECURSIVE bits(b, c, i) AS (SELECT b, b, 0 FROM range(256) t(b) UNION ALL
+    SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM bits WHERE i < 8),
+  crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE i = 8),
+  r AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents) GROUP BY 1, 2),
+  k AS (SELECT w, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM r),
+  b AS (SELECT w, n, [('0x' || substr(x, 2 * i + 1, 2))::BIGINT FOR i IN range(length(x) // 2)] AS bytes FROM k),
+  h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295) AS h FROM b, crc),
+  e AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS w, n FROM h),
+  c AS (SELECT w AS word, sum(n)::BIGINT AS n FROM e WHERE length(w) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+  a AS (SELECT word, n, length(word) AS len, translate(word, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!"#$%&()*+,-./:;<=>?@[]^_{|}') AS ascii FROM c),
+  l AS (SELECT x.word, y.word AS near, y.n AS near_n FROM a x JOIN a y ON x.word <> y.word AND y.len BETWEEN x.len - 1 AND x.len + 1 AND levenshtein(x.ascii, y.ascii) = 1),
+  f AS (SELECT c.word, c.n, count(l.near) AS n_near, min({'k': -near_n, 'w': near}) AS best FROM c LEFT JOIN l ON l.word = c.word GROUP BY 1, 2),
+  o AS (SELECT word, n, n_near, CASE WHEN n_near > 0 AND -best.k >= 5 * n THEN best.w END AS form, CASE WHEN n_near > 0 AND -best.k >= 5 * n THEN -best.k END AS form_n FROM f),
+  u(word, here, d) AS (SELECT word, word, 0 FROM o UNION ALL SELECT u.word, o.form, d + 1 FROM u JOIN o ON o.word = u.here WHERE o.form IS NOT NULL),
+  z AS (SELECT word, arg_max(here, d) AS root FROM u GROUP BY 1)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM o JOIN z USING (word)"""
+
+
+@register(OP13_SQL)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), least=5, shortest=6, one_in=199)
+    return spelling.variant_groups(words, ratio=5)
