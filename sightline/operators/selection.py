@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from sightline.functions.columns import frame_grid
 from sightline.functions.stable import seeded
 from sightline.operators.ordered import ordered_scan
+from sightline.session import published
 
 # Fixed values of the step score and of the spaced pick.
 VISIBLE_PX = 200
@@ -155,14 +157,51 @@ def round_robin(
     return rows.orderBy("round", "_late", "_o", group).limit(n).select(*df.columns, F.col("round").cast("bigint").alias("round"))
 
 
-def pack_shards(samples: DataFrame, order: Sequence[str], size: str, target_bytes: int) -> DataFrame:
-    """Shard number by running bytes in sample order; a shard closes between samples once the target is passed.
+def pack_shards(samples: DataFrame, order: Sequence[str], size: str, target_bytes: int, buckets: int | None = None) -> DataFrame:
+    """Shard number by bytes in sample order: a shard closes after the sample that fills it to the target, and the next begins empty.
 
-    The running sum is exact over the whole table and needs no single writer: sample ``i`` goes to
-    shard ``floor(bytes before i / target)``.
+    A shard that closes with sample ``i`` makes the next one close with the first sample whose running bytes reach
+    those of ``i`` plus the target, so every sample has one successor, found for all at once by counting samples below
+    that mark.  The shards are the chain of successors from the first close on.  It is followed by doubling: the closes
+    known so far jump as far as there are of them, while jumps are composed with themselves, in as many rounds as the
+    logarithm of the number of shards.  Only samples that some jump still ends at stay in the table of jumps.
+
+    ``order`` identifies a sample (nulls are equal); a null size counts as 0.  A sample of the target or more that
+    meets an empty shard is one of its own.  Empty table: no rows.
+    """
+    if target_bytes <= 0:
+        raise ValueError("target_bytes must be positive")
+    sizes = samples.select(*order, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size"))
+    rows = published(ordered_scan(sizes, order, ordinal="_i", running_sum={"_upto": "_size"}, buckets=buckets).select(*order, "_i", "_upto"))
+    jumps = published(_successors(rows, target_bytes, buckets))
+    first = rows.filter(F.col("_upto") < target_bytes).count()
+    closes = published(rows.filter(F.col("_i") == first).select("_i"))
+    while True:
+        landed = published(closes.join(jumps, "_i").select(F.col("_j").alias("_i")))
+        if not landed.limit(1).count():
+            break
+        closes = published(closes.union(landed))
+        onward = jumps.select(F.col("_i").alias("_j"), F.col("_j").alias("_k"))
+        doubled = published(jumps.join(onward, "_j").select("_i", F.col("_k").alias("_j")))
+        used = closes.union(doubled.select(F.col("_j").alias("_i"))).distinct()
+        jumps = published(doubled.join(used, "_i", "left_semi"))
+    marked = rows.join(closes.withColumn("_closes", F.lit(1)), "_i", "left").select(*order, "_i", F.coalesce("_closes", F.lit(0)).cast("bigint").alias("_closes"))
+    counted = ordered_scan(marked, ["_i"], running_sum={"_closed": "_closes"}, buckets=buckets)
+    shards = counted.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(order)], (F.col("_closed") - F.col("_closes")).alias("shard"))
+    same = [samples[c].eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate(order)]
+    return samples.join(shards, reduce(lambda a, b: a & b, same)).drop(*[f"_k{n}" for n in range(len(order))])
+
+
+def _successors(rows: DataFrame, target: int, buckets: int | None) -> DataFrame:
+    """``_i, _j``: the sample that fills the shard begun after sample ``_i``; none for those whose shard stays open.
+
+    Running bytes never fall, so the number of samples below a mark is the position of the first one at it.
     """
-    rows = ordered_scan(samples, order, running_sum={"_upto": size})
-    return rows.withColumn("shard", F.floor((F.col("_upto") - F.col(size)) / target_bytes).cast("bigint")).drop("_upto")
+    samples = rows.select(F.col("_upto").alias("_at"), F.lit(1).alias("_kind"), "_i", F.lit(1).cast("bigint").alias("_one"))
+    marks = rows.select((F.col("_upto") + target).alias("_at"), F.lit(0).alias("_kind"), "_i", F.lit(0).cast("bigint").alias("_one"))
+    below = ordered_scan(samples.union(marks), ["_at", "_kind", "_i"], running_sum={"_j": "_one"}, buckets=buckets)
+    last = rows.agg(F.max("_upto")).scalar()
+    return below.filter((F.col("_kind") == 0) & (F.col("_at") <= last)).select("_i", "_j")
 
 
 def first_accepted(candidates: DataFrame, task: str, rank: str, name: str, accepted: Column, moving: Column) -> DataFrame:

@@ -197,8 +197,10 @@ def round_robin_uncovered(spark, d):
 @register(
     "pack_shards",
     "E10",
-    """WITH c AS (SELECT page_id, url, length(html) AS bytes, sum(length(html)) OVER (ORDER BY url, page_id) AS upto FROM pages)
-    SELECT page_id, bytes, CAST((upto - bytes) // 50000 AS BIGINT) AS shard FROM c""",
+    """WITH RECURSIVE c AS (SELECT page_id, length(html) AS bytes, row_number() OVER (ORDER BY url, page_id) AS i, sum(length(html)) OVER (ORDER BY url, page_id) AS upto FROM pages),
+      s(shard, last, mark) AS (SELECT -1, 0::BIGINT, 0::HUGEINT UNION ALL
+        SELECT shard + 1, min(i), min(upto) FROM s JOIN c ON upto >= mark + 50000 GROUP BY shard)
+    SELECT page_id, bytes, (SELECT count(*) FROM s WHERE s.shard >= 0 AND s.last < c.i)::BIGINT AS shard FROM c""",
 )
 def pack_shards(spark, d):
     rows = table(spark, d, "pages").select("page_id", "url", F.length("html").cast("bigint").alias("bytes"))
