@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.stable import poisson_draw, poisson_weight
-from sightline.operators.ordered import cut_group, ordered_scan
+from sightline.operators.ordered import cut_group, ordered_scan, prefix_totals
 from sightline.session import published
 
 # --- metric registry ----------------------------------------------------------------------
@@ -119,11 +119,11 @@ def _first_objects(
     """
     before, whole, cut, take = cut_group(groups, pair, "n_obj", n, [f"sum_{m}" for m in metrics], buckets)
     inside = F.lit(False) if cut is None else reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(cut[c])) for c in pair])
-    first = objects.filter(inside & F.col(metrics[0]).isNotNull()).orderBy(*order).limit(take)
-    part = first.agg(F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(m), F.lit(0.0)).alias(f"_t{i}") for i, m in enumerate(metrics)])
-    return part.select(
-        (F.col("_n") + before[0]).alias("prefix_n"),
-        *[(F.col(f"_t{i}") + float(before[i + 1])).alias(f"prefix_{m}") for i, m in enumerate(metrics)],
+    # the cut pair may hold a third of all objects: only the range of its order that the cut falls into is sorted
+    first = prefix_totals(objects.filter(inside & F.col(metrics[0]).isNotNull()), order, take, metrics, buckets)
+    return first.select(
+        (F.col("prefix_n") + before[0]).alias("prefix_n"),
+        *[(F.col(f"prefix_{m}") + float(before[i + 1])).alias(f"prefix_{m}") for i, m in enumerate(metrics)],
         F.lit(whole[0] if whole else 0).cast("bigint").alias("total_n"),
         *[F.lit(float(whole[i + 1])).alias(f"total_{m}") for i, m in enumerate(metrics)],
     )
@@ -300,21 +300,108 @@ def select_checkpoint(results: DataFrame, name: str, metrics: Sequence[str], gro
     return results.groupBy(*group).agg(best.alias("_b")).select(*group, "_b.*")
 
 
-def pareto(results: DataFrame, name: str, up: str, second: str, second_up: bool = True, group: Sequence[str] = ()) -> DataFrame:
-    """Flag results that no other result beats in both metrics.
+def pareto(results: DataFrame, name: str, metrics: Mapping[str, bool], group: Sequence[str] = ()) -> DataFrame:
+    """Flag results that no other result of the group beats: at least as good in every metric, better in one.
 
-    ``up`` counts upwards; ``second`` upwards or downwards.  Sorted by the first metric, a row
-    is dominated when a row before it is at least as good in the second (better in one), so a
-    running maximum replaces the comparison of every row with every other.
+    ``metrics`` maps a column to True if higher is better, else False.  Equal results are on the front together.  A
+    result with a null (or NaN) metric can't be compared: its flag is null and it beats nobody.  Returns group, name,
+    metrics and ``on_front``, one row per row of ``results``.
+
+    One metric needs a maximum, two a running maximum over the points sorted by the first.  Each further metric is
+    ranked; the points at least as good in it lie in logarithmically many dyadic ranges of ranks, so a point enters
+    the ranges that hold it, asks those that cover what is at least as good, and within a combination of ranges the
+    running maximum over the last two metrics answers.  With ``d`` metrics ``n`` points become ``n log(n)^(d-2)`` rows;
+    no point is compared with all others.  Points that one of a few good ones per group beats never get so far.
+    """
+    names = list(metrics)
+    values = [f"_v{i}" for i in range(len(names))]
+    signed = [F.col(m).cast("double") * (1.0 if up else -1.0) for m, up in metrics.items()]
+    known = reduce(lambda a, b: a & b, [v.isNotNull() & ~F.isnan(v) for v in signed])
+    keys = [f"_g{i}" for i in range(len(group))]
+    rows = results.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], *[(v + 0.0).alias(c) for v, c in zip(signed, values, strict=True)], known.alias("_ok"))
+    points = published(rows.filter("_ok").drop("_ok").distinct())
+    if len(names) == 1:
+        top = points.groupBy(*keys).agg(F.max("_v0").alias("_v0"))
+    elif len(names) == 2:
+        top = _undominated(points.withColumns({"_kind": F.lit(0), "_id": F.lit(0).cast("bigint")}), keys, values).filter("_on").drop("_on", "_id")
+    else:
+        top = _front(_hopeful(points, keys, values), keys, values)
+    same = [results[g].eqNullSafe(F.col(f"_t{k}")) for g, k in zip(group, keys, strict=True)]
+    same += [(v + 0.0).eqNullSafe(F.col(f"_t{c}")) for v, c in zip(signed, values, strict=True)]
+    front = top.select(*[F.col(c).alias(f"_t{c}") for c in [*keys, *values]], F.lit(True).alias("_front"))
+    found = results.join(front, reduce(lambda a, b: a & b, same), "left")
+    return found.select(*group, name, *names, F.when(known, F.coalesce("_front", F.lit(False))).alias("on_front"))
+
+
+def _hopeful(points: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Points that none of a few good ones of their group beats: the best by each metric and by the sum of shares."""
+    spans = points.groupBy(*keys).agg(*[F.min(v).alias(f"{v}_a") for v in values], *[F.max(v).alias(f"{v}_b") for v in values])
+    ends = [f"{v}_{end}" for v in values for end in "ab"]
+    if keys:
+        spans = spans.select(*[F.col(k).alias(f"_s{k}") for k in keys], *ends)
+        met = points.join(spans, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in keys]))
+    else:
+        met = points.withColumns({e: spans.select(e).scalar() for e in ends})
+    met = met.select(*keys, *values, *[F.coalesce(F.try_divide(F.col(v) - F.col(f"{v}_a"), F.col(f"{v}_b") - F.col(f"{v}_a")), F.lit(0.0)).alias(f"{v}_s") for v in values])
+    shares = [F.col(f"{v}_s") for v in values]
+    total = reduce(lambda a, b: a + b, shares)
+    best = [F.max_by(F.struct(*values), F.struct(total + extra * len(values), *values)) for extra in [F.lit(0.0), *shares]]
+    champions = met.groupBy(*keys).agg(F.array(*best).alias("_c")).select(*[F.col(k).alias(f"_h{k}") for k in keys], "_c")
+    beats = lambda c: reduce(lambda a, b: a & b, [c[v] >= F.col(v) for v in values]) & reduce(lambda a, b: a | b, [c[v] > F.col(v) for v in values])
+    if keys:
+        with_them = points.join(champions, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{k}")) for k in keys]))
+    else:
+        with_them = points.withColumn("_c", champions.select("_c").scalar())
+    return published(with_them.filter(~F.exists("_c", beats)).select(*keys, *values))
+
+
+def _undominated(events: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``_on`` for each asking event: no event before it, by the last two values downwards, has as much of the last.
+
+    ``_kind`` 1 only holds, 0 and 2 ask, in this order where both values are equal; with 0 alone all do both.
     """
-    sign = F.lit(1.0) if second_up else F.lit(-1.0)
-    points = results.groupBy(*group, up, second).agg(F.count(F.lit(1)).alias("_n"))
-    points = points.withColumns({"_u": -F.col(up).cast("double"), "_v": F.col(second).cast("double") * sign})
-    points = points.withColumn("_neg", -F.col("_v"))
-    scan = ordered_scan(points, ["_u", "_neg"], list(group), max_before={"_best": "_v"})
-    # equal points are one row here, so an earlier row with _best >= _v is strictly better in one metric
-    front = scan.select(*group, up, second, (F.col("_best").isNull() | (F.col("_best") < F.col("_v"))).alias("on_front"))
-    return results.join(front, [*group, up, second]).select(*group, name, up, second, "on_front")
+    a, b = values[-2], values[-1]
+    only = "_holds" not in events.columns
+    rows = events.withColumns({"_down_a": -F.col(a), "_down_b": -F.col(b), "_has": F.col(b) if only else F.when(F.col("_holds"), F.col(b))})
+    scan = ordered_scan(rows, ["_down_a", "_down_b", "_kind", "_id"], keys, max_before={"_best": "_has"})
+    kept = scan if only else scan.filter(~F.col("_holds"))
+    return kept.select(*[k for k in keys if k != "_node"], *values, "_id", (F.col("_best").isNull() | (F.col("_best") < F.col(b))).alias("_on"))
+
+
+def _ranges(rank: str, levels: int, above: bool) -> Column:
+    """Dyadic ranges ``(l, n)`` of ranks that hold a rank, or (``above``) that together cover it and all higher ones."""
+    number = lambda i: F.call_function("shiftright", F.col(rank), i)
+    every = F.sequence(F.lit(0), F.lit(levels - 1))
+    if not above:
+        return F.transform(every, lambda i: F.struct(i.alias("l"), number(i).alias("n")))
+    # the rank itself, and the right neighbour of its range wherever that is a left one
+    right = F.transform(F.filter(every, lambda i: number(i) % 2 == 0), lambda i: F.struct(i.alias("l"), (number(i) + 1).alias("n")))
+    return F.concat(F.array(F.struct(F.lit(0).alias("l"), F.col(rank).alias("n"))), right)
+
+
+def _front(points: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The undominated of distinct points with three and more values."""
+    ranked, lead = points, values[:-2]
+    for v in lead:
+        ranks = published(ordered_scan(points.select(*keys, v).distinct(), [v], keys, ordinal=f"{v}_r"))
+        right = ranks.select(*[F.col(c).alias(f"_r{c}") for c in [*keys, v]], f"{v}_r")
+        same = [ranked[c].eqNullSafe(F.col(f"_r{c}")) for c in [*keys, v]]
+        ranked = ranked.join(right, reduce(lambda a, b: a & b, same)).drop(*[f"_r{c}" for c in [*keys, v]])
+    ranked = published(ranked.withColumn("_id", F.xxhash64(*keys, *values)))
+    levels = [int(ranked.agg(F.max(f"{v}_r")).first()[0] or 0).bit_length() + 1 for v in lead]
+    holding = [_ranges(f"{v}_r", n, False) for v, n in zip(lead, levels, strict=True)]
+    asking = [_ranges(f"{v}_r", n, True) for v, n in zip(lead, levels, strict=True)]
+
+    def spread(ranges: list[Column], holds: bool) -> DataFrame:
+        out = ranked.select(*keys, *values, "_id", *[f"{v}_r" for v in lead], F.array().cast("array<bigint>").alias("_node"))
+        for r in ranges:
+            out = out.select("*", F.explode(r).alias("_r")).withColumn("_node", F.concat("_node", F.array(F.col("_r.l").cast("bigint"), F.col("_r.n")))).drop("_r")
+        own = F.array(*[x for v in lead for x in (F.lit(0).cast("bigint"), F.col(f"{v}_r"))])
+        kind = F.lit(1) if holds else F.when(F.col("_node") == own, 0).otherwise(2)
+        return out.select(*keys, *values, "_id", "_node", kind.alias("_kind"), F.lit(holds).alias("_holds"))
+
+    asked = _undominated(spread(holding, True).union(spread(asking, False)), [*keys, "_node"], values)
+    return asked.groupBy(*keys, *values).agg(F.bool_and("_on").alias("_on")).filter("_on").drop("_on")
 
 
 def best_candidate(cands: DataFrame, group: Sequence[str], name: str, score: str, rank: str, share: str, lo: float, hi: float) -> DataFrame:

@@ -339,6 +339,15 @@ def select_checkpoint(spark, d):
     return S.select_checkpoint(_runs(spark, d), "run", ["iou", "loc"], ["label"])
 
 
+_SCORES_SQL = f"""{_RUNS_SQL}, scores AS (SELECT label, run, CASE WHEN run % 7 <> 3 THEN iou END AS iou, loc, iou * 7 % 50 AS dice, loc * 3 % 20 AS cont FROM runs)"""
+
+
+def _scores(spark, d):
+    """Runs with four metrics, some of them missing."""
+    iou, loc = F.col("iou"), F.col("loc")
+    return _runs(spark, d).select("label", "run", F.when(F.col("run") % 7 != 3, iou).alias("iou"), "loc", (iou * 7 % 50).alias("dice"), (loc * 3 % 20).alias("cont"))
+
+
 @register(
     "pareto_front",
     "F06",
@@ -346,7 +355,17 @@ def select_checkpoint(spark, d):
       AND (b.iou > a.iou OR b.loc < a.loc)) AS on_front FROM runs a""",
 )
 def pareto_front(spark, d):
-    return S.pareto(_runs(spark, d), "run", "iou", "loc", second_up=False, group=["label"])
+    return S.pareto(_runs(spark, d), "run", {"iou": True, "loc": False}, group=["label"])
+
+
+@register(
+    "pareto_front_many",
+    "F06",
+    f"""WITH {_SCORES_SQL} SELECT label, run, iou, dice, cont, loc, CASE WHEN iou IS NOT NULL THEN NOT EXISTS (SELECT 1 FROM scores b WHERE b.label = a.label AND b.iou >= a.iou
+      AND b.dice >= a.dice AND b.cont >= a.cont AND b.loc <= a.loc AND (b.iou > a.iou OR b.dice > a.dice OR b.cont > a.cont OR b.loc < a.loc)) END AS on_front FROM scores a""",
+)
+def pareto_front_many(spark, d):
+    return S.pareto(_scores(spark, d), "run", {"iou": True, "dice": True, "cont": True, "loc": False}, group=["label"])
 
 
 @register(

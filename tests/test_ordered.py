@@ -127,13 +127,45 @@ def test_truncation_and_legacy(spark):
     assert (l.last_object_mean, l.positive_objects) == (0.125, 3)
 
 
-def test_pareto_against_brute_force(spark):
-    pts = [(int(i % 3), i, int(a), int(b)) for i, (a, b) in enumerate(RNG.integers(0, 12, (120, 2)))]
-    df = spark.createDataFrame(pts, "grp int, run int, up int, down int")
-    got = {r["run"]: r["on_front"] for r in pareto(df, "run", "up", "down", second_up=False, group=["grp"]).collect()}
-    for g, i, a, b in pts:
-        beaten = any(x[0] == g and x[2] >= a and x[3] <= b and (x[2] > a or x[3] < b) for x in pts)
-        assert got[i] is (not beaten)
+def brute_front(pts, ups):
+    """pts: (group, run, *values); None for results that can't be compared."""
+    good = [p for p in pts if all(v is not None and v == v for v in p[2:])]
+    better = lambda x, y, up: (x >= y, x > y) if up else (x <= y, x < y)
+    out = {}
+    for p in pts:
+        rivals = [[better(x, y, up) for x, y, up in zip(q[2:], p[2:], ups, strict=True)] for q in good if q[0] == p[0]] if p in good else []
+        out[p[1]] = not any(all(a for a, _ in r) and any(b for _, b in r) for r in rivals) if p in good else None
+    return out
+
+
+@pytest.mark.parametrize(("ups", "top", "drift"), [((True,), 9, 0), ((True, False), 12, 0), ((False, True, True), 7, 0), ((True, False, True, True), 5, 0), ((True, True, True), 60, 1)])
+def test_pareto_against_brute_force(spark, ups, top, drift):
+    d = len(ups)
+    values = RNG.integers(0, top, (130, d)).astype(float)
+    if drift:  # nearly all on the front
+        values[:, -1] = 100 - values[:, :-1].sum(1) + RNG.integers(0, 3, 130)
+    pts = [(("a", "b", None)[i % 3], i, *map(float, v)) for i, v in enumerate(values)]
+    pts += [("a", 500, None, *[99.0] * (d - 1)), ("b", 501, *[99.0] * (d - 1), float("nan")), ("c", 502, *[0.0] * d), ("c", 503, *[-0.0] * d)]
+    pts += [(p[0], p[1] + 1000, *p[2:]) for p in pts[:20]]  # ties
+    names = [f"m{i}" for i in range(d)]
+    df = spark.createDataFrame(pts, "grp string, run int, " + ", ".join(f"{n} double" for n in names)).repartition(4)
+    got = {r["run"]: r["on_front"] for r in pareto(df, "run", dict(zip(names, ups, strict=True)), group=["grp"]).collect()}
+    assert got == brute_front(pts, ups)
+
+
+def test_pareto_without_groups_and_with_missing_values(spark):
+    df = spark.createDataFrame([("x", 1.0, 2.0, 0.0), ("y", 2.0, 1.0, 0.0), ("z", 0.5, 0.5, 0.0), ("n", None, 3.0, 9.0)], "run string, a double, b double, c double")
+    for metrics in ({"a": True, "b": True}, {"a": True, "b": True, "c": False}):
+        assert {r["run"]: r["on_front"] for r in pareto(df, "run", metrics).collect()} == {"x": True, "y": True, "z": False, "n": None}
+        assert pareto(df.limit(0), "run", metrics).count() == 0
+
+
+def test_stock_mean_with_a_third_of_the_objects_in_the_cut_pair(spark):
+    df = objects(spark, {("a", 0): [0.5], **{("b", i): [0.25] for i in range(40)}, ("a", 1): [((i * 7) % 11) / 11 for i in range(400)], ("c", 0): [1.0]})
+    for buckets in (1, 9):
+        row = lattice(df, buckets=buckets)
+        flat = sorted((r["shard"], r["pair"], r["obj"], r["iou"]) for r in df.collect())
+        assert row.stock_iou == pytest.approx(np.mean([x[3] for x in flat[:43]]))
 
 
 def test_scan_repeats_after_recomputation(spark):
