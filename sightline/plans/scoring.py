@@ -158,7 +158,7 @@ _POISSON = "".join(
 
 
 @register(
-    "paired_bootstrap",
+    "rowwise_bootstrap",
     "D28",
     f"""WITH {OBJS_SQL}, pd AS (SELECT pair, avg(iou) - avg(dice) AS diff FROM objs GROUP BY 1), {_BOOT},
       ww AS (SELECT *, CASE{_POISSON} ELSE 10 END AS k FROM w),
@@ -166,9 +166,34 @@ _POISSON = "".join(
     SELECT (SELECT count(*) FROM pd) AS pairs, round((SELECT avg(diff) FROM pd), 6) AS mean_diff,
       round((SELECT quantile_cont(m, 0.025) FROM reps), 6) AS ci_low, round((SELECT quantile_cont(m, 0.975) FROM reps), 6) AS ci_high""",
 )
-def paired_bootstrap(spark, d):
+def rowwise_bootstrap(spark, d):
     pairs = objs(spark, d).groupBy("pair").agg(F.avg("iou").alias("a"), F.avg("dice").alias("b"))
-    out = S.paired_bootstrap(pairs, "a", "b", ["pair"], reps=210, seed=7, portable=True)
+    out = S.rowwise_bootstrap(pairs, "a", "b", ["pair"], reps=210, seed=7, portable=True)
+    return out.select("pairs", r6("mean_diff"), r6("ci_low"), r6("ci_high"))
+
+
+def _draw_sql(*parts: str) -> str:
+    text = " || '|' || ".join(f"({p})::VARCHAR" for p in parts)
+    return f"((('0x' || substr(md5({text} || '|7'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE)"
+
+
+@register(
+    "paired_bootstrap",
+    "D28",
+    f"""WITH {OBJS_SQL}, pd AS (SELECT round(avg(iou) - avg(dice), 9) AS d FROM objs GROUP BY pair), e AS (SELECT min(d) AS lo, max(d) AS hi FROM pd),
+      h AS (SELECT least(511, floor((d - lo) / (hi - lo) * 512))::BIGINT AS bin, count(*) AS c, avg(d) AS m, var_pop(d) AS s2 FROM pd, e GROUP BY 1),
+      l AS (SELECT DISTINCT c, greatest(0, floor(c - (9 * sqrt(c) + 12)))::BIGINT AS lo, ceil(c + (9 * sqrt(c) + 12))::BIGINT AS hi FROM h),
+      t AS (SELECT c, lo, k, sum(p) OVER (PARTITION BY c ORDER BY k) / sum(p) OVER (PARTITION BY c) AS cdf
+        FROM (SELECT c, lo, k, exp(k * ln(c) - c - lgamma(k + 1)) AS p FROM (SELECT *, unnest(range(lo, hi + 1)) AS k FROM l))),
+      u AS (SELECT bin, c, m, s2, rep, {_draw_sql("bin", "rep")} AS u FROM h, (SELECT unnest(range(210)) AS rep)),
+      w AS (SELECT bin, rep, any_value(m) AS m, any_value(s2) AS s2, any_value(lo) + count(*) FILTER (cdf <= u) AS k FROM u JOIN t USING (c) GROUP BY 1, 2),
+      r AS (SELECT (sum(k * m) + sqrt(sum(k * s2)) * sqrt(-2 * ln({_draw_sql("'u'", "rep")})) * cos(2 * pi() * {_draw_sql("'v'", "rep")})) / sum(k) AS x FROM w GROUP BY rep)
+    SELECT (SELECT count(*) FROM pd) AS pairs, round((SELECT avg(d) FROM pd), 6) AS mean_diff,
+      round((SELECT quantile_cont(x, 0.025) FROM r), 6) AS ci_low, round((SELECT quantile_cont(x, 0.975) FROM r), 6) AS ci_high""",
+)
+def paired_bootstrap(spark, d):
+    pairs = objs(spark, d).groupBy("pair").agg(F.round(F.avg("iou") - F.avg("dice"), 9).alias("a"), F.lit(0.0).alias("b"))
+    out = S.paired_bootstrap(pairs, "a", "b", reps=210, seed=7, portable=True)
     return out.select("pairs", r6("mean_diff"), r6("ci_low"), r6("ci_high"))
 
 

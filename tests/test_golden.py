@@ -1,12 +1,15 @@
 """Published counts reproduced as arithmetic over tables of the same shape."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import audit as A
 from sightline.operators import experts as X
 from sightline.operators import quality as Q
-from sightline.operators.metrics import paired_bootstrap
+from sightline.operators import metrics
+from sightline.operators.metrics import _poisson_tables, paired_bootstrap, rowwise_bootstrap
+from sightline.session import published
 
 from helpers import rows
 
@@ -79,16 +82,51 @@ def test_expected_totals(spark):
     assert rows(A.audit_totals(df, {k: F.max(v) for k, v in wrong.items()}, A.EXPECTED_TOTALS), "subject", "detail") == [("samples", "3 vs 14035692")]
 
 
-def test_bootstrap_interval_covers_the_mean(spark):
+def test_rowwise_bootstrap_covers_the_mean(spark):
     df = spark.range(2_000).select("id", (F.rand(5) + 0.1).alias("a"), F.rand(6).alias("b"))
-    row = paired_bootstrap(df, "a", "b", ["id"], reps=200, seed=20260814).first()
+    row = rowwise_bootstrap(df, "a", "b", ["id"], reps=200, seed=20260814).first()
     assert row.pairs == 2_000 and row.ci_low < row.mean_diff < row.ci_high
     se = 0.408 / 2_000**0.5
     assert row.ci_high - row.ci_low == pytest.approx(2 * 1.96 * se, rel=0.25)
-    again = paired_bootstrap(df.repartition(7), "a", "b", ["id"], reps=200, seed=20260814).first()
+    again = rowwise_bootstrap(df.repartition(7), "a", "b", ["id"], reps=200, seed=20260814).first()
     assert again.ci_low == pytest.approx(row.ci_low)
 
 
+@pytest.mark.parametrize(("bins", "kind"), [(512, "smooth"), (7, "smooth"), (512, "steps"), (3, "skewed")])
+def test_bootstrap_agrees_with_the_rowwise_one(spark, bins, kind):
+    x = {"smooth": F.rand(5) - F.rand(6), "steps": (F.floor(F.rand(5) * 5) - 1.0), "skewed": F.exp(3 * F.rand(5))}[kind]
+    df = published(spark.range(600).select("id", x.alias("a"), F.lit(0.0).alias("b")))
+    row = paired_bootstrap(df.repartition(5), "a", "b", reps=20_000, seed=3, bins=bins).first()
+    rowwise = rowwise_bootstrap(df, "a", "b", ["id"], reps=3_000, seed=4).first()
+    width = rowwise.ci_high - rowwise.ci_low
+    assert row.pairs == 600 and row.mean_diff == pytest.approx(rowwise.mean_diff)
+    assert row.ci_high - row.ci_low == pytest.approx(width, rel=0.08)
+    assert row.ci_low == pytest.approx(rowwise.ci_low, abs=0.06 * width) and row.ci_high == pytest.approx(rowwise.ci_high, abs=0.06 * width)
+    again = paired_bootstrap(df.repartition(2), "a", "b", reps=20_000, seed=3, bins=bins).first()
+    assert again.ci_low == pytest.approx(row.ci_low) and again.ci_high == pytest.approx(row.ci_high)
+
+
+def test_poisson_tables_and_large_means(spark):
+    import math
+
+    table = _poisson_tables(spark.createDataFrame([(1,), (40,), (3000,)], "c bigint")).collect()
+    for row in table:
+        p = [math.exp(k * math.log(row.c) - row.c - math.lgamma(k + 1)) for k in range(row.lo, row.lo + len(row.cdf))]
+        assert np.allclose(np.cumsum(p), row.cdf, atol=1e-11)
+    equal = spark.createDataFrame([(2.0, 0.5)] * 9 + [(None, 1.0)], "a double, b double")
+    row = paired_bootstrap(equal, "a", "b", reps=300).first()
+    assert (row.pairs, row.mean_diff, row.ci_low, row.ci_high) == (9, 1.5, 1.5, 1.5)
+    none = paired_bootstrap(equal.filter("a is null"), "a", "b", reps=300).first()
+    assert (none.pairs, none.mean_diff, none.ci_low) == (0, None, None)
+
+
+def test_bootstrap_of_large_bins(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "LARGEST_TABLE", 50)
+    df = spark.range(4_000).select((F.col("id") % 4).cast("double").alias("a"), F.lit(0.0).alias("b"))
+    row = paired_bootstrap(df, "a", "b", reps=20_000, seed=1).first()
+    assert row.ci_high - row.ci_low == pytest.approx(2 * 1.96 * (1.25 / 4_000) ** 0.5, rel=0.05)
+
+
 def test_assert_clean(spark):
     found = spark.createDataFrame([("missing", "a", "")], "check string, subject string, detail string")
     A.assert_clean(found.filter("subject = 'b'"))
