@@ -281,22 +281,19 @@ def paired_bootstrap(df: DataFrame, a: str, b: str, reps: int, seed: int = 0, po
     blocks = blocks.join(tables, "c", "left").repartition(tasks, "bin", "_block")  # few small rows stand for many draws
     first = F.col("_block") * DRAWS_PER_ROW
     rep = F.sequence(first, F.least(first + DRAWS_PER_ROW, F.lit(reps).cast("bigint")) - 1)
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(int(longest).bit_length()))])
-
-    def tabled(u: Column) -> Column:
-        """How many cumulative probabilities are at or below ``u``, by binary search."""
-        return F.aggregate(steps, F.lit(0), lambda pos, step: F.when(F.get("cdf", pos + step - 1) <= u, pos + step).otherwise(pos))
 
     def normal(u: Column, v: Column) -> Column:
         return F.sqrt(-2 * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)
 
-    def draw(r: Column) -> Column:
-        u = _uniform(F.col("bin"), r, seed=seed, portable=portable)
-        z = normal(u, _uniform(F.col("bin"), r, F.lit("v"), seed=seed, portable=portable))
-        large = F.greatest(F.lit(0), F.round(F.col("c") + F.sqrt("c") * z + (z * z - 1) / 6)).cast("bigint")
-        return F.struct(r.alias("rep"), F.when(F.col("cdf").isNull(), large).otherwise(F.col("lo") + tabled(u)).alias("k"))
-
-    drawn = blocks.select("m", "s2", F.inline(F.transform(rep, draw)))
+    # one row per bin and replicate, within one generated loop: the table is referred to, not copied
+    drawn = blocks.select("bin", "c", "m", "s2", "lo", "cdf", F.explode(rep).alias("rep"))
+    drawn = drawn.withColumns({"_u": _uniform(F.col("bin"), F.col("rep"), seed=seed, portable=portable), "_pos": F.lit(0)})
+    # how many cumulative probabilities are at or below the draw, by binary search
+    for step in reversed([1 << i for i in range(int(longest).bit_length())]):
+        drawn = drawn.withColumn("_pos", F.when(F.get("cdf", F.col("_pos") + (step - 1)) <= F.col("_u"), F.col("_pos") + step).otherwise(F.col("_pos")))
+    z = normal(F.col("_u"), _uniform(F.col("bin"), F.col("rep"), F.lit("v"), seed=seed, portable=portable))
+    large = F.greatest(F.lit(0), F.round(F.col("c") + F.sqrt("c") * z + (z * z - 1) / 6)).cast("bigint")
+    drawn = drawn.select("rep", "m", "s2", F.when(F.col("cdf").isNull(), large).otherwise(F.col("lo") + F.col("_pos")).alias("k"))
     k = F.col("k")
     sums = drawn.groupBy("rep").agg(F.sum(k).alias("_n"), F.sum(k * F.col("m")).alias("_s"), F.sum(k * F.col("s2")).alias("_v"))
     z = normal(_uniform(F.lit("u"), F.col("rep"), seed=seed, portable=portable), _uniform(F.lit("v"), F.col("rep"), seed=seed, portable=portable))
