@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sightline.operators.ordered import exact_rank_value, ordered_scan
+from sightline.session import published
 
 EMPTY_RULES = ("eps", "one", "null")
 
@@ -276,24 +277,85 @@ def points_in_masks(points: DataFrame, runs: DataFrame, key: str = "mask_id") ->
     return points.join(tested, [key, "pos"], "left")
 
 
+def _column_ranks(asked: DataFrame, columns: DataFrame, key: str) -> DataFrame:
+    """For distinct ``(key, g)`` the number of the key's columns at or left of ``g``; a window holds at most two image widths."""
+    marks = columns.select(key, F.col("c").alias("g"), F.lit(0).alias("_ask")).union(asked.select(key, "g", F.lit(1).alias("_ask")))
+    upto = Window.partitionBy(key).orderBy("g", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    return marks.withColumn("rank", F.sum(1 - F.col("_ask")).over(upto)).filter("_ask = 1").select(key, "g", "rank")
+
+
+def _column_distances(asks: DataFrame, pixels: DataFrame, key: str) -> DataFrame:
+    """The smallest squared distance per ``(key, x, y)`` to the pixels of the columns ``i`` it is paired with.
+
+    ``asks``: key, x, y, ``i`` (column number), ``c`` (its position), ``gy`` (pixel row).  Within a column the nearest
+    pixel is the last at or above the row or the first below; a window holds at most two image heights.
+    """
+    rows = pixels.select(key, "i", F.col("y").alias("gy"), F.col("y").alias("_y"), F.lit(0).alias("_ask"))
+    rows = rows.union(asks.select(key, "i", "gy").distinct().select(key, "i", "gy", F.lit(None).cast("bigint").alias("_y"), F.lit(1).alias("_ask")))
+    column = Window.partitionBy(key, "i")
+    above = F.last("_y", ignorenulls=True).over(column.orderBy("gy", "_ask").rowsBetween(Window.unboundedPreceding, 0))
+    below = F.last("_y", ignorenulls=True).over(column.orderBy(F.desc("gy"), F.desc("_ask")).rowsBetween(Window.unboundedPreceding, 0))
+    near = rows.select(key, "i", "gy", "_ask", above.alias("_up"), below.alias("_down")).filter("_ask = 1").drop("_ask")
+    met = asks.join(near, [key, "i", "gy"])
+    dy = F.least(F.abs(F.col("_up") - F.col("y")), F.abs(F.col("_down") - F.col("y")))
+    return met.groupBy(key, "x", "y").agg(F.min((F.col("c") - F.col("x")) ** 2 + dy**2).alias("d2"))
+
+
+def nearest_pixels(points: DataFrame, pixels: DataFrame, key: str = "mask_id") -> DataFrame:
+    """Exact distance of each distinct point ``(key, x, y)`` to the nearest of the key's pixels: ``key, x, y, near``.
+
+    A separable distance transform, looked up per point: columns of pixels next to the point give a distance that only
+    columns nearer than that can better, and within each column sorted neighbours decide.  No row carries a set of
+    pixels.  Pixels have whole coordinates (others count as the pixel that holds them); points may lie anywhere.  Points
+    without finite coordinates, or of keys without pixels, give no row.
+    """
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in ("x", "y")]
+    asks = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(finite[0] & finite[1]).distinct()
+    pixels = pixels.select(key, F.floor("x").cast("bigint").alias("c"), F.floor("y").cast("bigint").alias("y")).filter("c is not null and y is not null").distinct()
+    columns = pixels.select(key, "c").distinct().withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("c")).cast("bigint"))
+    columns = published(columns)
+    pixels = published(pixels.join(columns, [key, "c"]))
+    box = published(pixels.groupBy(key).agg(F.min("c").alias("_c0"), F.max("c").alias("_c1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.max("i").alias("_n")))
+    # beyond the box all positions have the same neighbours
+    inside = lambda v, lo, hi: F.greatest(F.least(F.floor(v).cast("bigint"), F.col(hi)), F.col(lo) - 1)
+    asks = asks.join(box, key).select(key, "x", "y", "_c0", "_c1", "_n", inside(F.col("y"), "_y0", "_y1").alias("gy"), inside(F.col("x"), "_c0", "_c1").alias("g"))
+    asks = asks.join(_column_ranks(asks.select(key, "g").distinct(), columns, key), [key, "g"])
+    asks = published(asks.drop("g"))
+
+    def paired(rows: DataFrame, numbers: Column) -> DataFrame:
+        return rows.select(key, "x", "y", "gy", F.explode(numbers).alias("i")).join(columns, [key, "i"])
+
+    beside = F.filter(F.array(F.col("rank"), F.col("rank") + 1), lambda i: (i >= 1) & (i <= F.col("_n")))
+    first = published(_column_distances(paired(asks, beside), pixels, key))
+    # columns strictly nearer than what was found
+    reach = asks.join(first, [key, "x", "y"]).withColumn("_r", F.sqrt("d2"))
+    reach = reach.withColumns({"_a": inside(F.col("x") - F.col("_r"), "_c0", "_c1"), "_b": inside(F.ceil(F.col("x") + F.col("_r")) - 1, "_c0", "_c1")})
+    marks = _column_ranks(reach.select(key, F.col("_a").alias("g")).union(reach.select(key, "_b")).distinct(), columns, key)
+    for end in ("_a", "_b"):
+        reach = reach.join(marks.select(key, F.col("g").alias(end), F.col("rank").alias(f"{end}_rank")), [key, end])
+    between = F.when(F.col("_b_rank") > F.col("_a_rank"), F.sequence(F.col("_a_rank") + 1, F.col("_b_rank")))
+    wanted = F.filter(between, lambda i: (i != F.col("rank")) & (i != F.col("rank") + 1))
+    more = _column_distances(paired(reach, wanted), pixels, key).withColumnRenamed("d2", "_d2")
+    return first.join(more, [key, "x", "y"], "left").select(key, "x", "y", F.sqrt(F.least("d2", "_d2")).alias("near"))
+
+
 def cycle_evidence(
     points: DataFrame, runs: DataFrame, reference: DataFrame, heights: DataFrame, keys: Sequence[str] = ("mask_id", "expert")
 ) -> DataFrame:
     """Per (mask, expert): returned points inside the query mask and mean distance to the nearest reference point.
 
-    ``points`` and ``reference`` carry x, y.  A group with any non-finite point is not valid.
-    Reference points are pixel positions of one query mask: their set is bounded by the image.
+    ``points`` and ``reference`` carry x, y.  A group with any non-finite point is not valid.  Reference points are
+    pixels of the query mask (:func:`nearest_pixels`).
     """
     mask = keys[0]
-    ref = reference.groupBy(mask).agg(F.collect_set(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("_ref"))
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    rows = points.join(heights.select(mask, "h", "w"), mask).join(ref, mask, "left")
-    ok = finite(F.col("x").cast("double")) & finite(F.col("y").cast("double"))
-    near = F.array_min(F.transform("_ref", lambda r: F.sqrt((r["x"] - F.col("x")) ** 2 + (r["y"] - F.col("y")) ** 2)))
+    rows = points.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
+    rows = rows.join(nearest_pixels(points, reference, mask), [mask, "x", "y"], "left").join(heights.select(mask, "h", "w"), mask)
+    ok = finite(F.col("x")) & finite(F.col("y"))
     x, y = F.floor(F.col("x")), F.floor(F.col("y"))
     on_image = ok & (x >= 0) & (y >= 0) & (x < F.col("w")) & (y < F.col("h"))
     pos = F.when(on_image, x * F.col("h") + y).otherwise(F.lit(-1).cast("bigint"))
-    prepared = rows.select(*keys, pos.alias("pos"), ok.alias("ok"), F.when(ok, near).alias("near"))
+    prepared = rows.select(*keys, pos.alias("pos"), ok.alias("ok"), F.when(ok, F.col("near")).alias("near"))
     tested = points_in_masks(prepared, runs, mask)
     valid = F.bool_and("ok")
     return tested.groupBy(*keys).agg(

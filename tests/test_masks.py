@@ -115,6 +115,30 @@ def test_points_and_cycle_evidence(spark):
     assert got[(1, "C")] == (None, None, False)
 
 
+@pytest.mark.parametrize("share", [0.0002, 0.01, 0.4])
+def test_nearest_pixels_against_brute_force(spark, share):
+    rng = np.random.default_rng(int(share * 10_000))
+    pixels, points = [], []
+    for mask in range(4):
+        field = rng.random((256, 256)) < share
+        field[:, 100:180] &= mask % 2 == 0  # a wide gap
+        field[3, 7] = True
+        xs, ys = np.nonzero(field)
+        pixels += [(mask, int(x), int(y)) for x, y in zip(xs, ys, strict=True)]
+        points += [(mask, *map(float, p)) for p in rng.uniform(-60, 320, (60, 2))] + [(mask, float(p[0]), float(p[1])) for p in rng.integers(0, 256, (30, 2))]
+        points += [(mask, 3.0, 7.0), (mask, 1e6, -1e6), (mask, float("nan"), 1.0), (mask, None, 1.0)]
+    pixels += pixels[:50]
+    asked = spark.createDataFrame([*points, *points[:9], (99, 0.0, 0.0)], "mask_id bigint, x double, y double").repartition(3)
+    got = {(r["mask_id"], r["x"], r["y"]): r["near"] for r in M.nearest_pixels(asked, spark.createDataFrame(pixels, "mask_id bigint, x int, y int")).collect()}
+    want = {}
+    for mask, x, y in points:
+        if x is not None and x == x:
+            own = np.array([(a, b) for m, a, b in pixels if m == mask])
+            want[(mask, x, y)] = np.sqrt(((own - [x, y]) ** 2).sum(1).min())
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
 def test_polygon_statistics(spark):
     poly = spark.createDataFrame([("a", [[0.0, 0.0], [8.0, 0.0], [8.0, 6.0], [0.0, 6.9]]), ("a", [[2.0, 2.0]])], "base string, points array<array<double>>")
     meta = spark.createDataFrame([("a", 2)], "base string, scale int")
