@@ -1,7 +1,8 @@
 """Words of whole texts as 64-bit hashes, vectorised over Arrow batches.
 
 A word's hash is a polynomial in its bytes modulo 2^64, mixed; sums over a prefix of the batch give
-every word at once, so no Python object per word exists.  Texts are worked on in pieces of about
+every word at once, so no Python object per word exists.  Modulo a power of two such polynomials agree for
+some long, regular pairs of words, so words above ``LONG`` bytes get 64 bits of BLAKE2b instead.  Texts are worked on in pieces of about
 ``CHUNK`` bytes cut between texts, or at white space inside a longer text: memory is bounded by the
 piece, and nothing of a text is left out.
 """
@@ -9,11 +10,13 @@ piece, and nothing of a text is left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 500_000
+LONG = 32
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -65,6 +68,9 @@ def _hash_piece(data: np.ndarray, bounds: np.ndarray, heads: tuple[int, ...] = (
     total = np.cumsum(_BYTE[data] * up[: len(data)])
     lead = np.where(starts > 0, total[starts - 1], _U(0)) if len(starts) else total[:0]
     hashes = mix((total[ends] - lead) * down[starts])
+    for i in np.flatnonzero(ends - starts >= LONG).tolist():
+        lowered = _LOWER[data[starts[i] : ends[i] + 1]].tobytes()
+        hashes[i] = int.from_bytes(blake2b(lowered, digest_size=8).digest(), "little")
     if heads:
         cut = [mix((total[np.minimum(ends, starts + h - 1)] - lead) * down[starts] + _U(h)) for h in heads]
         hashes = np.stack([hashes, *cut])
