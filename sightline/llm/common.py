@@ -29,11 +29,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if a count that stops after ``limit`` rows proves it small.
+def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast if a count that stops after ``limit`` rows (``BROADCAST_ROWS``) proves it small.
 
     Beyond that Spark shuffles both sides and splits skewed partitions, with the same result.
     """
+    limit = BROADCAST_ROWS if limit is None else limit
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
@@ -45,6 +46,14 @@ def row_key(*cols: str) -> list[Column]:
     return [F.coalesce(F.xxhash64(*cols), F.lit(0)).alias("_key")]
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column of the frames is called so."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: one row per node with its smallest reachable node.
 
@@ -76,4 +85,4 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-__all__ = ["BROADCAST_ROWS", "WORD", "components", "cut_lineage", "lower_ascii", "row_key", "saved", "small_side", "table"]
+__all__ = ["BROADCAST_ROWS", "WORD", "components", "cut_lineage", "lower_ascii", "row_key", "saved", "small_side", "table", "unused"]

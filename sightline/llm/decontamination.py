@@ -5,8 +5,10 @@ so the necessary prefix is a single shingle: the one that is rarest over all doc
 the texts keeps the positions of shingles that benchmark windows have at all and counts them; windows
 with a shingle that no document has are out, the others look only where their rarest shingle is.  Its
 position fixes where the window would start (positional bound) and the document must be long enough
-(length bound); then every other shingle has to stand at its own position, which is the exact check,
-as shingles were compared as words.
+(length bound); then every other shingle has to stand at its own position, which is the exact check.
+
+Shingles are compared by two 64-bit hashes of their words under different seeds: among N shingles the chance of
+any wrong equality is below N^2 / 2^129.  Only these numbers leave the task that split a text, never its words.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sightline.llm.common import lower_ascii, row_key, saved, small_side
+from sightline.llm.common import lower_ascii, row_key, saved, small_side, unused
 
 WINDOW, SHINGLE = 10, 5
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # in lower-cased text
@@ -37,12 +39,14 @@ def item_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
     return w.select("item_id", F.xxhash64("words").alias("wid"), "length", "k", "words")
 
 
-def _joined(words: Column, at: Column, k: int) -> Column:
-    return F.concat_ws(" ", *[F.get(words, at + i) for i in range(k)])
+def _digests(words: Column, at: Column | int, k: int) -> list[Column]:
+    """Two hashes of the ``k`` words from ``at`` on; the second one starts from another seed."""
+    picked = [F.get(words, F.lit(at + i) if isinstance(at, int) else at + i) for i in range(k)]
+    return [F.xxhash64(*picked), F.xxhash64(F.lit(SHINGLE), *picked)]
 
 
 def shingle_hits(docs: DataFrame, shingles: DataFrame, ks: list[int]) -> DataFrame:
-    """Positions of the benchmark's shingles in whole texts, and a row at -1 for every row of ``docs``.
+    """Positions of the benchmark's shingles (``k, sid, check``) in whole texts, and a row at -1 for every row of ``docs``.
 
     Returns ``doc_id, _key, n, pos, sid``; the id is on the rows at -1 only.  ``ks`` are the shingle lengths
     that occur, usually one, so that the texts are split into words once.
@@ -53,12 +57,12 @@ def shingle_hits(docs: DataFrame, shingles: DataFrame, ks: list[int]) -> DataFra
         first = -1 if not parts else 0
         rows = words if first else words.filter(F.col("n") >= k)
         rows = rows.select("doc_id", "_key", "w", "n", F.explode(F.sequence(F.lit(first), F.greatest(F.lit(first), F.col("n") - k))).alias("pos"))
-        rows = rows.withColumn("digest", F.xxhash64(*[F.get("w", F.col("pos") + i) for i in range(k)]))
-        known = small_side(shingles.filter(F.col("k") == k).select("sid", "shingle"))
-        # joined on the hash, kept if the words agree
-        same = (F.col("digest") == F.col("sid")) & (F.col("pos") >= 0) & (_joined(F.col("w"), F.col("pos"), k) == F.col("shingle"))
-        hits = rows.join(known, same, "left").filter("pos = -1 or sid is not null")
-        parts.append(hits.select(F.when(F.col("pos") == -1, F.col("doc_id")).alias("doc_id"), "_key", "n", "pos", "sid"))
+        digest, again = (F.when(F.col("pos") >= 0, d) for d in _digests(F.col("w"), F.col("pos"), k))
+        digest = F.coalesce(digest, "_key")  # rows at -1 match nothing, but must not share a key
+        rows = rows.select(F.when(F.col("pos") == -1, F.col("doc_id")).alias("doc_id"), "_key", "n", "pos", digest.alias("digest"), again.alias("again"))
+        known = small_side(shingles.filter(F.col("k") == k).select("sid", "check"))
+        hits = rows.join(known, (F.col("digest") == F.col("sid")) & (F.col("again") == F.col("check")), "left").filter("pos = -1 or sid is not null")
+        parts.append(hits.select("doc_id", "_key", "n", "pos", "sid"))
     return reduce(DataFrame.union, parts)
 
 
@@ -69,11 +73,10 @@ def window_occurrences(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame,
     grams = distinct.select("wid", "length", "k", "words", F.explode(at).alias("j"))
     grams = grams.withColumn("gram", F.slice("words", F.col("j") + 1, F.col("k")))
     ks = [r["k"] for r in distinct.select("k").distinct().collect()]  # at most SHINGLE numbers
-    # the hash of the words one by one, as on the side of the documents
-    # (a constant where there are no items)
-    sid = F.coalesce(*[F.when(F.col("k") == k, F.xxhash64(*[F.get("gram", F.lit(i)) for i in range(k)])) for k in ks], F.lit(0))
-    grams = saved(grams.select("wid", "length", "k", "j", sid.alias("sid"), F.concat_ws(" ", "gram").alias("shingle")))
-    shingles = grams.select("k", "sid", "shingle").distinct()
+    # the hashes of the words one by one, as on the side of the documents (a constant where there are no items)
+    both = [F.coalesce(*[F.when(F.col("k") == k, _digests(F.col("gram"), 0, k)[i]) for k in ks], F.lit(0)) for i in range(2)]
+    grams = saved(grams.select("wid", "length", "k", "j", both[0].alias("sid"), both[1].alias("check")))
+    shingles = grams.select("k", "sid", "check").distinct()
 
     read = saved(shingle_hits(docs, shingles, ks))
     rows = read.filter("pos = -1").select("doc_id", "_key", "n")
@@ -125,5 +128,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no window of an item, with their columns as they are."""
-    hit = contamination(docs, items, window).filter("contaminated").select(F.col("_key").alias("_hit")).distinct()
-    return docs.join(small_side(saved(hit)), row_key("doc_id", "text")[0] == F.col("_hit"), "left_anti")
+    name = unused("_hit", docs)
+    hit = contamination(docs, items, window).filter("contaminated").select(F.col("_key").alias(name)).distinct()
+    return docs.join(small_side(saved(hit)), row_key("doc_id", "text")[0] == F.col(name), "left_anti")
