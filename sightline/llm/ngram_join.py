@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import components, row_key, saved, small_side
+from sightline.llm.common import components, row_key, saved, small_side, unused
 from sightline.llm.hashing import hashed_words, release, shingle_sets
 
 #: Similarity as a fraction, 3/4.
@@ -289,7 +289,8 @@ def jaccard_components(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     none.  Empty table: empty result.
     """
     rows = classed_rows(docs, blocks)
-    names = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # written, so that a class of very many rows can be split in the join
+    names = saved(rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")))
     named = rows.filter("label is not null").join(names, "label").select("doc_id", "n_shingles", "component_id")
     return named.union(rows.filter("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
@@ -302,12 +303,14 @@ def keep_one_per_class(docs: DataFrame) -> DataFrame:
     """
     rows = classed_rows(docs).filter("label is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_key").alias("key"))).alias("first")
-    kept = rows.groupBy("label").agg(first).select("label", F.col("first.key").alias("key"))
-    lost = saved(rows.join(kept, "label").filter("_key <> key").select(F.col("_key").alias("_lost")).distinct())
-    again = saved(rows.groupBy("_key").count().filter("count > 1").join(lost, F.col("_key") == F.col("_lost"), "left_anti").select(F.col("_key").alias("_again")))
+    kept = saved(rows.groupBy("label").agg(first).select("label", F.col("first.key").alias("key")))
+    lost, again = unused("_lost", docs), unused("_again", docs)
+    losers = saved(rows.join(kept, "label").filter("_key <> key").select(F.col("_key").alias(lost)).distinct())
+    repeated = rows.groupBy("_key").count().filter("count > 1").join(losers, F.col("_key") == F.col(lost), "left_anti")
+    repeated = saved(repeated.select(F.col("_key").alias(again)))
     key = row_key("doc_id", "text")[0]
-    out = docs.join(small_side(lost), key == F.col("_lost"), "left_anti")
-    if not again.limit(1).count():
+    out = docs.join(small_side(losers), key == F.col(lost), "left_anti")
+    if not repeated.limit(1).count():
         return out
-    once = out.join(small_side(again), key == F.col("_again")).dropDuplicates(["_again"]).drop("_again")
-    return out.join(small_side(again), key == F.col("_again"), "left_anti").union(once)
+    once = out.join(small_side(repeated), key == F.col(again)).dropDuplicates([again]).drop(again)
+    return out.join(small_side(repeated), key == F.col(again), "left_anti").union(once)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import lower_ascii, small_side
+from sightline.llm.common import lower_ascii, saved, small_side, unused
 
 SHORT = 8  # hex digits of the digest that are joined on
 
@@ -67,6 +67,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     fits = told.join(small_side(keyed), "short").filter(F.col("full") == F.col("digest"))
     rank = F.struct(F.length("rule").alias("n"), "host_len", "rule", "verdict")
     best = fits.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    best = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
-    out = rows.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+    h, p = unused("_h", rows), unused("_p", rows)
+    # written, so that a URL of very many pages can be split in the join
+    best = saved(best.select(F.col("host").alias(h), F.col("path").alias(p), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")))
+    out = rows.join(best, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
     return out.select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

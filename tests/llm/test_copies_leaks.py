@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from cases import lower_ascii, prose, rows
 
-from sightline.llm import decontamination, ngram_join
+from sightline.llm import common, decontamination, ngram_join
 
 
 def shingles(text):
@@ -135,6 +135,47 @@ def test_contamination_against_brute_force(spark, frame):
     )
 
 
+@pytest.mark.parametrize("seed", [9, 10])
+def test_contamination_with_a_benchmark_too_large_to_broadcast(spark, frame, monkeypatch, seed):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(seed)
+        items = [(i, prose(rng, rng.choice([3, 10, 40]), 50)) for i in range(30)]
+        docs = [(i, prose(rng, rng.randrange(40), 50) + " " + rng.choice(items)[1]) for i in range(60)] + [(None, items[1][1]), (100, None), (101, "x " * 300_000 + items[4][1])]
+        table = spark.createDataFrame(items, "item_id long, text string")
+        got = decontamination.contamination(frame(docs), table).collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"]), r["contaminated"]) for r in got), key=repr) == brute_hits(docs, items)
+        known = spark.createDataFrame([(5, 1, 2)], "k int, sid long, check long")
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = decontamination.shingle_hits(frame(docs), known, [5])._jdf.queryExecution().explainString(mode)
+        sent = [line for name, line in re.findall(r"\) (\w+)\nInput \[\d+\]: (.*)", plan) if name == "Exchange"]
+        columns = [set(re.findall(r"(\w+)#", line)) for line in sent]
+        assert {"doc_id", "_key", "n", "pos", "digest", "again"} in columns and not any({"w", "words", "shingle"} & c for c in columns)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_columns_with_names_of_the_operators(spark):
+    columns = "doc_id long, text string, _lost long, _again string, _hit int, _key long, label int, node int, w int, pos int"
+    data = [(i, t, 1, "a", 2, 3, 4, 5, 6, 7) for i, t in enumerate(["a b c d e f", "a b c d e f", "g h", "some words of a benchmark item here now ok yes", "some words of a benchmark item here now ok yes"])]
+    docs = spark.createDataFrame([*data, data[0]], columns)
+    kept = ngram_join.keep_one_per_class(docs)
+    assert kept.columns == docs.columns and rows(kept, "doc_id") == [(0,), (2,), (3,)]
+    items = spark.createDataFrame([(1, "some words of a benchmark item here now ok yes")], "item_id long, text string")
+    clean = decontamination.remove_contaminated(docs, items)
+    assert clean.columns == docs.columns and rows(clean, "doc_id", "_hit") == [(0, 2), (0, 2), (1, 2), (2, 2)]
+
+
+@pytest.mark.parametrize("size", [64, 128, 512, 1024, 2048])
+def test_long_regular_words_are_told_apart(frame, size):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = ngram_join.jaccard_components(frame([(1, word), (2, other), (3, word.upper()), (4, f"x {word}"), (5, f"x {other}")]))
+    assert rows(got, "doc_id", "component_id") == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)]
+
+
 def test_contamination_without_items_or_documents(spark, frame):
     none = spark.createDataFrame([], "item_id long, text string")
     assert rows(decontamination.contamination(frame([(1, "a b c"), (2, None)]), none), "doc_id", "n_words", "n_hit") == [(1, 3, 0), (2, 0, 0)]

@@ -89,3 +89,10 @@ def test_urls_against_brute_force(spark):
     without = url_filter.filter_urls(pages, table.limit(0))
     assert without.filter("rule is null and verdict = 'allow'").count() == len(urls)
     assert pages.select(F.count("*")).first()[0] == len(urls)
+
+
+def test_url_columns_with_names_of_the_operator(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/x", "h", "p", "s"), (1, "http://a.b/x", "h", "p", "s"), (2, None, "h", "p", None)], "page_id long, url string, _h string, _p string, short string")
+    rules = spark.createDataFrame([("b", "/x", "block")], "host string, path string, verdict string")
+    got = url_filter.filter_urls(pages, rules)
+    assert rows(got, "page_id", "_h", "_p", "short", "rule", "verdict") == [(1, "h", "p", "s", "b/x", "block")] * 2 + [(2, "h", "p", None, None, "allow")]
