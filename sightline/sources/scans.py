@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from sightline import schemas
 from sightline.operators.ordered import ordered_scan
 from sightline.session import published
+from sightline.sources.json_ranges import scan_entries
 
 
 def _file_name() -> Column:
@@ -63,6 +64,7 @@ def scan_json_map(spark: SparkSession, path: str, layout: str = "object") -> Dat
     ``layout='object'``: one object per file; files are the unit of parallelism.
     ``layout='lines'``: indented files with one entry per line are split like any text,
     so one very large map is read by many tasks.
+    ``layout='ranges'``: files of any form, one long line too, are split into byte ranges.
     """
     return parse_json_map(_objects(spark, path, layout))
 
@@ -71,6 +73,8 @@ def _objects(spark: SparkSession, path: str, layout: str) -> DataFrame:
     """JSON objects as text: whole files, or an object of one entry per line of files with an entry per line."""
     if layout == "object":
         return spark.read.text(path, wholetext=True)
+    if layout == "ranges":
+        return scan_entries(spark, path).select(F.concat(F.lit("{"), "entry", F.lit("}")).alias("value"))
     if layout != "lines":
         raise ValueError(f"unknown layout {layout!r}")
     rows = spark.read.text(path).filter(F.trim("value").startswith('"'))
@@ -144,19 +148,28 @@ def scan_metric_shards(spark: SparkSession, path: str, layout: str = "object") -
     """Raw metric shards (JSON arrays of {ious, dices}); shard = file name, pair_idx = position.
 
     The shard ordinal follows the *text* order of file names.  ``layout='object'`` reads a file as a whole;
-    ``layout='lines'`` splits files with an element per line and numbers the lines of each file over tasks.
+    ``layout='lines'`` splits files with an element per line and numbers the lines of each file over tasks;
+    ``layout='ranges'`` splits files of any form and numbers the elements.
     """
     if layout == "object":
         return parse_metric_shards(spark.read.text(path, wholetext=True).select(_file_name().alias("shard"), "value"))
+    if layout == "ranges":
+        entries = scan_entries(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("shard"), "at", F.col("entry").alias("value"))
+        return _numbered_pairs(published(entries), ["at"])
     if layout != "lines":
         raise ValueError(f"unknown layout {layout!r}")
     lines = spark.read.text(path).select(_file_name().alias("shard"), F.col("_metadata.file_block_start").alias("_block"), "value")
     # in a block rows keep the order of the file; written once, so that the numbers stay as they are
     lines = published(lines.withColumn("_line", F.monotonically_increasing_id()).filter(F.trim("value").startswith("{")))
-    placed = ordered_scan(lines, ["_block", "_line"], ["shard"], ordinal="pair_idx")
+    return _numbered_pairs(lines, ["_block", "_line"])
+
+
+def _numbered_pairs(elements: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Elements of shards as text, numbered per shard in ``order``."""
+    placed = ordered_scan(elements, order, ["shard"], ordinal="pair_idx")
     row = F.from_json(F.regexp_replace(F.trim("value"), ",$", ""), "ious array<double>, dices array<double>")
     out = placed.select("shard", "pair_idx", row.alias("r")).select("shard", "pair_idx", "r.ious", "r.dices")
-    return out.join(shard_ordinals(lines), "shard")
+    return out.join(shard_ordinals(elements), "shard")
 
 
 def parse_metric_shards(text: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -2,12 +2,15 @@
 
 import hashlib
 import json
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import audit as A
 from sightline.operators.metrics import explode_pairs, metric_lattice
+from sightline.sources import json_ranges as J
 from sightline.sources import scans as N
 from sightline.sources import sinks as K
 
@@ -199,3 +202,64 @@ def test_large_json_files_are_split_by_line(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert split == rows(N.scan_metric_shards(spark, str(tmp_path / "raw_*.json")), "shard", "pair_idx", "ious", "shard_no")
+
+
+ODD = ['', ' ', '"', '\\', '\\\\"', '{', '}', '],[', ',', '":', '\\u007b', '\n', 'é', '\U0001f600', 'a"b\\']
+
+
+def odd_value(rng, depth=0):
+    kind = rng.randrange(7 if depth < 3 else 4)
+    text = "".join(rng.choices(ODD, k=rng.randrange(4)))
+    if kind < 4:
+        return [text, rng.randrange(-9, 9), None, rng.random() < 0.5][kind]
+    return [odd_value(rng, depth + 1) for _ in range(rng.randrange(4))] if kind == 4 else {text + str(i): odd_value(rng, depth + 1) for i in range(rng.randrange(4))}
+
+
+def read_in_ranges(path, size):
+    """The two passes of the reader on local batches."""
+    total = path.stat().st_size
+    ranges = [{"path": str(path), "start": a, "stop": min(a + size, total)} for a in range(0, total, size)]
+    effects = [e for b in J._effects(iter([pa.RecordBatch.from_pylist(ranges)])) for e in b.to_pylist()] if ranges else []
+    names = ("path", "start", "stop", "size", "inside", "escaped", "depth")
+    begun = [dict(zip(names, p, strict=True)) for p in J._composed(effects)]
+    return [e for b in J._entries(iter([pa.RecordBatch.from_pylist(begun)])) for e in b.to_pylist()] if begun else []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_entries_of_ranges_are_those_of_the_document(tmp_path, monkeypatch, seed):
+    monkeypatch.setattr(J, "AHEAD", 3)
+    rng = random.Random(seed)
+    for n in range(25):
+        doc = odd_value(rng, 0)
+        doc = doc if isinstance(doc, (dict, list)) else {"k": doc, "l": [doc]}
+        text = json.dumps(doc, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, None, 1]))
+        path = tmp_path / f"{n}.json"
+        path.write_text(rng.choice(["", " \n"]) + text + rng.choice(["", "\n"]))
+        for size in (1, 2, 3, 7, 50, 10_000):
+            got = sorted(read_in_ranges(path, size), key=lambda e: e["at"])
+            entries = [json.loads("[" + e["entry"] + "]")[0] if isinstance(doc, list) else json.loads("{" + e["entry"] + "}") for e in got]
+            assert entries == (doc if isinstance(doc, list) else [{k: v} for k, v in doc.items()]), (text, size)
+
+
+def test_one_line_files_are_split_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "scan_entries", lambda spark, path: J.scan_entries(spark, path, 700))
+    raw = {f"a/{i}": [{"id": f'e}}"{i}', "range_nop": [i, i + 1]}] for i in range(80)}
+    path = put(tmp_path / "m.json", raw)
+    assert rows(N.scan_rawpath_map(spark, path, "ranges")) == rows(N.scan_rawpath_map(spark, path))
+    flat = {f"k{i}": None if i % 3 else "{" * i for i in range(60)}
+    path = put(tmp_path / "f.json", flat)
+    assert rows(N.scan_json_map(spark, path, "ranges")) == rows(N.scan_json_map(spark, path))
+    rel = {f"p{i}": {"video_id": f"p{i}", "video_path": ["a.jpg"], "prompt": {"first_frame_image": "b.jpg", "first_frame_anns": {}},
+                     "objects": {"0": {"video_id": f"p{i}", "obj_id": 0, "video_path": ["a.jpg"], "area": 1.0}}} for i in range(20)}
+    path = put(tmp_path / "r.json", rel)
+    assert rows(N.scan_relations(spark, path, "d", "ranges")) == rows(N.scan_relations(spark, path, "d"))
+    for shard in range(3):
+        put(tmp_path / f"raw_{shard}.json", [{"ious": [shard + i / 100], "dices": [0.5]} for i in range(40)])
+    names = str(tmp_path / "raw_*.json")
+    columns = ("shard", "pair_idx", "ious", "shard_no")
+    assert rows(N.scan_metric_shards(spark, names, "ranges"), *columns) == rows(N.scan_metric_shards(spark, names), *columns)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.json").write_text("")
+    assert J.scan_entries(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError, match="layout"):
+        N.scan_json_map(spark, path, "pages")
