@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators.ordered import union_all
+from sightline.sources.file_pieces import hashed_files
 
 # Published totals of the dual-view dataset (trajectories, samples, images per sample).
 EXPECTED_TOTALS = {"trajectories": 56_566, "samples": 14_035_692, "images_per_sample": 2}
@@ -283,7 +284,14 @@ def verify_digests(files: DataFrame, manifest: DataFrame, key: str = "path") ->
     )
 
 
-def file_digests(spark, path: str, glob: str = "*") -> DataFrame:
-    """(path, bytes, sha) of every file; each file is hashed inside a task."""
+def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, bytes, sha) of every file below ``path`` whose name fits ``glob``; each file is hashed inside a task, piece by piece.
+
+    A digest takes a file's bytes in order, so a file is one task's work, but never more than a piece of it is held:
+    files of any size are hashed in the same memory.  Spark's listing leaves out empty files.  Python reads them
+    (see ``sightline.sources.file_pieces``).
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha"))
+    listed = files.select("path", F.col("length").alias("bytes"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(tasks, "path").mapInArrow(hashed_files, "path string, bytes long, sha string")

@@ -12,6 +12,7 @@ from sightline.session import work_folder
 from sightline import schemas
 from sightline.sources import scans as N
 from sightline.sources import sinks as K
+from sightline.sources.json_ranges import scan_entries
 from sightline.streaming import jobs as J
 
 # --- scans of the driver files ----------------------------------------------------------------------
@@ -84,6 +85,29 @@ def parse_rawpath_map(spark, d):
     return rows.select("raw_path", "id", big(F.get("range_nop", F.lit(0)), "first"), big(F.get("range_nop", F.lit(1)), "last"))
 
 
+@register(
+    "split_rawpath_map",
+    "A04",
+    """SELECT 'raw/' || o_custkey || '/' || o_orderkey AS raw_path, 'ep' || o_orderkey || '_' || k AS id, o_orderkey % 50 + k AS first, o_orderkey % 50 + 10 AS last FROM orders, unnest(range(2)) u(k)""",
+)
+def split_rawpath_map(spark, d):
+    """The map of ``parse_rawpath_map`` written as files of one line each, then read in byte ranges."""
+    o = F.col("o_orderkey")
+    rec = lambda k: F.struct(
+        F.concat(F.lit("ep"), o.cast("string"), F.lit(f"_{k}")).alias("id"), F.array((o % 50 + k).cast("int"), (o % 50 + 10).cast("int")).alias("range_nop")
+    )
+    path = F.concat_ws("/", F.lit("raw"), F.col("o_custkey").cast("string"), o.cast("string"))
+    entry = F.concat(F.lit(', "'), path, F.lit('": '), F.to_json(F.array(rec(0), rec(1))))
+    files = range(4)
+    rows = table(spark, d, "orders").select((o % len(files)).cast("int").alias("file"), F.lit(1).alias("part"), entry.alias("value"))
+    ends = spark.createDataFrame([(f, part, text) for f in files for part, text in ((0, '{"": []'), (2, "}"))], "file int, part int, value string")
+    folder = work_folder(spark)
+    whole = rows.union(ends).repartition(len(files), "file").sortWithinPartitions("file", "part")
+    whole.select("value").write.option("lineSep", " ").text(folder)
+    found = N.parse_rawpath_map(scan_entries(spark, folder, 1 << 20).select(F.concat(F.lit("{"), "entry", F.lit("}")).alias("value")))
+    return found.select("raw_path", "id", big(F.get("range_nop", F.lit(0)), "first"), big(F.get("range_nop", F.lit(1)), "last"))
+
+
 @register(
     "parse_metric_shards",
     "A08 E08",

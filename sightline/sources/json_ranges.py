@@ -6,8 +6,7 @@ state it may begin in: the state it ends in and how many brackets it leaves open
 per range, these give the state each range begins in.  The second pass then cuts the entries of its range; the last
 one is read to its end in the ranges that follow.
 
-This is the one place outside ``sightline/llm`` where Python runs on executors: no reader of Spark begins inside a
-document.  Files are opened with ``pyarrow.fs``, so they lie in a store that it knows (a mounted path, HDFS, S3, GCS).
+Here and for file digests Python runs on executors outside ``sightline/llm``: no reader of Spark begins inside a document.
 """
 
 from __future__ import annotations
@@ -16,9 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from sightline.sources.file_pieces import read_range
 
 #: Bytes of a range, of a piece read beyond it, and of the entries that a task sends at once.
 RANGE, AHEAD, SEND = 16 << 20, 1 << 20, 4 << 20
@@ -27,14 +26,8 @@ _STEP = np.zeros(256, np.int8)
 _STEP[list(b"{[")], _STEP[list(b"}]")] = 1, -1
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
-
-
 def _read(path: str, start: int, stop: int) -> np.ndarray:
-    store, name = _open(path)
-    with store.open_input_file(name) as file:
-        return np.frombuffer(file.read_at(stop - start, start), np.uint8)
+    return np.frombuffer(read_range(path, start, stop), np.uint8)
 
 
 def _real_quotes(data: np.ndarray, escaped: bool) -> tuple[np.ndarray, bool]:

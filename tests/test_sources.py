@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 
 import pyarrow as pa
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 from sightline.operators import audit as A
 from sightline.operators.metrics import explode_pairs, metric_lattice
+from sightline.plans import load_all
 from sightline.sources import json_ranges as J
 from sightline.sources import scans as N
 from sightline.sources import sinks as K
 
 from helpers import rows
+from oracle_compare import DATA
 
 
 def put(path, obj, indent=None):
@@ -158,6 +161,26 @@ def test_file_digests(spark, tmp_path):
     assert rows(A.verify_digests(got, manifest), "check", "subject") == [("digest", "b.bin"), ("missing", "c.bin")]
 
 
+def test_file_digests_of_the_tables(spark):
+    folder = f"{DATA}/sf0.001"
+    got = rows(load_all().QUERIES["file_digests"](spark, folder))
+    names = sorted(n for n in os.listdir(folder) if n.endswith(".parquet"))
+    raw = {n: open(f"{folder}/{n}", "rb").read() for n in names}
+    assert got == [(n, len(raw[n]), hashlib.sha256(raw[n]).hexdigest()) for n in names]
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path):
+    size, piece = 3 << 30, bytes(1 << 20)
+    with open(tmp_path / "sparse.bin", "wb") as file:  # takes no room on the disk
+        file.truncate(size)
+    (tmp_path / "small.bin").write_bytes(b"x")
+    digest = hashlib.sha256()
+    for _ in range(size // len(piece)):
+        digest.update(piece)
+    got = {r["path"].rsplit("/", 1)[-1]: (r["bytes"], r["sha"]) for r in A.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {"sparse.bin": (size, digest.hexdigest()), "small.bin": (1, hashlib.sha256(b"x").hexdigest())}
+
+
 def test_jpeg_closure(spark, tmp_path):
     (tmp_path / "ok.jpg").write_bytes(b"\xff\xd8abc\xff\xd9")
     (tmp_path / "cut.jpg").write_bytes(b"\xff\xd8abc")
