@@ -64,11 +64,15 @@ def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for row in batch.to_pylist():
             data = _read(row["path"], row["start"], row["stop"])
+            quotes, after = _real_quotes(data, False)
             for escaped in (False, True):
-                quotes, after = _real_quotes(data, escaped)
+                if escaped and data[0] in (_QUOTE, _ESCAPE):  # else a covered first byte changes nothing
+                    quotes, after = _real_quotes(data, True)
+                at = np.flatnonzero(_STEP[data])
+                odd, steps = np.searchsorted(quotes, at) % 2 == 1, _STEP[data[at]]
                 for inside in (False, True):
-                    depth = int(_brackets(data, quotes, inside)[1].sum(dtype=np.int64))
-                    out.append(row | {"inside": inside, "escaped": escaped, "to_inside": bool((len(quotes) + inside) % 2), "to_escaped": after, "opened": depth})
+                    opened = int(steps[odd == inside].sum(dtype=np.int64))
+                    out.append(row | {"inside": inside, "escaped": escaped, "to_inside": bool((len(quotes) + inside) % 2), "to_escaped": after, "opened": opened})
         yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), *[(n, pa.bool_()) for n in ("inside", "escaped", "to_inside", "to_escaped")], ("opened", pa.int64())]))
 
 
