@@ -14,8 +14,10 @@ change in the result; were the check to fail, the whole text is decoded.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -219,12 +221,30 @@ def tagged_spans(text: str, field: Field) -> list[tuple[int, int]]:
     return [(s, e) for s, e in spans]
 
 
+def _reach(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts in ascending order, and the largest end up to each: what touches a place is found by bisection."""
+    spans = sorted(spans)
+    return [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+
+def _covering(values: list[tuple[int, int]], places: list[int]) -> list[tuple[int, int] | None]:
+    """For ascending places the first of the sorted values that holds each; one pass over both."""
+    out, i = [], 0
+    for s in places:
+        while i < len(values) and values[i][1] <= s:
+            i += 1
+        out.append(values[i] if i < len(values) and values[i][0] <= s else None)
+    return out
+
+
 def all_spans(text: str | None, field: Field) -> list[tuple[str, int, int]]:
     """Spans by rule, and tagged ones that touch none of them."""
     if not text:
         return []
     spans = rule_spans(text)
-    extra = [("tagged", s, e) for s, e in tagged_spans(text, field) if not any(s < b and a < e for _, a, b in spans)]
+    starts, reach = _reach([(a, b) for _, a, b in spans])
+    before = lambda e: bisect_left(starts, e)
+    extra = [("tagged", s, e) for s, e in tagged_spans(text, field) if not before(e) or reach[before(e) - 1] <= s]
     return sorted(spans + extra, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -241,10 +261,11 @@ def _examples(longest: int):
                 # of an assignment the value is the secret, not the key word
                 values = sorted((_ASSIGN.match(text, s).start(2) if kind == "assign" else s, e) for kind, s, e in rule_spans(text))
                 of_file = file_features(text)
+                begins, reach = _reach(values)
                 for a, b in _merged(text):
                     where, features = _tokens(text, a, b, of_file)
-                    near = [v for v in values if v[0] < b and a < v[1]]
-                    inside = [next((v for v in near if v[0] <= s < v[1]), None) for s, _ in where]
+                    near = [v for v in values[bisect_right(reach, a) : bisect_left(begins, b)] if a < v[1]]
+                    inside = _covering(near, [s for s, _ in where])
                     marks = [OUT if v is None else INSIDE if i and inside[i - 1] == v else BEGIN for i, v in enumerate(inside)]
                     for i in range(0, len(marks), longest):
                         texts.append(draw)
