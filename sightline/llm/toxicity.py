@@ -6,6 +6,10 @@ Training is online with a rate per coordinate and L1 regularisation: a coordinat
 stays below ``l1`` has weight zero, so the model is a short list of features that every task can hold.
 The sample of labelled rows is bounded; with several ``shards`` each fits a part and weights are averaged.
 
+Every feature of the sample is fitted.  Those that a single text has take the same steps from the same start, so they
+share a state: one coordinate per text stands for all of them, with their number as its value in the sum.  Nothing is
+lost by that, and what is held grows with the features that texts share.
+
 The text alone is the input of a score: no id, language or source.
 """
 
@@ -27,9 +31,6 @@ SHARDS = 1
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.01
 HEADS = (5, 7)
-#: Features seen in fewer documents of a shard are not fitted.  This is a cut of its own: over six epochs a feature
-#: of two hard documents, or even of one, can pass L1.
-LEAST_DOCS = 2
 THRESHOLD = 0.3
 _BITS, _COUNTERS = 22, 24
 #: About so many hashes are gathered before they are merged into the counted ones.
@@ -56,25 +57,29 @@ def features_of(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(_grams(words[:, a:b]))
 
 
-def ftrl(rows: list[np.ndarray], toxic: np.ndarray, size: int) -> tuple[np.ndarray, float]:
-    """Weights of ``size`` coordinates and the bias after EPOCHS passes over the rows in their order."""
+def ftrl(rows: list[np.ndarray], toxic: np.ndarray, size: int, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of ``size`` coordinates, of each row's own coordinate, and the bias after EPOCHS passes over the rows in their order.
+
+    ``alone`` is the number of features that only the row has (none): they have the weight of its own coordinate.
+    """
     z, n, b_sum, b_n = np.zeros(size), np.zeros(size), 0.0, 0.0
+    own_z, own_n, own = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows)) if alone is None else alone
 
     def weight(zi, ni):
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
     bias = 0.0
     for _ in range(EPOCHS):
-        for at, y in zip(rows, toxic.tolist(), strict=True):
-            zi, ni = z[at], n[at]
+        for i, (at, y) in enumerate(zip(rows, toxic.tolist(), strict=True)):
+            zi, ni = np.append(z[at], own_z[i]), np.append(n[at], own_n[i])
             w = weight(zi, ni)
-            g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y
-            z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
-            n[at] = ni + g * g
+            g = 1 / (1 + np.exp(-np.clip(w[:-1].sum() + own[i] * w[-1] + bias, -35, 35))) - y
+            zi, ni = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w, ni + g * g
+            z[at], own_z[i], n[at], own_n[i] = zi[:-1], zi[-1], ni[:-1], ni[-1]
             step = (np.sqrt(b_n + g * g) - np.sqrt(b_n)) / ALPHA
             b_sum, b_n = b_sum + g - step * bias, b_n + g * g
             bias = -b_sum / ((BETA + np.sqrt(b_n)) / ALPHA)
-    return weight(z, n), float(bias)
+    return weight(z, n), weight(own_z, own_n), float(bias)
 
 
 def _merged(known: np.ndarray, docs: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +92,11 @@ def _merged(known: np.ndarray, docs: np.ndarray, more: list[np.ndarray]) -> tupl
     return np.insert(known, at[~there], new[~there]), np.insert(docs, at[~there], times[~there].astype(np.int32))
 
 
-def _frequent(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features in LEAST_DOCS texts at least, and each text's positions in them as one array with bounds.
+def _frequent(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features that several texts have, each text's positions in them as one array with bounds, and how many only it has.
 
     Texts are hashed three times, so that no pass holds all their hashes: a table of counts by hash leaves out
-    most rare features (never a frequent one), the rest are counted exactly, then positions are looked up.
+    most features of one text (never a shared one), the rest are counted exactly, then positions are looked up.
     """
     mask = np.uint64((1 << _COUNTERS) - 1)
     counts = np.zeros(1 << _COUNTERS, np.uint8)
@@ -102,7 +107,7 @@ def _frequent(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     known, docs, more, size = np.empty(0, np.uint64), np.empty(0, np.int32), [np.empty(0, np.uint64)], 0
     for part in texts:
         for f in features_of(part):
-            more.append(f[counts[(f & mask).astype(np.int64)] >= LEAST_DOCS])
+            more.append(f[counts[(f & mask).astype(np.int64)] >= 2])
             size += len(more[-1])
             if size >= _GATHERED:
                 known, docs = _merged(known, docs, more)
@@ -110,8 +115,8 @@ def _frequent(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     del counts
     if more:
         known, docs = _merged(known, docs, more)
-    known, docs = known[docs >= LEAST_DOCS], docs[docs >= LEAST_DOCS]
-    flat, bounds = np.empty(docs.sum(dtype=np.int64), np.int32), [0]
+    known, docs = known[docs >= 2], docs[docs >= 2]
+    flat, bounds, alone = np.empty(docs.sum(dtype=np.int64), np.int32), [0], []
     for part in texts:
         for f in features_of(part):
             at = np.searchsorted(known, f)
@@ -119,18 +124,32 @@ def _frequent(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             there[there] = known[at[there]] == f[there]
             bounds.append(bounds[-1] + int(there.sum()))
             flat[bounds[-2] : bounds[-1]] = at[there]
-    return known, flat, np.array(bounds, np.int64)
+            alone.append(len(f) - int(there.sum()))
+    return known, flat, np.array(bounds, np.int64), np.array(alone, float)
+
+
+def _own_features(texts: list[pa.Array], known: np.ndarray, weights: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """The features that are not ``known`` of each text whose own weight is not zero."""
+    at = 0
+    for part in texts:
+        for i in np.flatnonzero(weights[at : at + len(part)]).tolist():
+            f = next(features_of(part.slice(i, 1)))
+            yield np.setdiff1d(f, known, assume_unique=True), float(weights[at + i])
+        at += len(part)
 
 
 def _train_shard(part: pa.Table) -> pa.Table:
     part = part.sort_by([("draw", "ascending"), ("toxic", "ascending")])
-    known, flat, bounds = _frequent(part.column("text").chunks)
+    texts = part.column("text").chunks
+    known, flat, bounds, alone = _frequent(texts)
     rows = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-    w, bias = ftrl(rows, part.column("toxic").to_numpy(), len(known))
+    w, own, bias = ftrl(rows, part.column("toxic").to_numpy(), len(known), alone)
     on = np.flatnonzero(w)
-    names = pa.array(np.append(known[on].view(np.int64), 0))
+    found = [(known[on], w[on])] + [(f, np.full(len(f), x)) for f, x in _own_features(texts, known, own)]
+    features, weights = (np.concatenate(c) for c in zip(*found, strict=True))
+    names = pa.array(np.append(features.view(np.int64), 0))
     release()
-    return pa.table({"feature": names, "weight": np.append(w[on], bias), "is_bias": np.append(np.zeros(len(on), bool), True)})
+    return pa.table({"feature": names, "weight": np.append(weights, bias), "is_bias": np.append(np.zeros(len(features), bool), True)})
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -1,8 +1,12 @@
 """Token counts, personal data, secrets and toxicity on small texts."""
 
+import bisect
+import math
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -266,11 +270,81 @@ def test_document_frequencies_are_exact(monkeypatch):
     monkeypatch.setattr(toxicity, "_GATHERED", 500)
     for bits in (6, 24):  # counts by hash may collide
         monkeypatch.setattr(toxicity, "_COUNTERS", bits)
-        known, flat, bounds = toxicity._frequent(parts)
+        known, flat, bounds, alone = toxicity._frequent(parts)
+        assert alone.tolist() == [len(f) - np.isin(f, known).sum() for f in sets]
         assert known.tolist() == every[docs >= 2].tolist()
         assert [known[flat[a:b]].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [f[np.isin(f, known)].tolist() for f in sets]
 
 
+def plain_ftrl(sets, labels):
+    """One coordinate after the other, in dictionaries."""
+    z, n, zb, nb, bias = {}, {}, 0.0, 0.0, 0.0
+
+    def weight(f):
+        if abs(z.get(f, 0.0)) <= toxicity.L1:
+            return 0.0
+        return -(z[f] - math.copysign(toxicity.L1, z[f])) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for s, y in zip(sets, labels, strict=True):
+            w = {f: weight(f) for f in s}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - y
+            for f in s:
+                old = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.ALPHA * w[f]
+                n[f] = old + g * g
+            step = (math.sqrt(nb + g * g) - math.sqrt(nb)) / toxicity.ALPHA
+            zb, nb = zb + g - step * bias, nb + g * g
+            bias = -zb / ((toxicity.BETA + math.sqrt(nb)) / toxicity.ALPHA)
+    return {f: weight(f) for f in z if weight(f)}, bias
+
+
+def test_fit_and_scores_equal_a_plain_version(monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 0.8)  # features of one text pass, too
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randrange(1, 25), 60) + (f" only{i} once{i}" if i % 7 == 0 else "") for i in range(50)] + ["", "lonely words here"]
+    labels = [int(i % 7 == 0 or i == 51) for i in range(52)]
+    part = pa.table({"draw": np.arange(52), "toxic": np.array(labels, np.int32), "text": pa.chunked_array([texts[:20], texts[20:]])})
+    out = toxicity._train_shard(part).to_pylist()
+    weights, bias = plain_ftrl([f.tolist() for f in toxicity.features_of(pa.array(texts))], labels)
+    got = {r["feature"] % (1 << 64): r["weight"] for r in out if not r["is_bias"]}
+    assert got.keys() == weights.keys() and all(got[f] == pytest.approx(weights[f], rel=1e-9) for f in got)
+    assert next(r["weight"] for r in out if r["is_bias"]) == pytest.approx(bias)
+    shared = Counter(f for s in toxicity.features_of(pa.array(texts)) for f in s.tolist())
+    assert any(shared[f] == 1 for f in got) and any(shared[f] > 1 for f in got)
+    order = sorted(got)
+    model = toxicity.Model(np.array(order, np.uint64), np.array([got[f] for f in order]), bias)
+    [batch] = toxicity._scorer(model, [], "text")(iter([pa.RecordBatch.from_pydict({"text": [*texts, None]})]))
+    total = [sum(got.get(f, 0.0) for f in s.tolist()) + bias for s in toxicity.features_of(pa.array([*texts, ""]))]
+    assert batch.column("score").to_pylist() == pytest.approx([1 / (1 + math.exp(-t)) for t in total])
+
+
+def test_values_that_cover_places():
+    rng = random.Random(2)
+    for _ in range(200):
+        values = sorted((a, a + rng.randrange(1, 9)) for a in rng.sample(range(60), rng.randrange(8)))
+        places = sorted(rng.sample(range(70), rng.randrange(30)))
+        want = [next((v for v in values if v[0] <= s < v[1]), None) for s in places]
+        got = secret_scan._covering(values, places)
+        assert [g and (g[0] <= s < g[1]) for g, s in zip(got, places, strict=True)] == [w and True for w in want]
+        if all(a[1] <= b[0] for a, b in zip(values, values[1:], strict=False)):
+            assert got == want
+        begins, reach = secret_scan._reach(values)
+        for a, b in [(rng.randrange(60), 0) for _ in range(9)]:
+            b = a + rng.randrange(1, 20)
+            near = [v for v in values[bisect.bisect_right(reach, a) : bisect.bisect_left(begins, b)] if a < v[1]]
+            assert near == [v for v in values if v[0] < b and a < v[1]]
+
+
+def test_a_text_of_very_many_secrets(spark):
+    keys = " ".join(f"AKIA{i:016d} password={i:09d}x" for i in range(20_000))
+    start = time.perf_counter()
+    assert sum(b.num_rows for b in secret_scan._examples(48)(iter([pa.RecordBatch.from_pydict({"_text": [1], "text": [keys]})]))) > 1_000
+    field = secret_scan.train(spark.createDataFrame([(1, "password = abcdefgh1"), (2, "no secret 12")], "doc_id long, text string"))
+    assert len(secret_scan.all_spans(keys, field)) >= 40_000
+    assert time.perf_counter() - start < 120  # quadratic steps took minutes
+
+
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     rng = random.Random(1)
     texts = [prose(rng, n).replace("w1", "É W1\n\t") for n in (0, 1, 3, 500, 7)] + [None, "x" * 3000, "  a  B "]
