@@ -68,7 +68,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     rank = F.struct(F.length("rule").alias("n"), "host_len", "rule", "verdict")
     best = fits.groupBy("host", "path").agg(F.max(rank).alias("best"))
     h, p = unused("_h", rows), unused("_p", rows)
-    # written, so that a URL of very many pages can be split in the join
+    # written, so that a URL of very many pages can be split in the join; its files compress too well to judge its size by
     best = saved(best.select(F.col("host").alias(h), F.col("path").alias(p), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")))
-    out = rows.join(best, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
+    out = rows.join(best.hint("merge"), (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
     return out.select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
