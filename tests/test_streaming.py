@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.sources.scans import parse_job_log
+from sightline.streaming import batches as B
 from sightline.streaming import jobs as J
 
 from helpers import rows
@@ -31,7 +32,7 @@ def test_monitor_equals_batch(spark, tmp_path):
     history = spark.read.parquet(str(tmp_path / "history"))
     assert history.select("batch_id").distinct().count() == 3
     batch = J.monitor_jobs(parse_job_log(spark.read.text(str(tmp_path / "logs")).withColumn("ts", step)), job="subject")
-    snapshot = J.current_snapshot(spark, str(tmp_path / "snapshot"))
+    snapshot = J.current_snapshot(spark, str(tmp_path / "snapshot"), "subject")
     assert rows(snapshot.select(batch.columns)) == rows(batch)
     assert rows(batch, "subject", "last_status", "errors") == [("1", "error", 1), ("2", "POISON", 0), ("3", "ok", 0)]
 
@@ -67,6 +68,71 @@ def test_ingest_once_across_restarts(spark, tmp_path):
         assert rows(spark.read.parquet(str(tmp_path / "done")), "k") == [(1,), (2,), (3,), (4,)]
 
 
+def test_folders_hold_each_batch_once(monkeypatch):
+    monkeypatch.setattr(B, "FAN", 3)
+    present = set()
+    for n in range(60):
+        held = [b for level, last in B.cover(n) for b in range(last - 3**level + 1, last + 1)]
+        assert held == list(range(n)) and len(B.cover(n)) <= 2 * 4
+        level = 0
+        while (n + 1) % 3**level == 0:  # the folders that batch n writes, seen after each of them
+            present.add((level, n))
+            level += 1
+            held = [b for at, last in B.current_folders(present) for b in range(last - 3**at + 1, last + 1)]
+            assert held == list(range(n + 1))
+
+
+def test_snapshot_writes_what_a_batch_changed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "FAN", 3)
+    path, schema = str(tmp_path / "snapshot"), "job int, v int, batch_id int"
+    state, written = {}, 0
+    for n in range(11):
+        changed = [(n % 4, 10 * n, n), (100 + n, n, n)]
+        state.update({job: (job, v, b) for job, v, b in changed})
+        for _ in range(1 + n % 2):  # a batch that is written again leaves the same
+            B.append_batch(spark.createDataFrame(changed, schema).coalesce(1), path, n, lambda parts: B.newest(parts, ["job"], "batch_id"))
+        assert rows(J.current_snapshot(spark, path, "job"), "job", "v", "batch_id") == sorted(state.values(), key=repr)
+        written += spark.read.parquet(f"{path}/level=0/batch={n}").count()
+    assert written == 2 * 11
+    present = B.folders(spark, path)
+    dropped = B.drop_superseded(spark, path)
+    assert (1, 2) in dropped and (0, 8) in dropped and (2, 8) not in dropped
+    assert B.folders(spark, path) == present - set(dropped) == set(B.cover(11))
+    assert rows(J.current_snapshot(spark, path, "job"), "job", "v", "batch_id") == sorted(state.values(), key=repr)
+
+
+def test_ingest_survives_a_stop_between_its_writes_and_knows_old_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "FAN", 2)
+    src, schema = tmp_path / "src", "k int, v int, ok boolean"
+    real, stops = J.append_batch, iter([True])
+
+    def stopping(written, path, batch, merge):
+        if batch == 2 and next(stops, False):
+            raise RuntimeError("stopped between the data and the ledger")
+        real(written, path, batch, merge)
+
+    monkeypatch.setattr(J, "append_batch", stopping)
+
+    def run():
+        s = spark.readStream.schema(schema).parquet(str(src))
+        J.ingest_samples(s, str(tmp_path / "done"), str(tmp_path / "failed"), str(tmp_path / "cp"), ["k"], "ok").awaitTermination()
+
+    want = {}
+    for n in range(6):
+        # the keys of the first batch and a missing key come again in each
+        data = [(None, n, True), (1, n, True), (2, n, False), (10 + n, n, True)]
+        want.update({k: v for k, v, ok in data if ok and k not in want})
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(src))
+        if n == 2:
+            with pytest.raises(Exception, match="stopped between"):
+                run()
+        run()
+        assert rows(spark.read.parquet(str(tmp_path / "done")), "k", "v") == sorted(want.items(), key=repr)
+    assert rows(spark.read.parquet(str(tmp_path / "failed")), "k", "v") == [(2, 0)]
+    ledger = B.read_folders(spark, str(tmp_path / "done-ledger"), B.cover(6))
+    assert rows(ledger, "k", "_ok") == sorted([(k, True) for k in want] + [(2, False)], key=repr)
+
+
 def test_dedup_drops_replays(spark, tmp_path):
     data = [(i, f"2024-01-01 00:{i:02d}:00") for i in range(20)]
     df = spark.createDataFrame(data, "k int, t string").withColumn("t", F.to_timestamp("t"))
