@@ -66,7 +66,7 @@ def with_bucket(
     df: DataFrame, keys: Sequence[str], buckets: int | None = None, name: str = "_bucket", cuts: Column | None = None
 ) -> DataFrame:
     """Add the equi-depth range bucket of the sort key: the number of cut points at or below it."""
-    if cuts is None:
+    if cuts is None and buckets != 1:
         cuts, buckets = fixed_cuts(df, keys, buckets)
     if cuts is None or buckets is None:
         return df.withColumn(name, F.pmod(F.hash(*keys), F.lit(1)))  # a constant would turn joins on it into products
@@ -102,14 +102,17 @@ def ordered_scan(
     ``first_of`` to the input in the first row of the group.
 
     The rows shuffle and sort once, on the bucket.  What a bucket needs from its neighbours is
-    pre-aggregated map-side from the unsorted rows.  ``keep_bucket`` / ``bucketed`` chain two
-    scans over the same keys with one shuffle.
+    pre-aggregated map-side from the unsorted rows; a single bucket needs nothing, and its plan has no
+    such step.  ``keep_bucket`` / ``bucketed`` chain two scans over the same keys with one shuffle.
     """
     sums, maxes = dict(running_sum or {}), dict(max_before or {})
     backs, aheads, firsts = dict(previous or {}), dict(following or {}), dict(first_of or {})
     keys = [*group, *order]
-    base = df if bucketed else with_bucket(df, keys, buckets)
-    columns = [c for c in base.columns if keep_bucket or c != "_bucket"]
+    base = df
+    if not bucketed:
+        cuts, buckets = fixed_cuts(df, keys, buckets)
+        base = with_bucket(df, keys, buckets, cuts=cuts).withColumn("_edges", F.lit(cuts is not None))
+    columns = [c for c in base.columns if keep_bucket or c not in ("_bucket", "_edges")]
     base = base.withColumn("_g", F.struct(*group) if group else F.lit(0))
 
     # one row per bucket: its first and last group, and the closing values of the last group
@@ -123,7 +126,7 @@ def ordered_scan(
     partial += [F.min_by(boxed(c), at).alias(f"_h{i}") for i, c in enumerate(firsts.values())]
     heads = [f"_f{i}" for i in range(len(aheads))]
     if group:
-        per_group = base.groupBy("_bucket", "_g").agg(*partial)
+        per_group = base.filter("_edges").groupBy("_bucket", "_g").agg(*partial)
         tails = [c for c in per_group.columns if c not in ("_bucket", "_g", *heads)]
         edges = per_group.groupBy("_bucket").agg(
             F.min("_g").alias("first_g"),
@@ -132,7 +135,7 @@ def ordered_scan(
             *[F.min_by(c, "_g").alias(c) for c in heads],
         )
     else:
-        edges = base.groupBy("_bucket").agg(F.lit(0).alias("first_g"), F.lit(0).alias("last_g"), *partial)
+        edges = base.filter("_edges").groupBy("_bucket").agg(F.lit(0).alias("first_g"), F.lit(0).alias("last_g"), *partial)
 
     same_tail = Window.partitionBy("last_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     chain = Window.partitionBy(F.lit(0)).orderBy("_bucket")  # at most `buckets` rows

@@ -56,6 +56,25 @@ def test_scan_keeps_nulls_and_empty_input(spark):
     assert ordered_scan(df.filter("g > 9"), ["k"], ["g"], ordinal="o", buckets=3).count() == 0
 
 
+def test_small_groups_a_hot_one_and_a_missing_one(spark):
+    pdf = frame()
+    pdf["g"] = pdf["g"].where(pdf["g"] == 7, pdf["k"] // 5 + 100).astype("Int64").mask(pdf["k"] < 9)
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "g long, k long, v long")
+    want = pdf.sort_values(["g", "k"])
+    by = want.groupby("g", dropna=False)
+    want = want.assign(o=by.cumcount(), p=by.v.shift(), f=by.v.shift(-1), h=by.k.transform("first")).sort_values("k").astype("float64")
+    for buckets in (1, 12):
+        got = ordered_scan(df, ["k"], ["g"], ordinal="o", previous={"p": "v"}, following={"f": "v"}, first_of={"h": "k"}, buckets=buckets).toPandas()
+        pd.testing.assert_frame_equal(got.sort_values("k")[want.columns].astype("float64").reset_index(drop=True), want.reset_index(drop=True))
+
+
+def test_one_bucket_needs_no_edges(spark):
+    df = spark.createDataFrame(frame())
+    scan = ordered_scan(df, ["k"], ["g"], ordinal="o", previous={"p": "v"}, keep_bucket=True)
+    scan = ordered_scan(scan, ["k"], ["g"], running_sum={"s": "v"}, bucketed=True)
+    assert "Aggregate" not in scan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hot_group_spans_buckets(spark):
     df = spark.createDataFrame(frame())
     sizes = [r["count"] for r in with_bucket(df, ["g", "k"], 16).groupBy("_bucket").count().collect()]
