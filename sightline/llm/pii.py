@@ -1,12 +1,14 @@
 """Personal data: spans by rule, and terms that disclose them by corpus co-occurrence (native).
 
-Emails, addresses, card and phone numbers are found by pattern; each value is a protected entity.  A term
-discloses an entity as far as knowing the term removes the entity's information content
-``IC(e) = -log2 p(e)``: the share is ``PMI(e, t) / IC(e)``, 1 if the term is never seen without the
-entity.  Probabilities are document counts over the whole corpus.  Where a document holds the entity, its
-terms above ``generalise`` are to be replaced by their kind, those above ``remove`` to be taken out.
-
-Only entities in several different texts can be learned from, so counting pairs is limited to documents
+Emails, addresses, card and phone numbers are found by pattern.  Protected entities are the values and what
+they have in common: mail domain and name, networks, card issuer, phone prefix.  A term discloses an entity as
+far as knowing the term removes the entity's information content ``IC(e) = -log2 p(e)``: the share is
+``PMI(e, t) / IC(e)``, 1 if the term is never seen without the entity.  Probabilities are document counts over
+the whole corpus.  As few texts prove little, ``p(e | t)`` enters with the lower end of its Wilson interval of
+``z`` standard errors.  Where a document holds the entity, its terms whose lower share reaches ``generalise``
+are to be replaced by their kind, or taken out if their plain share reaches ``remove``.
+
+Only entities in two different texts can be learned from, so counting pairs is limited to documents
 with such an entity and to terms rare enough to reach the threshold with it; term frequencies are
 pre-aggregated map-side over all words.
 """
@@ -38,7 +40,7 @@ _NEEDS = {
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-MIN_TEXTS, GENERALISE, REMOVE = 5, 0.90, 0.99
+MIN_TEXTS, GENERALISE, REMOVE, Z = 2, 0.90, 0.99, 1.0
 
 
 def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -89,16 +91,38 @@ def rule_spans(texts: DataFrame) -> DataFrame:
     return each.filter(holds).drop("i")
 
 
-def disclosing_terms(texts: DataFrame, spans: DataFrame, min_texts: int = MIN_TEXTS, share: float = GENERALISE) -> DataFrame:
-    """Terms ``_text, term, share`` that disclose an entity of their own text.
+def entities(kind: Column, value: Column) -> Column:
+    """What a span protects, from the value to coarser levels: an array of strings, empty ones left out."""
+    plain, digits = lower_ascii(value), F.regexp_replace(value, "[^0-9]", "")
+    local, domain = F.split_part(plain, F.lit("@"), F.lit(1)), F.split_part(plain, F.lit("@"), F.lit(2))
+    parts = F.split(plain, r"\.")
+    net = lambda n: F.array_join(F.slice(parts, 1, n), ".")
+    levels = (
+        F.when(kind == "email", F.array(plain, domain, F.regexp_extract(local, "^[a-z]+", 0)))
+        .when(kind == "ip", F.array(plain, net(3), net(2)))
+        .when(kind == "card", F.array(digits, F.substring(digits, 1, 6)))
+        .otherwise(F.array(digits, F.left(digits, F.length(digits) - 4)))
+    )
+    named = F.transform(levels, lambda x, i: F.when(x != "", F.concat_ws(":", kind, i.cast("string"), x)))
+    return F.filter(named, lambda x: x.isNotNull())
+
+
+def _lower(p: Column, n: Column, z: float) -> Column:
+    """Lower end of the Wilson interval of a share ``p`` among ``n``."""
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def disclosing_terms(texts: DataFrame, spans: DataFrame, min_texts: int = MIN_TEXTS, share: float = GENERALISE, z: float = Z) -> DataFrame:
+    """Terms ``_text, term, share`` that disclose an entity of their own text; ``share`` is the highest plain one.
 
     ``texts`` are all documents, ``spans`` the spans by rule.  An entity, and a term with it, must be in
-    ``min_texts`` different texts, so that exact copies alone prove nothing.
+    ``min_texts`` different texts, so that exact copies alone prove nothing; the interval counts different
+    texts too: those with both, and as many more as the term's rows outnumber the rows with both.
     """
-    value = F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(lower_ascii(F.col("value")))
-    held = spans.select("_text", "rows", F.xxhash64("kind", value).alias("entity")).distinct()
-    entities = held.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("rows").alias("with_e")).filter(F.col("texts") >= min_texts)
-    held = saved(held.join(entities.select("entity", "with_e"), "entity"))
+    held = spans.select("_text", "rows", F.explode(entities(F.col("kind"), F.col("value"))).alias("entity"))
+    held = held.select("_text", "rows", F.xxhash64("entity").alias("entity")).distinct()
+    several = held.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("rows").alias("with_e")).filter(F.col("texts") >= min_texts)
+    held = saved(held.join(several.select("entity", "with_e"), "entity"))
 
     words = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0)))
     df = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_t"))
@@ -107,30 +131,32 @@ def disclosing_terms(texts: DataFrame, spans: DataFrame, min_texts: int = MIN_TE
     n = texts.count()
     # co <= with_e, so the share can be reached only by terms up to this frequency
     rare = F.col("with_t") <= F.col("most") * F.pow(n / F.col("most"), F.lit(1 - share)) + 1e-9
-    own = saved(own.join(df, "term").filter(rare).select("_text", "term", "with_t"))
+    own = saved(own.join(df, "term").filter(rare & (F.col("with_t") >= min_texts)).select("_text", "term", "with_t"))
 
-    both = own.join(held, "_text").groupBy("entity", "term").agg(
+    met = own.join(held, "_text")
+    both = met.groupBy("entity", "term").agg(
         F.count("*").alias("texts"), F.sum("rows").alias("co"), F.first("with_t").alias("with_t"), F.first("with_e").alias("with_e")
     )
     both = both.filter(F.col("texts") >= min_texts)
-    info = F.log2(n / F.col("with_e"))
-    pmi = F.log2(F.col("co") * n / (F.col("with_e") * F.col("with_t")))
-    # an entity in every document has no information to disclose
-    both = both.withColumn("share", F.when(info > 0, pmi / info).otherwise(0.0)).filter(F.col("share") >= share - 1e-9)
-    pairs = both.select("entity", "term", "share").join(held.select("entity", "_text"), "entity")
-    return pairs.join(own.select("_text", "term"), ["_text", "term"]).groupBy("_text", "term").agg(F.max("share").alias("share"))
+    info, p = F.log2(n / F.col("with_e")), F.col("co") / F.col("with_t")
+    # log2(p(e|t) / p(e)) / IC(e); an entity in every document has no information to disclose
+    of = lambda chance: F.when(info > 0, 1 + F.log2(chance) / info).otherwise(0.0)
+    both = both.withColumn("share", of(p)).filter(of(_lower(p, F.col("texts") / p, z)) >= share - 1e-9)
+    pairs = saved(both.select("entity", "term", "share"))
+    return met.select("_text", "entity", "term").join(pairs, ["entity", "term"]).groupBy("_text", "term").agg(F.max("share").alias("share"))
 
 
-def personal_spans(docs: DataFrame, min_texts: int = MIN_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def personal_spans(docs: DataFrame, min_texts: int = MIN_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z) -> DataFrame:
     """All spans of each row of ``docs`` (``doc_id, text``): ``doc_id, _text, spans``.
 
     ``spans`` is an array of ``kind, start, end, action`` by kind as in KINDS, then start; offsets are code
     points, end exclusive.  Spans by rule are generalised; ``term`` spans lie outside of them.  Null texts are
-    empty; equal texts have equal spans, repeated ids or not; no document, no row.
+    empty; equal texts have equal spans, repeated ids or not; no document, no row.  Texts and entities are
+    told apart by 64-bit hashes: the chance of any mistake among N of them is below N^2 / 2^65.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text"))
     found = saved(rule_spans(texts.select("_text", "text")))
-    terms = saved(disclosing_terms(texts.select("_text", "text"), found, min_texts, generalise))
+    terms = saved(disclosing_terms(texts.select("_text", "text"), found, min_texts, generalise, z))
 
     flagged = texts.select("_text", "text").join(small_side(terms.select("_text").distinct()), "_text")
     matches, gaps = _pieces(F.col("text"), TERM)
@@ -145,6 +171,7 @@ def personal_spans(docs: DataFrame, min_texts: int = MIN_TEXTS, generalise: floa
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     listed = every.groupBy("_text").agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "start", "end", "kind", "action"))).alias("spans"))
     listed = listed.select("_text", F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["action"].alias("action"))).alias("spans"))
+    listed = saved(listed)  # a join with a written table is split where one text has very many copies
     none = F.array().cast("array<struct<kind: string, start: int, end: int, action: string>>")
     return texts.select("doc_id", "_text").join(listed, "_text", "left").withColumn("spans", F.coalesce("spans", none))
 

@@ -90,6 +90,57 @@ def test_terms_that_disclose_are_added(spark):
     assert "[EMAIL]" in shown and "[TERM]" in shown and "z@mail" not in shown and "writes" not in shown
 
 
+def brute_entities(kind, value):
+    plain, digits = value.lower(), re.sub("[^0-9]", "", value)
+    if kind == "email":
+        local, domain = plain.split("@")
+        levels = [plain, domain, re.match("[a-z]*", local)[0]]
+    elif kind == "ip":
+        levels = [plain, plain.rsplit(".", 1)[0], plain.rsplit(".", 2)[0]]
+    else:
+        levels = [digits, digits[:6] if kind == "card" else digits[:-4]]
+    return {(kind, i, v) for i, v in enumerate(levels) if v}
+
+
+def brute_terms(texts, min_texts=2, share=0.9, z=1.0):
+    """Term per text with its highest share, by plain counting over all pairs."""
+    words = [set(re.findall(pii.TERM, t.lower())) for t in texts]
+    held = [{e for k, a, b in brute_personal(t) for e in brute_entities(k, t[a:b])} for t in texts]
+    n, out = len(texts), {}
+    for e in set().union(*held):
+        rows = [i for i in range(n) if e in held[i]]
+        info = math.log2(n / len(rows))
+        for t in set().union(*[words[i] for i in rows]) if info > 0 and len({texts[i] for i in rows}) >= min_texts else ():
+            with_both, with_t = [i for i in rows if t in words[i]], sum(t in w for w in words)
+            different, p = len({texts[i] for i in with_both}), len(with_both) / with_t
+            m = different / p
+            low = (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+            if different >= min_texts and 1 + math.log2(low) / info >= share - 1e-9:
+                for i in with_both:
+                    out[texts[i], t] = max(out.get((texts[i], t), 0.0), 1 + math.log2(p) / info)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_terms_against_plain_counting(spark, seed):
+    rng = random.Random(seed)
+    people = [f"{name}.{i}@m{i % 3}.example.com" for i, name in enumerate(["ann", "bob", "eve", "ann", "42"])]
+    people += ["10.1.2.3", "10.1.2.4", "10.1.9.9", "+1 (555) 010-1111", "+1 (555) 010-2222", "4111111111111111", "4111 1111 1111 1111", "4111110000000005"]
+    texts = []
+    for _ in range(250):
+        who = rng.sample(range(len(people)), rng.choice([0, 0, 0, 1, 1, 2]))
+        # names that go with a person, most of the time
+        names = [f"nick{i}" for i in who if rng.random() < 0.9] + [f"nick{rng.randrange(13)}" for _ in range(rng.random() < 0.05)]
+        texts.append(" ".join([prose(rng, 6, 60), *names, *[people[i] for i in who], f"x{rng.randrange(80)}"]))
+    texts += texts[:5] * 6 + ["", ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select(F.xxhash64("text").alias("_text"), "text").repartition(3)
+    found = pii.disclosing_terms(frame, pii.rule_spans(frame)).join(frame.distinct(), "_text")
+    got = {(r["text"], r["term"]): r["share"] for r in found.collect()}
+    want = brute_terms(texts)
+    assert got.keys() == want.keys() and len(want) > 50
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def brute_secrets(text):
     assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     found = [("assign", *m.span()) for m in re.finditer(assign, text, re.I | re.A) if len(m[2]) >= 8]
