@@ -8,8 +8,10 @@ the query's length stays below the floor is skipped, vectors whose rotated parti
 of the residual lengths (Cauchy-Schwarz) stays below are pruned, and the rest is scored exactly, in
 integers.  Ties go to the smaller id, so pruning takes only what is strictly below the floor.
 
-Queries travel in packed blocks to the blocks of candidates that their floor leaves open; no block of
-either kind grows with the data, and no task holds all queries or all candidates.
+Queries travel in packed blocks to the blocks of candidates that their floor leaves open, in waves of eight
+times as many blocks each, with higher floors after each.  As blocks come by descending length, the open ones are
+those up to a last one, which a running maximum over lengths finds; pairs of blocks that are not open never
+exist.  No block of either kind grows with the data, and no task holds all queries or all candidates.
 """
 
 from __future__ import annotations
@@ -24,10 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sightline.llm.common import saved
+from sightline.operators.ordered import ordered_scan
 
 BLOCK = 2_048
 #: Queries that meet a block of candidates at once.
 CHUNK = 128
+#: The first wave ends before the block of this number, each later one has so many times as many blocks.
+WAVE = 8
 #: Coordinates of the partial sums.
 LEADING = 16
 
@@ -106,6 +111,14 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _last_open(floored: DataFrame, tops: DataFrame) -> DataFrame:
+    """``q_block, upto``: the last block of candidates that is long enough to reach some floor of a block of queries, -1 for none."""
+    long_ = tops.select((-(F.col("top") * (1 + 1e-9) + 1e-6)).alias("at"), F.lit(0).alias("asks"), F.col("block").alias("id"), "block")
+    asks = floored.select((-F.col("reach")).alias("at"), F.lit(1).alias("asks"), F.col("q_block").alias("id"), F.lit(None).cast("long").alias("block"))
+    counted = ordered_scan(long_.unionByName(asks), ["at", "asks", "id"], max_before={"upto": "block"})
+    return counted.filter("asks = 1").select(F.col("id").alias("q_block"), F.coalesce("upto", F.lit(-1)).alias("upto"))
+
+
 def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
     """The ``k`` highest inner products of each query with all vectors but those of its own id.
 
@@ -137,13 +150,16 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int
     asked = asked.withColumn("block", F.pmod("block", F.lit(q_blocks)).cast("long"))
     asks = saved(asked.groupBy("block").applyInArrow(_pack, _PACK).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
 
-    # every query block with the first block of candidates (a constant would turn the join into a product)
-    head = asks.withColumn("block", F.pmod("q_block", F.lit(1)).cast("long")).join(packed.drop("top"), "block")
-    first = saved(_best(head.mapInArrow(_search(k, turn, False), _FOUND), k).drop("rank"))
-    # floors in the order of the packed queries; a query with fewer than k results has none
-    kth = first.groupBy("query_id").agg(F.count("*").alias("have"), F.min("score").alias("low"))
-    kth = kth.select(F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("q_block"), "query_id", F.when(F.col("have") >= k, F.col("low").cast("double")).alias("low"))
-    kth = kth.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "low")).alias("floors"))
+    # every query block with the first block of candidates, one row that is sent to all of them
+    start = F.broadcast(packed.filter("block = 0").drop("top"))
+    head = asks.withColumn("block", F.pmod("q_block", F.lit(1)).cast("long")).join(start, "block")
+    best = saved(_best(head.mapInArrow(_search(k, turn, False), _FOUND), k))
+
+    def floors(best: DataFrame) -> DataFrame:
+        """The k-th score so far of each query of a block; a query with fewer than k results has none."""
+        kth = best.groupBy("query_id").agg(F.count("*").alias("have"), F.min("score").alias("low"))
+        kth = kth.select(F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("q_block"), "query_id", F.when(F.col("have") >= k, F.col("low").cast("double")).alias("low"))
+        return kth.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "low")).alias("floors"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,14 +173,15 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int
                     reach = np.where(longest > 0, floors / longest, np.where(floors > 0, np.inf, -np.inf)).min(initial=np.inf)
                 yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("q_block", "q_ids", "q_vectors")} | {"floors": floors.tobytes(), "reach": float(reach)}])
 
-    floored = saved(asks.join(kth, "q_block", "left").mapInArrow(place, "q_block long, q_ids binary, q_vectors binary, floors binary, reach double"))
-    if not last:
-        return _best(first, k).select("query_id", "rank", "vec_id", "score")
-    others = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(last).cast("long"))).alias("block")
-    # a narrow join decides which blocks are open to which queries before vectors meet
-    open_ = floored.select("q_block", "reach", others).join(packed.select("block", "top"), "block")
-    open_ = open_.filter(F.col("top") * (1 + 1e-9) + 1e-6 >= F.col("reach")).select("q_block", "block")
-    pairs = open_.join(floored.drop("reach"), "q_block")
-    rest = pairs.join(packed.drop("top"), "block").mapInArrow(_search(k, turn, True), _FOUND)
-    return _best(first.union(rest), k).select("query_id", "rank", "vec_id", "score")
-
+    lo = 1
+    while lo <= last:
+        hi = min(last, lo * WAVE - 1)
+        floored = saved(asks.join(floors(best), "q_block", "left").mapInArrow(place, "q_block long, q_ids binary, q_vectors binary, floors binary, reach double"))
+        upto = _last_open(floored.select("q_block", "reach"), packed.select("block", "top"))
+        until = F.least("upto", F.lit(hi).cast("long"))
+        open_ = upto.filter(until >= lo).select("q_block", F.explode(F.sequence(F.lit(lo).cast("long"), until)).alias("block"))
+        pairs = open_.join(floored.drop("reach"), "q_block")
+        more = pairs.join(packed.drop("top"), "block").mapInArrow(_search(k, turn, True), _FOUND)
+        best = saved(_best(best.drop("rank").union(more), k))
+        lo = hi + 1
+    return best.select("query_id", "rank", "vec_id", "score")
