@@ -19,6 +19,8 @@ from sightline.operators.ordered import exact_rank_value, ordered_scan
 from sightline.session import published
 
 EMPTY_RULES = ("eps", "one", "null")
+#: Masks of a side that one tile of a frame holds: the bits of a BIGINT that need no sign.
+TILE = 62
 
 
 # --- building and converting ------------------------------------------------------------
@@ -152,6 +154,56 @@ def mask_overlap(pairs: DataFrame, runs_a: DataFrame, runs_b: DataFrame | None =
     return out.withColumn("union", F.col("area_a") + F.col("area_b") - F.col("inter"))
 
 
+def _numbered(wanted: DataFrame, side: str) -> DataFrame:
+    """Masks of a side, numbered within their frame and dealt out to tiles: ``_f, <side>_id, t<side>, n<side>``."""
+    masks = ordered_scan(wanted.select("_f", f"{side}_id").distinct(), [f"{side}_id"], ["_f"], ordinal="_i")
+    tile, bit = F.floor(F.col("_i") / TILE).cast("int"), (F.col("_i") % TILE).cast("int")
+    return masks.select("_f", f"{side}_id", tile.alias(f"t{side}"), bit.alias(f"n{side}"))
+
+
+def _tile_events(wanted: DataFrame, runs: DataFrame) -> DataFrame:
+    """Interval ends of every mask, once per tile that the mask has a partner in, with its bit on its side."""
+    tile, bit = ["_f", "ta", "tb"], lambda n: F.expr(f"shiftleft(1L, {n})")
+    none = F.lit(0).cast("bigint")
+    a = wanted.select(*tile, F.col("a_id").alias("mask_id"), bit("na").alias("a"), none.alias("b")).distinct()
+    b = wanted.select(*tile, F.col("b_id").alias("mask_id"), none.alias("a"), bit("nb").alias("b")).distinct()
+    return a.union(b).join(runs.select("mask_id", "s", "e"), "mask_id").select(*tile, "a", "b", F.explode(F.array("s", "e")).alias("pos"))
+
+
+def frame_overlap(pairs: DataFrame, runs: DataFrame, frame: Sequence[str]) -> DataFrame:
+    """:func:`mask_overlap` for masks with many partners in their frame, by one sweep per frame instead of one per pair.
+
+    ``pairs``: ``a_id, b_id``, the columns ``frame`` and any others; ``runs``: intervals that are disjoint within a mask.
+    The masks of a frame are numbered, a tile holds up to 62 of each side, and the masks open at a position are the bits
+    of two numbers: a running exclusive or over the interval ends.  A mask's intervals go into the sweep once per tile
+    of its partners, not once per partner; what comes out is pixels per set of open masks, of which only wanted pairs
+    are taken.  A window holds at most ``h * w`` positions, however many masks a frame has.
+
+    Null frames are a frame of their own; null or unknown ids count as empty masks.
+    """
+    f, tile, zero = F.struct(*frame).alias("_f"), ["_f", "ta", "tb"], F.lit(0).cast("bigint")
+    wanted = published(pairs.select(f, "a_id", "b_id").filter("a_id is not null and b_id is not null").distinct())
+    for side in ("a", "b"):
+        wanted = wanted.join(_numbered(wanted, side), ["_f", f"{side}_id"])
+    wanted = published(wanted)
+    ends = _tile_events(wanted, runs).groupBy(*tile, "pos").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    w = Window.partitionBy(*tile).orderBy("pos")
+    open_sets = ends.select(*tile, (F.lead("pos").over(w) - F.col("pos")).alias("n"), F.bit_xor("a").over(w).alias("a"), F.bit_xor("b").over(w).alias("b"))
+    open_sets = open_sets.filter("a <> 0 and b <> 0").groupBy(*tile, "a", "b").agg(F.sum("n").alias("n"))
+    bits = lambda c: F.explode(F.filter(F.sequence(F.lit(0), F.lit(TILE - 1)), lambda i: F.getbit(c, i) == 1))
+    partners = wanted.groupBy(*tile, "na").agg(F.bit_or(F.expr("shiftleft(1L, nb)")).alias("_p"))
+    met = open_sets.select(*tile, "b", "n", bits(F.col("a")).alias("na")).join(partners, [*tile, "na"])
+    met = met.select(*tile, "na", "n", bits(F.col("b").bitwiseAND(F.col("_p"))).alias("nb"))
+    inter = met.groupBy(*tile, "na", "nb").agg(F.sum("n").alias("inter"))
+    counted = wanted.join(inter, [*tile, "na", "nb"]).select("_f", "a_id", "b_id", "inter")
+    area = runs.groupBy(F.col("mask_id").alias("_id")).agg(F.sum(F.col("e") - F.col("s")).alias("_area"))
+    out = pairs.withColumn("_f", f).join(counted, ["_f", "a_id", "b_id"], "left")
+    for side in ("a", "b"):
+        out = out.join(area.withColumnRenamed("_area", f"area_{side}"), F.col(f"{side}_id") == F.col("_id"), "left").drop("_id")
+    out = out.select(*pairs.columns, *[F.coalesce(c, zero).alias(c) for c in ("area_a", "area_b", "inter")])
+    return out.withColumn("union", F.col("area_a") + F.col("area_b") - F.col("inter"))
+
+
 # --- scores -----------------------------------------------------------------------------
 
 
@@ -243,13 +295,17 @@ def roi_union(df: DataFrame, box_arrays: Sequence[str], scale: str, extent: Sequ
     )
 
 
+def sha_of(h: Column, w: Column, runs: Column) -> Column:
+    """SHA-256 over size and ordered intervals (an array of structs; null: none)."""
+    body = F.array_join(F.transform(runs, lambda x: F.concat_ws("-", x["s"].cast("string"), x["e"].cast("string"))), ",")
+    return F.sha2(F.concat_ws(";", h.cast("string"), w.cast("string"), F.coalesce(body, F.lit(""))), 256)
+
+
 def mask_sha(runs: DataFrame, headers: DataFrame, key: str = "mask_id") -> DataFrame:
     """SHA-256 over size and ordered intervals; equal masks get equal hashes."""
     packed = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("r"))
     rows = headers.select(key, "h", "w").join(packed, key, "left")
-    body = F.array_join(F.transform("r", lambda x: F.concat_ws("-", x["s"].cast("string"), x["e"].cast("string"))), ",")
-    text = F.concat_ws(";", F.col("h").cast("string"), F.col("w").cast("string"), F.coalesce(body, F.lit("")))
-    return rows.select(key, F.sha2(text, 256).alias("mask_sha"))
+    return rows.select(key, sha_of(F.col("h"), F.col("w"), F.col("r")).alias("mask_sha"))
 
 
 def duplicate_masks(shas: DataFrame, key: str = "mask_id") -> DataFrame:

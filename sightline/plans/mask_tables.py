@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.functions.columns import add_visibility, sane_area
+from sightline.operators import mask_store as store
 from sightline.operators import masks as M
 from sightline.plans.registry import big, joined, r6, register
 from sightline.plans.tables import MASK_SQL, mask_bits, mask_pairs, mask_tables, table
+from sightline.session import work_folder
 
 _INTERVALS = """SELECT {k}, min(pos) AS s, max(pos) + 1 AS e FROM (SELECT {k}, pos, pos - row_number() OVER (PARTITION BY {k} ORDER BY pos) AS isl FROM ({src})) GROUP BY {k}, isl"""
 
@@ -61,6 +63,44 @@ def mask_overlap(spark, d):
     return _overlap(spark, d)
 
 
+@register(
+    "frame_overlap",
+    "H04",
+    f"""WITH {MASK_SQL}, t AS (SELECT label, min(mask_id) AS lo, max(mask_id) AS hi FROM heads GROUP BY 1),
+      q AS (SELECT h.mask_id AS a_id, unnest([t.lo, t.hi]) AS b_id, h.label, h.area AS area_a FROM heads h JOIN t USING (label))
+    SELECT q.a_id, q.b_id, q.label, q.area_a, any_value(b.area) AS area_b, count(y.pos) AS inter, q.area_a + any_value(b.area) - count(y.pos) AS "union"
+    FROM q JOIN heads b ON b.mask_id = q.b_id LEFT JOIN fg x ON x.mask_id = q.a_id LEFT JOIN fg y ON y.mask_id = q.b_id AND y.pos = x.pos GROUP BY 1, 2, 3, 4""",
+)
+def frame_overlap(spark, d):
+    # two targets in each label's frame, and all masks of the label as predictions
+    headers, runs = mask_tables(spark, d)
+    targets = headers.groupBy("label").agg(F.array(F.min("mask_id"), F.max("mask_id")).alias("t"))
+    pairs = headers.select(F.col("mask_id").alias("a_id"), "label").join(targets, "label").select("a_id", F.explode("t").alias("b_id"), "label")
+    return M.frame_overlap(pairs, runs, ["label"])
+
+
+@register(
+    "stored_overlap",
+    "H04 H10",
+    f"""WITH {MASK_SQL}, t AS (SELECT max(mask_id) AS last FROM heads),
+      q AS (SELECT a_id, b_id, label, area_a, area_b, inter FROM ov UNION ALL
+        SELECT h.mask_id, t.last, h.label, h.area, l.area, CAST((SELECT count(*) FROM fg x JOIN fg y ON x.pos = y.pos WHERE x.mask_id = h.mask_id AND y.mask_id = t.last) AS BIGINT)
+        FROM heads h, t JOIN heads l ON l.mask_id = t.last)
+    SELECT a_id, b_id, label, area_a, area_b, inter, area_a + area_b - inter AS "union",
+      round(CASE WHEN area_a + area_b - inter > 0 THEN inter::DOUBLE / (area_a + area_b - inter) END, 6) AS iou FROM q""",
+)
+def stored_overlap(spark, d):
+    # each mask with the next one and with the last, which half of all pairs share
+    headers, runs = mask_tables(spark, d)
+    path = work_folder(spark)
+    stored = store.write_store(headers, runs, "masks_" + path.rsplit("-", 1)[-1], path)
+    heads = stored.headers()
+    last = heads.agg(F.max("mask_id")).first()[0]
+    pairs = mask_pairs(heads).select("a_id", "b_id", "label").union(heads.select("mask_id", F.lit(last), "label"))
+    scored = M.mask_scores(store.stored_overlap(pairs, stored), "null")
+    return scored.withColumn("iou", r6("iou")).drop("dice")
+
+
 @register(
     "mask_scores",
     "D01",

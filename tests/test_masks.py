@@ -4,8 +4,12 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from helpers import rows
+from sightline.operators import mask_store as store
 from sightline.operators import masks as M
+from sightline.session import published
 
 H, W = 5, 4
 FIXED = [
@@ -170,3 +174,99 @@ def test_roi_union(spark):
 def test_prediction_flags(spark):
     df = spark.createDataFrame([("blow", 0.8)] + [("thin", 0.1)] + [("thin", 0.0)] * 9 + [("fine", 0.5)] * 2, "v string, share double")
     assert {r["v"]: r["flag"] for r in M.prediction_flags(df, "v").collect()} == {"blow": "blowup", "thin": "mostly-empty", "fine": ""}
+
+
+def random_masks(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    dense = [rng.random((H, W)) < rng.choice([0.0, 0.2, 0.5, 0.9, 1.0]) for _ in range(n)]
+    heads, runs = tables(spark, dense)
+    return [m.reshape(-1) for m in dense], published(heads), published(runs)
+
+
+def overlap_rows(df, *cols):
+    return rows(df, *cols, "a_id", "b_id", "area_a", "area_b", "inter", "union")
+
+
+def expected(dense, pairs_of):
+    """Counts over dense masks; unknown ids are empty."""
+    none = np.zeros(H * W, bool)
+    out = []
+    for *cols, a, b in pairs_of:
+        x, y = (dense[i] if i is not None and i < len(dense) else none for i in (a, b))
+        out.append((*cols, a, b, int(x.sum()), int(y.sum()), int((x & y).sum()), int((x | y).sum())))
+    return sorted(out, key=repr)
+
+
+def test_frame_sweep_against_dense_masks(spark):
+    """More masks than a tile has bits, several frames, one of them null, repeated pairs, unknown and null ids."""
+    dense, _, runs = random_masks(spark, 150, 1)
+    rng = np.random.default_rng(2)
+    wanted = [(int(rng.integers(3)), int(rng.integers(150)), int(rng.integers(150))) for _ in range(400)]
+    wanted += [(3, a, 7) for a in range(150)] + [(None, 1, 2), (None, 2, 1), (0, 5, 5), (0, 5, 5), (0, 900, 3), (0, 3, 900), (1, None, 3), (1, 3, None)]
+    p = spark.createDataFrame(wanted, "frame int, a_id bigint, b_id bigint")
+    assert overlap_rows(M.frame_overlap(p, runs, ["frame"]), "frame") == expected(dense, wanted)
+    assert M.frame_overlap(p.limit(0), runs, ["frame"]).count() == 0
+
+
+def test_frame_sweep_is_linear_in_intervals(spark, monkeypatch):
+    """One target and 200 predictions: every interval of a prediction goes in once, the target's once per tile."""
+    seen = {}
+    events = M._tile_events
+    monkeypatch.setattr(M, "_tile_events", lambda *a: seen.setdefault("ends", events(*a)))
+    _, _, runs = random_masks(spark, 201, 3)
+    p = spark.range(1, 201).selectExpr("0 AS frame", "id AS a_id", "0L AS b_id")
+    M.frame_overlap(p, runs, ["frame"])
+    counts = {r["mask_id"]: r["n"] for r in runs.groupBy("mask_id").agg(F.count("*").alias("n")).collect()}
+    tiles = -(-200 // M.TILE)
+    assert seen["ends"].count() == 2 * (sum(n for i, n in counts.items() if i) + tiles * counts.get(0, 0))
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    dense, heads, runs = random_masks(spark, 60, 4)
+    name = f"masks_{tmp_path.name}"
+    yield dense, heads, runs, store.write_store(heads, runs, name, str(tmp_path / "store"), buckets=8)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+@pytest.mark.parametrize("least", [1, 4096])
+def test_stored_overlap_with_a_hot_mask(spark, stored, least):
+    dense, _, _, masks = stored
+    wanted = [(k, k % 60, 7) for k in range(200)] + [(k, 9, k % 60) for k in range(200)] + [(1, k, 59 - k) for k in range(60)]
+    wanted += [(5, 700, 1), (5, 1, 700), (6, None, 1), (6, 1, None), (7, 3, 3), (7, 3, 3)]
+    p = spark.createDataFrame(wanted, "tag int, a_id bigint, b_id bigint")
+    assert overlap_rows(store.stored_overlap(p, masks, least=least), "tag") == expected(dense, wanted)
+    assert store.stored_overlap(p.limit(0), masks).count() == 0
+
+
+def test_store_keeps_area_hash_and_intervals(spark, stored):
+    dense, heads, runs, masks = stored
+    assert rows(masks.intervals()) == rows(runs.select("mask_id", "s", "e"))
+    kept = {r["mask_id"]: r for r in masks.headers().collect()}
+    assert [kept[i]["area"] for i in range(60)] == [int(m.sum()) for m in dense]
+    assert {i: r["mask_sha"] for i, r in kept.items()} == {r["mask_id"]: r["mask_sha"] for r in M.mask_sha(runs, heads).collect()}
+    more = heads.withColumn("mask_id", F.col("mask_id") + 100), runs.withColumn("mask_id", F.col("mask_id") + 100)
+    store.write_store(*more, masks.name, buckets=8, mode="append")
+    assert masks.headers().count() == 120
+    p = spark.createDataFrame([(k, k + 100) for k in range(60)], "a_id bigint, b_id bigint")
+    assert store.stored_overlap(p, masks).filter("inter <> area_a or inter <> area_b").count() == 0
+
+
+def test_stored_masks_are_joined_without_a_shuffle(spark, stored):
+    masks = stored[3]
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        p = published(spark.range(60).selectExpr("id AS a_id", "59 - id AS b_id"))
+        plan = store.stored_overlap(p, masks)._jdf.queryExecution().executedPlan().toString()
+        union = M.mask_union(masks.intervals("area"), ["area"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Bucketed: true") == 2 and plan.count("FileScan") == 3
+    # only the pairs move: by the first id, then by the second
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(moved) == 2 and all("hashpartitioning(a_id" in m or "hashpartitioning(b_id" in m for m in moved), plan
+    assert union.count("FileScan") == 1
