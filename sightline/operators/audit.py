@@ -172,15 +172,20 @@ def quarantine(submissions: DataFrame, task: str = "task") -> DataFrame:
 
     ``submissions``: task, view, source, status, has_mask, draft.
     """
-    per_view = submissions.groupBy(task, "view").agg(
-        F.min("source").alias("_lo"),
-        F.max("source").alias("_hi"),
+    # grouped by source first: no text is an aggregate's value, so all steps are hash aggregates
+    per_source = submissions.groupBy(task, "view", "source").agg(
         F.bool_or(F.col("status").isNull()).alias("_no_status"),
         F.bool_and("has_mask").alias("_mask"),
         F.bool_or("draft").alias("_draft"),
     )
+    per_view = per_source.groupBy(task, "view").agg(
+        F.count("source").alias("_sources"),
+        F.bool_or("_no_status").alias("_no_status"),
+        F.bool_and("_mask").alias("_mask"),
+        F.bool_or("_draft").alias("_draft"),
+    )
     rows = per_view.groupBy(task).agg(
-        F.bool_or(F.col("_lo") != F.col("_hi")).alias("two"),
+        F.bool_or(F.col("_sources") > 1).alias("two"),
         F.bool_or("_no_status").alias("no_status"),
         F.bool_or(~F.col("_mask")).alias("no_mask"),
         F.bool_or("_draft").alias("draft"),

@@ -93,7 +93,7 @@ def stored_overlap(spark, d):
     # each mask with the next one and with the last, which half of all pairs share
     headers, runs = mask_tables(spark, d)
     path = work_folder(spark)
-    stored = store.write_store(headers, runs, "masks_" + path.rsplit("-", 1)[-1], path)
+    stored = store.write_store(headers, runs, "masks_" + path.rsplit("/", 1)[-1], path)
     heads = stored.headers()
     last = heads.agg(F.max("mask_id")).first()[0]
     pairs = mask_pairs(heads).select("a_id", "b_id", "label").union(heads.select("mask_id", F.lit(last), "label"))

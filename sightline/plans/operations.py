@@ -111,7 +111,7 @@ def split_rawpath_map(spark, d):
 @register(
     "parse_metric_shards",
     "A08 E08",
-    """WITH s AS (SELECT p_size, p_partkey, 'raw_' || p_size || '.json' AS shard, p_retailprice / 3000 AS a, p_size / 100 AS b FROM part WHERE p_size <= 50),
+    """WITH s AS (SELECT p_size, p_partkey, 'raw_' || p_size || '.json' AS shard, p_retailprice / 3000 AS a, p_size / 100 AS b FROM part),
       k AS (SELECT *, dense_rank() OVER (ORDER BY shard) - 1 AS shard_no FROM s)
     SELECT shard, CAST(shard_no AS BIGINT) AS shard_no, 0::BIGINT AS pair_idx, u.i AS obj_idx, round(CASE WHEN u.i = 0 THEN a ELSE b END, 6) AS iou, round(a, 6) AS dice, p_partkey FROM k, unnest(range(2)) u(i)""",
 )

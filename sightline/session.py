@@ -50,9 +50,20 @@ def shared_folder(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where this application writes below the shared folder; it stays until :func:`clear_session` or its owner removes it."""
+    return f"{shared_folder(spark)}/sightline-{spark.sparkContext.applicationId}"
+
+
 def work_folder(spark: SparkSession) -> str:
-    """New, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/sightline-{uuid.uuid4().hex}"
+    """New, unused path below the session's folder."""
+    return f"{session_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_session(spark: SparkSession) -> bool:
+    """Delete what this application wrote to its folder, at its end: results that are still read from there are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def published(df: DataFrame) -> DataFrame:

@@ -206,6 +206,17 @@ def test_a_cluster_needs_a_named_folder():
             default_folder(master)
 
 
+def test_a_session_writes_into_one_folder(spark, tmp_path, monkeypatch):
+    from sightline import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    kept = [session.published(spark.range(n)) for n in (3, 5)]
+    assert [k.count() for k in kept] == [3, 5]
+    assert [str(p) for p in tmp_path.iterdir()] == [session.session_folder(spark)]
+    assert session.clear_session(spark) and not list(tmp_path.iterdir())
+    assert not session.clear_session(spark)
+
+
 def test_large_json_files_are_split_by_line(spark, tmp_path):
     path = {f"a/{i}": [{"id": f"e{i}", "range_nop": [i, i + 1]}] for i in range(50)}
     by_line = lambda d: "{\n" + ",\n".join(f"  {json.dumps(k)}: {json.dumps(v)}" for k, v in d.items()) + "\n}\n"
