@@ -78,10 +78,12 @@ def mix_sources(
     on the budget gives the words that are left of it, so a source's ``taken`` sum is its target
     rounded down.
 
-    Null text has no words; null source is a source of its own, the last.  Rows without an id share one
-    key; repeated rows have equal keys and are ordered by size.  Empty table: empty result.
+    Null text has no words; null source is a source of its own, the last.  Rows without an id have the
+    key of their text, so that any number of them spread over the ranges; repeated rows have equal keys
+    and are ordered by size.  Empty table: empty result.
     """
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
+    of_text = F.concat(F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), of_text))).alias("key")
     rows = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key))
     n = rows.count()
     digits = min(32, max(1, math.ceil(math.log(max(1, n / rows_per_range), 16))))

@@ -42,7 +42,7 @@ def register(sql: str | None = None):
 _WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 OP1_SQL = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, source, md5('0:' || coalesce(doc_id::VARCHAR, '')) AS key,
+WITH RECURSIVE d AS (SELECT doc_id, source, md5('0:' || coalesce(doc_id::VARCHAR, ':' || md5(coalesce(text, '')))) AS key,
     coalesce(len(regexp_extract_all(text, '{_WORD_SQL}')), 0)::BIGINT AS size FROM documents),
   s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
   w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS weight, 2.0 * source_size AS room FROM s),

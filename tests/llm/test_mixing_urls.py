@@ -3,11 +3,12 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 from cases import rows
 from pyspark.sql import functions as F
 
-from sightline.llm import mixing, url_filter
+from sightline.llm import mixing, queries, url_filter
 
 
 def brute_targets(sizes, weights=(5.0, 2.0, 1.0), share=1.5, repeat=2.0):
@@ -50,6 +51,24 @@ def test_mix_does_not_depend_on_ranges_or_partitions(frame, rng):
     assert rows(a) == rows(b)
 
 
+def test_rows_without_an_id_spread_over_ranges(spark, frame):
+    """A third of all rows has no id: their keys are those of their texts, in SQL alike."""
+    docs = [(i if i % 3 else None, " ".join(["x"] * (1 + i % 50) + [str(i)]), "abc"[i % 5 % 3]) for i in range(600)]
+    docs += [(None, None, "a"), (None, "", "b"), (None, "same same", "a"), (None, "same same", "a")]
+    got = mixing.mix_sources(frame(docs), rows_per_range=20)
+    taken = {r["source"]: r["taken"] for r in got.groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    target = {r["source"]: r["target"] for r in got.collect()}
+    assert taken == {s: int(t + 1e-9) for s, t in target.items()}
+    # a row's cut depends on its own place, so rows without an id are not all on one side
+    cut = [r for r in got.collect() if r["doc_id"] is None and r["size"] > 2]
+    assert len({(r["source"], r["taken"] // r["size"]) for r in cut}) > 2
+    con = duckdb.connect()
+    con.register("documents", frame(docs).toArrow())
+    want = con.execute(queries.OP1_SQL).fetchall()
+    have = mixing.mix_sources(frame(docs)).select("doc_id", "size", "source_size", F.round("target", 6), "taken")
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in have.collect())
+
+
 def test_equal_rooms_share_alike(spark):
     sources = spark.createDataFrame([("a", 10), ("b", 4), ("c", 2), ("d", 0)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sources).collect()}
