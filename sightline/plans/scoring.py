@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.functions.columns import restored_index
+from sightline.functions.columns import exact_mean, restored_index
 from sightline.functions.stable import POISSON_ONE
 from sightline.operators import audit as A
 from sightline.operators import experts as X
@@ -346,10 +346,15 @@ _RUNS_SQL = f"""{OBJS_SQL}, runs AS (SELECT l_suppkey AS run, l_suppkey % 4 AS l
     FROM objs GROUP BY 1)"""
 
 
+def _steps(mean, digits):
+    """Number of steps of 10**-digits, ties upwards; times 1000 first, 0.5025 would give 502.49999999999994."""
+    return F.round(F.round(mean, digits) * 10**digits).cast("bigint")
+
+
 def _runs(spark, d):
     label = F.when(F.col("run") % 4 == 1, "superseded").when(F.col("run") % 4 == 2, "smoke").otherwise("valid")
     rows = objs(spark, d).groupBy(F.col("l_suppkey").alias("run")).agg(
-        F.round(F.avg("iou") * 1000).cast("bigint").alias("iou"), F.round(F.avg("l_quantity") * 10).cast("bigint").alias("loc")
+        _steps(exact_mean("iou"), 3).alias("iou"), _steps(exact_mean("l_quantity"), 1).alias("loc")
     )
     return rows.withColumns({"label": label, "label_no": F.col("run") % 4})
 
