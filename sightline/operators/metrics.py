@@ -197,29 +197,23 @@ def metric_matrix(df: DataFrame, group: Sequence[str], frame: Sequence[str], met
 # --- comparisons ---------------------------------------------------------------------------------
 
 
-#: Replicates that a row meets at once.
-REPLICATES_PER_BLOCK = 20
-
-
 def rowwise_bootstrap(
     df: DataFrame, a: str, b: str, keys: Sequence[str], reps: int, seed: int = 0, portable: bool = False
 ) -> DataFrame:
     """Mean difference ``a - b`` with a 95 % percentile interval over ``reps`` weighted resamples.
 
     Each row draws a Poisson(1) weight per replicate from its key, so replicates need no sampling state; the work is
-    rows times replicates (:func:`paired_bootstrap` does the same with bins).  A row meets a block of replicates at a time, with a sum per replicate side by side, and partial sums
-    combine map-side: one row per block of replicates leaves a task.
+    rows times replicates (:func:`paired_bootstrap` does the same with bins).  A row meets one replicate at a time in a
+    loop of its own: many side by side make a method of more than 8,000 bytes of bytecode, which the JVM interprets.
+    Partial sums combine map-side: one row per replicate leaves a task.
     """
     diff = df.select(*keys, (F.col(a) - F.col(b)).alias("_d"))
-    width = min(reps, REPLICATES_PER_BLOCK)
-    each = range(width)
-    rows = diff.select("_d", *keys, F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // width))).alias("_block"))
-    rows = rows.select("*", *[(F.col("_block") * width + j).alias(f"_r{j}") for j in each])
-    rows = rows.select("_d", "_block", *[poisson_draw(*keys, f"_r{j}", seed=seed, portable=portable).alias(f"_h{j}") for j in each])
-    rows = rows.select("_d", "_block", *[poisson_weight(f"_h{j}", portable).alias(f"_w{j}") for j in each])
-    sums = rows.groupBy("_block").agg(*[F.try_divide(F.sum(F.col("_d") * F.col(f"_w{j}")), F.sum(f"_w{j}")).alias(f"_m{j}") for j in each])
-    means = F.inline(F.array(*[F.struct((F.col("_block") * width + j).alias("rep"), F.col(f"_m{j}").alias("mean_diff")) for j in each]))
-    per_rep = sums.select(means).filter(F.col("rep") < reps)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = diff.repartition(tasks, *keys)  # few small rows stand for many draws
+    rows = rows.select("_d", *keys, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    rows = rows.select("_d", "rep", poisson_draw(*keys, "rep", seed=seed, portable=portable).alias("_h"))
+    rows = rows.select("_d", "rep", poisson_weight("_h", portable).alias("_w"))
+    per_rep = rows.groupBy("rep").agg(F.try_divide(F.sum(F.col("_d") * F.col("_w")), F.sum("_w")).alias("mean_diff"))
     ci = per_rep.agg(F.percentile("mean_diff", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
     point = diff.agg(F.avg("_d").alias("mean_diff"), F.count("_d").alias("pairs"))
     out = point.withColumn("ci", ci.scalar())
