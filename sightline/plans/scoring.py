@@ -157,14 +157,18 @@ _POISSON = "".join(
 )
 
 
-@register(
-    "rowwise_bootstrap",
-    "D28",
-    f"""WITH {OBJS_SQL}, pd AS (SELECT pair, avg(iou) - avg(dice) AS diff FROM objs GROUP BY 1), {_BOOT},
+_ROWWISE_SQL = f"""WITH {OBJS_SQL}, pd AS (SELECT pair, avg(iou) - avg(dice) AS diff FROM objs GROUP BY 1), {_BOOT},
       ww AS (SELECT *, CASE{_POISSON} ELSE 10 END AS k FROM w),
       reps AS (SELECT rep, sum(diff * k) / sum(k) AS m FROM ww GROUP BY 1)
     SELECT (SELECT count(*) FROM pd) AS pairs, round((SELECT avg(diff) FROM pd), 6) AS mean_diff,
-      round((SELECT quantile_cont(m, 0.025) FROM reps), 6) AS ci_low, round((SELECT quantile_cont(m, 0.975) FROM reps), 6) AS ci_high""",
+      round((SELECT quantile_cont(m, 0.025) FROM reps), 6) AS ci_low, round((SELECT quantile_cont(m, 0.975) FROM reps), 6) AS ci_high"""
+
+
+@register(
+    "rowwise_bootstrap",
+    "D28",
+    _ROWWISE_SQL,
+
 )
 def rowwise_bootstrap(spark, d):
     pairs = objs(spark, d).groupBy("pair").agg(F.avg("iou").alias("a"), F.avg("dice").alias("b"))
@@ -177,8 +181,14 @@ def _draw_sql(*parts: str) -> str:
     return f"((('0x' || substr(md5({text} || '|7'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE)"
 
 
+@register("paired_bootstrap", "D28", _ROWWISE_SQL)
+def paired_bootstrap(spark, d):
+    """Every pair is resampled; :func:`histogram_bootstrap` resamples bins."""
+    return rowwise_bootstrap(spark, d)
+
+
 @register(
-    "paired_bootstrap",
+    "histogram_bootstrap",
     "D28",
     f"""WITH {OBJS_SQL}, pd AS (SELECT round(avg(iou) - avg(dice), 9) AS d FROM objs GROUP BY pair), e AS (SELECT min(d) AS lo, max(d) AS hi FROM pd),
       h AS (SELECT least(511, floor((d - lo) / (hi - lo) * 512))::BIGINT AS bin, count(*) AS c, avg(d) AS m, var_pop(d) AS s2 FROM pd, e GROUP BY 1),
@@ -191,7 +201,7 @@ def _draw_sql(*parts: str) -> str:
     SELECT (SELECT count(*) FROM pd) AS pairs, round((SELECT avg(d) FROM pd), 6) AS mean_diff,
       round((SELECT quantile_cont(x, 0.025) FROM r), 6) AS ci_low, round((SELECT quantile_cont(x, 0.975) FROM r), 6) AS ci_high""",
 )
-def paired_bootstrap(spark, d):
+def histogram_bootstrap(spark, d):
     pairs = objs(spark, d).groupBy("pair").agg(F.round(F.avg("iou") - F.avg("dice"), 9).alias("a"), F.lit(0.0).alias("b"))
     out = S.paired_bootstrap(pairs, "a", "b", reps=210, seed=7, portable=True)
     return out.select("pairs", r6("mean_diff"), r6("ci_low"), r6("ci_high"))
