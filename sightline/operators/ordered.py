@@ -79,6 +79,15 @@ def with_bucket(
     return rows.drop("_key")
 
 
+def in_bucket(keys: Sequence[str], cuts: Column | None, bucket: int) -> Column:
+    """Whether a row lies in a bucket, as a key range: a filter on the bucket's number is pushed below the search that
+    finds it, and each step of the search names the one before several times."""
+    if cuts is None:
+        return F.lit(True)
+    key = F.struct(*keys)
+    return F.coalesce(key >= F.get(cuts, F.lit(bucket - 1)), F.lit(True)) & F.coalesce(key < F.get(cuts, F.lit(bucket)), F.lit(True))
+
+
 def ordered_scan(
     df: DataFrame,
     order: Sequence[str],
@@ -202,10 +211,7 @@ def prefix_totals(df: DataFrame, order: Sequence[str], n: int, values: Sequence[
         before += row["_n"]
         whole = [w + row[f"_t{i}"] for i, w in enumerate(whole)]
     take = n - before if cut is not None else 0
-    # the rows of that bucket, as a key range: simpler to filter by than the search itself
-    key, inside = F.struct(*order), F.lit(cut is not None)
-    if cut is not None and cuts is not None:
-        inside = F.coalesce(key >= F.get(cuts, F.lit(cut - 1)), F.lit(True)) & F.coalesce(key < F.get(cuts, F.lit(cut)), F.lit(True))
+    inside = F.lit(False) if cut is None else in_bucket(order, cuts, cut)
     rn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
     part = df.select(*order, *[v for v in values if v not in order]).filter(inside).withColumn("_rn", rn)
     part = part.filter(F.col("_rn") <= take).agg(F.count(F.lit(1)).alias("_n"), *sums)
@@ -237,7 +243,7 @@ def cut_group(
         if before[0] + row["_t0"] > n:
             earlier = Window.partitionBy(F.lit(0)).orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
             ahead = [F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"_b{t}") for t in names]
-            inside = rows.filter(F.col("_bucket") == row["_bucket"]).select(*group, "_t0", *ahead)
+            inside = groups.select(*group, *columns).filter(in_bucket(group, cuts, row["_bucket"])).select(*group, "_t0", *ahead)
             cut = inside.filter(F.col("_b_t0") + F.col("_t0") + before[0] > n).orderBy(*group).first()
             before = [b + cut[f"_b{t}"] for b, t in zip(before, names, strict=True)]
             return before, whole, {g: cut[g] for g in group}, n - before[0]
