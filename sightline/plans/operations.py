@@ -85,6 +85,10 @@ def parse_rawpath_map(spark, d):
     return rows.select("raw_path", "id", big(F.get("range_nop", F.lit(0)), "first"), big(F.get("range_nop", F.lit(1)), "last"))
 
 
+#: Entries of a file of the raw-path map, about.
+MAP_FILE_ROWS = 200_000
+
+
 @register(
     "split_rawpath_map",
     "A04",
@@ -98,11 +102,12 @@ def split_rawpath_map(spark, d):
     )
     path = F.concat_ws("/", F.lit("raw"), F.col("o_custkey").cast("string"), o.cast("string"))
     entry = F.concat(F.lit(', "'), path, F.lit('": '), F.to_json(F.array(rec(0), rec(1))))
-    files = range(4)
-    rows = table(spark, d, "orders").select((o % len(files)).cast("int").alias("file"), F.lit(1).alias("part"), entry.alias("value"))
+    orders = table(spark, d, "orders")
+    files = range(max(4, -(-orders.count() // MAP_FILE_ROWS)))  # a task sorts and writes one file
+    rows = orders.select((o % len(files)).cast("int").alias("file"), F.lit(1).alias("part"), entry.alias("value"))
     ends = spark.createDataFrame([(f, part, text) for f in files for part, text in ((0, '{"": []'), (2, "}"))], "file int, part int, value string")
     folder = work_folder(spark)
-    whole = rows.union(ends).repartition(len(files), "file").sortWithinPartitions("file", "part")
+    whole = rows.union(ends).repartitionById(len(files), "file").sortWithinPartitions("file", "part")
     whole.select("value").write.option("lineSep", " ").text(folder)
     found = N.parse_rawpath_map(scan_entries(spark, folder, 1 << 20).select(F.concat(F.lit("{"), "entry", F.lit("}")).alias("value")))
     return found.select("raw_path", "id", big(F.get("range_nop", F.lit(0)), "first"), big(F.get("range_nop", F.lit(1)), "last"))
