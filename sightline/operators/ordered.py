@@ -32,6 +32,8 @@ from sightline.session import cut_lineage
 SAMPLE_PER_BUCKET = 32
 #: A bucket has at least so many rows, and from there on eight times the root of the row count.
 ROWS_PER_BUCKET = 65_536
+#: Buckets that a task sorts, on average.
+BUCKETS_PER_TASK = 4
 _DRAWS = 1 << 53
 
 
@@ -88,6 +90,12 @@ def in_bucket(keys: Sequence[str], cuts: Column | None, bucket: int) -> Column:
     return F.coalesce(key >= F.get(cuts, F.lit(bucket - 1)), F.lit(True)) & F.coalesce(key < F.get(cuts, F.lit(bucket)), F.lit(True))
 
 
+def sort_tasks(df: DataFrame, buckets: int) -> int | None:
+    """So many tasks that each sorts a few buckets; None where the session's shuffle partitions are enough."""
+    tasks = math.ceil(buckets / BUCKETS_PER_TASK)
+    return tasks if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def ordered_scan(
     df: DataFrame,
     order: Sequence[str],
@@ -117,10 +125,13 @@ def ordered_scan(
     sums, maxes = dict(running_sum or {}), dict(max_before or {})
     backs, aheads, firsts = dict(previous or {}), dict(following or {}), dict(first_of or {})
     keys = [*group, *order]
-    base = df
+    base, tasks = df, None
     if not bucketed:
         cuts, buckets = fixed_cuts(df, keys, buckets)
+        tasks = sort_tasks(df, buckets)
         base = with_bucket(df, keys, buckets, cuts=cuts).withColumn("_edges", F.lit(cuts is not None))
+        if tasks:  # before the edges, whose aggregates sort too
+            base = base.repartition(tasks, "_bucket")
     columns = [c for c in base.columns if keep_bucket or c not in ("_bucket", "_edges")]
     base = base.withColumn("_g", F.struct(*group) if group else F.lit(0))
 
@@ -170,7 +181,7 @@ def ordered_scan(
     local.update({f"_p{i}": F.lag(boxed(c)).over(w) for i, c in enumerate(backs.values())})
     local.update({f"_f{i}": F.lead(boxed(c)).over(w) for i, c in enumerate(aheads.values())})
     local.update({f"_h{i}": F.first(boxed(c)).over(upto) for i, c in enumerate(firsts.values())})
-    rows = (base if bucketed else base.repartition("_bucket")).withColumns(local)
+    rows = (base if bucketed or tasks else base.repartition("_bucket")).withColumns(local)
 
     joined = rows.join(F.broadcast(offsets), F.col("_bucket") == F.col("_eb"), "left")
     head, tail = F.col("_g") == F.col("first_g"), F.col("_g") == F.col("last_g")
