@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.operators.ordered import dealt, tasks_for
+
 # Preference among equal experts, and the order tried when no cycle is valid.
 EXPERT_ORDER = ("A", "B", "C")
 FALLBACK_ORDER = ("C", "B", "A")
@@ -25,19 +27,30 @@ def select_expert(
     order: Sequence[str] = EXPERT_ORDER,
     fallback: Sequence[str] = FALLBACK_ORDER,
     query_empty: str | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Valid cycle -> most points inside -> smallest distance -> expert order; else the fallback order.
 
-    One partial aggregation over the evidence: the winner is a minimum over a struct key.
-    ``query_empty`` names a boolean column that sends the object to ``fallback_empty_query``.
+    One aggregation over the evidence: the winner is a minimum over a struct key.
+    ``query_empty`` names a boolean column that sends the object to ``fallback_empty_query``; ``carry`` names columns
+    of the chosen row that come along.
     """
-    return _ranked(evidence, keys, order, fallback, query_empty, F.lit(False)).filter("_known > 0").drop("_known", "_flag")
+    return _ranked(evidence, keys, order, fallback, query_empty, F.lit(False), carry).filter("_known > 0").drop("_known", "_flag")
 
 
 def _ranked(
-    evidence: DataFrame, keys: Sequence[str], order: Sequence[str], fallback: Sequence[str], query_empty: str | None, flag: Column
+    evidence: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    fallback: Sequence[str],
+    query_empty: str | None,
+    flag: Column,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """:func:`select_expert` with the number of rows of known experts, and whether any row has the flag."""
+    """:func:`select_expert` with the number of rows of known experts, and whether any row has the flag.
+
+    Aggregates over structs sort their rows, so the evidence is dealt by its keys to tasks of bounded size before.
+    """
     d = F.col("cycle_distance")
     known = F.coalesce(F.col("expert").isin(*order), F.lit(False))
     ok = known & F.coalesce(F.col("valid"), F.lit(False)) & d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf"))
@@ -46,9 +59,10 @@ def _ranked(
     )
     back = F.struct(_rank(F.col("expert"), fallback).alias("rank"))
     empty = F.bool_or(known & F.coalesce(F.col(query_empty), F.lit(False))) if query_empty else F.lit(False)
-    best = evidence.groupBy(*keys).agg(
-        F.min_by(F.when(ok, F.col("expert")), F.when(ok, key)).alias("_cycle"),
-        F.min_by(F.when(known, F.col("expert")), F.when(known, back)).alias("_back"),
+    row = F.struct("expert", *carry)
+    best = dealt(evidence, keys, tasks_for(evidence)).groupBy(*keys).agg(
+        F.min_by(F.when(ok, row), F.when(ok, key)).alias("_cycle"),
+        F.min_by(F.when(known, row), F.when(known, back)).alias("_back"),
         empty.alias("_empty"),
         F.count_if(ok).alias("valid_experts"),
         F.count_if(known).alias("_known"),
@@ -56,8 +70,15 @@ def _ranked(
     )
     cycle = ~F.col("_empty") & F.col("_cycle").isNotNull()
     reason = F.when(F.col("_empty"), "fallback_empty_query").when(cycle, "cycle").otherwise("fallback_no_cycle")
+    chosen = F.when(cycle, F.col("_cycle")).otherwise(F.col("_back"))
     return best.select(
-        *keys, F.when(cycle, F.col("_cycle")).otherwise(F.col("_back")).alias("selected"), reason.alias("reason"), "valid_experts", "_known", "_flag"
+        *keys,
+        chosen["expert"].alias("selected"),
+        reason.alias("reason"),
+        "valid_experts",
+        *[chosen[c].alias(c) for c in carry],
+        "_known",
+        "_flag",
     )
 
 
@@ -92,7 +113,8 @@ def expert_means(scored: DataFrame, expert: str = "expert", metric: str = "iou")
 def audit_selected(decisions: DataFrame, candidates: DataFrame, keys: Sequence[str], sha: str = "mask_sha") -> DataFrame:
     """Decisions whose mask hash is not the hash of the chosen candidate."""
     c = candidates.select(*keys, F.col("expert").alias("selected"), F.col(sha).alias("candidate_sha"))
-    rows = decisions.join(c, [*keys, "selected"], "left")
+    tasks, on = tasks_for(candidates), [*keys, "selected"]
+    rows = dealt(decisions, on, tasks).join(dealt(c, on, tasks), on, "left")
     return rows.filter(~F.col(sha).eqNullSafe(F.col("candidate_sha"))).select(*keys, "selected", sha, "candidate_sha")
 
 

@@ -96,6 +96,19 @@ def sort_tasks(df: DataFrame, buckets: int) -> int | None:
     return tasks if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
+def tasks_for(df: DataFrame, buckets_per_task: int = BUCKETS_PER_TASK) -> int:
+    """So many tasks that each holds the rows of a few buckets, whatever the size of the table; counts the rows."""
+    return max(1, math.ceil(df.count() / (ROWS_PER_BUCKET * buckets_per_task)))
+
+
+def dealt(df: DataFrame, keys: Sequence[str], tasks: int) -> DataFrame:
+    """Rows dealt to ``tasks`` by the hash of the keys, as they are if one is enough.
+
+    The session's partitions, and those that adaptive execution merges by compressed bytes, grow with the table.
+    """
+    return df.repartition(tasks, *keys) if tasks > 1 else df
+
+
 def ordered_scan(
     df: DataFrame,
     order: Sequence[str],

@@ -294,11 +294,8 @@ def expert_means(spark, d):
 )
 def audit_selected(spark, d):
     ev = evidence(spark, d)
-    chosen = X.select_expert(ev, ["object_id"])
-    own = ev.select("object_id", F.col("expert").alias("selected"), "mask_sha")
-    stored = chosen.join(own, ["object_id", "selected"]).withColumn(
-        "mask_sha", F.when(F.col("object_id") % 13 == 0, "stale").otherwise(F.col("mask_sha"))
-    )
+    chosen = X.select_expert(ev, ["object_id"], carry=["mask_sha"])
+    stored = chosen.withColumn("mask_sha", F.when(F.col("object_id") % 13 == 0, "stale").otherwise(F.col("mask_sha")))
     return X.audit_selected(stored, ev, ["object_id"])
 
 
